@@ -21,9 +21,43 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: The rules of the url query: (action, host, path).
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.url_filter import url_verdicts
+
+    return url_verdicts(spark, read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP7_SQL = """
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(action, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/'))
+SELECT page_id, host, path,
+  (SELECT h || p FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1) AS rule,
+  COALESCE((SELECT action FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1), 'allow') AS verdict
+FROM s
+"""
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.token_output import token_output
+
+    return token_output(spark, read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict:
-    return {"op1_token_counts": op1_token_counts}
+    return {"op1_token_counts": op1_token_counts, "op7_url_filter": op7_url_filter, "op10_token_output": op10_token_output}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filter": OP7_SQL}
