@@ -272,7 +272,7 @@ def _write_batches(path: str, end_id: int, alphabet: int, shard_ids: int, memory
 
 def write_token_shards(
     spark: SparkSession, docs: DataFrame, tokenizer_path: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = 1, alphabet: int = 49_408, shard_ids: int = 1_500_000, parts: int | None = None, memory: int = 150_000,
+    end_id: int = 1, alphabet: int = 49_408, shard_ids: int = 1_500_000, parts: int | None = None, memory: int = 400_000,
 ) -> DataFrame:
     """Write the shards in ascending id order and return the table read back.
 
