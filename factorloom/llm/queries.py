@@ -55,9 +55,52 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark, read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.language import fit_language_model, predict_language
+
+    docs = read_table(spark, sf_dir, "documents")
+    return predict_language(spark, docs, fit_language_model(spark, docs))
+
+
+#: Source weights are document counts to this power.
+MIX_ALPHA = 0.5
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.mixing import mix_sources
+
+    return mix_sources(spark, read_table(spark, sf_dir, "documents"), alpha=MIX_ALPHA)
+
+
+OP5_SQL = """
+WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+t AS (SELECT sum(n) AS n, sum(pow(n, 5e-1)) AS w FROM s),
+r AS (SELECT s.source AS src, pow(s.n, 5e-1) / t.w * t.n / s.n AS rate FROM s, t),
+d AS (SELECT documents.*, rate, CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
+      FROM documents JOIN r ON documents.source IS NOT DISTINCT FROM r.src),
+c AS (SELECT *, len(list_filter(range(0, 80), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(rate) - rate - lgamma(j + 1)))) <= u)) AS times FROM d),
+e AS (SELECT *, unnest(range(1, times + 1)) AS copy FROM c)
+SELECT doc_id, text, lang, source, n_chars, copy,
+  CAST('0x' || substr(md5('17s:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy), 1, 15) AS BIGINT) AS shuffle_key FROM e
+"""
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.ngram_join import shingle_components
+
+    return shingle_components(spark, read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_token_counts": op1_token_counts, "op7_url_filter": op7_url_filter, "op10_token_output": op10_token_output}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op4_language_id": op4_language_id,
+        "op5_source_mixing": op5_source_mixing,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+        "op7_url_filter": op7_url_filter,
+        "op10_token_output": op10_token_output,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL}
+    return {"op5_source_mixing": OP5_SQL, "op7_url_filter": OP7_SQL}
