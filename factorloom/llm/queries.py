@@ -55,6 +55,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark, read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.near_embeddings import near_embeddings
+
+    return near_embeddings(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factorloom.llm.language import fit_language_model, predict_language
 
@@ -94,6 +100,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op4_language_id": op4_language_id,
         "op5_source_mixing": op5_source_mixing,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
