@@ -48,68 +48,97 @@ def case_folded(text: bytes) -> bytes:
 
 
 class ChunkEncoder:
-    """Library encodings of white-space separated chunks, kept in one id arena."""
+    """Library encodings of white-space separated chunks, kept in one id arena.
+
+    A chunk is a row: a run of the arena, and a tail id or -1 (a final comma or
+    full stop, which the pre-tokeniser always cuts from an ASCII letter).
+    """
 
     def __init__(self, path: str, memory: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocab = self.library.get_vocab()
+        #: Ids that end a pre-token, where the vocabulary marks word ends.
+        self.final = np.zeros(max(vocab.values()) + 1, bool)
+        self.final[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
+        self.tails = {mark: self.library.encode(mark, add_special_tokens=False).ids for mark in (",", ".")}
         self.memory = memory
         self.reset()
 
     def reset(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.flat, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _library_ids(self, chunks: list[str]) -> list[list[int]]:
-        """The library's ids of each chunk; plain words go to it many at a time, as one text."""
-        plain = [c for c in chunks if c.isalpha() and (c.isascii() or max(c) < "\u0100")]
-        known: dict[str, list[int]] = {}
-        for at in range(0, len(plain), 4000):
-            some = plain[at : at + 4000]
-            got = self.library.encode(" ".join(some), add_special_tokens=False)
-            # a plain word is exactly one pre-token, so word numbers are positions in the list
-            ends = np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some))).tolist()
-            ids = got.ids
-            known.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-        rest = [c for c in chunks if c not in known]
-        known.update(zip(rest, (e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-        return [known[c] for c in chunks]
-
-    def _fresh_ids(self, fresh: list[bytes]) -> list[list[int]]:
-        # between an ASCII letter and a final comma or full stop the pre-tokeniser always cuts
-        cut = [len(c) > 1 and c[-1:] in b",." and c[-2:-1].isalpha() for c in fresh]
-        heads = [(c[:-1] if k else c).decode("utf-8", "replace") for c, k in zip(fresh, cut, strict=True)]
-        names = list(dict.fromkeys([*heads, ",", "."]))
-        ids = dict(zip(names, self._library_ids(names), strict=True))
-        return [ids[h] + ids[c[-1:].decode()] if k else ids[h] for c, h, k in zip(fresh, heads, cut, strict=True)]
+        self.flat, self.used = np.empty(1 << 20, np.uint32), 0
+        self.start, self.size, self.tail = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _store(self, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(ids), self.used) + len(ids), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _add(self, chunks: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Rows for chunks whose ids stand one after another in ``ids``."""
+        n = len(self.size)
+        self.index.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.start = np.r_[self.start, self.used + np.cumsum(sizes) - sizes]
+        self.size, self.tail = np.r_[self.size, sizes], np.r_[self.tail, np.full(len(chunks), -1)]
+        self._store(ids)
+
+    def _learn(self, new: set[bytes]) -> None:
+        cut = [c for c in new if c[-1:] in (b",", b".") and c[-2:-1].isalpha()]
+        new.difference_update(cut)
+        new.update(c[:-1] for c in cut)
+        new.difference_update(self.index)
+        plain, rest = [], []
+        for c in new:
+            if c.isalpha() or ((s := c.decode("utf-8", "replace")).isalpha() and max(s) < "\u0100"):
+                plain.append(c)
+            else:
+                rest.append(c)
+        for at in range(0, len(plain), 1000):
+            # a plain word is one pre-token, so its last id is the first that ends a word
+            some = plain[at : at + 1000]
+            ids = np.array(self.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            sizes = np.diff(np.r_[-1, np.flatnonzero(self.final[ids])])
+            if len(sizes) != len(some):  # a vocabulary without word ends
+                rest += some
+            else:
+                self._add(some, sizes, ids)
+        if rest:
+            got = [e.ids for e in self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            self._add(rest, sizes, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum())))
+        if cut:
+            head = np.fromiter((self.index[c[:-1]] for c in cut), np.int64, len(cut))
+            n = len(self.size)
+            self.index.update(zip(cut, range(n, n + len(cut)), strict=True))
+            self.start, self.size = np.r_[self.start, self.start[head]], np.r_[self.size, self.size[head]]
+            tail = np.fromiter((self.tails[c[-1:].decode()][0] for c in cut), np.int64, len(cut))
+            self.tail = np.r_[self.tail, tail]
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and the number of ids of each."""
         if len(self.index) > self.memory:
             self.reset()
-        # The pre-tokeniser never joins across a space or a line feed.
+        # the pre-tokeniser never joins across a space or a line feed
         chunks = [case_folded(t).replace(b"\n", b" ").split(b" ") if t else [] for t in texts]
         new: set[bytes] = set()
         for c in chunks:
             new.update(c)
         new.difference_update(self.index)
         if new:
-            fresh = list(new)
-            ids = self._fresh_ids(fresh)
-            self.index.update(zip(fresh, range(len(self.index), len(self.index) + len(fresh)), strict=True))
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
-            self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
-            self.size = np.r_[self.size, size]
-            self.flat = np.r_[self.flat, flat]
+            self._learn(new)
         number = np.fromiter(map(len, chunks), np.int64, len(chunks))
         which = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(chunks)), np.int64, int(number.sum()))
-        size = self.size[which]
+        head, tail = self.size[which], self.tail[which]
+        size = head + (tail >= 0)
         ends = np.cumsum(size)
-        out = self.flat[np.repeat(self.start[which] - (ends - size), size) + np.arange(int(size.sum()))]
+        at = np.repeat(self.start[which] - (ends - size), size) + np.arange(int(size.sum()))
+        out = self.flat[np.minimum(at, max(self.used - 1, 0))]
+        marked = tail >= 0
+        out[ends[marked] - 1] = tail[marked]
         bounds = np.r_[0, ends][np.r_[0, np.cumsum(number)]]
         return out, np.diff(bounds)
 
@@ -272,7 +301,7 @@ def _write_batches(path: str, end_id: int, alphabet: int, shard_ids: int, memory
 
 def write_token_shards(
     spark: SparkSession, docs: DataFrame, tokenizer_path: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = 1, alphabet: int = 49_408, shard_ids: int = 1_500_000, parts: int | None = None, memory: int = 400_000,
+    end_id: int = 1, alphabet: int = 49_408, shard_ids: int = 1_500_000, parts: int | None = None, memory: int = 900_000,
 ) -> DataFrame:
     """Write the shards in ascending id order and return the table read back.
 
