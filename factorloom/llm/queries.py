@@ -49,6 +49,12 @@ FROM s
 """
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.decontamination import contained_items
+
+    return contained_items(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factorloom.llm.token_output import token_output
 
@@ -105,6 +111,7 @@ def queries() -> dict:
         "op5_source_mixing": op5_source_mixing,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_url_filter": op7_url_filter,
+        "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op10_token_output": op10_token_output,
     }
 
