@@ -55,6 +55,12 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contained_items(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_chat_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.chat import link_conversations
+
+    return link_conversations(spark, read_table(spark, sf_dir, "conversations"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factorloom.llm.token_output import token_output
 
@@ -112,6 +118,7 @@ def queries() -> dict:
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op7_url_filter": op7_url_filter,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
+        "op9_chat_quotation_linking": op9_chat_quotation_linking,
         "op10_token_output": op10_token_output,
     }
 
