@@ -73,6 +73,12 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_embeddings(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.html_text import page_texts
+
+    return page_texts(spark, read_table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factorloom.llm.language import fit_language_model, predict_language
 
@@ -113,6 +119,7 @@ def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_embedding_near_dedup": op2_embedding_near_dedup,
+        "op3_html_extraction": op3_html_extraction,
         "op4_language_id": op4_language_id,
         "op5_source_mixing": op5_source_mixing,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
