@@ -8,11 +8,9 @@ does not know falls back to its 5-grams, then 4-, 3-, 2- and 1-grams, at the
 first length of which the model knows any.
 """
 
-from __future__ import annotations
-
 import itertools
-import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,14 +68,34 @@ class LanguageModel:
         self.words = {g: k for (n, g), k in index.items() if n == 0}
         self.grams = {g: k for (n, g), k in index.items() if n > 0}
 
-    def word_vector(self, word: str) -> np.ndarray:
-        if (k := self.words.get(word)) is not None:
-            return self.table[k]
-        for n in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
-            known = [k for g in grams_of(word, n) if (k := self.grams.get(g)) is not None]
+    def fallback(self, word: str) -> list[int]:
+        """Rows of the longest n-grams of an unseen word that the model knows."""
+        padded = f"\x02{word}\x03"
+        get = self.grams.get
+        for n in range(min(LONGEST_GRAM, len(padded)), 0, -1):
+            known = [k for i in range(len(padded) - n + 1) if (k := get(padded[i : i + n])) is not None]
             if known:
-                return self.table[known].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return known
+        return []
+
+    def word_vectors(self, words: list[str]) -> np.ndarray:
+        """Log posteriors of each word: its own row, or the mean of its fallback's rows, or zeros."""
+        own = self.words.get
+        rows = [[k] if (k := own(w)) is not None else self.fallback(w) for w in words]
+        return segment_sums(self.table, rows, mean=True)
+
+
+def segment_sums(table: np.ndarray, rows: list[list[int]], mean: bool = False) -> np.ndarray:
+    """Sum or mean of the table's rows named by each list."""
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    out = np.zeros((len(rows), table.shape[1]), np.float32)
+    full = np.flatnonzero(size)
+    if len(full):
+        flat = np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(size.sum()))
+        out[full] = np.add.reduceat(table[flat], (np.cumsum(size) - size)[full], axis=0)
+        if mean:
+            out[full] /= size[full, None]
+    return out
 
 
 def fit_language_model(
@@ -116,31 +134,30 @@ def _predict_batches(model, memory: int):
     def run(batches):
         known = model.value
         letters, width = _letters(), len(known.langs)
+        empty = np.zeros((0, width), np.float32)
         index: dict[bytes, int] = {}
-        rows, words = np.zeros((0, width), np.float32), np.zeros(0, np.int64)
-        vectors: dict[str, np.ndarray] = {}
+        rows, words = empty, np.zeros(0, np.int64)
+        word_index: dict[str, int] = {}
+        word_rows = empty
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 piece = batch.slice(at, 1000)
                 # white space never stands inside a word, so a distinct chunk is scored once
                 chunks = [t.split() if t else [] for t in piece.column(2).to_pylist()]
                 if len(index) > memory:
-                    index, rows, words = {}, rows[:0], words[:0]
-                    vectors.clear()
+                    index, rows, words, word_index, word_rows = {}, empty, words[:0], {}, empty
                 new: set[bytes] = set()
                 for c in chunks:
                     new.update(c)
                 new.difference_update(index)
                 fresh = list(new)
-                sums, number = np.zeros((len(fresh), width), np.float32), np.zeros(len(fresh), np.int64)
-                for k, c in enumerate(fresh):
-                    for w in letters(c.decode("utf-8", "replace").lower()):
-                        if (v := vectors.get(w)) is None:
-                            v = vectors[w] = known.word_vector(w)
-                        sums[k] += v
-                        number[k] += 1
+                inside = [[c.decode().lower()] if c.isalpha() else letters(c.decode("utf-8", "replace").lower()) for c in fresh]
+                unseen = list({w for ws in inside for w in ws}.difference(word_index))
+                word_index.update(zip(unseen, range(len(word_index), len(word_index) + len(unseen)), strict=True))
+                word_rows = np.concatenate([word_rows, known.word_vectors(unseen)])
+                sums = segment_sums(word_rows, [[word_index[w] for w in ws] for ws in inside])
                 index.update(zip(fresh, range(len(index), len(index) + len(fresh)), strict=True))
-                rows, words = np.concatenate([rows, sums]), np.concatenate([words, number])
+                rows, words = np.concatenate([rows, sums]), np.concatenate([words, np.fromiter(map(len, inside), np.int64, len(inside))])
                 size = np.fromiter(map(len, chunks), np.int64, len(chunks))
                 which = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(chunks)), np.int64, int(size.sum()))
                 total, n = np.zeros((len(chunks), width)), np.zeros(len(chunks), np.int64)
@@ -176,3 +193,31 @@ def predict_language(spark: SparkSession, docs: DataFrame, model: LanguageModel,
     shared = spark.sparkContext.broadcast(model)
     slim = docs.select(F.col(id_col).alias("id"), is_held_out(id_col).alias("held_out"), F.encode(F.col(text_col), "UTF-8").alias("text"))
     return slim.mapInArrow(_predict_batches(shared, memory), f"id {out_id}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
+def language_column(spark: SparkSession, model: LanguageModel, text_col: str = "text", memory: int = 200_000):
+    """Column struct<lang_pred, score> of a text column, for filters that keep whole rows in place."""
+    predict = _predict_batches(spark.sparkContext.broadcast(model), memory)
+    return F.arrow_udf(_struct_arrays(predict), "lang_pred string, score double")(F.encode(F.col(text_col), "UTF-8"))
+
+
+def _struct_arrays(predict):
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        sizes: list[int] = []
+
+        def batches():
+            for array in arrays:
+                sizes.append(len(array))
+                blank = pa.nulls(len(array), pa.bool_())
+                yield pa.RecordBatch.from_arrays([blank, blank, array], ["id", "held_out", "text"])
+
+        held: list[pa.RecordBatch] = []
+        for out in predict(batches()):
+            held.append(out)
+            if sum(b.num_rows for b in held) == sizes[-1]:  # all pieces of one input array
+                table = pa.Table.from_batches(held).combine_chunks()
+                columns = [table.column(c).chunk(0) for c in ("lang_pred", "score")]
+                yield pa.StructArray.from_arrays(columns, ["lang_pred", "score"])
+                held = []
+
+    return run
