@@ -21,12 +21,15 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
+import string
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,26 +38,50 @@ from pyspark.sql.window import Window
 from factorloom.llm.common import Scratch
 
 MAGIC = b"FLRPAIR1"
-BUCKETS = 1 << 20
+#: Buckets of the pair counts of a round, and how many bits of a 32-bit hash they leave.
+BUCKETS, SPARE_BITS = 1 << 19, 13
 
 
-def case_folded(text: bytes) -> bytes:
+def _byte_letters() -> dict[int, str]:
+    """Byte-level alphabet: printable bytes stand for themselves, the others for U+0100 onwards."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    table = {b: chr(b) for b in own}
+    table.update((b, chr(0x100 + k)) for k, b in enumerate(x for x in range(0x100) if x not in table))
+    table[0x20] = " "  # the separator between words
+    return table
+
+
+BYTE_LETTERS = _byte_letters()
+#: ASCII punctuation; small Latin-1 letters; letters and digits that a run of punctuation never joins.
+PUNCTUATION = string.punctuation
+SMALL_WORD = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+WORD_END = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"
+
+
+def byte_mapped(text: bytes) -> str:
+    return text.decode() if text.isascii() else text.decode("latin-1").translate(BYTE_LETTERS)
+
+
+def case_folded(texts: pa.Array) -> pa.Array:
     """A-Z lower-cased where the vocabulary's own lower-casing does the same.
 
-    Not where a special token's string may stand, nor before combining marks
-    (lead bytes CC and CD), which compose differently with small letters.
+    Not where a special token's string may stand, nor beside combining marks,
+    which compose differently with small letters.
     """
-    return text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
+    as_is = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[\u0300-\u037f]"))
+    return pc.if_else(as_is, texts, pc.ascii_lower(texts))
 
 
 class ChunkEncoder:
-    """Library encodings of white-space separated chunks, kept in one id arena.
+    """Ids of many texts at once: each distinct chunk between spaces is encoded by the library once.
 
-    A chunk is a row: a run of the arena, and a tail id or -1 (a final comma or
-    full stop, which the pre-tokeniser always cuts from an ASCII letter).
+    The pre-tokeniser never joins across a space or a line feed, and always
+    cuts between a letter or digit and a following run of punctuation, so a
+    chunk is a head and a tail.  Heads of small Latin-1 letters are one
+    pre-token each; they go to the same model as one text, many at a time.
     """
 
-    def __init__(self, path: str, memory: int):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,89 +90,86 @@ class ChunkEncoder:
         #: Ids that end a pre-token, where the vocabulary marks word ends.
         self.final = np.zeros(max(vocab.values()) + 1, bool)
         self.final[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
-        self.tails = {mark: self.library.encode(mark, add_special_tokens=False).ids for mark in (",", ".")}
-        self.memory = memory
-        self.reset()
-
-    def reset(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.start, self.size, self.tail = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _store(self, ids: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(ids), self.used) + len(ids), np.uint32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-
-    def _add(self, chunks: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
-        """Rows for chunks whose ids stand one after another in ``ids``."""
-        n = len(self.size)
-        self.index.update(zip(chunks, range(n, n + len(chunks)), strict=True))
-        self.start = np.r_[self.start, self.used + np.cumsum(sizes) - sizes]
-        self.size, self.tail = np.r_[self.size, sizes], np.r_[self.tail, np.full(len(chunks), -1)]
-        self._store(ids)
-
-    def _learn(self, new: set[bytes]) -> None:
-        cut = [c for c in new if c[-1:] in (b",", b".") and c[-2:-1].isalpha()]
-        new.difference_update(cut)
-        new.update(c[:-1] for c in cut)
-        new.difference_update(self.index)
-        plain, rest = [], []
-        for c in new:
-            if c.isalpha() or ((s := c.decode("utf-8", "replace")).isalpha() and max(s) < "\u0100"):
-                plain.append(c)
-            else:
-                rest.append(c)
-        for at in range(0, len(plain), 1000):
+        self.words = self._word_encoder(path)
+
+    def _word_encoder(self, path: str):
+        """The same model without the steps that change nothing on small Latin-1 words; None if a probe differs."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        lean = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": None, "post_processor": None}))
+        lean.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        probe = "a the straße étude où naïve aaaa zzzzzzzz".split()
+        same = lambda w: lean.encode(byte_mapped(w.encode()), add_special_tokens=False).ids == self.library.encode(w, add_special_tokens=False).ids
+        return lean if self.final.any() and all(map(same, probe)) else None
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids back to back, and start and size of each distinct piece."""
+        plain = pc.match_substring_regex(pieces, SMALL_WORD) if self.words is not None else pa.array(np.zeros(len(pieces), bool))
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        words, rest = pieces.filter(plain).to_pylist(), pieces.filter(pc.invert(plain)).to_pylist()
+        ids, sizes = [], []
+        for at in range(0, len(words), 1000):
             # a plain word is one pre-token, so its last id is the first that ends a word
-            some = plain[at : at + 1000]
-            ids = np.array(self.library.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            sizes = np.diff(np.r_[-1, np.flatnonzero(self.final[ids])])
-            if len(sizes) != len(some):  # a vocabulary without word ends
-                rest += some
-            else:
-                self._add(some, sizes, ids)
-        if rest:
-            got = [e.ids for e in self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in rest], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self._add(rest, sizes, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes.sum())))
-        if cut:
-            head = np.fromiter((self.index[c[:-1]] for c in cut), np.int64, len(cut))
-            n = len(self.size)
-            self.index.update(zip(cut, range(n, n + len(cut)), strict=True))
-            self.start, self.size = np.r_[self.start, self.start[head]], np.r_[self.size, self.size[head]]
-            tail = np.fromiter((self.tails[c[-1:].decode()][0] for c in cut), np.int64, len(cut))
-            self.tail = np.r_[self.tail, tail]
-
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in order, and the number of ids of each."""
-        if len(self.index) > self.memory:
-            self.reset()
-        # the pre-tokeniser never joins across a space or a line feed
-        chunks = [case_folded(t).replace(b"\n", b" ").split(b" ") if t else [] for t in texts]
-        new: set[bytes] = set()
-        for c in chunks:
-            new.update(c)
-        new.difference_update(self.index)
-        if new:
-            self._learn(new)
-        number = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        which = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(chunks)), np.int64, int(number.sum()))
-        head, tail = self.size[which], self.tail[which]
-        size = head + (tail >= 0)
-        ends = np.cumsum(size)
-        at = np.repeat(self.start[which] - (ends - size), size) + np.arange(int(size.sum()))
-        out = self.flat[np.minimum(at, max(self.used - 1, 0))]
-        marked = tail >= 0
-        out[ends[marked] - 1] = tail[marked]
-        bounds = np.r_[0, ends][np.r_[0, np.cumsum(number)]]
-        return out, np.diff(bounds)
+            joined = byte_mapped(" ".join(words[at : at + 1000]).encode())
+            got = np.array(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            ids.append(got)
+            sizes.append(np.diff(np.r_[-1, np.flatnonzero(self.final[got])]))
+        some = [e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, some), np.int64, len(some)))
+        ids.append(np.fromiter(itertools.chain.from_iterable(some), np.uint32, int(sizes[-1].sum())))
+        size = np.empty(len(pieces), np.int64)
+        in_order = np.concatenate(sizes)
+        order = np.r_[np.flatnonzero(is_plain), np.flatnonzero(~is_plain)]
+        size[order] = in_order
+        start = np.empty(len(pieces), np.int64)
+        start[order] = np.cumsum(in_order) - in_order
+        return np.concatenate(ids), start, size
+
+    def encode(self, texts: pa.Array, most: int = 400_000):
+        """Yield (first text, ids, ids of each text) for runs of texts of about ``most`` chunks."""
+        folded = pc.replace_substring(case_folded(pc.fill_null(texts, "")), "\n", " ")
+        lists = pc.split_pattern(folded, " ")
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        which, distinct = coded.indices.to_numpy(), coded.dictionary
+        # heads and tails of the distinct chunks
+        heads = pc.ascii_rtrim(distinct, characters=PUNCTUATION)
+        cut = pc.and_(pc.match_substring_regex(heads, WORD_END), pc.invert(pc.match_substring(distinct, "<|")))
+        heads = pc.if_else(cut, heads, distinct)
+        length = pc.binary_length(heads).to_numpy()
+        tailed = np.flatnonzero(length < pc.binary_length(distinct).to_numpy())
+        tails = [c.encode()[n:].decode() for c, n in zip(distinct.take(pa.array(tailed)).to_pylist(), length[tailed].tolist(), strict=True)]
+        pieces = pa.concat_arrays([heads, pa.array(tails, pa.string())]).dictionary_encode()
+        flat, start, size = self._pieces(pieces.dictionary)
+        piece = pieces.indices.to_numpy()
+        head, tail = piece[: len(distinct)], np.full(len(distinct), -1, np.int64)
+        tail[tailed] = piece[len(distinct) :]
+        first = 0
+        while first < len(texts):
+            past = max(first + 1, int(np.searchsorted(bounds, bounds[first] + most, "right")) - 1)
+            u = which[bounds[first] : bounds[past]]
+            h, t = head[u], tail[u]
+            has = t >= 0
+            h_size = size[h]
+            t_size = np.where(has, size[t], 0)
+            ends = np.cumsum(h_size + t_size)
+            out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+
+            def put(at, source, n, out=out):
+                ramp = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                out[np.repeat(at, n) + ramp] = flat[np.repeat(source, n) + ramp]
+
+            put(ends - h_size - t_size, start[h], h_size)
+            put(ends[has] - t_size[has], start[t[has]], t_size[has])
+            yield first, out, np.diff(np.r_[0, ends][bounds[first : past + 1] - bounds[first]])
+            first = past
 
 
 @functools.lru_cache(maxsize=1)
-def chunk_encoder(path: str, memory: int) -> ChunkEncoder:
-    return ChunkEncoder(path, memory)
+def chunk_encoder(path: str) -> ChunkEncoder:
+    return ChunkEncoder(path)
 
 
 def with_end_id(ids: np.ndarray, size: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,16 +192,16 @@ def re_pair(ids: np.ndarray, doc_size: np.ndarray, alphabet: int, min_count: int
     symbol, rules = ids.astype(np.uint32), []
     last = np.zeros(len(symbol), bool)
     last[np.cumsum(doc_size)[doc_size > 0] - 1] = True
+    owner = np.zeros(BUCKETS, np.uint64)
     for _ in range(max_rounds):
         if len(symbol) < 2 or len(rules) >= max_rules:
             break
         left, right = symbol[:-1], symbol[1:]
-        bucket = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(12)
-        at = np.flatnonzero(~last[:-1])
-        bucket, pair = bucket[at], left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        owner = np.zeros(BUCKETS, np.uint64)
+        bucket = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(SPARE_BITS)
+        pair = left.astype(np.uint64) << np.uint64(32) | right
         owner[bucket] = pair
         own = owner[bucket] == pair
+        own[last[:-1]] = False  # no pair spans two documents
         count = np.bincount(bucket[own], minlength=BUCKETS)
         chosen = np.flatnonzero(count >= min_count)
         if not len(chosen):
@@ -188,8 +212,9 @@ def re_pair(ids: np.ndarray, doc_size: np.ndarray, alphabet: int, min_count: int
         chosen = chosen[np.lexsort((chosen, -count[chosen]))]
         new_id = np.zeros(BUCKETS, np.uint32)
         new_id[chosen] = alphabet + len(rules) + np.arange(len(chosen), dtype=np.uint32)
-        hit = own & (new_id[bucket] > 0)
-        at, fresh = at[hit], new_id[bucket[hit]]
+        fresh = new_id[bucket]
+        at = np.flatnonzero(own & (fresh > 0))
+        fresh = fresh[at]
         # pairs that overlap: of each run of neighbours take the first, third, ...
         begins = np.r_[True, np.diff(at) != 1]
         begin = np.maximum.accumulate(np.where(begins, at, 0))
@@ -268,31 +293,42 @@ class Shard:
 SHARD_SCHEMA = "part int, block int, first_id long, n_ids long, doc_ids array<{id}>, payload binary"
 
 
-def _write_batches(path: str, end_id: int, alphabet: int, shard_ids: int, memory: int):
+def _text_slices(batch: pa.RecordBatch, most: int = 16_000_000):
+    """Slices of a batch of about ``most`` bytes of text, or one text if it is longer."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        past = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(first, past - first)
+        first = past
+
+
+def _write_batches(path: str, end_id: int, alphabet: int, shard_ids: int):
     def run(batches):
-        encoder, part = chunk_encoder(path, memory), TaskContext.get().partitionId()
+        encoder, part = chunk_encoder(path), TaskContext.get().partitionId()
         ids, sizes, docs, held, block, before = [], [], [], 0, 0, 0
 
         def flush():
             nonlocal ids, sizes, docs, held, block, before
             payload = pack_shard(np.concatenate(ids), np.concatenate(sizes), alphabet)
             row = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64())]
-            keys = pa.chunked_array(docs).combine_chunks()
+            keys = pa.concat_arrays(docs)
             row += [pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([payload], pa.binary())]
             before, block = before + held, block + 1
             ids, sizes, docs, held = [], [], [], 0
             return pa.RecordBatch.from_arrays(row, ["part", "block", "first_id", "n_ids", "doc_ids", "payload"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                piece = batch.slice(at, 1000)
-                out, size = with_end_id(*encoder.encode(piece.column(1).to_pylist()), end_id)
-                ids.append(out)
-                sizes.append(size)
-                docs.append(piece.column(0))
-                held += len(out)
-                if held >= shard_ids:
-                    yield flush()
+            for piece in _text_slices(batch):
+                for first, some, number in encoder.encode(piece.column(1).cast(pa.string()), max(1, shard_ids // 4)):
+                    out, size = with_end_id(some, number, end_id)
+                    ids.append(out)
+                    sizes.append(size)
+                    docs.append(piece.column(0).slice(first, len(number)))
+                    held += len(out)
+                    if held >= shard_ids:
+                        yield flush()
         if held:
             yield flush()
 
@@ -301,21 +337,21 @@ def _write_batches(path: str, end_id: int, alphabet: int, shard_ids: int, memory
 
 def write_token_shards(
     spark: SparkSession, docs: DataFrame, tokenizer_path: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = 1, alphabet: int = 49_408, shard_ids: int = 1_500_000, parts: int | None = None, memory: int = 900_000,
+    end_id: int = 1, alphabet: int = 49_408, shard_ids: int = 1_500_000, parts: int | None = None,
 ) -> DataFrame:
     """Write the shards in ascending id order and return the table read back.
 
     One range exchange of (id, text).  Equal ids are spread by a hash of their
     text, so a hot id does not fill one partition.  A null text is the end id
     alone.  ``shard_ids`` bounds a grammar's sequence (a longer document still
-    is one document of one shard); ``memory`` bounds remembered encodings.
+    is one document of one shard).
     """
     slim = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text").alias("tie")
     dealt = slim.withColumn("tie", tie).repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
     schema = SHARD_SCHEMA.format(id=docs.schema[id_col].dataType.simpleString())
-    return scratch.keep(dealt.mapInArrow(_write_batches(tokenizer_path, end_id, alphabet, shard_ids, memory), schema), "shards")
+    return scratch.keep(dealt.mapInArrow(_write_batches(tokenizer_path, end_id, alphabet, shard_ids), schema), "shards")
 
 
 def _read_batches(batches):
