@@ -28,7 +28,8 @@ def is_held_out(id_col: str):
 
 
 def grams_of(word: str, n: int) -> list[str]:
-    padded = f"\x02{word}\x03"
+    """Character n-grams; marks of the word's ends are part of those longer than one."""
+    padded = f"\x02{word}\x03" if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
@@ -70,10 +71,9 @@ class LanguageModel:
 
     def fallback(self, word: str) -> list[int]:
         """Rows of the longest n-grams of an unseen word that the model knows."""
-        padded = f"\x02{word}\x03"
         get = self.grams.get
-        for n in range(min(LONGEST_GRAM, len(padded)), 0, -1):
-            known = [k for i in range(len(padded) - n + 1) if (k := get(padded[i : i + n])) is not None]
+        for n in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
+            known = [k for g in grams_of(word, n) if (k := get(g)) is not None]
             if known:
                 return known
         return []
