@@ -10,6 +10,8 @@ is the message without its quoted lines.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,17 +118,18 @@ def link_conversations(
         "ckey", "turn", F.coalesce("quote_turn", "previous").alias("parent"),
         F.when(F.col("quote_turn").isNotNull(), "quote").when(F.col("previous").isNotNull(), "sequence").otherwise("root").alias("link"),
     )
-    # pointer doubling: each round doubles the distance of ``up``
-    tree = scratch.keep(tree.select("*", F.coalesce("parent", "turn").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")), "tree")
-    while True:
-        above = tree.select("ckey", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        following = scratch.keep(tree.join(above, ["ckey", "up"]).select("ckey", "turn", "parent", "link", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "tree")
-        moved = following.where("moved").limit(1).count()
-        scratch.drop(tree)
-        tree = following.drop("moved")
-        tree.scratch_path = following.scratch_path
-        if not moved:
-            break
+    # pointer doubling: each round doubles the distance of ``up``; rows whose ``up`` is their root are done
+    start = tree.select("*", F.coalesce("parent", "turn").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"), F.col("parent").isNull().alias("at_root"))
+    start = scratch.keep(start, "tree")
+    rooted, pending = [start.where("at_root")], start.where("not at_root")
+    while pending.limit(1).count():
+        above = functools.reduce(DataFrame.unionByName, [*rooted, pending])
+        above = above.select("ckey", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("at_root").alias("at_root2"))
+        moved = pending.join(above, ["ckey", "up"]).select("ckey", "turn", "parent", "link", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("at_root2").alias("at_root"))
+        moved = scratch.keep(moved, "tree")
+        rooted.append(moved.where("at_root"))
+        pending = moved.where("not at_root")
+    tree = functools.reduce(DataFrame.unionByName, rooted)
 
     done = parsed.join(tree, ["ckey", "turn"], "left")
     return done.select(
