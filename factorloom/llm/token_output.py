@@ -38,8 +38,9 @@ from pyspark.sql.window import Window
 from factorloom.llm.common import Scratch
 
 MAGIC = b"FLRPAIR1"
-#: Buckets of the pair counts of a round, and how many bits of a 32-bit hash they leave.
-BUCKETS, SPARE_BITS = 1 << 19, 13
+#: Buckets of the pair counts of a round.
+BUCKET_BITS = 19
+BUCKETS = 1 << BUCKET_BITS
 
 
 def _byte_letters() -> dict[int, str]:
@@ -189,20 +190,23 @@ def re_pair(ids: np.ndarray, doc_size: np.ndarray, alphabet: int, min_count: int
     (another pair of that bucket gets its turn in a later round), replaces the
     most frequent ones and stops when none occurs ``min_count`` times.
     """
-    symbol, rules = ids.astype(np.uint32), []
+    symbol, rules = np.ascontiguousarray(ids, np.uint32).copy(), []
     last = np.zeros(len(symbol), bool)
     last[np.cumsum(doc_size)[doc_size > 0] - 1] = True
     owner = np.zeros(BUCKETS, np.uint64)
     for _ in range(max_rounds):
         if len(symbol) < 2 or len(rules) >= max_rules:
             break
-        left, right = symbol[:-1], symbol[1:]
-        bucket = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA6B))) >> np.uint32(SPARE_BITS)
-        pair = left.astype(np.uint64) << np.uint64(32) | right
+        # left id in the low half, right id in the high half of each adjacent pair
+        pair = np.ndarray(len(symbol) - 1, np.uint64, symbol.data, strides=(4,)).copy()
+        bucket = (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)
+        bucket = bucket.view(np.int64)  # as indices are
         owner[bucket] = pair
         own = owner[bucket] == pair
         own[last[:-1]] = False  # no pair spans two documents
-        count = np.bincount(bucket[own], minlength=BUCKETS)
+        place = np.flatnonzero(own)
+        bucket = bucket[place]
+        count = np.bincount(bucket, minlength=BUCKETS)
         chosen = np.flatnonzero(count >= min_count)
         if not len(chosen):
             break
@@ -213,14 +217,14 @@ def re_pair(ids: np.ndarray, doc_size: np.ndarray, alphabet: int, min_count: int
         new_id = np.zeros(BUCKETS, np.uint32)
         new_id[chosen] = alphabet + len(rules) + np.arange(len(chosen), dtype=np.uint32)
         fresh = new_id[bucket]
-        at = np.flatnonzero(own & (fresh > 0))
-        fresh = fresh[at]
+        hit = np.flatnonzero(fresh)
+        at, fresh = place[hit], fresh[hit]
         # pairs that overlap: of each run of neighbours take the first, third, ...
         begins = np.r_[True, np.diff(at) != 1]
         begin = np.maximum.accumulate(np.where(begins, at, 0))
         even = (at - begin) % 2 == 0
         at, fresh = at[even], fresh[even]
-        rules += [(int(owner[c]) >> 32, int(owner[c]) & 0xFFFFFFFF) for c in chosen]
+        rules += [(p & 0xFFFFFFFF, p >> 32) for p in owner[chosen].tolist()]
         symbol[at] = fresh
         keep = np.ones(len(symbol), bool)
         keep[at + 1] = False
