@@ -17,9 +17,9 @@ MAX_DRIVER_CELLS = 2_000_000
 
 
 def joint_counts(data: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a combination that occurs, with ``n``; null and missing values are the category ''."""
+    """One row a combination that occurs, with ``_n``; null and missing values are the category ''."""
     clean = data.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
-    return clean.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    return clean.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def domains(counts: DataFrame, columns: list[str]) -> dict[str, list[str]]:
@@ -43,16 +43,16 @@ class SufficientStatistics:
         self.outcomes = outcomes or domains(self.counts, self.columns)
         self.variables = [Variable(c, tuple(self.outcomes[c])) for c in self.columns]
         self.cards = {c: len(self.outcomes[c]) for c in self.columns}
-        total = self.counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
-        self.n = int(total["n"] or 0)
+        total = self.counts.agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_k")).first()
+        self.n = int(total["_n"] or 0)
         if not self.n:
             raise ValueError("no rows")
         self.code = {c: {o: i for i, o in enumerate(self.outcomes[c])} for c in self.columns}
         self.memo: dict[tuple[str, ...], np.ndarray] = {}
         self.local = None
-        if total["k"] <= max_cells:
+        if total["_k"] <= max_cells:
             rows = self.counts.collect()
-            self.local = (np.array([[self.code[c][r[c]] for c in self.columns] for r in rows]), np.array([r["n"] for r in rows], np.int64))
+            self.local = (np.array([[self.code[c][r[c]] for c in self.columns] for r in rows]), np.array([r["_n"] for r in rows], np.int64))
             self.counts.unpersist()
 
     def family(self, names: tuple[str, ...]) -> np.ndarray:
@@ -75,13 +75,18 @@ class SufficientStatistics:
         if not todo:
             return
         used = list(dict.fromkeys(c for f in todo for c in f))
-        grouped = self.counts.groupingSets([list(f) for f in todo], *used).agg(F.sum("n").alias("n"), F.grouping_id(*used).alias("g"))
-        marks = {sum(1 << (len(used) - 1 - i) for i, c in enumerate(used) if c not in f): f for f in todo}
-        for f in todo:
+        # one grouping set for each set of columns; its other orders are transposed
+        first = {frozenset(f): f for f in reversed(todo)}
+        grouped = self.counts.groupingSets([list(f) for f in first.values()], *used).agg(F.sum("_n").alias("_n"), F.grouping_id(*used).alias("_g"))
+        marks = {sum(1 << (len(used) - 1 - i) for i, c in enumerate(used) if c not in f): f for f in first.values()}
+        for f in first.values():
             self.memo[f] = np.zeros([self.cards[c] for c in f], np.int64)
         for r in grouped.toLocalIterator():
-            f = marks[r["g"]]
-            self.memo[f][tuple(self.code[c][r[c]] for c in f)] += r["n"]
+            f = marks[r["_g"]]
+            self.memo[f][tuple(self.code[c][r[c]] for c in f)] += r["_n"]
+        for f in todo:
+            own = first[frozenset(f)]
+            self.memo[f] = np.transpose(self.memo[own], [own.index(c) for c in f])
 
     def laplace_network(self, edges: list[tuple[str, str]], name: str = "learned") -> Network:
         """Tables (n + 1) / (N + card) of a structure; parents in column order."""
@@ -98,9 +103,9 @@ def laplace_cpt(data: DataFrame, child: str, parents: list[str]) -> DataFrame:
     """P(child | parents) over the full grid of observed outcomes: (parents..., child, p), unseen ones uniform."""
     counts = joint_counts(data, [*parents, child])
     grid = functools.reduce(lambda a, b: a.crossJoin(b), [counts.select(c).distinct() for c in [*parents, child]])
-    full = grid.join(counts, [*parents, child], "left").withColumn("n", F.coalesce("n", F.lit(0)) + 1)
-    total = F.sum("n").over(Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(1)))
-    return full.select(*parents, child, (F.col("n") / total).alias("p"))
+    full = grid.join(counts, [*parents, child], "left").withColumn("_n", F.coalesce("_n", F.lit(0)) + 1)
+    total = F.sum("_n").over(Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(1)))
+    return full.select(*parents, child, (F.col("_n") / total).alias("p"))
 
 
 # independence tests
@@ -113,27 +118,27 @@ def contingency(data: DataFrame, x: str, y: str, given: list[str]) -> DataFrame:
         grid = left.join(right, given)
     else:
         grid = counts.select(x).distinct().crossJoin(counts.select(y).distinct())
-    full = grid.join(counts, [x, y, *given], "left").withColumn("o", F.coalesce("n", F.lit(0)).cast("double"))
-    over = lambda *c: F.sum("o").over(Window.partitionBy(*given, *c) if given or c else Window.partitionBy(F.lit(1)))
-    return full.withColumn("e", over(x) * over(y) / over())
+    full = grid.join(counts, [x, y, *given], "left").withColumn("_o", F.coalesce("_n", F.lit(0)).cast("double"))
+    over = lambda *c: F.sum("_o").over(Window.partitionBy(*given, *c) if given or c else Window.partitionBy(F.lit(1)))
+    return full.withColumn("_e", over(x) * over(y) / over())
 
 
 def independence_test(data: DataFrame, x: str, y: str, given: list[str] | None = None, kind: str = "g2") -> DataFrame:
     """One row: statistic, df, p_value. ``kind`` is ``chi2`` or ``g2``; df counts levels seen in each stratum."""
     given = given or []
     cells = contingency(data, x, y, given)
-    o, e = F.col("o"), F.col("e")
+    o, e = F.col("_o"), F.col("_e")
     part = F.when(e > 0, (o - e) * (o - e) / e) if kind == "chi2" else F.when(o > 0, 2 * o * F.log(o / e))
-    strata = cells.groupBy(*given).agg(F.sum(F.coalesce(part, F.lit(0.0))).alias("s"), F.countDistinct(x).alias("r"), F.countDistinct(y).alias("c"))
-    total = strata.agg(F.sum("s").alias("statistic"), F.sum((F.col("r") - 1) * (F.col("c") - 1)).cast("long").alias("df"))
+    strata = cells.groupBy(*given).agg(F.sum(F.coalesce(part, F.lit(0.0))).alias("_s"), F.countDistinct(x).alias("_r"), F.countDistinct(y).alias("_c"))
+    total = strata.agg(F.sum("_s").alias("statistic"), F.sum((F.col("_r") - 1) * (F.col("_c") - 1)).cast("long").alias("df"))
     return total.withColumn("p_value", chi2_survival(F.col("statistic"), F.col("df")))
 
 
 def mutual_information(data: DataFrame, x: str, y: str, given: list[str] | None = None) -> DataFrame:
     """One row ``mi``: (conditional) mutual information in nats."""
     cells = contingency(data, x, y, given or [])
-    o = F.col("o")
-    return cells.agg((F.sum(F.when(o > 0, o * F.log(o / F.col("e"))).otherwise(0.0)) / F.sum("o")).alias("mi"))
+    o = F.col("_o")
+    return cells.agg((F.sum(F.when(o > 0, o * F.log(o / F.col("_e"))).otherwise(0.0)) / F.sum("_o")).alias("mi"))
 
 
 def ci_from_counts(counts: np.ndarray, kind: str) -> tuple[float, int]:
@@ -191,10 +196,10 @@ def family_bic(data: DataFrame, child: str, parents: list[str]) -> DataFrame:
     """One row (child, parents, score): local BIC as a Spark plan, on smoothed counts of the full grid."""
     counts = joint_counts(data, [*parents, child])
     grid = functools.reduce(lambda a, b: a.crossJoin(b), [counts.select(c).distinct() for c in [*parents, child]])
-    full = grid.join(counts, [*parents, child], "left").withColumn("c", F.coalesce("n", F.lit(0)) + 1.0)
-    total = F.sum("c").over(Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(1)))
-    fit = full.withColumn("t", total).agg(
-        F.sum(F.col("c") * F.log(F.col("c") / F.col("t"))).alias("fit"), F.sum(F.coalesce("n", F.lit(0))).alias("rows"), F.count(F.lit(1)).alias("cells"), F.countDistinct(child).alias("card")
+    full = grid.join(counts, [*parents, child], "left").withColumn("_c", F.coalesce("_n", F.lit(0)) + 1.0)
+    total = F.sum("_c").over(Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(1)))
+    fit = full.withColumn("_t", total).agg(
+        F.sum(F.col("_c") * F.log(F.col("_c") / F.col("_t"))).alias("fit"), F.sum(F.coalesce("_n", F.lit(0))).alias("rows"), F.count(F.lit(1)).alias("cells"), F.countDistinct(child).alias("card")
     )
     q = F.col("cells") / F.col("card")
     score = F.col("fit") - 0.5 * (F.col("card") - 1) * q * F.log("rows")
@@ -210,9 +215,9 @@ def network_bic(spark: SparkSession, data: DataFrame, net: Network) -> DataFrame
     for c in net.cpts.values():
         v = net.variables[c.variable]
         cells = [(*[net.variables[s].outcomes[i] for s, i in zip(c.scope, at, strict=True)], float(p)) for at, p in np.ndenumerate(c.table) for at in [at]]
-        table = spark.createDataFrame(cells, ", ".join(f"`{s}` string" for s in c.scope) + ", p double")
+        table = spark.createDataFrame(cells, ", ".join(f"`{s}` string" for s in c.scope) + ", _p double")
         counts = joint_counts(data, list(c.scope))
-        fit = counts.join(F.broadcast(table), list(c.scope)).where("p > 0").agg(F.sum(F.col("n") * F.log("p")).alias("fit"))
+        fit = counts.join(F.broadcast(table), list(c.scope)).where("_p > 0").agg(F.sum(F.col("_n") * F.log("_p")).alias("fit"))
         parts.append(fit.select(F.coalesce("fit", F.lit(0.0)).alias("fit"), F.lit((v.card - 1) * (c.table.size // v.card)).alias("params")))
     union = functools.reduce(DataFrame.unionByName, parts).agg(F.sum("fit").alias("fit"), F.sum("params").alias("params"))
     rows = data.agg(F.count(F.lit(1)).alias("rows"))
@@ -222,8 +227,8 @@ def network_bic(spark: SparkSession, data: DataFrame, net: Network) -> DataFrame
 def marginal_entropy(data: DataFrame, column: str) -> DataFrame:
     """One row ``entropy``: nats."""
     counts = joint_counts(data, [column])
-    p = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return counts.withColumn("p", p).agg((-F.sum(F.col("p") * F.log("p"))).alias("entropy"))
+    p = F.col("_n") / F.sum("_n").over(Window.partitionBy(F.lit(1)))
+    return counts.withColumn("_p", p).agg((-F.sum(F.col("_p") * F.log("_p"))).alias("entropy"))
 
 
 def binned(value: Column, thresholds: list[float], labels: list[str]) -> Column:
