@@ -216,6 +216,34 @@ def lbp_tree_posteriors(spark, sf_dir):
     return found.where("variable in ('q', 'rf')").select("variable", "outcome", F.round("p", 4).alias("p"))
 
 
+@registered(
+    f"{JOINT}, {SOFT_SQL}, x AS (SELECT disc, q, sum(p * w) AS p FROM j JOIN w USING (qd) GROUP BY ALL), y AS (SELECT disc, q, p / sum(p) OVER (PARTITION BY disc) AS p FROM x)"
+    " SELECT disc, count(*) AS n, round(max(p), 6) AS p_hi FROM b JOIN (SELECT disc, p FROM y WHERE q = 'hi') USING (disc) GROUP BY disc"
+)
+def batch_soft_posteriors(spark, sf_dir):
+    """P(q = hi | the row's disc, the same weights on qd) of every line item."""
+    weights = F.array(*[F.lit(SOFT[o]) for o in sorted(SOFT)])
+    cases = base_view(spark, sf_dir).select("disc", weights.alias("w"))
+    found = inference.infer_batch(spark, model(spark, sf_dir), cases, ["disc"], ["q"], ["disc"], soft={"qd": "w"}).where("outcome = 'hi'")
+    return found.groupBy("disc").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("p"), 6).alias("p_hi"))
+
+
+@registered("SELECT * FROM (VALUES ('yes', 'yes', 9e-1, 1e-1), ('yes', 'no', 8e-1, 2e-1), ('no', 'yes', 7e-1, 3e-1), ('no', 'no', 1e-1, 9e-1)) t(bronc, either, yes, no)")
+def table_grid(spark, sf_dir):
+    return inference.table_grid(spark, ASIA, "dysp")
+
+
+@registered(
+    f"{values_sql(ASIA)}, k(case_id, x, s) AS (VALUES (1, 'yes', NULL), (2, NULL, 'no'), (3, 'yes', 'no'))"
+    " SELECT CAST(case_id AS BIGINT) AS case_id, round(sum(CASE WHEN lung = 'yes' THEN p ELSE 0 END) / sum(p), 6) AS p FROM k, j WHERE (x IS NULL OR xray = x) AND (s IS NULL OR smoke = s) GROUP BY case_id"
+)
+def evidence_rows(spark, sf_dir):
+    """Evidence in long form, a row an observation."""
+    rows = spark.createDataFrame([(1, "xray", "yes"), (2, "smoke", "no"), (3, "xray", "yes"), (3, "smoke", "no")], "case_id long, variable string, outcome string")
+    cases = inference.wide_evidence(rows, ["xray", "smoke"])
+    return inference.infer_batch(spark, ASIA, cases, ["xray", "smoke"], ["lung"], ["case_id"]).where("outcome = 'yes'").select("case_id", F.round("p", 6).alias("p"))
+
+
 # factors
 
 PAIR = "f AS (SELECT o_orderstatus AS s, o_orderpriority AS p, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY ALL), h AS (SELECT p, sum(value) AS value FROM f GROUP BY p)"

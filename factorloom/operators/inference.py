@@ -54,7 +54,7 @@ def jeffrey_likelihood(net: Network, targets: Mapping[str, Mapping[str, float]])
     return out
 
 
-def _case_batches(shared, observed: list[str], wanted: list[str], keys: list[str], long: bool):
+def _case_batches(shared, observed: list[str], wanted: list[str], keys: list[str], long: bool, soft: Mapping[str, str] | None = None):
     def run(batches):
         net: CompiledNetwork = shared.value
         codes = {v: {o: i for i, o in enumerate(net.outcomes[v])} for v in observed}
@@ -63,14 +63,20 @@ def _case_batches(shared, observed: list[str], wanted: list[str], keys: list[str
                 continue
             # -1: not observed (null or an unknown outcome)
             seen = np.stack([batch[v].map(codes[v]).fillna(-1).astype(int).to_numpy() for v in observed], axis=1) if observed else np.zeros((len(batch), 0), int)
-            cases, which = np.unique(seen, axis=0, return_inverse=True)
-            which = which.reshape(-1)
+            if soft:  # weights differ from case to case
+                cases, which = seen, np.arange(len(batch))
+            else:
+                cases, which = np.unique(seen, axis=0, return_inverse=True)
+                which = which.reshape(-1)
             weights = {}
             for k, v in enumerate(observed):
                 w = np.ones((len(cases), net.cards[v]))
                 given = cases[:, k] >= 0
                 w[given] = np.eye(net.cards[v])[cases[given, k]]
                 weights[v] = w
+            for v, column in (soft or {}).items():
+                own = np.array([np.ones(net.cards[v]) if x is None else np.asarray(x, float) for x in batch[column]])
+                weights[v] = weights[v] * own if v in weights else own
             found, p = net.posteriors(weights, len(cases), wanted)
             if long:
                 for v in wanted:
@@ -91,21 +97,37 @@ def _case_batches(shared, observed: list[str], wanted: list[str], keys: list[str
     return run
 
 
-def infer_batch(spark: SparkSession, net: Network, cases: DataFrame, observed: list[str], wanted: list[str], keys: list[str], long: bool = True) -> DataFrame:
+def infer_batch(spark: SparkSession, net: Network, cases: DataFrame, observed: list[str], wanted: list[str], keys: list[str], long: bool = True, soft: Mapping[str, str] | None = None) -> DataFrame:
     """Posteriors for every row of ``cases``, whose columns ``observed`` hold outcomes (null: not observed).
 
     Map-only: the compiled network is broadcast (bounded by the model's tables)
     and distinct evidence within an Arrow batch is solved once.  Long form has
     a row a case, variable and outcome; wide form an array a variable and the
-    probability of the evidence.
+    probability of the evidence.  ``soft`` names columns of weights by variable
+    (an array in order of the outcomes, null for none).
     """
-    for v in (*observed, *wanted):
+    for v in (*observed, *wanted, *(soft or {})):
         net.variable(v)
     shared = spark.sparkContext.broadcast(compilations().get(net))
     kinds = ", ".join(f"`{k}` {cases.schema[k].dataType.simpleString()}" for k in keys)
     tail = POSTERIORS if long else ", ".join([*(f"`p_{v}` array<double>" for v in wanted), "p_evidence double"])
-    picked = cases.select(*dict.fromkeys([*keys, *observed]))
-    return picked.mapInPandas(_case_batches(shared, observed, wanted, keys, long), f"{kinds}, {tail}")
+    picked = cases.select(*dict.fromkeys([*keys, *observed, *(soft or {}).values()]))
+    return picked.mapInPandas(_case_batches(shared, observed, wanted, keys, long, soft), f"{kinds}, {tail}")
+
+
+def wide_evidence(rows: DataFrame, variables: list[str], case_col: str = "case_id") -> DataFrame:
+    """(case, variable, outcome) rows as one row a case with a column a variable."""
+    return rows.groupBy(case_col).pivot("variable", variables).agg(F.first("outcome", ignorenulls=True))
+
+
+def table_grid(spark: SparkSession, net: Network, name: str) -> DataFrame:
+    """P(name | parents) as a grid: a row a parent configuration, a column an outcome."""
+    cpt, v = net.cpts[name], net.variable(name)
+    rows = []
+    for at, p in np.ndenumerate(cpt.table):
+        rows.append((*[net.variables[x].outcomes[i] for x, i in zip(cpt.parents, at[:-1], strict=True)], v.outcomes[at[-1]], float(p)))
+    kinds = ", ".join(f"`{c}` string" for c in (*cpt.parents, "outcome_")) + ", p_ double"
+    return spark.createDataFrame(rows, kinds).groupBy(*cpt.parents).pivot("outcome_", list(v.outcomes)).sum("p_")
 
 
 def posterior_udf(spark: SparkSession, net: Network, observed: list[str], wanted: str):
