@@ -115,6 +115,41 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_components(spark, read_table(spark, sf_dir, "documents"))
 
 
+#: Words as the shingle operators take them, and the distinct shingles of a table's texts.
+WORDS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+
+def shingles_sql(table: str, key: str) -> str:
+    return f"""SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS s FROM (SELECT {key}, {WORDS_SQL} AS w FROM {table})"""
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (SELECT * FROM v WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 95e-2),
+r(vec_id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.vec_id),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+OP6_SQL = f"""
+WITH RECURSIVE s AS MATERIALIZED ({shingles_sql("documents", "doc_id")}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+u AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.doc_id),
+c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+"""
+
+OP8_SQL = f"""
+WITH d AS ({shingles_sql("documents", "doc_id")}), i AS ({shingles_sql("benchmark", "item_id")}), n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
+SELECT doc_id, item_id, n AS item_shingles, count(*) AS shared, count(*) / n AS containment FROM d JOIN i USING (s) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
+"""
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
@@ -131,4 +166,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": OP5_SQL, "op7_url_filter": OP7_SQL}
+    return {
+        "op2_embedding_near_dedup": OP2_SQL,
+        "op5_source_mixing": OP5_SQL,
+        "op6_ngram_jaccard_join": OP6_SQL,
+        "op7_url_filter": OP7_SQL,
+        "op8_benchmark_decontamination": OP8_SQL,
+    }
