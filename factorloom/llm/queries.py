@@ -150,6 +150,38 @@ GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
 """
 
 
+OP9_SQL = r"""
+WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER () AS mid, conv_id AS conv, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS t,
+    regexp_matches(coalesce(text, ''), '(?m)^[ \t]*>') AS hq FROM conversations),
+x AS (SELECT mid, string_split(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM m WHERE hq),
+l AS (SELECT mid, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM x),
+y AS (SELECT mid, k, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS lv, regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '') AS c FROM l),
+z AS (SELECT *, coalesce(last_value(CASE WHEN NOT (lv = 0 AND trim(c) = '') THEN lv END IGNORE NULLS) OVER (PARTITION BY mid ORDER BY k), 0) AS el FROM y),
+w AS (SELECT *, lag(el) OVER (PARTITION BY mid ORDER BY k) AS pl FROM z),
+v AS (SELECT *, sum(CASE WHEN el IS DISTINCT FROM pl THEN 1 ELSE 0 END) OVER (PARTITION BY mid ORDER BY k) AS run FROM w),
+p AS MATERIALIZED (SELECT mid, run, min(el) AS lv, string_agg(c, chr(10) ORDER BY k) AS txt FROM v GROUP BY mid, run),
+o AS (SELECT mid, trim(string_agg(regexp_replace(txt, '^\s+|\s+$', '', 'g'), chr(10) ORDER BY run)) AS own FROM p WHERE lv = 0 GROUP BY mid),
+q AS (SELECT mid, max(lv) AS levels FROM p GROUP BY mid),
+b AS MATERIALIZED (SELECT m.mid, conv, turn, role, CASE WHEN hq THEN coalesce(own, '') ELSE trim(t) END AS reply, CAST(coalesce(levels, 0) AS BIGINT) AS quote_levels
+    FROM m LEFT JOIN o USING (mid) LEFT JOIN q USING (mid)),
+src AS (SELECT mid, 'q' AS kind, txt AS s FROM p WHERE lv = 1 UNION ALL SELECT mid, 's', reply FROM b),
+cut AS (SELECT * FROM src UNION ALL SELECT mid, kind, unnest(regexp_split_to_array(s, '\n[ \t>]*\n')) FROM src UNION ALL SELECT mid, kind, unnest(string_split(s, chr(10))) FROM src),
+pc AS (SELECT DISTINCT mid, kind, lower(trim(regexp_replace(s, '[\s>]+', ' ', 'g'))) AS piece FROM cut),
+pt AS MATERIALIZED (SELECT conv, turn, kind, piece FROM pc JOIN b USING (mid) WHERE length(piece) >= 4 AND turn IS NOT NULL),
+hit AS (SELECT a.conv, a.turn, length(a.piece) AS size, max(z.turn) AS target FROM pt a JOIN pt z ON a.conv IS NOT DISTINCT FROM z.conv AND a.piece = z.piece AND z.turn < a.turn
+    WHERE a.kind = 'q' AND z.kind = 's' GROUP BY a.conv, a.turn, a.piece),
+best AS (SELECT conv, turn, arg_max(target, size * CAST(1000000000 AS BIGINT) + target) AS quote_turn FROM hit GROUP BY conv, turn),
+ts AS (SELECT DISTINCT conv, turn FROM b WHERE turn IS NOT NULL),
+tr AS MATERIALIZED (SELECT ts.conv, ts.turn, quote_turn, lag(ts.turn) OVER (PARTITION BY ts.conv ORDER BY ts.turn) AS previous
+    FROM ts LEFT JOIN best ON best.conv IS NOT DISTINCT FROM ts.conv AND best.turn = ts.turn),
+r(conv, turn, thread, depth) AS (SELECT conv, turn, turn, CAST(0 AS BIGINT) FROM tr WHERE coalesce(quote_turn, previous) IS NULL
+    UNION ALL SELECT tr.conv, tr.turn, r.thread, r.depth + 1 FROM r JOIN tr ON tr.conv IS NOT DISTINCT FROM r.conv AND coalesce(tr.quote_turn, tr.previous) = r.turn)
+SELECT b.conv AS conv_id, b.turn, b.role, r.thread, coalesce(r.depth, 0) AS depth, coalesce(tr.quote_turn, tr.previous) AS parent_turn,
+  CASE WHEN tr.quote_turn IS NOT NULL THEN 'quote' WHEN tr.previous IS NOT NULL THEN 'sequence' ELSE 'root' END AS link, quote_levels, reply
+FROM b LEFT JOIN tr ON tr.conv IS NOT DISTINCT FROM b.conv AND tr.turn = b.turn LEFT JOIN r ON r.conv IS NOT DISTINCT FROM b.conv AND r.turn = b.turn
+"""
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
@@ -172,4 +204,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_ngram_jaccard_join": OP6_SQL,
         "op7_url_filter": OP7_SQL,
         "op8_benchmark_decontamination": OP8_SQL,
+        "op9_chat_quotation_linking": OP9_SQL,
     }

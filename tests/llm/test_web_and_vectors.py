@@ -16,7 +16,7 @@ from factorloom.llm.chat import format_threads, link_conversations
 from factorloom.llm.common import Scratch
 from factorloom.llm.html_text import extract, page_texts
 from factorloom.llm.near_embeddings import near_embeddings, nearest_e8
-from factorloom.llm.queries import URL_RULES, queries
+from factorloom.llm.queries import URL_RULES, oracle_sql, queries
 from factorloom.llm.url_filter import BloomCascade, url_verdicts
 
 DATA = "/root/testdata/sf0.001"
@@ -220,6 +220,42 @@ def test_quotes_link_replies(spark):
     assert link_conversations(spark, df.limit(0)).count() == 0
 
 
+def test_quotes_equal_their_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    draw, rows = random.Random(5), list(TALK)
+    for c in range(20, 40):
+        said = []
+        for t in range(draw.randint(2, 9)):
+            text = "\n".join(draw.choice(["", "", "\n"]) + f"line {draw.randrange(6)} of text" for _ in range(draw.randint(0, 4)))
+            if said and draw.random() < 0.7:
+                mark = draw.choice(["> ", ">", " > ", "> > "])
+                text = "\n".join(mark + x for x in draw.choice(said).split("\n")) + draw.choice(["\n", "\n\n", "\r\n"]) + text
+            said.append(text)
+            rows.append((c, t, draw.choice("ab"), text))
+    got = link_conversations(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    columns = sorted(got.columns)
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({oracle_sql()['op9_chat_quotation_linking']})").fetchall()
+    mine = [tuple(r[c] for c in columns) for r in got.collect()]
+    assert sorted(mine, key=repr) == sorted(want, key=repr) and sum(r[columns.index("link")] == "quote" for r in mine) > 20
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = queries()[name](spark, DATA)
+    columns = sorted(df.columns)
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({oracle_sql()[name]})").fetchall()
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_long_conversation_across_turn_blocks(spark):
     draw, rows, texts = random.Random(3), [], []
     for t in range(1500):
