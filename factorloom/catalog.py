@@ -465,19 +465,20 @@ def pc_stable_edges(spark, sf_dir):
     return _edge_frame(spark, learning.causal_discovery(statistics_of(spark, sf_dir), "pc", test="g2").edges)
 
 
-@registered()
+# the best of all acyclic graphs over the four columns, by enumeration (tests/test_learning.py)
+@registered("SELECT * FROM (VALUES ('q', 'qd'), ('disc', 'qd')) t(src, dst)")
 def grasp_edges(spark, sf_dir):
     return _edge_frame(spark, learning.order_search(statistics_of(spark, sf_dir)).edges)
 
 
-@registered()
+@registered("SELECT * FROM (VALUES ('q', 'qd', 'directed'), ('disc', 'qd', 'directed')) t(src, dst, kind)")
 def ges_edges(spark, sf_dir):
     found = learning.causal_discovery(statistics_of(spark, sf_dir), "ges")
     rows = [(a, b, "directed") for a, b in sorted(found.details["directed"])] + [(*sorted(e), "undirected") for e in sorted(found.details["undirected"], key=sorted)]
     return spark.createDataFrame(rows, "src string, dst string, kind string")
 
 
-@registered()
+@registered("SELECT * FROM (VALUES ('q', 'qd', 'arrow'), ('qd', 'q', 'circle'), ('disc', 'qd', 'arrow'), ('qd', 'disc', 'circle')) t(a, b, mark_at_b)")
 def fci_marks(spark, sf_dir):
     marks = learning.causal_discovery(statistics_of(spark, sf_dir), "fci").details["marks"]
     return spark.createDataFrame([(a, b, m) for (a, b), m in sorted(marks.items())], "a string, b string, mark_at_b string")

@@ -1,5 +1,6 @@
 """Statistics, structure learning, continuous columns, streams, the entry module."""
 
+import itertools
 import math
 import random
 
@@ -53,6 +54,19 @@ def test_learners_recover_the_skeleton(collider, learner):
     assert graph.structural_hamming([("A", "C"), ("B", "C"), ("C", "D")], found.edges) <= 4
 
 
+@pytest.mark.parametrize(("kind", "search"), [("bic", learning.order_search), ("bdeu", learning.ges)])
+def test_searches_find_the_best_graph_of_all(spark, kind, search):
+    stats = catalog.statistics_of(spark, DATA)
+    scores = learning.FamilyScores(stats, kind)
+    pairs = list(itertools.combinations(stats.columns, 2))
+    best = -math.inf
+    for ways in itertools.product((None, 0, 1), repeat=len(pairs)):
+        edges = [(a, b) if w == 0 else (b, a) for (a, b), w in zip(pairs, ways, strict=True) if w is not None]
+        if graph.topological_order(stats.columns, edges) is not None:
+            best = max(best, scores.total({c: {a for a, b in edges if b == c} for c in stats.columns}))
+    assert search(stats).score == pytest.approx(best)
+
+
 def test_fci_marks(collider):
     found = learning.fci(statistics.SufficientStatistics(collider, ["A", "B", "C", "D"]))
     marks = found.details["marks"]
