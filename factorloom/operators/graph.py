@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.model import Network
+from factorloom.plans.lineage import cut
 
 Edge = tuple[str, str]
 
@@ -231,7 +232,8 @@ def transitive_closure_df(edges: DataFrame) -> DataFrame:
     n = known.count()
     while True:
         step = known.alias("l").join(known.alias("r"), F.col("l.dst") == F.col("r.src")).select("l.src", "r.dst", (F.col("l.distance") + F.col("r.distance")).alias("distance"))
-        grown = known.unionByName(step).groupBy("src", "dst").agg(F.min("distance").alias("distance")).checkpoint()
+        grown = known.unionByName(step).groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+        grown = cut(grown)
         m = grown.count()
         if m == n:
             return grown
