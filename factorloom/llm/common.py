@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -27,6 +28,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of text in one Arrow batch between the JVM and Python: bounds the memory of a task whatever the texts.
+BATCH_BYTES = 16 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_BYTES``, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m")
+    number, unit = now.rstrip("bkmgBKMG"), now.lstrip("0123456789-").lower().rstrip("b")
+    size = int(number or -1) << {"": 0, "k": 10, "m": 20, "g": 30}.get(unit, 0)
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def release_memory() -> None:
+    """Give what a finished task held back to the system: Python workers live on."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run):
+    """A batch function that gives memory back when its task is over."""
+
+    @functools.wraps(run)  # with its annotations, by which Spark tells the kinds of functions
+    def outer(batches):
+        yield from run(batches)
+        release_memory()
+
+    return outer
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
@@ -86,6 +126,12 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+def one_at_a_time(texts, step: int = 256):
+    """The values of an Arrow array, a few in Python's memory at a time."""
+    for at in range(0, len(texts), step):
+        yield from texts.slice(at, step).to_pylist()
+
+
 def shingle_hashes(words: list[bytes], cache: WordHashes, size: int = 5) -> np.ndarray:
     """64-bit hash of each ``size``-word shingle in order; a shorter text is one shingle, an empty one none."""
     n = len(words)

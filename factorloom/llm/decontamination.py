@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import WordHashes, mix64, shingle_hashes, words_of
+from factorloom.llm.common import WordHashes, bound_batches, releasing, shingle_hashes, words_of
 
 #: Items whose sketches are broadcast at once; a larger benchmark is searched in blocks of about this many.
 ITEMS_PER_BLOCK = 20_000
@@ -129,11 +129,12 @@ def _search_batches(shared, percent: int):
                     ["id", "item", "item_shingles", "shared"],
                 )
 
-    return run
+    return releasing(run)
 
 
 def item_blocks(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, size: int, hashes: int, seed: int):
     """Broadcast sketches of the benchmark, a bounded block of items at a time."""
+    bound_batches(spark)
     slim = items.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text")).where("text is not null")
     blocks = max(1, -(-slim.count() // ITEMS_PER_BLOCK))
     for b in range(blocks):
@@ -172,7 +173,7 @@ def _flag_arrays(shared, percent: int):
                 flag[[at + d for d, _, _ in sketches.search(texts, cache, percent)]] = True
             yield pa.array(flag)
 
-    return flags
+    return releasing(flags)
 
 
 def leaks_into(spark: SparkSession, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = 5, percent: int = 80, hashes: int = 32, seed: int = 11) -> Column:

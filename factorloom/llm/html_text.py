@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import Scratch
+from factorloom.llm.common import Scratch, bound_batches, releasing
 from factorloom.llm.url_filter import url_host_path
 
 # Element names of HTML by their role, and words that name boilerplate.
@@ -311,7 +311,7 @@ def site_style_nodes(pages: DataFrame, least_pages: int = 6, least_importance: f
     the more the more children it has.  Counts combine before their shuffle, so
     a host with a third of all pages is no hot spot.
     """
-    seen = pages.where("html is not null").select("host", "html").mapInArrow(_feature_batches, "host long, node long, kind int, feature long, sons int")
+    seen = pages.where("html is not null").select("host", "html").mapInArrow(releasing(_feature_batches), "host long, node long, kind int, feature long, sons int")
     counts = seen.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("c"), F.max("sons").alias("sons"))
     m = F.sum("c").alias("m")
     per_kind = counts.groupBy("host", "node", "kind").agg(m, F.sum(F.col("c") * F.log("c")).alias("clogc"), F.max("sons").alias("sons"))
@@ -333,10 +333,11 @@ def page_texts(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", u
     read.  Two passes over the pages; nothing is collected but, per host, the
     nodes of its template.
     """
+    bound_batches(spark)
     host, _ = url_host_path(url_col)
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(host).alias("host"), F.col(html_col).alias("html"))
     low = Scratch(spark, "style-tree").keep(site_style_nodes(slim), "low")
     kind = pages.schema[id_col].dataType.simpleString()
     rows = slim.join(low, "host", "left").select("id", "url", "html", "low")
-    out = rows.mapInArrow(_extract_batches, f"id {kind}, url string, text string")
+    out = rows.mapInArrow(releasing(_extract_batches), f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -23,19 +23,18 @@ import functools
 import itertools
 import json
 import os
-import string
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factorloom.llm.common import Scratch
+from factorloom.llm.chunks import Pieces, byte_mapped, text_slices
+from factorloom.llm.common import Scratch, bound_batches, releasing
 
 MAGIC = b"FLRPAIR1"
 #: Buckets of the pair counts of a round.
@@ -43,43 +42,11 @@ BUCKET_BITS = 19
 BUCKETS = 1 << BUCKET_BITS
 
 
-def _byte_letters() -> dict[int, str]:
-    """Byte-level alphabet: printable bytes stand for themselves, the others for U+0100 onwards."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    table = {b: chr(b) for b in own}
-    table.update((b, chr(0x100 + k)) for k, b in enumerate(x for x in range(0x100) if x not in table))
-    table[0x20] = " "  # the separator between words
-    return table
-
-
-BYTE_LETTERS = _byte_letters()
-#: ASCII punctuation; small Latin-1 letters; letters and digits that a run of punctuation never joins.
-PUNCTUATION = string.punctuation
-SMALL_WORD = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
-WORD_END = "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]$"
-
-
-def byte_mapped(text: bytes) -> str:
-    return text.decode() if text.isascii() else text.decode("latin-1").translate(BYTE_LETTERS)
-
-
-def case_folded(texts: pa.Array) -> pa.Array:
-    """A-Z lower-cased where the vocabulary's own lower-casing does the same.
-
-    Not where a special token's string may stand, nor beside combining marks,
-    which compose differently with small letters.
-    """
-    as_is = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[\u0300-\u037f]"))
-    return pc.if_else(as_is, texts, pc.ascii_lower(texts))
-
-
 class ChunkEncoder:
     """Ids of many texts at once: each distinct chunk between spaces is encoded by the library once.
 
-    The pre-tokeniser never joins across a space or a line feed, and always
-    cuts between a letter or digit and a following run of punctuation, so a
-    chunk is a head and a tail.  Heads of small Latin-1 letters are one
-    pre-token each; they go to the same model as one text, many at a time.
+    Pieces of small Latin-1 letters are one pre-token each; they go to the same
+    model as one text, many at a time.
     """
 
     def __init__(self, path: str):
@@ -105,11 +72,10 @@ class ChunkEncoder:
         same = lambda w: lean.encode(byte_mapped(w.encode()), add_special_tokens=False).ids == self.library.encode(w, add_special_tokens=False).ids
         return lean if self.final.any() and all(map(same, probe)) else None
 
-    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _encode_pieces(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids back to back, and start and size of each distinct piece."""
-        plain = pc.match_substring_regex(pieces, SMALL_WORD) if self.words is not None else pa.array(np.zeros(len(pieces), bool))
-        is_plain = plain.to_numpy(zero_copy_only=False)
-        words, rest = pieces.filter(plain).to_pylist(), pieces.filter(pc.invert(plain)).to_pylist()
+        is_plain = pieces.plain() if self.words is not None else np.zeros(len(pieces.distinct), bool)
+        words, rest = pieces.distinct.filter(pa.array(is_plain)).to_pylist(), pieces.distinct.filter(pa.array(~is_plain)).to_pylist()
         ids, sizes = [], []
         for at in range(0, len(words), 1000):
             # a plain word is one pre-token, so its last id is the first that ends a word
@@ -120,33 +86,19 @@ class ChunkEncoder:
         some = [e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)]
         sizes.append(np.fromiter(map(len, some), np.int64, len(some)))
         ids.append(np.fromiter(itertools.chain.from_iterable(some), np.uint32, int(sizes[-1].sum())))
-        size = np.empty(len(pieces), np.int64)
+        size = np.empty(len(is_plain), np.int64)
         in_order = np.concatenate(sizes)
         order = np.r_[np.flatnonzero(is_plain), np.flatnonzero(~is_plain)]
         size[order] = in_order
-        start = np.empty(len(pieces), np.int64)
+        start = np.empty(len(is_plain), np.int64)
         start[order] = np.cumsum(in_order) - in_order
         return np.concatenate(ids), start, size
 
     def encode(self, texts: pa.Array, most: int = 400_000):
         """Yield (first text, ids, ids of each text) for runs of texts of about ``most`` chunks."""
-        folded = pc.replace_substring(case_folded(pc.fill_null(texts, "")), "\n", " ")
-        lists = pc.split_pattern(folded, " ")
-        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        coded = lists.flatten().dictionary_encode()
-        which, distinct = coded.indices.to_numpy(), coded.dictionary
-        # heads and tails of the distinct chunks
-        heads = pc.ascii_rtrim(distinct, characters=PUNCTUATION)
-        cut = pc.and_(pc.match_substring_regex(heads, WORD_END), pc.invert(pc.match_substring(distinct, "<|")))
-        heads = pc.if_else(cut, heads, distinct)
-        length = pc.binary_length(heads).to_numpy()
-        tailed = np.flatnonzero(length < pc.binary_length(distinct).to_numpy())
-        tails = [c.encode()[n:].decode() for c, n in zip(distinct.take(pa.array(tailed)).to_pylist(), length[tailed].tolist(), strict=True)]
-        pieces = pa.concat_arrays([heads, pa.array(tails, pa.string())]).dictionary_encode()
-        flat, start, size = self._pieces(pieces.dictionary)
-        piece = pieces.indices.to_numpy()
-        head, tail = piece[: len(distinct)], np.full(len(distinct), -1, np.int64)
-        tail[tailed] = piece[len(distinct) :]
+        pieces = Pieces(texts)
+        bounds, which, head, tail = pieces.bounds, pieces.which, pieces.head, pieces.tail
+        flat, start, size = self._encode_pieces(pieces)
         first = 0
         while first < len(texts):
             past = max(first + 1, int(np.searchsorted(bounds, bounds[first] + most, "right")) - 1)
@@ -297,17 +249,6 @@ class Shard:
 SHARD_SCHEMA = "part int, block int, first_id long, n_ids long, doc_ids array<{id}>, payload binary"
 
 
-def _text_slices(batch: pa.RecordBatch, most: int = 16_000_000):
-    """Slices of a batch of about ``most`` bytes of text, or one text if it is longer."""
-    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
-    first = 0
-    while first < batch.num_rows:
-        before = ends[first - 1] if first else 0
-        past = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
-        yield batch.slice(first, past - first)
-        first = past
-
-
 def _write_batches(path: str, end_id: int, alphabet: int, shard_ids: int):
     def run(batches):
         encoder, part = chunk_encoder(path), TaskContext.get().partitionId()
@@ -324,7 +265,7 @@ def _write_batches(path: str, end_id: int, alphabet: int, shard_ids: int):
             return pa.RecordBatch.from_arrays(row, ["part", "block", "first_id", "n_ids", "doc_ids", "payload"])
 
         for batch in batches:
-            for piece in _text_slices(batch):
+            for piece in text_slices(batch):
                 for first, some, number in encoder.encode(piece.column(1).cast(pa.string()), max(1, shard_ids // 4)):
                     out, size = with_end_id(some, number, end_id)
                     ids.append(out)
@@ -336,7 +277,7 @@ def _write_batches(path: str, end_id: int, alphabet: int, shard_ids: int):
         if held:
             yield flush()
 
-    return run
+    return releasing(run)
 
 
 def write_token_shards(
@@ -350,6 +291,7 @@ def write_token_shards(
     alone.  ``shard_ids`` bounds a grammar's sequence (a longer document still
     is one document of one shard).
     """
+    bound_batches(spark)
     slim = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text").alias("tie")
@@ -387,7 +329,7 @@ def read_token_index(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     base = per_part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     id_type = shards.schema["doc_ids"].dataType.elementType.simpleString()
     rows = shards.join(base, "part").select("first_id", "base", "doc_ids", "payload")
-    return rows.mapInArrow(_read_batches, f"id {id_type}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(releasing(_read_batches), f"id {id_type}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
