@@ -22,63 +22,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import Scratch, WordHashes, connected_components, shingle_hashes, words_of
+from factorloom.llm.common import Scratch, WordHashes, bound_batches, connected_components, one_at_a_time, releasing, shingle_hashes, words_of
 
 BLOCK_ENTRIES = 400_000
+#: A part's keys are counted a share at a time, so that its arrays stay small beside the JVM.
+SHARES = 8
 LOW16 = np.uint64(0xFFFF)
+#: Pairs between components, by prefix row, up to which all are compared at once; beyond, leaders link some first.
+CROSS_PAIRS = 256
 
 
-def _pack(nodes: np.ndarray, sizes: np.ndarray, owner: np.ndarray, keys: np.ndarray, extra: np.ndarray | None = None) -> bytes:
-    """Nodes with set sizes, then entries (index of the node, key, and a 32-bit value if given)."""
-    head = np.array([len(nodes), len(keys), extra is not None], "<u4")
-    # 48 high bits of a key; the low 16 are the block's part
+def _pack(part: int, nodes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, keys: np.ndarray, extra: np.ndarray | None = None) -> bytes:
+    """Nodes with set sizes and numbers of entries, then the entries: 48 bits of key, a 32-bit value if given.
+
+    The low 16 bits of all keys are the part in which their frequency is counted.
+    """
+    head = np.array([len(nodes), len(keys), extra is not None, part], "<u4")
     high = (keys >> np.uint64(48)).astype("<u2")
     low = ((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-    parts = [head, nodes.astype("<u8"), sizes.astype("<u4"), owner.astype("<u4"), high, low, (keys & LOW16).astype("<u2")]
+    parts = [head, nodes.astype("<u8"), sizes.astype("<u4"), counts.astype("<u4"), high, low]
     if extra is not None:
         parts.append(extra.astype("<u4"))
     return b"".join(p.tobytes() for p in parts)
 
 
-def _unpack(block: bytes):
-    n_nodes, n, with_extra = np.frombuffer(block, "<u4", 3).tolist()
-    at = 12
-
-    def take(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(block, kind, count, at)
-        at += out.nbytes
-        return out
-
-    nodes, sizes, owner = take("<u8", n_nodes), take("<u4", n_nodes), take("<u4", n)
-    high, low, part = take("<u2", n).astype(np.uint64), take("<u4", n).astype(np.uint64), take("<u2", n).astype(np.uint64)
-    keys = high << np.uint64(48) | low << np.uint64(16) | part
-    return nodes, sizes, owner, keys, take("<u4", n) if with_extra else None
-
-
-def _read_blocks(blocks: list[bytes]):
-    """All entries of some blocks: node, size of its set, key and value of each."""
+def _read_blocks(blocks: list[bytes], share: int | None = None):
+    """Entries of some blocks (or one of ``SHARES`` shares of their keys): node, size of its set, key and value of each."""
     node, size, key, extra = [], [], [], []
     for block in blocks:
-        nodes, sizes, owner, keys, more = _unpack(block)
+        n_nodes, n, with_extra, part = np.frombuffer(block, "<u4", 4).tolist()
+        at = 16
+
+        def take(kind: str, count: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(block, kind, count, at)  # noqa: B023
+            at += out.nbytes
+            return out
+
+        nodes, sizes, counts = take("<u8", n_nodes), take("<u4", n_nodes), take("<u4", n_nodes)
+        high, low = take("<u2", n), take("<u4", n)
+        value = take("<u4", n) if with_extra else None
+        owner = np.repeat(np.arange(n_nodes, dtype=np.int32), counts)
+        if share is not None:
+            mine = low % np.uint32(SHARES) == share
+            high, low, owner = high[mine], low[mine], owner[mine]
         node.append(nodes[owner])
         size.append(sizes[owner])
-        key.append(keys)
-        if more is not None:
-            extra.append(more)
+        key.append(high.astype(np.uint64) << np.uint64(48) | low.astype(np.uint64) << np.uint64(16) | np.uint64(part))
+        if value is not None:
+            extra.append(value)
     join = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
     return join(node, np.uint64), join(size, np.uint32), join(key, np.uint64), join(extra, np.uint32)
 
 
-def _blocks(part_of: np.ndarray, parts: int, nodes, sizes, owner, keys, extra=None):
-    """(part, block) of each part that has entries."""
-    order = np.argsort(part_of.astype(np.uint16), kind="stable")
-    bounds = np.searchsorted(part_of[order], np.arange(parts + 1))
+def _blocks(to: np.ndarray, parts: int, nodes, sizes, owner, keys, extra=None, part: int | None = None):
+    """(target, block) of each target that has entries; ``owner`` is ascending; keys of part ``part``, or of the target's own."""
+    order = np.argsort(to.astype(np.uint16), kind="stable")
+    bounds = np.searchsorted(to[order], np.arange(parts + 1))
     for p in range(parts):
         at = order[bounds[p] : bounds[p + 1]]
         if len(at):
-            used, local = np.unique(owner[at], return_inverse=True)
-            yield p, _pack(nodes[used], sizes[used], local, keys[at], None if extra is None else extra[at])
+            used, counts = np.unique(owner[at], return_counts=True)
+            yield p, _pack(p if part is None else part, nodes[used], sizes[used], counts, keys[at], None if extra is None else extra[at])
 
 
 SIGNED = lambda x: np.asarray(x, np.uint64).view(np.int64)
@@ -89,7 +94,7 @@ def _shingle_batches(parts: int, size: int, min_words: int):
     import xxhash
 
     def run(batches):
-        cache = WordHashes()
+        cache = WordHashes(100_000)
         held, seen = [], 0
 
         def flush():
@@ -110,7 +115,7 @@ def _shingle_batches(parts: int, size: int, min_words: int):
         for batch in batches:
             id_type = batch.column(0).type
             n_out, node_out, mine = [], [], set()
-            for text in batch.column(1).to_pylist():
+            for text in one_at_a_time(batch.column(1)):
                 keys = np.unique(shingle_hashes(words_of(text), cache, size))
                 n_out.append(len(keys))
                 if not len(keys):
@@ -133,7 +138,29 @@ def _shingle_batches(parts: int, size: int, min_words: int):
         if held:
             yield flush()
 
-    return run
+    return releasing(run)
+
+
+def _repeated(blocks: list[bytes], share: int) -> tuple[np.ndarray, ...]:
+    """Of one share of a part's keys those that several nodes have: node, size of its set, key and frequency."""
+    node, size, key, _ = _read_blocks(blocks, share)
+    order = np.argsort(key, kind="stable")
+    same = key[order]
+    again = np.zeros(len(same), bool)
+    again[1:] = same[1:] == same[:-1]
+    again[:-1] |= again[1:]
+    order = order[again]
+    node, size, key = node[order], size[order], key[order]
+    order = np.lexsort((node, key))
+    node, size, key = node[order], size[order], key[order]
+    fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])][: len(key)]
+    node, size, key = node[fresh], size[fresh], key[fresh]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    count = np.diff(np.r_[starts, len(key)])
+    frequency = np.repeat(count, count)
+    keep = frequency > 1
+    node, size, key, frequency = node[keep], size[keep], key[keep], frequency[keep]
+    return node, size, key, frequency
 
 
 def _frequency_batches(parts: int):
@@ -142,50 +169,30 @@ def _frequency_batches(parts: int):
     def run(batches):
         blocks = []
         for batch in batches:
-            documents = pa.compute.is_null(batch.column("block"))
-            docs = batch.filter(documents)
-            if docs.num_rows:
-                yield pa.RecordBatch.from_arrays(
-                    [docs.column("id"), docs.column("n"), docs.column("node"), pa.nulls(docs.num_rows, pa.int32()), pa.nulls(docs.num_rows, pa.binary())],
-                    ["id", "n", "node", "home", "block"],
-                )
-            blocks += batch.filter(pa.compute.invert(documents)).column("block").to_pylist()
-            id_type = batch.column("id").type
+            id_type, block = batch.column("id").type, batch.column("block")
+            if block.null_count:
+                docs = batch.select(["id", "n", "node"]).filter(block.is_null())
+                rest = [pa.nulls(docs.num_rows, pa.int32()), pa.nulls(docs.num_rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*docs.columns, *rest], ["id", "n", "node", "home", "block"])
+            blocks += block.drop_null().to_pylist()
+            del batch, block
         if not blocks:
             return
-        node, size, key, _ = _read_blocks(blocks)
+        node, size, key, frequency = (np.concatenate(c) for c in zip(*(_repeated(blocks, share) for share in range(SHARES)), strict=True))
         del blocks
-        order = np.argsort(key, kind="stable")
-        same = key[order]
-        starts = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
-        run_size = np.repeat(np.diff(np.r_[starts, len(same)]), np.diff(np.r_[starts, len(same)]))
-        order = order[run_size > 1]
-        node, size, key = node[order], size[order], key[order]
-        order = np.lexsort((node, key))
-        node, size, key = node[order], size[order], key[order]
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])][: len(key)]
-        node, size, key = node[fresh], size[fresh], key[fresh]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-        count = np.diff(np.r_[starts, len(key)])
-        frequency = np.repeat(count, count)
-        keep = frequency > 1
-        node, size, key, frequency = node[keep], size[keep], key[keep], frequency[keep]
         if not len(key):
             return
+        order = np.argsort(node, kind="stable")
+        node, size, key, frequency = node[order], size[order], key[order], frequency[order]
         nodes, at, owner = np.unique(node, return_index=True, return_inverse=True)
         home = nodes[owner] % np.uint64(parts)
-        for p, block in _blocks(home, parts, nodes, size[at], owner, key, np.minimum(frequency, 0xFFFFFFFF)):
+        for p, block in _blocks(home, parts, nodes, size[at], owner, key, np.minimum(frequency, 0xFFFFFFFF), part=int(key[0] & LOW16)):
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([p], pa.int32()), pa.array([block], pa.binary())],
                 ["id", "n", "node", "home", "block"],
             )
 
-    return run
-
-
-def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
-    """ceil(threshold x n): what a set of n shingles must share with any partner."""
-    return (percent * n + 99) // 100
+    return releasing(run)
 
 
 def _prefix_batches(percent: int):
@@ -216,7 +223,7 @@ def _prefix_batches(percent: int):
         if rows:
             yield _prefix_rows(rows)
 
-    return run
+    return releasing(run)
 
 
 def _prefix_rows(rows):
@@ -244,7 +251,7 @@ def _verify_batches(percent: int):
             out = batch.filter(pa.array(linked, pa.bool_()))
             yield pa.RecordBatch.from_arrays([out.column("a"), out.column("b")], ["a", "b"])
 
-    return run
+    return releasing(run)
 
 
 def _filters(percent: int) -> str:
@@ -256,7 +263,7 @@ def _filters(percent: int) -> str:
 
 
 def shingle_components(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, parts: int | None = None, star_rounds: int = 4
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, parts: int | None = None, star_rounds: int = 3
 ) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links, itself included).
 
@@ -266,6 +273,7 @@ def shingle_components(
     their rows; an empty table gives an empty result; other columns are not
     read.  Shingles compare by 64-bit hashes.
     """
+    bound_batches(spark)
     scratch = Scratch(spark, "ngram-join")
     parts = min(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), 65_536)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -274,44 +282,50 @@ def shingle_components(
     hashed = slim.mapInArrow(_shingle_batches(parts, size, size), schema.format("part"))
     dealt = hashed.repartition(parts, "part").mapInArrow(_frequency_batches(parts), schema.format("home"))
     both = scratch.keep(dealt, "frequencies")
-    members = both.where("block is null").select("id", "n", "node")
+    members = scratch.keep(both.where("block is null").select("id", "n", "node"), "members")
     replies = both.where("block is not null").select("home", "block").repartition(parts, "home")
     nodes = scratch.keep(replies.mapInArrow(_prefix_batches(percent), "node long, n long, lone long, prefix array<long>, keys binary"), "nodes")
 
-    prefix = nodes.select("node", "n", "lone", F.posexplode("prefix").alias("at", "token")).select("node", "n", "token", (F.col("at") + F.col("lone") + 1).alias("pos"))
+    scratch.drop(both)
+    prefix = nodes.select("node", "n", "lone", F.posexplode("prefix").alias("at", "token")).select("node", "n", "token", (F.col("at") + F.col("lone") + 1).alias("pos"), (F.col("lone") / F.col("n")).cast("float").alias("share"))
     # a token that no other prefix has makes no candidates
     shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     prefix = scratch.keep(prefix.join(shared, "token"), "prefix")
     keep = _filters(percent)
-    links: DataFrame | None = None
     component: DataFrame | None = None
     for turn in range(star_rounds + 1):
-        mine = prefix.withColumn("comp", F.col("node")) if component is None else prefix.join(component, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        per_comp = mine.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-        major = per_comp.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        if turn:
-            open_ = scratch.keep(major.select("token", F.col("top.comp").alias("major"), F.col("all").alias("k"), (F.col("all") - F.col("top.k")).alias("minor")), "open")
-            work = open_.agg(F.sum(F.col("k") * F.col("minor")).alias("pairs"), F.sum("k").alias("rows")).first()
+        if component is None:
+            mine, last = prefix.withColumn("comp", F.col("node")), False
+        else:
+            named = scratch.keep(prefix.join(component, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component"), "named")
+            scratch.drop(prefix)
+            per_comp = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+            major = per_comp.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+            major = scratch.keep(major.select("token", F.col("top.comp").alias("major"), "k", (F.col("k") - F.col("top.k")).alias("minor")), "open")
+            work = major.agg(F.sum(F.col("k") * F.col("minor")).alias("pairs"), F.sum("k").alias("rows")).first()
             if not work["pairs"]:
                 break
-            mine = scratch.keep(mine.join(open_.select("token", "major"), "token"), "mixed")
-            last = turn == star_rounds or work["pairs"] <= 8 * work["rows"]
-        else:
-            last = False
+            # a token whose nodes are all of one component is done for good
+            mine = scratch.keep(named.join(major.select("token", "major"), "token"), "mixed")
+            scratch.drop(named)
+            prefix = mine.drop("comp", "major")
+            prefix.scratch_path = mine.scratch_path
+            last = turn == star_rounds or work["pairs"] <= CROSS_PAIRS * work["rows"]
         if last:
             # every pair between different components has a member outside its token's largest one
             left = mine.where("comp <> major").alias("l")
             pairs = left.join(mine.alias("m"), "token").where(f"l.comp <> m.comp and {keep}")
         else:
-            order = F.xxhash64("node", F.lit(turn))
+            # the member with the fewest shingles of its own is the likeliest origin of the others; then any
+            order = F.struct(F.col("share"), F.xxhash64("node")) if not turn else F.xxhash64("node", F.lit(turn))
             leader = mine.groupBy("token").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "comp")).alias("l")).select("token", "l.node", "l.n", "l.pos", "l.comp").alias("l")
             pairs = mine.alias("m").join(leader, "token").where(f"l.comp <> m.comp and {keep}")
         pairs = pairs.select(F.least("l.node", "m.node").alias("a"), F.greatest("l.node", "m.node").alias("b")).distinct()
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("lone").alias(f"l{x}"), F.col("keys").alias(f"k{x}"))
-        found = pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verify_batches(percent), "a long, b long")
-        found = scratch.keep(found, "links")
-        links = found if links is None else links.unionByName(found)
-        component = scratch.keep(connected_components(spark, links, scratch).select(F.col("id").alias("node"), "component"), "components")
+        found = scratch.keep(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_verify_batches(percent), "a long, b long"), "links")
+        # what is linked already stays as one edge a node
+        edges = found if component is None else found.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        component = scratch.keep(connected_components(spark, edges, scratch).select(F.col("id").alias("node"), "component"), "components")
         if last:
             break
 
