@@ -14,10 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.llm.chunks import text_slices
+from factorloom.llm.common import bound_batches, releasing
+
 LONGEST_GRAM = 5
+#: Bytes of text whose words are scored at once; the arrays have a column a language.
+SLICE_BYTES = 6_000_000
 #: Words beyond this many stop adding to the evidence behind ``score``.
 EVIDENCE_WORDS = 40
 
@@ -114,7 +120,7 @@ def fit_language_model(
     picked = train.where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)) & F.col("text").isNotNull())
     counts = (
         picked.select("lang", "text")
-        .mapInArrow(_count_batches, "lang string, n int, gram string, c long")
+        .mapInArrow(releasing(_count_batches), "lang string, n int, gram string, c long")
         .groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
         .groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
     )
@@ -130,43 +136,30 @@ def fit_language_model(
     return LanguageModel(langs, {(r["n"], r["gram"]): k for k, r in enumerate(rows)}, table.astype(np.float32))
 
 
-def _predict_batches(model, memory: int):
+def _predict_batches(model):
     def run(batches):
-        known = model.value
-        letters, width = _letters(), len(known.langs)
-        empty = np.zeros((0, width), np.float32)
-        index: dict[bytes, int] = {}
-        rows, words = empty, np.zeros(0, np.int64)
-        word_index: dict[str, int] = {}
-        word_rows = empty
+        known, letters = model.value, _letters()
+        width = len(known.langs)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                piece = batch.slice(at, 1000)
+            for piece in text_slices(batch, column=2, most=SLICE_BYTES):
+                texts = pc.fill_null(piece.column(2).cast(pa.string()), "")
                 # white space never stands inside a word, so a distinct chunk is scored once
-                chunks = [t.split() if t else [] for t in piece.column(2).to_pylist()]
-                if len(index) > memory:
-                    index, rows, words, word_index, word_rows = {}, empty, words[:0], {}, empty
-                new: set[bytes] = set()
-                for c in chunks:
-                    new.update(c)
-                new.difference_update(index)
-                fresh = list(new)
-                inside = [[c.decode().lower()] if c.isalpha() else letters(c.decode("utf-8", "replace").lower()) for c in fresh]
-                unseen = list({w for ws in inside for w in ws}.difference(word_index))
-                word_index.update(zip(unseen, range(len(word_index), len(word_index) + len(unseen)), strict=True))
-                word_rows = np.concatenate([word_rows, known.word_vectors(unseen)])
-                sums = segment_sums(word_rows, [[word_index[w] for w in ws] for ws in inside])
-                index.update(zip(fresh, range(len(index), len(index) + len(fresh)), strict=True))
-                rows, words = np.concatenate([rows, sums]), np.concatenate([words, np.fromiter(map(len, inside), np.int64, len(inside))])
-                size = np.fromiter(map(len, chunks), np.int64, len(chunks))
-                which = np.fromiter(map(index.__getitem__, itertools.chain.from_iterable(chunks)), np.int64, int(size.sum()))
-                total, n = np.zeros((len(chunks), width)), np.zeros(len(chunks), np.int64)
-                if len(which):
-                    full = np.flatnonzero(size)
-                    starts = (np.cumsum(size) - size)[full]
-                    total[full] = np.add.reduceat(rows[which].astype(np.float64), starts, axis=0)
-                    n[full] = np.add.reduceat(words[which], starts)
-                pred, score = ["und"] * len(chunks), np.zeros(len(chunks))
+                lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+                bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                coded = lists.flatten().dictionary_encode()
+                chunks = coded.dictionary.to_pylist()
+                inside = [[c.lower()] if c.isalpha() else letters(c.lower()) for c in chunks]
+                seen = dict.fromkeys(itertools.chain.from_iterable(inside))
+                place = dict(zip(seen, range(len(seen)), strict=True))
+                sums = segment_sums(known.word_vectors(list(seen)), [[place[w] for w in ws] for ws in inside])
+                words = np.fromiter(map(len, inside), np.int64, len(inside))
+                which, size = coded.indices.to_numpy(), np.diff(bounds)
+                total, n = np.zeros((len(size), width)), np.zeros(len(size), np.int64)
+                full = np.flatnonzero(size)
+                if len(full):
+                    total[full] = np.add.reduceat(sums[which].astype(np.float64), bounds[:-1][full], axis=0) if width else 0
+                    n[full] = np.add.reduceat(words[which], bounds[:-1][full])
+                pred, score = ["und"] * len(size), np.zeros(len(size))
                 if width:
                     mean = total / np.maximum(n, 1)[:, None] * np.minimum(n, EVIDENCE_WORDS)[:, None]
                     odds = np.exp(mean - mean.max(axis=1, keepdims=True))
@@ -174,12 +167,12 @@ def _predict_batches(model, memory: int):
                     best = odds.argmax(axis=1)
                     pred = [known.langs[b] if k else "und" for b, k in zip(best.tolist(), n.tolist(), strict=True)]
                     score = np.where(n > 0, odds[np.arange(len(best)), best], 0.0)
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(pred), pa.array(score, pa.float64())], ["id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["id", "held_out", "lang_pred", "score"])
 
-    return run
+    return releasing(run)
 
 
-def predict_language(spark: SparkSession, docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", memory: int = 200_000) -> DataFrame:
+def predict_language(spark: SparkSession, docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, lang_pred, score.
 
     Map-only over whole texts; the model (bounded by its fit parameters) is the
@@ -189,15 +182,17 @@ def predict_language(spark: SparkSession, docs: DataFrame, model: LanguageModel,
     ``EVIDENCE_WORDS`` average words: a text of which the model knows nothing
     scores one over the number of languages.
     """
+    bound_batches(spark)
     out_id = docs.schema[id_col].dataType.simpleString()
     shared = spark.sparkContext.broadcast(model)
     slim = docs.select(F.col(id_col).alias("id"), is_held_out(id_col).alias("held_out"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    return slim.mapInArrow(_predict_batches(shared, memory), f"id {out_id}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(_predict_batches(shared), f"id {out_id}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def language_column(spark: SparkSession, model: LanguageModel, text_col: str = "text", memory: int = 200_000):
+def language_column(spark: SparkSession, model: LanguageModel, text_col: str = "text"):
     """Column struct<lang_pred, score> of a text column, for filters that keep whole rows in place."""
-    predict = _predict_batches(spark.sparkContext.broadcast(model), memory)
+    bound_batches(spark)
+    predict = _predict_batches(spark.sparkContext.broadcast(model))
     return F.arrow_udf(_struct_arrays(predict), "lang_pred string, score double")(F.encode(F.col(text_col), "UTF-8"))
 
 
