@@ -4,14 +4,18 @@ Pages of one host are merged into one tree: a node is known by its parent, the
 parent's style (its sequence of child tags) and its place in it.  For each node
 of a host, the entropy of its styles over the host's pages (presentation) and
 of its contents give its importance; branches that a site repeats everywhere
-have almost none and are removed from each of its pages.  What is left is the
-article: its container, without elements that are navigation, forms, adverts,
-notices or comments by their tag, role or name.
+have almost none and are removed from each of its pages.  A branch goes only
+where the page has the content that the site repeats, and inside the article
+only if the articles around that content differ: near copies of one article
+are no template.  What is left is the article: its container, without elements
+that are navigation, forms, adverts, notices or comments by their tag, role or
+name.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 
 import pyarrow as pa
@@ -37,6 +41,7 @@ BOILERPLATE = frozenset(
 HEADERS = frozenset("header headers".split())
 CONTENT = frozenset("article articlebody content post entry story main maincontent body text".split())
 CONTAINERS = frozenset("html body main article".split())
+TEASERS = frozenset("teaser teasers related recommended recommendations promo promos promotion sponsored".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -51,10 +56,10 @@ NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "key", "parent", "tag", "words")
+    __slots__ = ("attrs", "children", "content", "key", "parent", "tag", "words")
 
     def __init__(self, tag: str, raw: str, parent: Node | None):
-        self.tag, self.parent, self.children, self.key = tag, parent, [], 0
+        self.tag, self.parent, self.children, self.key, self.content = tag, parent, [], 0, 0
         self.attrs, self.words = {}, frozenset()
         if raw and "=" in raw or "hidden" in raw:
             self.attrs = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(raw)}
@@ -147,23 +152,20 @@ def preorder(root: Node):
         stack += [c for c in reversed(node.children) if not isinstance(c, str)]
 
 
-def prune(root: Node, low: frozenset[int] = frozenset()) -> None:
-    """Remove boilerplate elements and, of a site's repeated branches, those in ``low``."""
+def prune(root: Node, goes=is_boilerplate) -> None:
+    """Remove the elements that ``goes`` names, boilerplate by default."""
     stack = [root]
     while stack:
         node = stack.pop()
-        kept = []
-        for c in node.children:
-            if isinstance(c, str):
-                kept.append(c)
-            elif not is_boilerplate(c) and not (c.key in low and c.tag not in CONTAINERS):
-                kept.append(c)
-                stack.append(c)
-        node.children = kept
+        node.children = [c for c in node.children if isinstance(c, str) or not goes(c)]
+        stack += [c for c in node.children if not isinstance(c, str)]
 
 
-def blocks_of(root: Node) -> list[str]:
-    """Text of each block in page order: references decoded, white space single, no empty block."""
+def blocks_of(root: Node, spans: dict[int, tuple[int, int]] | None = None) -> list[str]:
+    """Text of each block in page order: references decoded, white space single, no empty block.
+
+    ``spans`` receives, by ``id``, which blocks each element that is not inline holds.
+    """
     out: list[str] = []
     line: list[str] = []
 
@@ -177,8 +179,10 @@ def blocks_of(root: Node) -> list[str]:
     stack: list = [root]
     while stack:
         x = stack.pop()
-        if x is None:
+        if isinstance(x, tuple):
             close()
+            if spans is not None:
+                spans[x[0]] = (x[1], len(out))
         elif isinstance(x, str):
             line.append(x)
         elif x.tag in INLINE:
@@ -187,7 +191,7 @@ def blocks_of(root: Node) -> list[str]:
             stack += reversed(x.children)
         else:
             close()
-            stack.append(None)
+            stack.append((id(x), len(out)))
             stack += reversed(x.children)
     close()
     return out
@@ -218,16 +222,26 @@ def link_heavy(node: Node) -> bool:
     return links > 1 and linked > 0.6 * size
 
 
-def main_blocks(root: Node) -> list[str]:
-    """Blocks of the article in a pruned tree."""
+def containers(root: Node) -> list[Node]:
+    """All outermost containers of the article in a pruned tree, without teasers beside them; none if none is named."""
+    teasers: list[Node] = []
     for fits in (
         lambda n: n.tag == "article",
         lambda n: n.tag == "main" or n.attrs.get("role", "").lower() == "main",
         lambda n: n.tag not in INLINE and bool(n.words & CONTENT),
     ):
-        found = [(n, text_size(n)) for n in outermost(root, fits)]
-        if found and (most := max(s for _, s in found)):
-            return [b for n, s in found if s >= 0.3 * most for b in blocks_of(n)]
+        sized = [(n, text_size(n)) for n in outermost(root, fits)]
+        found = [n for n, size in sized if size and size >= 0.3 * max(k for _, k in sized)]
+        if own := [n for n in found if not n.words & TEASERS]:
+            return own
+        teasers = teasers or found
+    return teasers
+
+
+def main_blocks(root: Node) -> list[str]:
+    """Blocks of the article in a pruned tree."""
+    if found := containers(root):
+        return [b for n in found for b in blocks_of(n)]
     # no container is named: all of the page but blocks that are mostly links
     stack = [root]
     while stack:
@@ -237,8 +251,11 @@ def main_blocks(root: Node) -> list[str]:
     return blocks_of(root)
 
 
-def name_nodes(root: Node) -> list[tuple[int, int, int, int]]:
-    """Give every element its place in the style tree; (key, style, content, children) of those with text."""
+def name_nodes(root: Node) -> tuple[int, list[tuple[Node, int, int]]]:
+    """Give every element its place in the style tree and its content; the template, and (element, style, children) of those with text.
+
+    The template is the style of the root: pages of different templates share no other node.
+    """
     from xxhash import xxh3_64_intdigest as digest
 
     order = list(preorder(root))
@@ -259,35 +276,98 @@ def name_nodes(root: Node) -> list[tuple[int, int, int, int]]:
         content[id(node)] = digest("\x00".join(map(str, parts)).encode("utf-8", "replace")) if parts else 0
         if parts and node.parent is not None and node.tag not in INLINE:
             s, n = style[id(node)]
-            rows.append((node.key, s >> 1, content[id(node)] >> 1, n))
-    return rows
+            node.content = content[id(node)] >> 1
+            rows.append((node, s >> 1, n))
+    return style[id(root)][0] >> 1, rows
+
+
+def article_bits(root: Node) -> dict[int, tuple[int, int]]:
+    """Of each element in the article of a pruned tree, by ``id``: one of 64 bits each for the two longest other blocks of the article.
+
+    Over the pages that have one content there, the number of bits tells
+    different articles around it from near copies of one.  A page without a
+    named container is all article.
+    """
+    from xxhash import xxh3_64_intdigest as digest
+
+    spans: dict[int, tuple[int, int]] = {}
+    blocks: list[str] = []
+    for n in containers(root) or [root]:
+        mine: dict[int, tuple[int, int]] = {}
+        at = len(blocks)
+        blocks += blocks_of(n, mine)
+        spans.update((k, (i + at, j + at)) for k, (i, j) in mine.items())
+    ranked = sorted(set(blocks), key=lambda b: (-len(b), b))
+    bit = lambda b: 1 << digest(b.encode("utf-8", "replace")) % 64
+    out = {}
+    for k, (i, j) in spans.items():
+        inside = set(blocks[i:j])
+        others = [*itertools.islice((b for b in ranked if b not in inside), 2), "", ""]
+        out[k] = (bit(others[0]), bit(others[1]))
+    return out
+
+
+def page_features(page: str) -> tuple[int, list[tuple[int, int, int, int, int, int]]]:
+    """Template, and of each element that is not boilerplate (key, style, content, children, two article bits or all bits)."""
+    root = parse(page)
+    template, rows = name_nodes(root)
+    prune(root)
+    left = {id(n) for n in preorder(root)}
+    bits = article_bits(root)
+    every = (1 << 64) - 1
+    return template, [(n.key, s, n.content, k, *bits.get(id(n), (every, every))) for n, s, k in rows if id(n) in left]
 
 
 def _feature_batches(batches):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
     for batch in batches:
-        host, key, kind, feature, sons = [], [], [], [], []
+        rows = []
         for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for k, s, c, n in name_nodes(parse(page)):
-                host += (h, h)
-                key += (k, k)
-                kind += (0, 1)
-                feature += (s, c)
-                sons += (n, n)
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((host, key, kind, feature, sons), kinds, strict=True)], ["host", "node", "kind", "feature", "sons"])
+            template, nodes = page_features(page)
+            for k, s, c, n, a, b in nodes:
+                rows += ((h, template, k, 0, s, n, -1, -1), (h, template, k, 1, c, n, signed(a), signed(b)))
+        names = ["host", "template", "node", "kind", "feature", "sons", "bits_a", "bits_b"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
+def _template_batches(batches):
+    """Adds the template of each page."""
+    for batch in batches:
+        out = [None if page is None else name_nodes(parse(page))[0] for page in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "template"])
 
 
 def extract(page: str, low: frozenset[int] = frozenset()) -> str:
-    """Main text of one page, given the unimportant nodes of its site."""
+    """Main text of one page, given the unimportant nodes of its template: ``node ^ content`` where the site repeats that content, else ``node``."""
     root = parse(page)
-    if low:
-        name_nodes(root)
-        prune(root, low)
-        if blocks := main_blocks(root):
-            return "\n".join(blocks)
-        root = parse(page)  # a site of mirrored articles: everything repeats, so repetition says nothing
+    if not low:
+        prune(root)
+        return "\n".join(main_blocks(root))
+    name_nodes(root)
     prune(root)
-    return "\n".join(main_blocks(root))
+    chosen = containers(root)
+    held, inside = set(), set()  # containers with all around them, elements of the article
+    for n in chosen:
+        inside.update(map(id, preorder(n)))
+        while n is not None and id(n) not in held:
+            held.add(id(n))
+            n = n.parent
+    size = sum(map(text_size, chosen))
+
+    def goes(c: Node) -> bool:
+        if c.tag in CONTAINERS or id(c) in held or not c.content:
+            return False
+        # a place whose content varies goes only as a list of links outside the article
+        return c.key ^ c.content in low or (c.key in low and bool(chosen) and id(c) not in inside and link_heavy(c))
+
+    prune(root, goes)
+    blocks = main_blocks(root)
+    if blocks and 2 * sum(map(len, blocks)) >= size:
+        return "\n".join(blocks)
+    # most of the article repeats on its site: copies, about which repetition says nothing
+    return extract(page)
 
 
 def _extract_batches(batches):
@@ -303,25 +383,34 @@ def _extract_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
 
 
-def site_style_nodes(pages: DataFrame, least_pages: int = 6, least_importance: float = 0.2, gamma: float = 0.9) -> DataFrame:
-    """Unimportant nodes per host: (host, low array<long>) from rows (host, html).
+def site_style_nodes(pages: DataFrame, scratch: Scratch, least_pages: int = 6, least_importance: float = 0.2, gamma: float = 0.9, least_share: float = 0.05) -> DataFrame:
+    """Unimportant nodes per host and template: (host, template, low array<long>) from rows (host, html).
 
     Importance mixes the entropy of a node's styles and of its contents over
     the host's pages (logarithms to the base of the number of pages), the first
-    the more the more children it has.  Counts combine before their shuffle, so
-    a host with a third of all pages is no hot spot.
+    the more the more children it has.  A content of such a node is listed if
+    ``least_pages`` pages and ``least_share`` of the node's pages have it and,
+    in an article, if about as many different articles do.  Counts combine
+    before their shuffle, so a host with a third of all pages is no hot spot,
+    and a list is bounded by the nodes of its template.
     """
-    seen = pages.where("html is not null").select("host", "html").mapInArrow(releasing(_feature_batches), "host long, node long, kind int, feature long, sons int")
-    counts = seen.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("c"), F.max("sons").alias("sons"))
+    names = "host long, template long, node long, kind int, feature long, sons int, bits_a long, bits_b long"
+    seen = pages.where("html is not null").select("host", "html").mapInArrow(releasing(_feature_batches), names)
+    at = ["host", "template", "node"]
+    counts = seen.groupBy(*at, "kind", "feature").agg(F.count(F.lit(1)).alias("c"), F.max("sons").alias("sons"), F.bit_or("bits_a").alias("bits_a"), F.bit_or("bits_b").alias("bits_b"))
+    counts = scratch.keep(counts, "counts")
     m = F.sum("c").alias("m")
-    per_kind = counts.groupBy("host", "node", "kind").agg(m, F.sum(F.col("c") * F.log("c")).alias("clogc"), F.max("sons").alias("sons"))
+    per_kind = counts.groupBy(*at, "kind").agg(m, F.sum(F.col("c") * F.log("c")).alias("clogc"), F.max("sons").alias("sons"))
     entropy = (F.log("m") - F.col("clogc") / F.col("m")) / F.log("m")
     scored = per_kind.where(F.col("m") >= least_pages).withColumn("h", entropy)
     pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("h")))
-    nodes = scored.groupBy("host", "node").agg(pick(0).alias("style"), pick(1).alias("content"), F.max("sons").alias("sons"))
+    nodes = scored.groupBy(*at).agg(pick(0).alias("style"), pick(1).alias("content"), F.max("sons").alias("sons"), F.max("m").alias("m"))
     keep = F.pow(F.lit(gamma), F.col("sons"))
-    low = nodes.where((1 - keep) * F.col("style") + keep * F.col("content") < least_importance)
-    return low.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low"))
+    low = nodes.where((1 - keep) * F.col("style") + keep * F.col("content") < least_importance).select(*at, "m")
+    differs = (F.bit_count("bits_a") >= least_pages) & (F.bit_count("bits_b") >= least_pages)
+    repeated = counts.where((F.col("kind") == 1) & (F.col("c") >= least_pages) & differs).join(low, at).where(F.col("c") >= least_share * F.col("m"))
+    marks = repeated.select("host", "template", F.col("node").bitwiseXOR(F.col("feature")).alias("mark")).unionByName(low.select("host", "template", F.col("node").alias("mark")))
+    return marks.groupBy("host", "template").agg(F.sort_array(F.collect_list("mark")).alias("low"))
 
 
 def page_texts(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -330,14 +419,16 @@ def page_texts(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", u
     A null or empty page, or one without an article, gives an empty text.  A
     null url belongs to the host with the empty name.  Repeated pages keep
     their rows; an empty table gives an empty result; other columns are not
-    read.  Two passes over the pages; nothing is collected but, per host, the
-    nodes of its template.
+    read.  Three passes over the pages; nothing is collected but, per host and
+    template, its nodes.
     """
     bound_batches(spark)
     host, _ = url_host_path(url_col)
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(host).alias("host"), F.col(html_col).alias("html"))
-    low = Scratch(spark, "style-tree").keep(site_style_nodes(slim), "low")
+    scratch = Scratch(spark, "style-tree")
+    low = scratch.keep(site_style_nodes(slim, scratch), "low")
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = slim.join(low, "host", "left").select("id", "url", "html", "low")
+    named = slim.mapInArrow(releasing(_template_batches), f"id {kind}, url string, host long, html string, template long")
+    rows = named.join(low, ["host", "template"], "left").select("id", "url", "html", "low")
     out = rows.mapInArrow(releasing(_extract_batches), f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -79,6 +79,29 @@ def test_site_template_is_removed_by_entropy(spark):
     assert page_texts(spark, pages.limit(0)).count() == 0
 
 
+def test_near_copies_of_an_article_are_no_template(spark):
+    def page(paragraphs, title="One title"):
+        return f"<body><div class=wrap><article><h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article></div></body>"
+
+    shared = [f"Paragraph {k} of the copied article " + "abcdefgh"[k] * (20 + 9 * k) for k in range(4)]
+    rows, want = [], {}
+
+    def add(host, paragraphs, title="One title"):
+        rows.append((len(rows), f"http://{host}/{len(rows)}", page(paragraphs, title)))
+        want[len(rows) - 1] = "\n".join([title, *paragraphs])
+
+    for k in range(6):  # six near copies, each time another last paragraph; on other hosts a long one, or another place
+        add("a.example.org", [*shared, f"Changed {k}"])
+        add("b.example.org", [*shared, f"Changed {k}" + " long words" * 30])
+        add("c.example.org", [f"Changed {k}" if j == k % 4 else p for j, p in enumerate(shared)])
+    for k in range(95):  # a hot article says nothing about other pages of the host
+        add("hot.example.org", [*shared, f"Changed {k}"])
+    for k in range(5):
+        add("hot.example.org", [f"Quite another text {k} at {j}" for j in range(5)], f"Title {k}")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in page_texts(spark, pages).collect()} == want
+
+
 # urls
 
 
