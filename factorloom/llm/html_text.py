@@ -230,8 +230,7 @@ def containers(root: Node) -> list[Node]:
         lambda n: n.tag == "main" or n.attrs.get("role", "").lower() == "main",
         lambda n: n.tag not in INLINE and bool(n.words & CONTENT),
     ):
-        sized = [(n, text_size(n)) for n in outermost(root, fits)]
-        found = [n for n, size in sized if size and size >= 0.3 * max(k for _, k in sized)]
+        found = [n for n in outermost(root, fits) if blocks_of(n)]
         if own := [n for n in found if not n.words & TEASERS]:
             return own
         teasers = teasers or found

@@ -79,6 +79,18 @@ def test_site_template_is_removed_by_entropy(spark):
     assert page_texts(spark, pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "block",
+    ["<article>{}</article>", "<main>{}</main>", "<div class=entry-content>{}</div>"],
+)
+def test_short_blocks_of_an_article_stay(block):
+    parts = ["A lead.", "The long body of the text. " * 20, "The end."]
+    page = "<div>outside</div>" + "<hr>".join(block.format(f"<p>{p}</p>") for p in parts)
+    assert extract(page) == "\n".join(p.strip() for p in parts)
+    beside = "<article class=related-post><p>Read this too</p></article><article class=comment><p>nice</p></article>"
+    assert extract(page + beside) == extract(page)
+
+
 def test_near_copies_of_an_article_are_no_template(spark):
     def page(paragraphs, title="One title"):
         return f"<body><div class=wrap><article><h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article></div></body>"
