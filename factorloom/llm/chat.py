@@ -5,7 +5,9 @@ Lines are grouped into passages of one quote level (the number of leading
 A quoted passage points to the latest earlier message of its conversation whose
 own words (level 0) have that hash; a message replies to the message that its
 longest level-1 match points to, else to the message before it.  The reply text
-is the message without its quoted lines.
+is the message without its quoted lines.  With ``every_level``, passages of all
+levels point to their originals, all those links are returned, and the
+shallowest gives the parent.
 """
 
 from __future__ import annotations
@@ -79,8 +81,44 @@ def _pieces(passage_text: Column) -> Column:
     return F.filter(F.array_distinct(pieces), lambda s: F.length(s) >= LEAST_PIECE)
 
 
+def _placed_pieces(passage_text: Column) -> Column:
+    """Passage, paragraphs and lines as (para, line, piece), -1 for a whole; a whole passage has any length, the others are not the shortest."""
+    piece = lambda para, line, text: F.struct(para.cast("int").alias("para"), line.cast("int").alias("line"), normalised(text).alias("piece"))
+    whole = F.array(piece(F.lit(-1), F.lit(-1), passage_text))
+    paragraphs = F.split(passage_text, r"\n[ \t>]*\n")
+    parts = F.transform(paragraphs, lambda s, i: piece(i, F.lit(-1), s))
+    lines = F.flatten(F.transform(paragraphs, lambda s, i: F.transform(F.split(s, "\n"), lambda x, j: piece(i, j, x))))
+    size = lambda x: F.length(x["piece"])
+    return F.concat(F.filter(whole, lambda x: size(x) > 0), F.filter(F.concat(parts, lines), lambda x: size(x) >= LEAST_PIECE))
+
+
+def quotation_links(placed: DataFrame) -> DataFrame:
+    """Rows (ckey, turn, mid, level, target, size): every quoted passage of every level with the message it comes from.
+
+    ``placed`` has ckey, turn, mid, reply, passages.  A piece points to the
+    latest earlier message that says it.  Of a passage, a paragraph counts
+    where the whole matches nothing, and a line where its paragraph does not
+    either.  A passage of any length matches a whole message.
+    """
+    quoted = placed.select("ckey", "turn", "mid", F.posexplode(F.filter("passages", lambda p: p["level"] > 0)).alias("pos", "p"))
+    quoted = quoted.select("ckey", "turn", "mid", "pos", F.col("p.level").alias("level"), F.explode(_placed_pieces(F.col("p.text"))).alias("x"))
+    quoted = quoted.select("ckey", F.xxhash64("x.piece").alias("h"), "turn", "mid", "pos", "level", "x.para", "x.line", F.length("x.piece").alias("size")).distinct()
+    asked = quoted.select("ckey", "h", "turn").distinct().withColumn("said", F.lit(None).cast("long"))
+    said = placed.select("ckey", "turn", F.explode(_placed_pieces(F.col("reply"))).alias("x"))
+    said = said.select("ckey", F.xxhash64("x.piece").alias("h"), "turn", F.col("turn").alias("said")).distinct()
+    said = said.join(asked.select("ckey", "h").distinct(), ["ckey", "h"], "left_semi")
+    # one event a piece and turn, so that a line that all quote is no hot spot
+    events = asked.unionByName(said).groupBy("ckey", "h", "turn").agg(F.max("said").alias("said"))
+    found = latest_before(events, ["ckey", "h"], "turn", "said", "target").where("target is not null").select("ckey", "h", "turn", "target")
+    matched = quoted.join(found, ["ckey", "h", "turn"])
+    passage = Window.partitionBy("ckey", "turn", "mid", "pos")
+    matched = matched.withColumn("whole", F.max(F.col("para") < 0).over(passage))
+    matched = matched.withColumn("paragraph", F.max(F.col("line") < 0).over(Window.partitionBy("ckey", "turn", "mid", "pos", "para")))
+    return matched.where("para < 0 or (not whole and (line < 0 or not paragraph))").select("ckey", "turn", "mid", "level", "target", "size")
+
+
 def link_conversations(
-    spark: SparkSession, messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+    spark: SparkSession, messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", every_level: bool = False
 ) -> DataFrame:
     """Per message: conversation, turn, role, thread, depth, parent_turn, link, quote_levels, reply.
 
@@ -92,24 +130,36 @@ def link_conversations(
     own that nothing replies to.  Messages that repeat a turn keep their rows
     and share parents; a conversation may hold any share of the rows, since
     windows see bounded blocks of turns.  Other columns are not read.
+
+    ``every_level`` adds ``links``, all of a message's quotations as (level,
+    turn, size) with the shallowest and longest first; the parent is the first
+    of its turn's.
     """
     scratch = Scratch(spark, "chat")
     base = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     # a null conversation is a conversation of its own
     base = base.withColumn("ckey", F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.lit("-")))
-    parsed = scratch.keep(parse_quotes(base).select("conv", "ckey", "turn", "role", "reply", "passages"), "parsed")
+    parsed = parse_quotes(base).select("conv", "ckey", "turn", "role", "reply", "passages")
+    if every_level:
+        parsed = parsed.withColumn("mid", F.xxhash64("passages"))
+    parsed = scratch.keep(parsed, "parsed")
 
-    # quoted pieces of level 1 (raw text of deeper levels is someone else's quotation)
     placed = parsed.where("turn is not null")
-    quoted = placed.select("ckey", "turn", F.explode(F.filter("passages", lambda p: p["level"] == 1)).alias("p"))
-    quoted = quoted.select("ckey", "turn", F.explode(_pieces(F.col("p.text"))).alias("piece"))
-    quoted = quoted.select("ckey", "turn", F.length("piece").alias("size"), F.xxhash64("piece").alias("h"), F.lit(None).cast("long").alias("said"))
-    wanted = quoted.select("ckey", "h").distinct()
-    said = placed.select("ckey", "turn", F.explode(_pieces(F.col("reply"))).alias("piece"))
-    said = said.select("ckey", "turn", F.lit(None).cast("int").alias("size"), F.xxhash64("piece").alias("h"), F.col("turn").alias("said")).distinct()
-    said = said.join(wanted, ["ckey", "h"], "left_semi").select("ckey", "turn", "size", "h", "said")
-    matched = latest_before(quoted.unionByName(said), ["ckey", "h"], "turn", "said", "target").where("size is not null and target is not null")
-    by_quote = matched.groupBy("ckey", "turn").agg(F.max(F.struct("size", "target")).alias("best")).select("ckey", "turn", F.col("best.target").alias("quote_turn"))
+    if every_level:
+        every = scratch.keep(quotation_links(placed), "links")
+        best = F.max(F.struct((-F.col("level")).alias("level"), "size", "target")).alias("best")
+        by_quote = every.groupBy("ckey", "turn").agg(best).select("ckey", "turn", F.col("best.target").alias("quote_turn"))
+    else:
+        # quoted pieces of level 1 (raw text of deeper levels is someone else's quotation)
+        quoted = placed.select("ckey", "turn", F.explode(F.filter("passages", lambda p: p["level"] == 1)).alias("p"))
+        quoted = quoted.select("ckey", "turn", F.explode(_pieces(F.col("p.text"))).alias("piece"))
+        quoted = quoted.select("ckey", "turn", F.length("piece").alias("size"), F.xxhash64("piece").alias("h"), F.lit(None).cast("long").alias("said"))
+        wanted = quoted.select("ckey", "h").distinct()
+        said = placed.select("ckey", "turn", F.explode(_pieces(F.col("reply"))).alias("piece"))
+        said = said.select("ckey", "turn", F.lit(None).cast("int").alias("size"), F.xxhash64("piece").alias("h"), F.col("turn").alias("said")).distinct()
+        said = said.join(wanted, ["ckey", "h"], "left_semi").select("ckey", "turn", "size", "h", "said")
+        matched = latest_before(quoted.unionByName(said), ["ckey", "h"], "turn", "said", "target").where("size is not null and target is not null")
+        by_quote = matched.groupBy("ckey", "turn").agg(F.max(F.struct("size", "target")).alias("best")).select("ckey", "turn", F.col("best.target").alias("quote_turn"))
 
     # one row a turn: its parent by quotation, else the turn before
     turns = placed.select("ckey", "turn").distinct().withColumn("said", F.col("turn"))
@@ -132,10 +182,17 @@ def link_conversations(
     tree = functools.reduce(DataFrame.unionByName, rooted)
 
     done = parsed.join(tree, ["ckey", "turn"], "left")
+    links = []
+    if every_level:
+        each = every.groupBy("ckey", "turn", "mid", "level", "target").agg(F.max("size").alias("size"))
+        each = each.groupBy("ckey", "turn", "mid").agg(F.sort_array(F.collect_list(F.struct("level", (-F.col("size")).alias("least"), (-F.col("target")).alias("target")))).alias("found"))
+        done = done.join(each, ["ckey", "turn", "mid"], "left")
+        link = lambda x: F.struct(x["level"].cast("long").alias("level"), (-x["target"]).alias("turn"), (-x["least"]).cast("long").alias("size"))
+        links = [F.coalesce(F.transform("found", link), F.expr("cast(array() as array<struct<level:bigint,turn:bigint,size:bigint>>)")).alias("links")]
     return done.select(
         F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.coalesce("up", "turn").alias("thread"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.col("parent").alias("parent_turn"), F.coalesce("link", F.lit("root")).alias("link"),
-        F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).cast("long").alias("quote_levels"), "reply",
+        F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).cast("long").alias("quote_levels"), "reply", *links,
     )
 
 

@@ -278,6 +278,29 @@ def test_quotes_equal_their_sql(spark):
     assert sorted(mine, key=repr) == sorted(want, key=repr) and sum(r[columns.index("link")] == "quote" for r in mine) > 20
 
 
+def test_quotes_of_every_level_and_length_link(spark):
+    rows = [
+        (1, 0, "a", "The first of all messages"), (1, 1, "b", "Yes"), (1, 2, "a", "好的"), (1, 3, "b", "Something else\nno"),
+        (1, 4, "a", ">> The first of all messages\nback to it"),
+        (1, 5, "b", "> Yes\nshort"), (1, 6, "a", "> 好的\n\nshort too"), (1, 7, "a", "> no\nonly a line there"),
+        (1, 8, "b", "> Yes\nand\n> Something else\n> > The first of all messages\ntwo"),
+        (1, 8, "b", "> 好的\na copy of the turn"),
+        (1, 9, "a", "> back to it\n> and more\nparts"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = link_conversations(spark, df, every_level=True).collect()
+    got = {(r["turn"], r["reply"]): (r["parent_turn"], r["link"], [tuple(x) for x in r["links"]]) for r in out}
+    assert len(out) == len(rows)
+    assert got[4, "back to it"] == (0, "quote", [(2, 0, 25)])
+    assert got[5, "short"] == (1, "quote", [(1, 1, 3)])
+    assert got[6, "short too"] == (2, "quote", [(1, 2, 2)])
+    assert got[7, "only a line there"] == (6, "sequence", [])
+    assert got[8, "and\ntwo"] == (3, "quote", [(1, 3, 14), (1, 1, 3), (2, 0, 25)])
+    assert got[8, "a copy of the turn"] == (3, "quote", [(1, 2, 2)])
+    assert got[9, "parts"] == (4, "quote", [(1, 4, 10)])
+    assert link_conversations(spark, df.limit(0), every_level=True).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     import duckdb
