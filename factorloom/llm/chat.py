@@ -199,9 +199,28 @@ def link_conversations(
 def format_threads(linked: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", segment: int = 256) -> DataFrame:
     """Reply-ordered conversations: per (conversation, thread, segment of ``segment`` turns) the chat text of its messages.
 
-    Segments bound the size of a row; concatenated in order they are the thread.
+    Segments bound the size of a row; concatenated in the order of (segment,
+    first_turn, part) they are the thread.  Where turns repeat so often that a
+    segment has more than four times its turns, each turn has its own rows, of
+    about ``segment`` messages each.  A message without a turn is a thread of
+    its own.
     """
+    spark = linked.sparkSession
     line = F.concat(F.lit("<|"), F.coalesce(role_col, F.lit("unknown")), F.lit("|>\n"), "reply")
-    parts = linked.withColumn("segment", F.floor(F.coalesce(F.col(turn_col), F.lit(0)) / segment))
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), line.alias("line"))))
-    return parts.groupBy(conv_col, "thread", "segment").agg(F.array_join(F.transform(ordered, lambda m: m["line"]), "\n").alias("chat"), F.count(F.lit(1)).alias("n_messages"))
+    lines = linked.select(F.col(conv_col).alias("conv"), "thread", F.col(turn_col).alias("turn"), F.floor(F.col(turn_col) / segment).alias("segment"), line.alias("line"), F.monotonically_increasing_id().alias("row"))
+    lines = Scratch(spark, "threads").keep(lines, "lines")
+    alone = lines.where("turn is null").select("conv", "thread", "segment", F.col("turn").alias("first_turn"), F.lit(0).cast("long").alias("part"), F.col("line").alias("chat"), F.lit(1).cast("long").alias("n_messages"))
+    placed = lines.where("turn is not null")
+    at = ["conv", "thread", "segment"]
+    per_turn = placed.groupBy(*at, "turn").agg(F.count(F.lit(1)).alias("n"))
+    crowded = per_turn.groupBy(*at).agg(F.sum("n").alias("all")).where(F.col("all") > 4 * segment).drop("all")
+    same = F.lit(True)
+    for c in at:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    dealt = per_turn.alias("l").join(crowded.alias("r"), same, "left_semi").select(*at, "turn", F.ceil(F.col("n") / segment).alias("parts"))
+    placed = placed.alias("l").join(dealt.alias("r"), same & (F.col("l.turn") == F.col("r.turn")), "left")
+    placed = placed.select("l.*", F.when(F.col("parts").isNotNull(), F.col("l.turn")).alias("own_turn"), F.coalesce(F.pmod(F.xxhash64("l.row"), F.col("parts")), F.lit(0)).cast("long").alias("part"))
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "line")))
+    chats = placed.groupBy(*at, "own_turn", "part").agg(F.min("turn").alias("first_turn"), F.array_join(F.transform(ordered, lambda m: m["line"]), "\n").alias("chat"), F.count(F.lit(1)).alias("n_messages"))
+    out = chats.select(*at, "first_turn", "part", "chat", "n_messages").unionByName(alone)
+    return out.withColumnRenamed("conv", conv_col)

@@ -61,6 +61,13 @@ def op9_chat_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_conversations(spark, read_table(spark, sf_dir, "conversations"))
 
 
+def op9_chat_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in reply order without quotes, linked by quotations of every level."""
+    from factorloom.llm.chat import format_threads, link_conversations
+
+    return format_threads(link_conversations(spark, read_table(spark, sf_dir, "conversations"), every_level=True))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factorloom.llm.token_output import token_output
 
@@ -193,6 +200,7 @@ def queries() -> dict:
         "op7_url_filter": op7_url_filter,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_chat_quotation_linking": op9_chat_quotation_linking,
+        "op9_chat_conversations": op9_chat_conversations,
         "op10_token_output": op10_token_output,
     }
 

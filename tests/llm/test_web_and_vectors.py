@@ -301,6 +301,19 @@ def test_quotes_of_every_level_and_length_link(spark):
     assert link_conversations(spark, df.limit(0), every_level=True).count() == 0
 
 
+def test_conversations_hold_every_message_once(spark):
+    rows = [(1, t, "u", f"said {t}") for t in range(40)] + [(1, 5, "u", f"copy {k}") for k in range(200)] + [(k % 2, None, "u", f"lost {k}") for k in range(60)]
+    linked = link_conversations(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), every_level=True)
+    out = sorted(format_threads(linked, segment=8).collect(), key=lambda r: (r["segment"] is None, r["segment"] or 0, r["first_turn"] or 0, r["part"]))
+    assert collections.Counter(x for r in out for x in r["chat"].split("\n") if x != "<|u|>") == collections.Counter(r[3] for r in rows)
+    assert sum(r["n_messages"] for r in out) == len(rows) and max(r["n_messages"] for r in out) < 40  # one hot turn, no turn
+    said = [x for r in out for x in r["chat"].split("\n") if x.startswith("said")]
+    assert said == [f"said {t}" for t in range(40)]
+    whole = queries()["op9_chat_conversations"](spark, DATA)
+    assert whole.agg(F.sum("n_messages")).first()[0] == spark.read.parquet(f"{DATA}/conversations.parquet").count()
+    assert not re.search("Python|Pandas|Arrow", whole._jdf.queryExecution().executedPlan().toString())
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     import duckdb
