@@ -5,7 +5,9 @@
 2. Shingles meet by hash (packed in binary blocks, not rows) and each learns
    its document frequency.  A shingle of one node only can join nothing, so
    only repeated ones travel back; a node with fewer repeated shingles than any
-   partner must share is out.
+   partner must share is out.  Shingles that a sample finds in very many
+   documents go straight to their nodes as the most frequent of all: the order
+   below needs no exact counts, only one order that all nodes share.
 3. Nodes order their shingles by (frequency, hash), rare first.  Two sets that
    reach the threshold share a shingle of their prefixes.
 4. Candidates meet on prefix shingles, pass length and positional filters, and
@@ -30,6 +32,13 @@ SHARES = 8
 LOW16 = np.uint64(0xFFFF)
 #: Pairs between components, by prefix row, up to which all are compared at once; beyond, leaders link some first.
 CROSS_PAIRS = 256
+#: Bytes of text a part counts at most, as long as there are fewer parts than their numbers allow.
+PART_BYTES = 16 << 20
+MOST_PARTS = 65_535
+#: A shingle of this many of so many sampled documents is hot: it skips the counting, so that no part receives it from everywhere.
+SAMPLE_DOCS, HOT_DOCS = 2_000, 10
+#: The part number and the frequency of hot shingles.
+HOT_PART, HOT_FREQUENCY = 0xFFFF, 0xFFFFFFFF
 
 
 def _pack(part: int, nodes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, keys: np.ndarray, extra: np.ndarray | None = None) -> bytes:
@@ -89,8 +98,34 @@ def _blocks(to: np.ndarray, parts: int, nodes, sizes, owner, keys, extra=None, p
 SIGNED = lambda x: np.asarray(x, np.uint64).view(np.int64)
 
 
-def _shingle_batches(parts: int, size: int, min_words: int):
-    """Rows of two kinds: documents (id, n, node) and blocks of shingles (part, block)."""
+def _sample_batches(size: int):
+    """Shingle and number of a batch's different texts that have it."""
+
+    def run(batches):
+        cache = WordHashes(100_000)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [np.unique(shingle_hashes(words_of(t), cache, size)) for t in set(batch.column(0).slice(at, 256).to_pylist())]
+                keys, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(SIGNED(keys)), pa.array(counts, pa.int64())], ["key", "c"])
+
+    return releasing(run)
+
+
+def hot_shingles(texts: DataFrame, rows: int, size: int, sample: int, least: int) -> np.ndarray:
+    """Sorted shingles of at least ``least`` of about ``sample`` documents; a missed or extra one changes no result."""
+    bound = (1 << 62) * min(1.0, sample / max(rows, 1))
+    some = texts.where(F.shiftrightunsigned(F.xxhash64("text"), 2) < int(bound)).select(F.encode("text", "UTF-8").alias("text"))
+    counts = some.mapInArrow(_sample_batches(size), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    found = [r["key"] for r in counts.where(F.col("c") >= least).select("key").collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def _shingle_batches(parts: int, size: int, min_words: int, hot: np.ndarray):
+    """Rows of two kinds: documents (id, n, node) and blocks of shingles (part, block).
+
+    Blocks of ``hot`` shingles have a frequency already and go to their nodes' parts.
+    """
     import xxhash
 
     def run(batches):
@@ -103,8 +138,12 @@ def _shingle_batches(parts: int, size: int, min_words: int):
             sizes = np.array([len(h[1]) for h in held], np.int64)
             keys = np.concatenate([h[1] for h in held])
             owner = np.repeat(np.arange(len(held)), sizes)
+            known = hot[np.searchsorted(hot, keys).clip(max=len(hot) - 1)] == keys if len(hot) else np.zeros(len(keys), bool)
+            much, whose = keys[known], owner[known]
+            keys, owner = keys[~known], owner[~known]
             part = keys % np.uint64(parts)
             out = list(_blocks(part, parts, nodes, sizes, owner, keys & ~LOW16 | part))
+            out += _blocks(nodes[whose] % np.uint64(parts), parts, nodes, sizes, whose, much & ~LOW16 | np.uint64(HOT_PART), np.full(len(much), HOT_FREQUENCY), part=HOT_PART)
             held, seen = [], 0
             k = len(out)
             return pa.RecordBatch.from_arrays(
@@ -174,7 +213,12 @@ def _frequency_batches(parts: int):
                 docs = batch.select(["id", "n", "node"]).filter(block.is_null())
                 rest = [pa.nulls(docs.num_rows, pa.int32()), pa.nulls(docs.num_rows, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*docs.columns, *rest], ["id", "n", "node", "home", "block"])
-            blocks += block.drop_null().to_pylist()
+            for b in block.drop_null().to_pylist():
+                if np.frombuffer(b, "<u4", 4)[2]:  # of hot shingles: the part is that of their nodes
+                    home = int(np.frombuffer(b, "<u8", 1, 16)[0] % np.uint64(parts))
+                    yield _passed(id_type, home, b)
+                else:
+                    blocks.append(b)
             del batch, block
         if not blocks:
             return
@@ -187,14 +231,16 @@ def _frequency_batches(parts: int):
         nodes, at, owner = np.unique(node, return_index=True, return_inverse=True)
         home = nodes[owner] % np.uint64(parts)
         for p, block in _blocks(home, parts, nodes, size[at], owner, key, np.minimum(frequency, 0xFFFFFFFF), part=int(key[0] & LOW16)):
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([p], pa.int32()), pa.array([block], pa.binary())],
-                ["id", "n", "node", "home", "block"],
-            )
+            yield _passed(id_type, p, block)
 
     return releasing(run)
 
 
+def _passed(id_type, home: int, block: bytes):
+    columns = [pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([home], pa.int32()), pa.array([block], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "home", "block"])
+
+
 def _prefix_batches(percent: int):
     """Per node: size, unrepeated shingles, the rare-first joinable prefix and the repeated keys."""
 
@@ -205,6 +251,8 @@ def _prefix_batches(percent: int):
         node, size, key, frequency = _read_blocks(blocks)
         order = np.lexsort((key, frequency, node))
         node, size, key = node[order], size[order].astype(np.int64), key[order]
+        fresh = np.r_[True, (node[1:] != node[:-1]) | (key[1:] != key[:-1])][: len(node)]  # copies send their hot shingles again
+        node, size, key = node[fresh], size[fresh], key[fresh]
         starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]][: len(node)])
         repeated = np.diff(np.r_[starts, len(node)])
         rows = []
@@ -271,15 +319,19 @@ def shingle_components(
     wordless text has the empty set and links with nothing; a text of fewer
     than ``size`` words is one shingle.  Repeated rows and repeated ids keep
     their rows; an empty table gives an empty result; other columns are not
-    read.  Shingles compare by 64-bit hashes.
+    read.  Shingles compare by 48 bits of their hash and its remainder by parts
+    (the hot ones by 48 bits).
     """
     bound_batches(spark)
     scratch = Scratch(spark, "ngram-join")
-    parts = min(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), 65_536)
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
+    texts = docs.select(F.col(text_col).alias("text"))
+    total = texts.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = min(parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total["bytes"] // PART_BYTES)), MOST_PARTS)
+    hot = hot_shingles(texts, total["rows"], size, SAMPLE_DOCS, HOT_DOCS)
     schema = f"id {kind}, n long, node long, {{}} int, block binary"
-    hashed = slim.mapInArrow(_shingle_batches(parts, size, size), schema.format("part"))
+    hashed = slim.mapInArrow(_shingle_batches(parts, size, size, hot), schema.format("part"))
     dealt = hashed.repartition(parts, "part").mapInArrow(_frequency_batches(parts), schema.format("home"))
     both = scratch.keep(dealt, "frequencies")
     members = scratch.keep(both.where("block is null").select("id", "n", "node"), "members")
