@@ -1,23 +1,32 @@
 """Main text of web pages with a site style tree.
 
-Pages of one host are merged into one tree: a node is known by its parent, the
-parent's style (its sequence of child tags) and its place in it.  For each node
-of a host, the entropy of its styles over the host's pages (presentation) and
-of its contents give its importance; branches that a site repeats everywhere
-have almost none and are removed from each of its pages.  A branch goes only
-where the page has the content that the site repeats, and inside the article
-only if the articles around that content differ: near copies of one article
-are no template.  What is left is the article: its container, without elements
-that are navigation, forms, adverts, notices or comments by their tag, role or
-name.
+Pages of one host are merged into one tree: a node is known by its path of tags
+and its position among siblings of its tag.  Of each node the tree counts its
+styles (the sequences of its child blocks; presentation) and its features (text
+lines, link targets, image sources; content) by the pages that show them.  The
+entropy of a feature over the host's pages that have the node, to the base of
+their number, is log(its pages) / log(the node's pages): 1 for what every page
+repeats, 0 for what one page has.  A branch of a page is as important as its
+features are rare, mixed with the rarity of its style; it goes if it and all
+branches below it are unimportant.
+
+Copies of one article repeat as a template does.  So a feature counts as
+repeated only if the texts around it differ, and inside an article (``article``,
+``main`` or a block with such a name) only whole sections go, at one place on
+nine of ten pages.  Before that elements go that are navigation, forms, adverts,
+notices or reader comments by their tag or role, or because their whole name
+says so: all words of a class or id are such words or layout words, as in
+``ad-slot`` or ``comment-list``, not in ``search-results`` or ``related-work``.
 """
 
 from __future__ import annotations
 
+import functools
 import html
-import itertools
 import re
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,58 +34,100 @@ from pyspark.sql import functions as F
 from factorloom.llm.common import Scratch, bound_batches, releasing
 from factorloom.llm.url_filter import url_host_path
 
-# Element names of HTML by their role, and words that name boilerplate.
+# Element names of HTML by their role (all others are inline, as in browsers), and words of class names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = "script|style|noscript|template|svg|iframe|textarea|title|object|canvas|audio|video|math|select"
-NEVER = frozenset("nav footer aside form button input dialog menu datalist fieldset head".split())
-ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SELF_CLOSING = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+BLOCK = frozenset(
+    "html body address article aside blockquote caption center colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head"
+    " header hgroup hr legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
+)
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd figure figcaption table caption thead tbody tfoot tr td th summary".split())
+RAW_TO_END = "script|style"
+RAW_IF_CLOSED = "noscript|template|iframe|textarea|title"
+NEVER = frozenset("nav footer aside form button input select datalist dialog menu fieldset head search".split())
+ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre search section table ul".split())
+SELF_CLOSING = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "optgroup": ("option optgroup", "select")}
+SELF_CLOSING = {tag: (frozenset(close.split()), frozenset(scope.split())) for tag, (close, scope) in SELF_CLOSING.items()}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertisements adsense adslot banner banners sponsor sponsored promo promos promotion nav navbar navigation menu menus navmenu topbar"
-    " footer sidebar sidebars widget widgets cookie cookies consent gdpr notice notices popup popups modal overlay newsletter subscribe subscription signup share sharing"
-    " social comment comments commentlist disqus respond replies related recommended recommendations breadcrumb breadcrumbs pagination pager login search skip masthead".split()
+TEASERS = frozenset("teaser teasers related recommended recommendations promo promos promotion sponsored".split())
+BOILERPLATE = TEASERS | frozenset(
+    "ad ads advert adverts advertisement advertisements adsense adslot banner banners sponsor nav navbar navigation navmenu menu menus topbar footer sidebar sidebars widget widgets"
+    " cookie cookies consent gdpr notice notices popup popups modal overlay newsletter subscribe subscription signup share sharing social"
+    " comment comments commentlist disqus respond replies breadcrumb breadcrumbs pagination pager login search masthead".split()
 )
 HEADERS = frozenset("header headers".split())
+LAYOUT = frozenset(
+    "area bar block body bottom box button buttons card cards container content form global group holder icons inner item items left link links list main media off outer page panel"
+    " post posts article articles stories primary region right row secondary section site slot slots small thread top unit user reader wrap wrapper".split()
+)
 CONTENT = frozenset("article articlebody content post entry story main maincontent body text".split())
-CONTAINERS = frozenset("html body main article".split())
-TEASERS = frozenset("teaser teasers related recommended recommendations promo promos promotion sponsored".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    rf"|<({RAW_TO_END})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    rf"|<({RAW_IF_CLOSED})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?</\2\s*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style|href|src)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?![\w-])", re.I)
+NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+#: A branch less important than this is unimportant; weight of content against presentation by child block; pages that make a repetition.
+LEAST_IMPORTANCE, GAMMA, LEAST_PAGES = 0.5, 0.9, 3
+#: Share of a place's pages that must show what goes inside an article.
+ARTICLE_SHARE = 0.9
+#: Marks of repeated features that are broadcast at most (12 bytes each); with more, each page is joined to its own.
+MAX_MARKS = 1_000_000
+MASK = (1 << 64) - 1
+
+
+@functools.lru_cache(maxsize=50_000)
+def name_kinds(names: str) -> tuple[bool, bool, bool, bool]:
+    """Do a class or id value's names say boilerplate, teaser, header, article content?"""
+    out = [False] * 4
+    for token in names.split():
+        words = frozenset(w.lower() for w in NAME_WORDS.findall(token))
+        for k, (kind, beside) in enumerate(((BOILERPLATE, LAYOUT), (TEASERS, LAYOUT), (HEADERS, LAYOUT), (CONTENT, LAYOUT))):
+            out[k] = out[k] or bool(words & kind) and words <= kind | beside
+    return tuple(out)
 
 
 class Node:
-    __slots__ = ("attrs", "children", "content", "key", "parent", "tag", "words")
+    __slots__ = ("attrs", "children", "kinds", "parent", "tag")
 
     def __init__(self, tag: str, raw: str, parent: Node | None):
-        self.tag, self.parent, self.children, self.key, self.content = tag, parent, [], 0, 0
-        self.attrs, self.words = {}, frozenset()
-        if raw and "=" in raw or "hidden" in raw:
+        self.tag, self.parent, self.children, self.attrs, self.kinds = tag, parent, [], {}, (False,) * 4
+        if raw and ("=" in raw or "hidden" in raw):
             self.attrs = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(raw)}
-            names = " ".join(self.attrs.get(k, "") for k in ("class", "id", "itemprop"))
-            if names.strip():
-                self.words = frozenset(w.lower() for w in NAME_WORDS.findall(names)) | frozenset(re.split(r"[^a-z0-9]+", names.lower()))
+            names = " ".join([self.attrs.get(k, "") for k in ("class", "id", "itemprop")])
+            if not names.isspace():
+                self.kinds = name_kinds(names)
+
+    @property
+    def inline(self) -> bool:
+        return self.tag not in BLOCK
 
 
 def parse(page: str) -> Node:
     """A forgiving tree of a page: unclosed and stray tags never fail."""
     root = at = Node("html", "", None)
     last = 0
+    opened: Counter[str] = Counter()  # of the branch that ends at ``at``: no search upwards is in vain
+
+    def leave(node: Node) -> Node:
+        """Close all up to and with ``node``."""
+        nonlocal at
+        while at is not node.parent:
+            opened[at.tag] -= 1
+            at = at.parent
+        return at
+
     for m in TOKEN.finditer(page):
         if m.start() > last:
             at.children.append(page[last : m.start()])
         last = m.end()
-        end, tag, raw = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        end, tag, raw = (m[3], m[4], m[5]) if m[4] else (m[6], m[7], m[8])
         if not tag:
             continue
         tag = tag.lower()
@@ -84,37 +135,50 @@ def parse(page: str) -> Node:
             # attributes of these never remove a page; an end tag closes nothing before the end
             if not end and tag == "body":
                 at = root
+                opened.clear()
             continue
         if end:
+            if not opened[tag]:
+                continue
             up = at
-            while up is not None and up.tag != tag:
-                # an inline or paragraph end tag does not reach out of its block
-                if tag in INLINE and up.tag not in INLINE:
+            while up.tag != tag:
+                # an inline end tag does not reach out of its block
+                if tag not in BLOCK and up.tag in BLOCK:
                     up = None
                     break
                 up = up.parent
-            if up is not None and up is not root:
-                at = up.parent
+            if up is not None:
+                leave(up)
             continue
         if tag in ENDS_P:
-            up = at
-            while up.tag in INLINE:
-                up = up.parent
-            if up.tag == "p":
-                at = up.parent
+            if opened["select"]:  # blocks do not stand in a list of options: it was not closed
+                up = at
+                while up.tag != "select":
+                    up = up.parent
+                leave(up)
+            if opened["p"]:
+                up = at
+                while up.inline:
+                    up = up.parent
+                if up.tag == "p":
+                    leave(up)
         elif tag in SELF_CLOSING:
             close, scope = SELF_CLOSING[tag]
-            close, scope, up, hit = close.split(), scope.split(), at, None
-            while up is not root and up.tag not in scope:
-                if up.tag in close:
-                    hit = up
-                up = up.parent
-            if hit is not None:
-                at = hit.parent
+            if any(opened[c] for c in close):
+                up, hit = at, None
+                while up is not root and up.tag not in scope:
+                    if up.tag in close:
+                        hit = up
+                        if tag != "tr" or up.tag == "tr":
+                            break
+                    up = up.parent
+                if hit is not None:
+                    leave(hit)
         node = Node(tag, raw, at)
         at.children.append(node)
         if tag not in VOID and not raw.rstrip().endswith("/"):
             at = node
+            opened[tag] += 1
     if last < len(page):
         rest = page[last:]
         cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)  # a tag that the page's end cut off
@@ -122,16 +186,7 @@ def parse(page: str) -> Node:
     return root
 
 
-def in_article(node: Node) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag in ("article", "main"):
-            return True
-        up = up.parent
-    return False
-
-
-def is_boilerplate(node: Node) -> bool:
+def is_boilerplate(node: Node, in_article: bool) -> bool:
     if node.tag in NEVER:
         return True
     if node.attrs:
@@ -139,9 +194,10 @@ def is_boilerplate(node: Node) -> bool:
             return True
         if node.attrs.get("role", "").lower() in ROLES:
             return True
-    if node.words & BOILERPLATE and node.tag not in ("main", "h1") and not (node.tag == "article" and not node.words & {"comment", "comments"}):
+    named, teaser, header, content = node.kinds
+    if named and node.tag not in ("main", "h1") and not (node.tag == "article" and teaser):
         return True
-    return (node.tag == "header" or bool(node.words & HEADERS and not node.words & CONTENT)) and not in_article(node)
+    return (node.tag == "header" or header and not content) and not in_article
 
 
 def preorder(root: Node):
@@ -152,55 +208,67 @@ def preorder(root: Node):
         stack += [c for c in reversed(node.children) if not isinstance(c, str)]
 
 
-def prune(root: Node, goes=is_boilerplate) -> None:
-    """Remove the elements that ``goes`` names, boilerplate by default."""
-    stack = [root]
+def prune(root: Node) -> None:
+    """Remove boilerplate by tag, role or name."""
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not goes(c)]
-        stack += [c for c in node.children if not isinstance(c, str)]
+        node, inside = stack.pop()
+        inside = inside or node.tag in ("article", "main")
+        node.children = [c for c in node.children if isinstance(c, str) or not is_boilerplate(c, inside)]
+        stack += [(c, inside) for c in node.children if not isinstance(c, str)]
 
 
-def blocks_of(root: Node, spans: dict[int, tuple[int, int]] | None = None) -> list[str]:
-    """Text of each block in page order: references decoded, white space single, no empty block.
+def remove(root: Node, gone: set[int]) -> None:
+    for node in preorder(root):
+        if any(id(c) in gone for c in node.children):
+            node.children = [c for c in node.children if id(c) not in gone]
 
-    ``spans`` receives, by ``id``, which blocks each element that is not inline holds.
+
+def lines_of(root: Node, blocks: list | None = None) -> list[tuple[Node, str]]:
+    """Block and text of each line in page order: references decoded, white space single, no empty line.
+
+    ``blocks`` receives (block, parent block's place, child block tags, lines, links and images) of each block.
     """
-    out: list[str] = []
+    out: list[tuple[Node, str]] = []
     line: list[str] = []
+    record = blocks is not None
+    at = (root, -1, [], [], [])
 
     def close():
         if line:
             text = " ".join(html.unescape("".join(line)).split())
             if text:
-                out.append(text)
+                out.append((at[0], text))
+                at[3].append(text)
             line.clear()
 
-    stack: list = [root]
+    stack: list = [(root, None)]
     while stack:
-        x = stack.pop()
-        if isinstance(x, tuple):
+        x, back = stack.pop()
+        if x is None:
             close()
-            if spans is not None:
-                spans[x[0]] = (x[1], len(out))
+            at = back
         elif isinstance(x, str):
             line.append(x)
-        elif x.tag in INLINE:
+        elif x.inline:
             if x.tag == "br":
                 line.append(" ")
-            stack += reversed(x.children)
+            elif record and (target := x.attrs.get("href") or x.attrs.get("src")):
+                at[4].append(f"{x.tag} {target}")
+            stack += [(c, None) for c in reversed(x.children)]
         else:
             close()
-            stack.append((id(x), len(out)))
-            stack += reversed(x.children)
+            stack.append((None, at))
+            if record:
+                at[2].append(x.tag)
+            at = (x, len(blocks) if record else -1, [], [], [], at)
+            if record:
+                blocks.append(at)
+            stack += [(c, None) for c in reversed(x.children)]
     close()
     return out
 
 
-def text_size(node: Node) -> int:
-    return sum(map(len, blocks_of(node)))
-
-
 def outermost(root: Node, fits) -> list[Node]:
     found, stack = [], [root]
     while stack:
@@ -212,222 +280,295 @@ def outermost(root: Node, fits) -> list[Node]:
     return found
 
 
-def link_heavy(node: Node) -> bool:
-    """Several links that hold most of the text."""
-    links, linked, size = 0, 0, text_size(node)
-    for x in preorder(node):
-        if x.tag == "a":
-            links += 1
-            linked += text_size(x)
-    return links > 1 and linked > 0.6 * size
-
-
 def containers(root: Node) -> list[Node]:
     """All outermost containers of the article in a pruned tree, without teasers beside them; none if none is named."""
     teasers: list[Node] = []
     for fits in (
         lambda n: n.tag == "article",
         lambda n: n.tag == "main" or n.attrs.get("role", "").lower() == "main",
-        lambda n: n.tag not in INLINE and bool(n.words & CONTENT),
+        lambda n: not n.inline and n.kinds[3],
     ):
-        found = [n for n in outermost(root, fits) if blocks_of(n)]
-        if own := [n for n in found if not n.words & TEASERS]:
+        found = [n for n in outermost(root, fits) if lines_of(n)]
+        if own := [n for n in found if not n.kinds[1]]:
             return own
         teasers = teasers or found
     return teasers
 
 
-def main_blocks(root: Node) -> list[str]:
-    """Blocks of the article in a pruned tree."""
+def link_lists(root: Node) -> set[int]:
+    """Blocks of several links that hold most of their text, by ``id``; sizes are summed upwards once."""
+    size: Counter[int] = Counter()
+    links: Counter[int] = Counter()
+    linked: Counter[int] = Counter()
+    order = list(preorder(root))
+    for node in reversed(order):
+        me = id(node)
+        size[me] += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        if node.tag == "a":
+            links[me], linked[me] = 1, size[me]
+        if node.parent is not None:
+            up = id(node.parent)
+            size[up] += size[me]
+            links[up] += links[me]
+            linked[up] += linked[me]
+    return {id(n) for n in order if not n.inline and n is not root and links[id(n)] > 1 and linked[id(n)] > 0.6 * size[id(n)]}
+
+
+def main_lines(root: Node) -> list[str]:
+    """Lines of the article in a pruned tree."""
     if found := containers(root):
-        return [b for n in found for b in blocks_of(n)]
+        return [text for n in found for _, text in lines_of(n)]
     # no container is named: all of the page but blocks that are mostly links
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or c.tag in INLINE or not link_heavy(c)]
-        stack += [c for c in node.children if not isinstance(c, str)]
-    return blocks_of(root)
+    remove(root, link_lists(root))
+    return [text for _, text in lines_of(root)]
 
 
-def name_nodes(root: Node) -> tuple[int, list[tuple[Node, int, int]]]:
-    """Give every element its place in the style tree and its content; the template, and (element, style, children) of those with text.
+class PageTree:
+    """The marks of a page's nodes in the style tree of its host.
 
-    The template is the style of the root: pages of different templates share no other node.
+    Of each block: its key, its style's mark, marks of its lines, links and
+    images, and its number of child blocks.
     """
-    from xxhash import xxh3_64_intdigest as digest
 
-    order = list(preorder(root))
-    style = {}
-    for node in order:
-        sons = [c for c in node.children if not isinstance(c, str) and c.tag not in INLINE]
-        style[id(node)] = (digest("|".join(f"{c.tag}.{c.attrs.get('class', '')}" for c in sons).encode("utf-8", "replace")), len(sons))
-        place = 0
-        for c in node.children:
-            if not isinstance(c, str):
-                c.key = digest(b"%d,%d,%d" % (node.key, style[id(node)][0], place), seed=1) >> 1
-                place += c.tag not in INLINE
-    content: dict[int, int] = {}
-    rows = []
-    for node in reversed(order):
-        parts = [" ".join(c.split()) if isinstance(c, str) else content[id(c)] for c in node.children]
-        parts = [p for p in parts if p]
-        content[id(node)] = digest("\x00".join(map(str, parts)).encode("utf-8", "replace")) if parts else 0
-        if parts and node.parent is not None and node.tag not in INLINE:
-            s, n = style[id(node)]
-            node.content = content[id(node)] >> 1
-            rows.append((node, s >> 1, n))
-    return style[id(root)][0] >> 1, rows
-
-
-def article_bits(root: Node) -> dict[int, tuple[int, int]]:
-    """Of each element in the article of a pruned tree, by ``id``: one of 64 bits each for the two longest other blocks of the article.
-
-    Over the pages that have one content there, the number of bits tells
-    different articles around it from near copies of one.  A page without a
-    named container is all article.
+    def __init__(self, host: int, root: Node):
+        from xxhash import xxh3_64_intdigest as digest
+
+        self.blocks: list = []
+        lines_of(root, self.blocks)
+        self.keys = np.empty(len(self.blocks), np.uint64)
+        self.parents, self.sons = [], []
+        self.marks: list[tuple[int, int, bool, str]] = []  # place of the block, mark, is it the style's, the line
+        places: dict[tuple[int, str], int] = {}
+        keys = [0] * len(self.blocks)
+        for k, (node, _, sons, lines, others, up) in enumerate(self.blocks):
+            parent = up[1]
+            place = places[parent, node.tag] = places.get((parent, node.tag), -1) + 1
+            key = keys[k] = digest(f"{node.tag} {place}", seed=keys[parent] if parent >= 0 else host & MASK)
+            self.parents.append(parent)
+            self.sons.append(len(sons))
+            self.marks.append((k, digest(" ".join(sons), seed=key ^ 1), True, ""))
+            for text in dict.fromkeys(lines):
+                self.marks.append((k, digest(text.encode("utf-8", "replace"), seed=key ^ 2), False, text))
+            for target in dict.fromkeys(others):
+                self.marks.append((k, digest(target.encode("utf-8", "replace"), seed=key ^ 3), False, ""))
+        self.keys[:] = keys
+
+    def unimportant(self, entropy: np.ndarray, fixed: np.ndarray) -> tuple[set[int], set[int]]:
+        """Blocks to remove by ``id``: outside of an article, and inside of one.
+
+        ``entropy`` has a value a mark; ``fixed`` says that nearly all pages show it between different articles.
+        """
+        n = len(self.blocks)
+        content, count, style = np.zeros(n), np.zeros(n), np.zeros(n)
+        stays, moves = np.zeros(n, bool), np.zeros(n, bool)
+        for (k, _, is_style, _), h, f in zip(self.marks, entropy.tolist(), fixed.tolist(), strict=True):
+            if is_style:
+                style[k] = h
+            else:
+                content[k] += 1 - h
+                count[k] += 1
+                moves[k] |= not f
+        below, number = np.zeros(n), np.zeros(n)
+        for k in range(n - 1, -1, -1):
+            value = content[k] / count[k] if count[k] else below[k] / number[k] if number[k] else 0.0
+            weight = GAMMA ** self.sons[k]
+            value = (1 - weight) * (1 - style[k]) + weight * value
+            stays[k] |= value >= LEAST_IMPORTANCE
+            p = self.parents[k]
+            if p >= 0:
+                below[p] += value
+                number[p] += 1
+                stays[p] |= stays[k]
+                moves[p] |= moves[k]
+        outside = {id(b[0]) for b, s in zip(self.blocks, stays.tolist(), strict=True) if not s and b[0].tag not in ("html", "body", "main", "article")}
+        inside = {id(b[0]) for b, s, f in zip(self.blocks, stays.tolist(), moves.tolist(), strict=True) if not s and not f and b[0].tag not in TEXT_BLOCKS}
+        return outside, inside & outside
+
+
+def page_features(host: int, page: str) -> list[tuple[int, int, bool, int, int, int]]:
+    """(node, mark, is style, three context words) of each mark of a page.
+
+    A context word has one bit for one of the longest other lines of the
+    article.  Over the pages that show one mark, the number of bits tells
+    different articles around it from copies of one.  A page without a named
+    container is all article.
     """
     from xxhash import xxh3_64_intdigest as digest
 
-    spans: dict[int, tuple[int, int]] = {}
-    blocks: list[str] = []
-    for n in containers(root) or [root]:
-        mine: dict[int, tuple[int, int]] = {}
-        at = len(blocks)
-        blocks += blocks_of(n, mine)
-        spans.update((k, (i + at, j + at)) for k, (i, j) in mine.items())
-    ranked = sorted(set(blocks), key=lambda b: (-len(b), b))
-    bit = lambda b: 1 << digest(b.encode("utf-8", "replace")) % 64
-    out = {}
-    for k, (i, j) in spans.items():
-        inside = set(blocks[i:j])
-        others = [*itertools.islice((b for b in ranked if b not in inside), 2), "", ""]
-        out[k] = (bit(others[0]), bit(others[1]))
-    return out
-
-
-def page_features(page: str) -> tuple[int, list[tuple[int, int, int, int, int, int]]]:
-    """Template, and of each element that is not boilerplate (key, style, content, children, two article bits or all bits)."""
     root = parse(page)
-    template, rows = name_nodes(root)
+    tree = PageTree(host, root)
     prune(root)
-    left = {id(n) for n in preorder(root)}
-    bits = article_bits(root)
-    every = (1 << 64) - 1
-    return template, [(n.key, s, n.content, k, *bits.get(id(n), (every, every))) for n, s, k in rows if id(n) in left]
+    lines = {text for n in containers(root) or [root] for _, text in lines_of(n)}
+    longest = sorted(lines, key=lambda b: (-len(b), b))[:4]
+    bits = [1 << digest(b.encode("utf-8", "replace")) % 64 for b in longest]
+    keys = tree.keys.tolist()
+    around: dict[str, tuple[int, int, int]] = {}
+    for skip in (*longest, ""):
+        some = [b for b, text in zip(bits, longest, strict=True) if text != skip][:3] or [1]
+        around[skip] = (some[0], some[min(1, len(some) - 1)], some[-1])
+    return [(keys[k], mark, is_style, *around.get(text, around[""])) for k, mark, is_style, text in tree.marks]
 
 
-def _feature_batches(batches):
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    for batch in batches:
-        rows = []
-        for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            template, nodes = page_features(page)
-            for k, s, c, n, a, b in nodes:
-                rows += ((h, template, k, 0, s, n, -1, -1), (h, template, k, 1, c, n, signed(a), signed(b)))
-        names = ["host", "template", "node", "kind", "feature", "sons", "bits_a", "bits_b"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-        columns = list(zip(*rows, strict=True)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-
-
-def _template_batches(batches):
-    """Adds the template of each page."""
-    for batch in batches:
-        out = [None if page is None else name_nodes(parse(page))[0] for page in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "template"])
+SIGNED = lambda xs: pa.array(np.array(xs, np.uint64).view(np.int64))
 
 
-def extract(page: str, low: frozenset[int] = frozenset()) -> str:
-    """Main text of one page, given the unimportant nodes of its template: ``node ^ content`` where the site repeats that content, else ``node``."""
-    root = parse(page)
-    if not low:
-        prune(root)
-        return "\n".join(main_blocks(root))
-    name_nodes(root)
-    prune(root)
-    chosen = containers(root)
-    held, inside = set(), set()  # containers with all around them, elements of the article
-    for n in chosen:
-        inside.update(map(id, preorder(n)))
-        while n is not None and id(n) not in held:
-            held.add(id(n))
-            n = n.parent
-    size = sum(map(text_size, chosen))
-
-    def goes(c: Node) -> bool:
-        if c.tag in CONTAINERS or id(c) in held or not c.content:
-            return False
-        # a place whose content varies goes only as a list of links outside the article
-        return c.key ^ c.content in low or (c.key in low and bool(chosen) and id(c) not in inside and link_heavy(c))
-
-    prune(root, goes)
-    blocks = main_blocks(root)
-    if blocks and 2 * sum(map(len, blocks)) >= size:
-        return "\n".join(blocks)
-    # most of the article repeats on its site: copies, about which repetition says nothing
-    return extract(page)
-
-
-def _extract_batches(batches):
+def _feature_batches(batches):
     for batch in batches:
-        pages, low = batch.column("html").to_pylist(), batch.column("low").to_pylist()
-        sets: dict[tuple, frozenset] = {}
-        out = []
-        for page, nodes in zip(pages, low, strict=True):
-            nodes = tuple(nodes or ())
-            if nodes not in sets:
-                sets[nodes] = frozenset(nodes)
-            out.append(extract(page or "", sets[nodes]))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
-
-
-def site_style_nodes(pages: DataFrame, scratch: Scratch, least_pages: int = 6, least_importance: float = 0.2, gamma: float = 0.9, least_share: float = 0.05) -> DataFrame:
-    """Unimportant nodes per host and template: (host, template, low array<long>) from rows (host, html).
-
-    Importance mixes the entropy of a node's styles and of its contents over
-    the host's pages (logarithms to the base of the number of pages), the first
-    the more the more children it has.  A content of such a node is listed if
-    ``least_pages`` pages and ``least_share`` of the node's pages have it and,
-    in an article, if about as many different articles do.  Counts combine
-    before their shuffle, so a host with a third of all pages is no hot spot,
-    and a list is bounded by the nodes of its template.
+        seen: dict[int, list] = {}
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for node, mark, is_style, a, b, c in page_features(host, page):
+                known = seen.get(mark)
+                if known is None:
+                    seen[mark] = [node, mark, is_style, 1, a, b, c]
+                else:
+                    known[3] += 1
+                    known[4] |= a
+                    known[5] |= b
+                    known[6] |= c
+        node, mark, style, count, a, b, c = zip(*seen.values(), strict=True) if seen else [()] * 7
+        yield pa.RecordBatch.from_arrays(
+            [SIGNED(node), SIGNED(mark), pa.array(style, pa.bool_()), pa.array(count, pa.int64()), SIGNED(a), SIGNED(b), SIGNED(c)], ["node", "mark", "style", "c", "bits_a", "bits_b", "bits_c"]
+        )
+
+
+def site_style_tree(pages: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The tree of all hosts from rows (host long, html): repeated marks and nodes.
+
+    Marks: (mark, entropy float, fixed boolean) of what at least ``LEAST_PAGES``
+    pages show with different texts around it.  Nodes: (node, pages, style and
+    content entropy averaged over its pages, importance).  Counts combine in
+    each batch and before their shuffle, so a host with a third of all pages is
+    no hot spot.
     """
-    names = "host long, template long, node long, kind int, feature long, sons int, bits_a long, bits_b long"
+    names = "node long, mark long, style boolean, c long, bits_a long, bits_b long, bits_c long"
     seen = pages.where("html is not null").select("host", "html").mapInArrow(releasing(_feature_batches), names)
-    at = ["host", "template", "node"]
-    counts = seen.groupBy(*at, "kind", "feature").agg(F.count(F.lit(1)).alias("c"), F.max("sons").alias("sons"), F.bit_or("bits_a").alias("bits_a"), F.bit_or("bits_b").alias("bits_b"))
+    counts = seen.groupBy("node", "mark", "style").agg(F.sum("c").alias("c"), *[F.bit_or(f"bits_{x}").alias(f"bits_{x}") for x in "abc"])
     counts = scratch.keep(counts, "counts")
-    m = F.sum("c").alias("m")
-    per_kind = counts.groupBy(*at, "kind").agg(m, F.sum(F.col("c") * F.log("c")).alias("clogc"), F.max("sons").alias("sons"))
-    entropy = (F.log("m") - F.col("clogc") / F.col("m")) / F.log("m")
-    scored = per_kind.where(F.col("m") >= least_pages).withColumn("h", entropy)
-    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("h")))
-    nodes = scored.groupBy(*at).agg(pick(0).alias("style"), pick(1).alias("content"), F.max("sons").alias("sons"), F.max("m").alias("m"))
-    keep = F.pow(F.lit(gamma), F.col("sons"))
-    low = nodes.where((1 - keep) * F.col("style") + keep * F.col("content") < least_importance).select(*at, "m")
-    differs = (F.bit_count("bits_a") >= least_pages) & (F.bit_count("bits_b") >= least_pages)
-    repeated = counts.where((F.col("kind") == 1) & (F.col("c") >= least_pages) & differs).join(low, at).where(F.col("c") >= least_share * F.col("m"))
-    marks = repeated.select("host", "template", F.col("node").bitwiseXOR(F.col("feature")).alias("mark")).unionByName(low.select("host", "template", F.col("node").alias("mark")))
-    return marks.groupBy("host", "template").agg(F.sort_array(F.collect_list("mark")).alias("low"))
-
-
-def page_texts(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    # every page that has a node shows one style of it
+    size = counts.groupBy("node").agg(F.sum(F.when(F.col("style"), F.col("c"))).alias("m")).where(F.col("m") >= LEAST_PAGES)
+    need = F.greatest(F.lit(2), F.ceil(F.least("c", F.lit(12)) * 2 / 3))
+    differ = sum((F.bit_count(f"bits_{x}") >= need).cast("int") for x in "abc")
+    repeated = counts.where(F.col("c") >= LEAST_PAGES).withColumn("differ", differ).where("differ >= 2").join(size, "node")
+    entropy = F.when(F.col("m") > 1, F.least(F.lit(1.0), F.log("c") / F.log("m")))
+    repeated = repeated.select("node", "mark", "style", "c", entropy.cast("float").alias("entropy"), ((F.col("differ") == 3) & (F.col("c") >= ARTICLE_SHARE * F.col("m"))).alias("fixed"))
+    marks = scratch.keep(repeated, "marks")
+    # a node's average over all its marks: those that are not repeated have entropy 0
+    total = counts.groupBy("node").agg(F.sum(F.when(F.col("style"), F.col("c"))).alias("m"), F.sum(F.when(~F.col("style"), F.col("c"))).alias("f")).where(F.col("m") >= LEAST_PAGES)
+    part = lambda style: F.sum(F.when(F.col("style") == style, F.col("c") * F.col("entropy")))
+    nodes = total.join(marks.groupBy("node").agg(part(True).alias("hs"), part(False).alias("hf")), "node", "left")
+    nodes = nodes.select("node", F.col("m").alias("pages"), (F.coalesce("hs", F.lit(0.0)) / F.col("m")).alias("style_entropy"), (F.coalesce("hf", F.lit(0.0)) / F.col("f")).alias("content_entropy"))
+    return marks.select("mark", "entropy", "fixed"), nodes.withColumn("importance", 1 - F.coalesce("content_entropy", "style_entropy"))
+
+
+def extract(page: str, host: int = 0, look=None) -> str:
+    """Main text of one page; ``look`` gives entropy and ``fixed`` of an array of marks of its host's tree."""
+    root = parse(page)
+    if look is None:
+        prune(root)
+        return "\n".join(main_lines(root))
+    tree = PageTree(host, root)
+    entropy, fixed = look(np.array([m[1] for m in tree.marks], np.uint64))
+    prune(root)
+    if entropy.any():
+        outside, inside = tree.unimportant(entropy, fixed)
+        chosen = containers(root)
+        held = {id(x) for n in chosen for x in preorder(n)}
+        size = sum(len(text) for n in chosen for _, text in lines_of(n))
+        gone = {x for x in outside if x not in held} | (inside & held)
+        for n in chosen:  # no container goes with what is around it
+            while n is not None and id(n) not in held:
+                held.add(id(n))
+                n = n.parent
+            while n is not None:
+                gone.discard(id(n))
+                n = n.parent
+        gone -= {id(n) for n in chosen}
+        if gone:
+            remove(root, gone)
+            lines = main_lines(root)
+            if lines and 2 * sum(map(len, lines)) >= size:
+                return "\n".join(lines)
+            # most of the article repeats on its site: copies, about which repetition says nothing
+            return extract(page)
+    return "\n".join(main_lines(root))
+
+
+def lookup(marks: np.ndarray, entropy: np.ndarray, fixed: np.ndarray):
+    """``look`` of sorted marks."""
+
+    def look(wanted: np.ndarray):
+        if not len(marks):
+            return np.zeros(len(wanted), np.float32), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(marks, wanted), len(marks) - 1)
+        hit = marks[at] == wanted
+        return np.where(hit, entropy[at], np.float32(0)), hit & fixed[at]
+
+    return look
+
+
+def sorted_marks(mark, entropy, fixed):
+    order = np.argsort(mark, kind="stable")
+    return mark[order], entropy[order], fixed[order]
+
+
+def _extract_batches(shared):
+    """Text of each page by the broadcast marks, or by those that its row brings."""
+
+    def run(batches):
+        look = lookup(*shared.value) if shared is not None else None
+        for batch in batches:
+            out = []
+            for k, (host, page) in enumerate(zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True)):
+                if look is None:
+                    low = batch.column("low")[k].as_py() or []
+                    mine = np.array([x["mark"] for x in low], np.int64).view(np.uint64), np.array([x["entropy"] for x in low], np.float32), np.array([x["fixed"] for x in low], bool)
+                    out.append(extract(page or "", host, lookup(*sorted_marks(*mine))))
+                else:
+                    out.append(extract(page or "", host, look))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
+
+    return releasing(run)
+
+
+def _mark_batches(batches):
+    """(place, mark) of each page."""
+    for batch in batches:
+        place, marks = [], []
+        for at, host, page in zip(batch.column("place").to_pylist(), batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            mine = {m[1] for m in PageTree(host, parse(page)).marks}
+            place += [at] * len(mine)
+            marks += mine
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.string()), SIGNED(marks)], ["place", "mark"])
+
+
+def page_texts(
+    spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_marks: int = MAX_MARKS
+) -> DataFrame:
     """Per page: id, url, text, n_chars (code points of text).
 
     A null or empty page, or one without an article, gives an empty text.  A
     null url belongs to the host with the empty name.  Repeated pages keep
     their rows; an empty table gives an empty result; other columns are not
-    read.  Three passes over the pages; nothing is collected but, per host and
-    template, its nodes.
+    read.  A page of any length or depth is parsed whole, in linear time.
+    Up to ``max_marks`` repeated marks of all hosts are broadcast; more are
+    joined to the pages that show them, so no task holds a host.
     """
     bound_batches(spark)
     host, _ = url_host_path(url_col)
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(host).alias("host"), F.col(html_col).alias("html"))
     scratch = Scratch(spark, "style-tree")
-    low = scratch.keep(site_style_nodes(slim, scratch), "low")
+    marks, _ = site_style_tree(slim, scratch)
     kind = pages.schema[id_col].dataType.simpleString()
-    named = slim.mapInArrow(releasing(_template_batches), f"id {kind}, url string, host long, html string, template long")
-    rows = named.join(low, ["host", "template"], "left").select("id", "url", "html", "low")
-    out = rows.mapInArrow(releasing(_extract_batches), f"id {kind}, url string, text string")
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    schema = f"id {kind}, url string, text string"
+    if marks.count() <= max_marks:
+        some = marks.toArrow()  # bounded by ``max_marks``
+        mark, entropy, fixed = (some.column(c).to_numpy() for c in ("mark", "entropy", "fixed"))
+        shared = spark.sparkContext.broadcast(sorted_marks(mark.astype(np.int64).view(np.uint64), entropy.astype(np.float32), fixed.astype(bool)))
+        rows = slim.mapInArrow(_extract_batches(shared), schema)
+    else:
+        # equal pages of a host share their marks
+        placed = slim.withColumn("place", F.concat_ws("-", F.col("host").cast("string"), F.md5("html")))
+        shown = placed.where("html is not null").select("place", "host", "html").mapInArrow(releasing(_mark_batches), "place string, mark long").distinct()
+        own = shown.join(marks, "mark").groupBy("place").agg(F.collect_list(F.struct("mark", "entropy", "fixed")).alias("low"))
+        rows = placed.join(scratch.keep(own, "own"), "place", "left").select("id", "url", "host", "html", "low").mapInArrow(_extract_batches(None), schema)
+    return rows.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

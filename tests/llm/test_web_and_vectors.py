@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from factorloom.llm import near_embeddings as ne
 from factorloom.llm.chat import format_threads, link_conversations
 from factorloom.llm.common import Scratch
-from factorloom.llm.html_text import extract, page_texts
+from factorloom.llm import html_text as ht
+from factorloom.llm.html_text import extract, page_texts, site_style_tree
 from factorloom.llm.near_embeddings import near_embeddings, nearest_e8
 from factorloom.llm.queries import URL_RULES, oracle_sql, queries
 from factorloom.llm.url_filter import BloomCascade, url_verdicts
@@ -114,6 +115,77 @@ def test_near_copies_of_an_article_are_no_template(spark):
     assert {r["page_id"]: r["text"] for r in page_texts(spark, pages).collect()} == want
 
 
+def shop_pages(hosts=1):
+    """Pages without class names and ``article``: menu, adverts in turn or none, unlike texts, a footer."""
+    rows, want = [], {}
+    adverts = ["Buy the very best of all shoes today", "Fly to the islands for less than ever", "Your loan is only one call away from here", ""]
+    for h in range(hosts):
+        for k in range(40):
+            body = [f"Title of page {k} of {h}", f"First text {k * 7919 % 1009} about matter {k}", f"Second text {k * 104729 % 2003} with more of {k}"]
+            advert = adverts[(k * 5 + h) % 4]
+            page = "<body><div><p>All our goods at one place</p><p>Ask us at any time</p></div>" + (f"<div><div>{advert}</div></div>" if advert else "")
+            page += "<div>" + f"<h1>{body[0]}</h1>" + "".join(f"<p>{p}</p>" for p in body[1:]) + "</div><div><p>All rights are with the shop</p></div></body>"
+            rows.append((len(rows), f"http://shop{h}.example.org/{k}", page))
+            want[len(rows) - 1] = "\n".join(body)
+    return rows, want
+
+
+def test_the_tree_decides_where_nothing_is_named(spark):
+    rows, want = shop_pages()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in page_texts(spark, pages).collect()} == want
+    assert all(extract(html) != want[k] and "goods" in extract(html) for k, _, html in rows)  # not without the tree
+
+
+def test_marks_by_join_equal_marks_by_broadcast(spark):
+    rows, _ = shop_pages(3)
+    rows += [(900, None, None), (901, "", ""), (902, None, rows[0][2]), *rows[:2]]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = lambda df: sorted(map(tuple, df.collect()))
+    assert texts(page_texts(spark, pages, max_marks=0)) == texts(page_texts(spark, pages))
+
+
+def test_tree_of_the_data_has_low_nodes(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(F.xxhash64(F.split("url", "/")[2]).alias("host"), "html")
+    _, nodes = site_style_tree(pages, Scratch(spark, "test-tree"))
+    got = nodes.agg(F.min("importance"), F.max("importance"), F.sum((F.col("importance") < ht.LEAST_IMPORTANCE).cast("int"))).first()
+    assert got[0] < 0.2 and got[1] == 1 and got[2] > 10
+
+
+def test_names_are_taken_whole():
+    page = (
+        '<article><p>A</p><div class="text-body search-results">B</div><p class="social-history">C</p><h2 id="related-work">D</h2><section id="comment-on-method">E</section>'
+        '<p class="skip">F</p><div class="ad-slot ad-300">no</div><ol class="commentList"><li>no</ol><div id="share_buttons">no</div><p class="cookie-notice">no</p></article>'
+    )
+    assert extract(page) == "A\nB\nC\nD\nE\nF"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>Before</p><select><option>a<p>After <b>it</b></p>", "Before\nAfter it"),
+        ("<p>x <math><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow></math> y <canvas>c</canvas></p>", "x a+b y c"),
+        ("<p>one <video src=v>two<p>three", "one two\nthree"),
+        ("<p>one<noscript>two<p>three", "one\ntwo\nthree"),
+        ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", "a\nb\nc\nd"),
+    ],
+)
+def test_open_elements_swallow_nothing(page, want):
+    assert extract(page) == want
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    deep = "".join(f"<div>text {k}" for k in range(4000))
+    assert len(extract(deep).split("\n")) == 4000
+    assert len(ht.page_features(1, deep)) == 8000 + 1
+    assert extract("<div>" * 4000 + "<li>x" * 4000 + "</span>" * 4000).count("x") == 4000
+    assert len(extract("<article>" + "<p>some words of it</p>" * 50_000 + "</article>").split("\n")) == 50_000
+    assert time.perf_counter() - start < 8
+
+
 # urls
 
 
