@@ -1,8 +1,10 @@
 """Language identification by words first, then shorter and shorter character n-grams.
 
 Fitting takes a bounded sample of labelled training rows (``sample_per_lang``
-documents of each language by hash of the id); its grouped counts, cut to
-``max_words`` words and ``max_grams`` character n-grams, are the model.  A word
+documents of each language by hash of the id); its grouped counts, of each
+language its ``words_per_lang`` and ``grams_per_lang`` most frequent words and
+character n-grams, are the model: a small language keeps its vocabulary
+whatever the others have.  A word
 of a text is scored by its log frequency in each language.  A word the model
 does not know falls back to its 5-grams, then 4-, 3-, 2- and 1-grams, at the
 first length of which the model knows any.
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm.chunks import text_slices
@@ -106,13 +108,19 @@ def segment_sums(table: np.ndarray, rows: list[list[int]], mean: bool = False) -
 
 def fit_language_model(
     spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    sample_per_lang: int = 1500, max_words: int = 60_000, max_grams: int = 60_000,
+    sample_per_lang: int = 1500, words_per_lang: int = 12_000, grams_per_lang: int = 12_000, max_langs: int = 1000,
 ) -> LanguageModel:
-    """Fit on training rows with a language and a text; see the module's docstring for the bounds."""
+    """Fit on training rows with a language and a text; see the module's docstring for the bounds.
+
+    Of more than ``max_langs`` labels the most frequent are learned.  Null ids,
+    labels and texts teach nothing; rows that repeat count again; without rows
+    to learn from the model knows no language.
+    """
     train = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col)).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    per_lang = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    sizes = {r["lang"]: r["n"] for r in per_lang.collect()}  # at most ``max_langs`` rows
     langs = sorted(sizes)
     if not langs:
         return LanguageModel([], {}, np.zeros((0, 0), np.float32))
@@ -122,15 +130,18 @@ def fit_language_model(
         picked.select("lang", "text")
         .mapInArrow(releasing(_count_batches), "lang string, n int, gram string, c long")
         .groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
-        .groupBy("n", "gram").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
     )
-    order = [F.desc("total"), F.asc("n"), F.asc("gram")]
-    rows = counts.where("n = 0 and total > 1").orderBy(*order).limit(max_words).collect()
-    rows += counts.where("n > 0 and total > 1").orderBy(*order).limit(max_grams).collect()
+    # a window holds the vocabulary of one language's sample
+    own = Window.partitionBy("lang", F.col("n") > 0).orderBy(F.desc("c"), "n", "gram")
+    ranked = counts.withColumn("top", F.row_number().over(own) <= F.when(F.col("n") == 0, words_per_lang).otherwise(grams_per_lang))
+    known = ranked.groupBy("n", "gram").agg(F.max("top").alias("top"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by")).where("top")
+    rows = known.orderBy("n", "gram").collect()  # at most ``max_langs`` times the vocabularies' bounds
     table = np.array([[r["by"].get(x, 0) for x in langs] for r in rows], np.float64).reshape(len(rows), len(langs))
     kind = np.array([r["n"] for r in rows], np.int64)
     for n in set(kind.tolist()):
-        own = table[kind == n] + 0.1
+        # what a language lacks is as rare in all of them, whatever their sizes
+        size = np.maximum(table[kind == n].sum(axis=0), 1.0)
+        own = table[kind == n] + 0.1 * size / size.mean()
         rate = np.log(own) - np.log(own.sum(axis=0))
         table[kind == n] = rate - np.log(np.exp(rate - rate.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) - rate.max(axis=1, keepdims=True)
     return LanguageModel(langs, {(r["n"], r["gram"]): k for k, r in enumerate(rows)}, table.astype(np.float32))
