@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rates above this keep a fixed number of copies and draw only the rest.
+#: Means above this are drawn as a sum of independent Poisson counts of smaller means, which has the same distribution.
 MAX_DRAWN_RATE = 300.0
 #: Sources whose statistics may be broadcast; with more of them the join is salted.
 MAX_BROADCAST_SOURCES = 10_000
 SALTS = 64
+#: Bits of the shuffle key.
+KEY_BITS = 60
+
+
+def hash_bits(digits: int, *parts: Column) -> Column:
+    """A number of 4 x ``digits`` bits of an md5 digest of the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, digits), 16, 10)
 
 
 def hash_unit(*parts: Column) -> Column:
     """A number in [0, 1) from 52 bits of an md5 digest of the parts."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    return hash_bits(13, *parts).cast("double") / float(1 << 52)
 
 
 def mix_sources(
@@ -27,11 +34,14 @@ def mix_sources(
     documents) / its documents.  ``targets`` gives weights by source (absent
     sources get none); without it weights are document counts to the power
     ``alpha``.  The count of a document inverts the Poisson distribution at a
-    hash of seed and id, so reruns and lost tasks give the same copies.  Null
-    sources are a source of their own (weight by ``alpha``, or none with
-    ``targets``).  Rows that repeat an id get the same count each.  The result
+    hash of seed and id (a rate above ``MAX_DRAWN_RATE`` is a sum of draws at as
+    many hashes), so reruns and lost tasks give the same copies.  Null sources
+    are a source of their own (weight by ``alpha``, or none with ``targets``).
+    Rows that repeat an id get the same count each; null and empty texts are
+    documents like any other; an empty table gives an empty result.  The result
     has all columns of ``docs`` (a column named like ``copy_col`` or
-    ``key_col`` is replaced) in order of a hash of seed, id and copy.
+    ``key_col`` is replaced) in order of a hash of seed, id and copy: the key is
+    uniform, so its leading part is the partition.
     """
     own = [c for c in docs.columns if c.lower() not in (copy_col.lower(), key_col.lower())]
     docs = docs.select(*own)
@@ -45,15 +55,15 @@ def mix_sources(
     totals = sizes.agg(F.sum("mix_n").alias("n"), F.sum("mix_w").alias("w"), F.count(F.lit(1)).alias("k")).first()
     n, w = float(totals["n"] or 0), float(totals["w"] or 0)
     rate = F.col("mix_w") / F.lit(w or 1.0) * F.lit(n * float(epochs)) / F.col("mix_n")
-    base = F.when(F.col("mix_rate") > MAX_DRAWN_RATE, F.floor(F.col("mix_rate") - MAX_DRAWN_RATE)).otherwise(F.lit(0))
+    draws = F.greatest(F.lit(1), F.ceil(F.col("mix_rate") / MAX_DRAWN_RATE)).cast("int")
     cdf = F.expr(
         "aggregate(sequence(1, cast(ceil(mix_drawn + 12 * sqrt(mix_drawn) + 30) as int)),"
         " named_struct('p', exp(-mix_drawn), 'c', exp(-mix_drawn), 'cdf', array(exp(-mix_drawn))),"
         " (s, k) -> named_struct('p', s.p * mix_drawn / k, 'c', s.c + s.p * mix_drawn / k, 'cdf', array_append(s.cdf, s.c + s.p * mix_drawn / k)), s -> s.cdf)"
     )
     rates = (
-        sizes.withColumn("mix_rate", rate).withColumn("mix_base", base.cast("long")).withColumn("mix_drawn", F.col("mix_rate") - F.col("mix_base"))
-        .withColumn("mix_cdf", cdf).select("mix_source", "mix_base", "mix_cdf")
+        sizes.withColumn("mix_rate", rate).withColumn("mix_draws", draws).withColumn("mix_drawn", F.col("mix_rate") / F.col("mix_draws"))
+        .withColumn("mix_cdf", cdf).select("mix_source", "mix_draws", "mix_cdf")
     )
     match = F.col("mix_source").eqNullSafe(F.col(source_col))
     if totals["k"] <= MAX_BROADCAST_SOURCES:
@@ -61,8 +71,11 @@ def mix_sources(
     else:
         salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = docs.withColumn("mix_at", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, match & (F.col("mix_at") == F.col("mix_salt")))
-    at = hash_unit(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    counted = joined.withColumn("mix_u", at).withColumn("mix_count", F.col("mix_base") + F.expr("size(filter(mix_cdf, c -> c <= mix_u))"))
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    more = F.transform(F.sequence(F.lit(1), F.col("mix_draws") - 1), lambda j: hash_unit(F.concat(F.lit(f"{seed}d"), j.cast("string")), key))
+    at = F.when(F.col("mix_draws") > 1, F.concat(F.array(hash_unit(F.lit(seed), key)), more)).otherwise(F.array(hash_unit(F.lit(seed), key)))
+    counted = joined.withColumn("mix_u", at).withColumn("mix_count", F.expr("aggregate(mix_u, 0L, (s, u) -> s + size(filter(mix_cdf, c -> c <= u)))"))
     copies = counted.where("mix_count > 0").withColumn(copy_col, F.explode(F.expr("sequence(1L, mix_count)")))
-    order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(copy_col).cast("string"))), 1, 15), 16, 10)
-    return copies.withColumn(key_col, order.cast("long")).select(*own, copy_col, key_col).orderBy(key_col)
+    copies = copies.withColumn(key_col, hash_bits(KEY_BITS // 4, F.lit(f"{seed}s"), key, F.col(copy_col)).cast("long")).select(*own, copy_col, key_col)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return copies.repartitionById(parts, F.floor(F.col(key_col) / float(1 << KEY_BITS) * parts).cast("int")).sortWithinPartitions(key_col)
