@@ -81,3 +81,16 @@ class Pieces:
     def plain(self) -> np.ndarray:
         """Which distinct pieces are small Latin-1 words: one pre-token each, that normalising leaves as it is."""
         return pc.match_substring_regex(self.distinct, SMALL_WORD).to_numpy(zero_copy_only=False)
+
+
+#: Texts on which a vocabulary must give the same whole and cut: case, marks, digits, white space, scripts, special strings.
+PROBES = [
+    "The Straße of NAÏVE étude, où", "a  b\nc\td \r\n e", "it's DON'T we'll I'M", "x1y22 3.14 1,000", "end. (Begin) [x]... ?!", "--- *** a-b_c/d", "\u4e2d\u6587 text \u0417\u0434\u0440\u0430\u0432",
+    "e\u0301 E\u0301 \u00c9", "<|endoftext|> a<|startoftext|>b", " lead and trail ", "\u00a0nb\u2003em", "aaaa zzzzzzzzzzzz", "\U0001f600 smile", "I\u0130\u0131", "a\u200db 'tis ''", "",
+]
+
+
+def cuts_hold(encode_cut, library) -> bool:
+    """Does the library give the same ids for whole texts as ``encode_cut`` (an Arrow array to lists of ids)?"""
+    whole = [e.ids for e in library.encode_batch(PROBES, add_special_tokens=False)]
+    return encode_cut(pa.array(PROBES)) == whole

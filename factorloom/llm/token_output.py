@@ -1,8 +1,9 @@
 """Token ids in Re-Pair compressed shards, and their reader.
 
 Documents are dealt by ranges of their id, encoded, and cut into shards of a
-bounded number of ids.  In a shard, frequent adjacent pairs are repeatedly
-replaced by nonterminals; a pair never spans two documents, so each document is
+bounded number of ids.  In a shard, adjacent pairs are repeatedly
+replaced by nonterminals, the most frequent first, until no pair occurs
+``MIN_COUNT`` times; a pair never spans two documents, so each document is
 a run of symbols and can be expanded alone.  A shard is one binary payload:
 
     8 bytes  magic "FLRPAIR1"
@@ -33,13 +34,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factorloom.llm.chunks import Pieces, byte_mapped, text_slices
+from factorloom.llm.chunks import Pieces, byte_mapped, cuts_hold, text_slices
 from factorloom.llm.common import Scratch, bound_batches, releasing
 
 MAGIC = b"FLRPAIR1"
-#: Buckets of the pair counts of a round.
+#: A pair becomes a rule if it occurs so often in its shard: a rule costs 12 bytes and an occurrence saves two.
+MIN_COUNT = 24
+#: Buckets of the first count of a round.
 BUCKET_BITS = 19
 BUCKETS = 1 << BUCKET_BITS
+#: Texts that go to the library at once where the vocabulary does not let them be cut.
+WHOLE_TEXTS = 64
 
 
 class ChunkEncoder:
@@ -59,6 +64,8 @@ class ChunkEncoder:
         self.final = np.zeros(max(vocab.values()) + 1, bool)
         self.final[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
         self.words = self._word_encoder(path)
+        self.cuts = True
+        self.cuts = cuts_hold(lambda texts: [ids.tolist() for _, flat, size in self.encode(texts) for ids in np.split(flat, np.cumsum(size)[:-1])], self.library)
 
     def _word_encoder(self, path: str):
         """The same model without the steps that change nothing on small Latin-1 words; None if a probe differs."""
@@ -96,6 +103,13 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array, most: int = 400_000):
         """Yield (first text, ids, ids of each text) for runs of texts of about ``most`` chunks."""
+        if not self.cuts:
+            for first in range(0, len(texts), WHOLE_TEXTS):
+                some = [t or "" for t in texts.slice(first, WHOLE_TEXTS).to_pylist()]
+                got = [e.ids for e in self.library.encode_batch_fast(some, add_special_tokens=False)]
+                size = np.fromiter(map(len, got), np.int64, len(got))
+                yield first, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum())), size
+            return
         pieces = Pieces(texts)
         bounds, which, head, tail = pieces.bounds, pieces.which, pieces.head, pieces.tail
         flat, start, size = self._encode_pieces(pieces)
@@ -120,6 +134,12 @@ class ChunkEncoder:
             first = past
 
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab().values()) + 1
+
+
 @functools.lru_cache(maxsize=1)
 def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
@@ -135,61 +155,69 @@ def with_end_id(ids: np.ndarray, size: np.ndarray, end_id: int) -> tuple[np.ndar
     return out, total
 
 
-def re_pair(ids: np.ndarray, doc_size: np.ndarray, alphabet: int, min_count: int, max_rules: int, per_round: int, max_rounds: int):
+def re_pair(ids: np.ndarray, doc_size: np.ndarray, alphabet: int, min_count: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Compressed symbols, symbols of each document, and the rules (left, right) by nonterminal.
 
-    Each round counts the adjacent pairs exactly for one pair per hash bucket
-    (another pair of that bucket gets its turn in a later round), replaces the
-    most frequent ones and stops when none occurs ``min_count`` times.
+    Rounds go on until no adjacent pair occurs ``min_count`` times.  A round
+    counts pairs exactly and replaces every pair that is more frequent than
+    those it overlaps.  Old pairs only get rarer, so after the first round only
+    pairs that were frequent or have a new symbol are counted.
     """
     symbol, rules = np.ascontiguousarray(ids, np.uint32).copy(), []
     last = np.zeros(len(symbol), bool)
     last[np.cumsum(doc_size)[doc_size > 0] - 1] = True
-    owner = np.zeros(BUCKETS, np.uint64)
-    for _ in range(max_rounds):
-        if len(symbol) < 2 or len(rules) >= max_rules:
+    at = np.flatnonzero(~last)
+    while len(at):
+        pair = symbol[at].astype(np.uint64) | symbol[at + 1].astype(np.uint64) << np.uint64(32)
+        # what shares its bucket with few others need not be sorted
+        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).view(np.int64)
+        may = np.bincount(bucket, minlength=BUCKETS)[bucket] >= min_count
+        at, pair = at[may], pair[may]
+        kinds, which, count = np.unique(pair, return_inverse=True, return_counts=True)
+        often = (count >= min_count)[which]
+        at, which = at[often], which[often]
+        if not len(at):
             break
-        # left id in the low half, right id in the high half of each adjacent pair
-        pair = np.ndarray(len(symbol) - 1, np.uint64, symbol.data, strides=(4,)).copy()
-        bucket = (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)
-        bucket = bucket.view(np.int64)  # as indices are
-        owner[bucket] = pair
-        own = owner[bucket] == pair
-        own[last[:-1]] = False  # no pair spans two documents
-        place = np.flatnonzero(own)
-        bucket = bucket[place]
-        count = np.bincount(bucket, minlength=BUCKETS)
-        chosen = np.flatnonzero(count >= min_count)
-        if not len(chosen):
-            break
-        room = min(per_round, max_rules - len(rules))
-        if len(chosen) > room:
-            chosen = chosen[np.lexsort((chosen, -count[chosen]))[:room]]
-        chosen = chosen[np.lexsort((chosen, -count[chosen]))]
-        new_id = np.zeros(BUCKETS, np.uint32)
-        new_id[chosen] = alphabet + len(rules) + np.arange(len(chosen), dtype=np.uint32)
-        fresh = new_id[bucket]
-        hit = np.flatnonzero(fresh)
-        at, fresh = place[hit], fresh[hit]
-        # pairs that overlap: of each run of neighbours take the first, third, ...
-        begins = np.r_[True, np.diff(at) != 1]
-        begin = np.maximum.accumulate(np.where(begins, at, 0))
-        even = (at - begin) % 2 == 0
-        at, fresh = at[even], fresh[even]
-        rules += [(p & 0xFFFFFFFF, p >> 32) for p in owner[chosen].tolist()]
-        symbol[at] = fresh
+        order = np.lexsort((kinds, -count))
+        rank = np.empty(len(kinds), np.int64)
+        rank[order] = np.arange(len(kinds))  # 0: the most frequent
+        mine = rank[which]
+        beside = at[1:] - at[:-1] == 1
+        lost = np.zeros(len(at), bool)
+        lost[:-1] |= beside & (mine[:-1] > mine[1:])
+        lost[1:] |= beside & (mine[1:] > mine[:-1])
+        won = np.flatnonzero(~lost)
+        # equal neighbours ("aaa") overlap: of each run take the first, third, ... pair
+        begins = np.r_[True, np.diff(at[won]) != 1]
+        begin = np.maximum.accumulate(np.where(begins, at[won], 0))
+        won = won[(at[won] - begin) % 2 == 0]
+        # a pair that mostly lost waits for the next round; the most frequent one never does
+        used = np.bincount(which[won], minlength=len(kinds))
+        good = used >= max(2, min_count // 2)
+        good[order[0]] = True
+        won = won[good[which[won]]]
+        made = order[good[order]]
+        new_id = np.zeros(len(kinds), np.uint32)
+        new_id[made] = alphabet + len(rules) + np.arange(len(made), dtype=np.uint32)
+        rules += [(k & 0xFFFFFFFF, k >> 32) for k in kinds[made].tolist()]
+        place = at[won]
+        symbol[place] = new_id[which[won]]
+        last[place] = last[place + 1]
+        asked = np.zeros(len(symbol), bool)
+        asked[at] = asked[place] = True
+        asked[place[place > 0] - 1] = True
         keep = np.ones(len(symbol), bool)
-        keep[at + 1] = False
-        last[at] = last[at + 1]
-        symbol, last = symbol[keep], last[keep]
+        keep[place + 1] = False
+        symbol, last, asked = symbol[keep], last[keep], asked[keep]
+        at = np.flatnonzero(asked & ~last)
     sizes = np.zeros(len(doc_size), np.int64)
     ends = np.flatnonzero(last)
     sizes[doc_size > 0] = np.diff(np.r_[-1, ends])
     return symbol, sizes, rules
 
 
-def pack_shard(ids: np.ndarray, doc_size: np.ndarray, alphabet: int, min_count: int = 24, max_rules: int = 16_000, per_round: int = 4_000, max_rounds: int = 6) -> bytes:
-    symbol, sizes, rules = re_pair(ids, doc_size, alphabet, min_count, max_rules, per_round, max_rounds)
+def pack_shard(ids: np.ndarray, doc_size: np.ndarray, alphabet: int, min_count: int = MIN_COUNT) -> bytes:
+    symbol, sizes, rules = re_pair(ids, doc_size, alphabet, min_count)
     length = np.ones(alphabet + len(rules), np.uint32)
     for k, (a, b) in enumerate(rules):
         length[alphabet + k] = length[a] + length[b]
@@ -282,16 +310,18 @@ def _write_batches(path: str, end_id: int, alphabet: int, shard_ids: int):
 
 def write_token_shards(
     spark: SparkSession, docs: DataFrame, tokenizer_path: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text",
-    end_id: int = 1, alphabet: int = 49_408, shard_ids: int = 1_500_000, parts: int | None = None,
+    end_id: int = 1, alphabet: int | None = None, shard_ids: int = 1_500_000, parts: int | None = None,
 ) -> DataFrame:
     """Write the shards in ascending id order and return the table read back.
 
     One range exchange of (id, text).  Equal ids are spread by a hash of their
     text, so a hot id does not fill one partition.  A null text is the end id
     alone.  ``shard_ids`` bounds a grammar's sequence (a longer document still
-    is one document of one shard).
+    is one document of one shard).  Nonterminals are numbered from ``alphabet``,
+    the first id beyond the vocabulary unless given.
     """
     bound_batches(spark)
+    alphabet = alphabet or max(vocabulary_size(tokenizer_path), end_id + 1)
     slim = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text").alias("tie")
@@ -333,6 +363,11 @@ def read_token_index(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Encode, write shards, read them back.  An empty table gives an empty result."""
+    """Encode, write shards, read them back.
+
+    Per row: id, start, n_tokens, ids_crc32.  A null or empty text is the end id
+    alone; repeated ids and rows keep their rows, in order of a hash of their
+    text; an empty table gives an empty result; other columns are not read.
+    """
     scratch = Scratch(spark, "token-shards")
     return read_token_index(write_token_shards(spark, docs, tokenizer_path, scratch, id_col, text_col, **options), id_col)

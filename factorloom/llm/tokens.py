@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.chunks import Pieces, byte_mapped, text_slices
+from factorloom.llm.chunks import PROBES, Pieces, byte_mapped, text_slices
 from factorloom.llm.common import bound_batches, releasing
 
 NONE = np.int64(2**31 - 1)
@@ -51,6 +51,23 @@ class RaggedBpe:
         # small words reach the merges as their bytes, if the library's own steps say so
         probe = "a the straße étude où naïve".split()
         self.by_bytes = all(self.pieces(w) == ([byte_mapped(w.encode())], 0) for w in probe)
+        # texts are cut at spaces if the probes count the same so, else they stay whole
+        want = [len(e.ids) for e in self.tokenizer.encode_batch(PROBES, add_special_tokens=False)]
+        self.cuts = self.count_texts(pa.array(PROBES), True).tolist() == want
+        if not self.cuts and self.count_texts(pa.array(PROBES), False).tolist() != want:
+            raise ValueError(f"{path} is not a byte-pair vocabulary whose counts merging by rank can give")
+
+    def count_texts(self, texts: pa.Array, cut: bool) -> np.ndarray:
+        """Tokens of each text, by its distinct pieces or whole."""
+        if not cut:
+            whole = [self.pieces(t or "") for t in texts.to_pylist()]
+            tokens = np.r_[0, np.cumsum(self.count([p for ps, _ in whole for p in ps]))]
+            ends = np.cumsum([0, *(len(ps) for ps, _ in whole)])
+            return np.diff(tokens[ends]) + np.array([s for _, s in whole], np.int64)
+        pieces = Pieces(texts)
+        counts = self.count_pieces(pieces)
+        per_chunk = counts[pieces.head] + np.where(pieces.tail >= 0, counts[pieces.tail], 0)
+        return np.diff(np.r_[0, np.cumsum(per_chunk[pieces.which])][pieces.bounds])
 
     def pieces(self, chunk: str) -> tuple[list[str], int]:
         """Byte-mapped pre-tokens of a text, and how many special tokens stand in it."""
@@ -127,11 +144,8 @@ def _count_batches(path: str):
         bpe = ragged_bpe(path)
         for batch in batches:
             for some in text_slices(batch):
-                pieces = Pieces(some.column(1).cast(pa.string()))
-                counts = bpe.count_pieces(pieces)
-                per_chunk = counts[pieces.head] + np.where(pieces.tail >= 0, counts[pieces.tail], 0)
-                ends = np.r_[0, np.cumsum(per_chunk[pieces.which])][pieces.bounds]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.diff(ends), pa.int64())], ["id", "n_tokens"])
+                counts = bpe.count_texts(some.column(1).cast(pa.string()), bpe.cuts)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.int64())], ["id", "n_tokens"])
 
     return releasing(run)
 
@@ -141,9 +155,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     Map-only: one scan, no shuffle, so a hot source or repeated rows move no
     data.  A null text counts as empty (0 bytes, 0 tokens); repeated ids stay
-    separate rows; other columns are not read.  The vocabulary's pre-tokeniser
-    never joins across a space or a line feed, so texts are cut there and each
-    distinct piece of a slice of about 16 MB of text is merged once.
+    separate rows; an empty table gives an empty result; other columns are not
+    read.  Where the vocabulary's pre-tokeniser never joins across a space or a
+    line feed (probed once), texts are cut there and each distinct piece of a
+    slice of about 16 MB of text is merged once; else texts stay whole.
     """
     bound_batches(docs.sparkSession)
     out_id = docs.schema[id_col].dataType.simpleString()

@@ -81,7 +81,7 @@ def test_re_pair_grammar_and_random_access():
     draw = np.random.default_rng(3)
     sizes = np.array([0, 5, 1, 4000, 0, 300])
     ids = draw.integers(0, 6, int(sizes.sum())).astype(np.uint32)
-    symbol, per_doc, rules = re_pair(ids, sizes, 10, 4, 100, 20, 8)
+    symbol, per_doc, rules = re_pair(ids, sizes, 10, 4)
     assert rules and len(symbol) < len(ids) and per_doc.sum() == len(symbol) and per_doc[0] == 0
     shard = Shard(pack_shard(ids, sizes, 10, min_count=4))
     assert shard.expand(0, len(shard.symbol)).tolist() == ids.tolist()
@@ -95,6 +95,117 @@ def test_re_pair_grammar_and_random_access():
     assert wide.document(0).tolist() == [7] * 1000
 
 
+def most_frequent_pair(symbol, sizes):
+    last = np.zeros(len(symbol), bool)
+    last[np.cumsum(sizes)[sizes > 0] - 1] = True
+    pairs = collections.Counter(zip(symbol[:-1][~last[:-1]].tolist(), symbol[1:][~last[:-1]].tolist(), strict=True))
+    return max(pairs.values(), default=0)
+
+
+def test_re_pair_leaves_no_frequent_pair(library):
+    docs = spark_free_documents()
+    got = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in docs]
+    ids, sizes = np.array([x for g in got for x in g], np.uint32), np.array(list(map(len, got)))
+    symbol, per_doc, rules = re_pair(ids, sizes, 49_408, token_output.MIN_COUNT)
+    assert most_frequent_pair(symbol, per_doc) < token_output.MIN_COUNT <= most_frequent_pair(ids, sizes)
+    payload = pack_shard(ids, sizes, 49_408)
+    assert len(symbol) < 0.85 * len(ids) and len(payload) < 0.6 * 4 * len(ids) and rules
+    assert Shard(payload).expand(0, len(symbol)).tolist() == ids.tolist()
+    passage = np.arange(5000, dtype=np.uint32)  # long repeats fold to single symbols
+    symbol, per_doc, _ = re_pair(np.tile(passage, 30), np.full(30, 5000), 5000, 24)
+    assert per_doc.tolist() == [1] * 30
+
+
+def spark_free_documents():
+    import pyarrow.parquet as pq
+
+    return [t or "" for t in pq.read_table(f"{DATA.replace('0.001', '0.01')}/documents.parquet", columns=["text"]).column("text").to_pylist()]
+
+
+def test_other_vocabularies_keep_texts_whole(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        spec = json.load(file)
+    # the same merges without lower-casing: small and capital letters differ, so cutting by case-folded pieces is wrong
+    path = str(tmp_path / "cased.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(spec | {"normalizer": None}, file)
+    cased = Tokenizer.from_file(path)
+    assert not ragged_bpe(path).cuts and ragged_bpe(tokenizer_path()).cuts
+    assert not token_output.ChunkEncoder(path).cuts and token_output.chunk_encoder(tokenizer_path()).cuts
+    docs = frame(spark, [*ODD, "Hello WORLD hello"])
+    want = {k: len(cased.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate([*ODD, "Hello WORLD hello"])}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts(docs, path).collect()} == want
+    assert {r["doc_id"]: r["n_tokens"] - 1 for r in run_token_output(spark, docs, path).collect()} == want
+
+
+def brute_language(docs, held, words_per_lang, grams_per_lang):
+    """Languages and scores of ``docs`` (id, text, lang) by the definition, one word at a time."""
+    import math
+
+    import regex
+
+    letters = lambda t: regex.findall(r"\p{L}+", t.lower())
+    counts = collections.defaultdict(collections.Counter)  # lang -> (n, gram)
+    for k, text, lang in docs:
+        if lang is not None and text is not None and not held(k):
+            for w in letters(text):
+                counts[lang][0, w] += 1
+                for n in range(1, 6):
+                    for g in grams_of(w, n):
+                        counts[lang][n, g] += 1
+    langs, known = sorted(counts), set()
+    for c in counts.values():
+        for of_words, most in ((True, words_per_lang), (False, grams_per_lang)):
+            known.update(sorted((g for g in c if (g[0] == 0) == of_words), key=lambda g: (-c[g], g))[:most])
+    seen = {(x, n): max(1, sum(counts[x][g] for g in known if g[0] == n)) for x in langs for n in range(6)}
+    least = lambda x, n: 0.1 * seen[x, n] / (sum(seen[y, n] for y in langs) / len(langs))
+    totals = {(x, n): sum(counts[x][g] + least(x, n) for g in known if g[0] == n) for x in langs for n in range(6)}
+    rows = {}
+    for g in known:
+        rate = [math.log((counts[x][g] + least(x, g[0])) / totals[x, g[0]]) for x in langs]
+        rows[g] = [r - math.log(sum(math.exp(q) for q in rate)) for r in rate]
+    out = {}
+    for k, text, _ in docs:
+        words = letters(text or "")
+        total = [0.0] * len(langs)
+        for w in words:
+            mine = [(0, w)] if (0, w) in rows else next((f for n in range(min(5, len(w) + 2), 0, -1) if (f := [(n, g) for g in grams_of(w, n) if (n, g) in rows])), [])
+            total = [t + sum(rows[g][i] for g in mine) / max(1, len(mine)) for i, t in enumerate(total)]
+        if not words:
+            out[k] = ("und", 0.0)
+            continue
+        mean = [t / len(words) * min(len(words), 40) for t in total]
+        odds = [math.exp(m - max(mean)) for m in mean]
+        out[k] = (langs[odds.index(max(odds))], max(odds) / sum(odds))
+    return out
+
+
+def test_language_scores_equal_brute_force(spark):
+    texts = [*prose(21, 12, 9), "über straße", "", None, "Ab ab aB", "123 !!", "漢字 x", *ODD[3:]]
+    langs = ["x", "y", None, "small"] * 3 + ["y"] * (len(texts) - 12)
+    texts = [f"{t} {'ein haus' if lang == 'y' else 'a house'}" if t else t for t, lang in zip(texts, langs, strict=True)]
+    docs = frame(spark, texts, langs=langs)
+    held = lambda k: zlib.crc32(str(k).encode()) % 3 == 1
+    for most in (12_000, 7):  # all of a language's words, and its first few
+        model = fit_language_model(spark, docs, words_per_lang=most, grams_per_lang=most)
+        want = brute_language([(k, t, x) for k, (t, x) in enumerate(zip(texts, langs, strict=True))], held, most, most)
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict_language(spark, docs, model).collect()}
+        assert got.keys() == want.keys()
+        for k, (lang, score) in want.items():
+            assert got[k][1] == pytest.approx(score, abs=1e-3) and (got[k][0] == lang or abs(score - 1 / 3) < 1e-3), (k, got[k], want[k])
+
+
+def test_a_small_language_keeps_its_words(spark):
+    big = prose(22, 60, 40)
+    docs = frame(spark, [*big, *["kleine sprache eigene worte"] * 8], langs=["big"] * 60 + ["small"] * 8)
+    model = fit_language_model(spark, docs, words_per_lang=50, grams_per_lang=50)
+    assert {"kleine", "sprache", "eigene", "worte"} <= model.words.keys() and len(model.words) <= 54
+
+
 def test_language_held_out_accuracy_and_edges(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = fit_language_model(spark, docs)
@@ -154,7 +265,13 @@ def test_mixing_inverts_poisson_and_keeps_columns(spark):
     assert mix_sources(spark, docs.limit(0)).count() == 0
     few = frame(spark, ["t"] * 3, sources=["big", "big", "small"])
     many = mix_sources(spark, few, targets={"small": 1.0}, epochs=400.0).where("source = 'small'").count()
-    assert 1000 <= many <= 1400  # a rate of 1200: a base and a drawn rest
+    assert 1000 <= many <= 1400  # a rate of 1200: a sum of four draws
+
+
+def test_mixing_at_a_high_rate_is_poisson(spark):
+    docs = spark.range(2400).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, "s").otherwise("t").alias("source"))
+    counts = mix_sources(spark, docs, targets={"s": 1.0}, epochs=500 * 2000 / 2400).groupBy("doc_id").count().select(F.avg("count"), F.var_samp("count"), F.count("count")).first()
+    assert counts[2] == 2000 and abs(counts[0] - 500) < 2 and abs(counts[1] - 500) < 50  # four and three standard errors
 
 
 def test_mixing_salted_join_gives_the_same(spark, monkeypatch):
@@ -286,6 +403,21 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
     assert contained_items(spark, docs.limit(0), bench).count() == 0
 
 
+def test_recall_of_containment_by_item_length(spark):
+    draw, items, texts = random.Random(31), [], []
+    for k in range(600):
+        n = (5, 6, 7, 9, 14, 30)[k % 6]
+        words = [f"i{k}w{j}" for j in range(n)]
+        items.append(" ".join(words))
+        if n >= 30:
+            words[0] = "changed"
+        texts.append(" ".join([*(f"x{draw.randrange(9999)}" for _ in range(50)), *words, *(f"y{draw.randrange(9999)}" for _ in range(50))]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = collections.Counter(len(items[r["item_id"]].split()) for r in contained_items(spark, frame(spark, texts), bench).collect())
+    assert found[5] == found[6] == found[7] == 100  # up to four shingles: exact (eight words are four shingles)
+    assert sum(found.values()) >= 599
+
+
 def test_chunks_of_one_batch_are_encoded_in_runs(library):
     encoder = token_output.chunk_encoder(tokenizer_path())
     texts = [*ODD, *prose(20, 30)]

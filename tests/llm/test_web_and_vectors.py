@@ -213,6 +213,8 @@ def test_url_verdicts_equal_brute_force(spark):
     wide = spark.createDataFrame([(k, f"http://w.h{k % 80}.example.com/{'x' * (k % 6)}") for k in range(400)], "page_id long, url string")
     got = {r["page_id"]: tuple(r)[1:] for r in url_verdicts(spark, wide, many).collect()}
     assert got == {r["page_id"]: judged(r["url"], many) for r in wide.collect()}
+    got = {r["page_id"]: tuple(r)[1:] for r in url_verdicts(spark, wide, many, max_bits=128).collect()}  # several shards
+    assert got == {r["page_id"]: judged(r["url"], many) for r in wide.collect()}
 
 
 def test_bloom_cascade_is_exact_over_its_universe(spark):
