@@ -8,17 +8,22 @@ their product), while ``rf`` (the return flag) stands alone.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.fixtures import ASIA, DOG
 from factorloom.functions.special import chi2_survival, entropy_bits
-from factorloom.model import Network
+from factorloom.model import Cpt, Network, Variable
 from factorloom.operators import causal, gaussian, graph, inference, learning, loopy, sensitivity, statistics
 from factorloom.operators.factor import Factor
 from factorloom.plans.elimination import eliminate
+from factorloom.plans.junction import CompiledNetwork
+from factorloom.plans.lineage import shared_folder
+from factorloom.session import Session
 from factorloom.sources import formats, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -725,6 +730,150 @@ def forward_sample(spark, sf_dir):
     return drawn.groupBy("smoke", "lung").agg(F.count(F.lit(1)).alias("n"))
 
 
+# more of the model: files, samples, sessions, paths, a mid-size and a loopy network
+
+
+def saved(spark: SparkSession, df: DataFrame, name: str, form: str = "text", **options) -> str:
+    """Write to the shared folder and return the path."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.format(form).options(**options).save(path)
+    return path
+
+
+@registered("SELECT r_name AS name, CAST(r_regionkey AS VARCHAR) AS key FROM region")
+def csv_file(spark, sf_dir):
+    """A delimited file, written and read through the sniffing reader."""
+    path = saved(spark, table(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("key")).coalesce(1), "csv", "csv", header=True, sep=";")
+    return readers.read_training_csv(spark, path).select("name", "key")
+
+
+@registered(CELLS_SQL)
+def json_cells(spark, sf_dir):
+    """Every cell's value through the JSON text of a network in a file."""
+    path = saved(spark, spark.createDataFrame([(formats.to_json(formats.parse_bif(BIF_TEXT)),)], "value string"), "json")
+    return formats.from_json(spark.read.text(path, wholetext=True).first()["value"]).cells_df(spark)
+
+
+@registered(f"{values_sql(ASIA)} SELECT lung, smoke, true AS near FROM j GROUP BY lung, smoke")
+def forward_sample_share(spark, sf_dir):
+    """Shares of 20 000 draws lie within four standard errors of the model's joint distribution."""
+    drawn = readers.forward_sample(spark, ASIA, 20_000, seed=5).groupBy("smoke", "lung").agg((F.count(F.lit(1)) / 20_000).alias("share"))
+    truth = spark.createDataFrame([("yes", "yes", 0.05), ("yes", "no", 0.45), ("no", "yes", 0.005), ("no", "no", 0.495)], "smoke string, lung string, p double")
+    return truth.join(drawn, ["smoke", "lung"]).select("lung", "smoke", (F.abs(F.col("share") - F.col("p")) <= 4 * F.sqrt(F.col("p") * (1 - F.col("p")) / 20_000)).alias("near"))
+
+
+@registered("SELECT 'yes' AS rain, 'yes' AS wet, 9e-1 AS p")
+def point_lookup(spark, sf_dir):
+    """P(Wet = yes | Rain = yes) from the table's factor."""
+    net = formats.parse_bif(BIF_TEXT)
+    value = Factor.from_cpt(spark, net, net.cpts["Wet"]).evaluate({"Rain": 0, "Wet": 0})
+    return spark.createDataFrame([("yes", "yes", value)], "rain string, wet string, p double")
+
+
+@registered(ANALYTIC + ", abc AS (SELECT variable, parent_config, outcome, o * (c + 1) - b AS a, b, c FROM d) SELECT variable, parent_config, outcome, round((a * 25e-2 + b) / (c * 25e-2 + 1), 4) AS p FROM abc")
+def curve_at_quarter(spark, sf_dir):
+    """The analytic curves evaluated at 1/4."""
+    curves = sensitivity.analytic_sensitivity(spark, small_model(spark, sf_dir), ASKED, GIVEN)
+    return curves.select("variable", "parent_config", "outcome", F.round(sensitivity.curve_value(0.25), 4).alias("p"))
+
+
+@registered("SELECT 'Rain' AS variable, 'yes' AS outcome, round(CAST(18 AS DOUBLE) / 26, 6) AS p UNION ALL SELECT 'Rain', 'no', round(CAST(8 AS DOUBLE) / 26, 6)")
+def session_query(spark, sf_dir):
+    """A session: load a text, observe, query."""
+    session = Session(spark)
+    session.load(BIF_TEXT)
+    session.set_evidence("Wet", "yes")
+    return posterior(session.query(["Rain"]))
+
+
+@registered("SELECT * FROM (VALUES ('Rain', 'yes: 69.23%, no: 30.77%')) t(variable, text)")
+def session_text(spark, sf_dir):
+    session = Session(spark)
+    session.load(BIF_TEXT)
+    session.set_evidence("Wet", "yes")
+    return session.text(["Rain"])
+
+
+@registered("SELECT true AS calibrated, count(*) AS cliques FROM range(0, 6)")
+def calibration_gap(spark, sf_dir):
+    """Marginals of one variable read from different cliques agree."""
+    kernel = CompiledNetwork(ASIA)
+    return spark.createDataFrame([(kernel.calibration_gap({"xray": "yes"}) < 1e-12, len(kernel.cliques))], "calibrated boolean, cliques long")
+
+
+ASIA_EDGES = "e(src, dst) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in ASIA.edges()) + ")"
+
+
+@registered(f"WITH RECURSIVE {ASIA_EDGES}, r AS (SELECT src, dst, src || '>' || dst AS way FROM e UNION ALL SELECT r.src, e.dst, r.way || '>' || e.dst FROM r JOIN e ON e.src = r.dst) SELECT way FROM r WHERE src = 'smoke' AND dst = 'dysp'")
+def all_paths(spark, sf_dir):
+    return spark.createDataFrame([(">".join(p),) for p in graph.paths(ASIA.edges(), "smoke", "dysp")], "way string")
+
+
+@registered(
+    f"WITH RECURSIVE {ASIA_EDGES}, v AS (SELECT src AS v FROM e UNION SELECT dst FROM e), r AS (SELECT v, 0 AS d FROM v UNION SELECT e.dst, r.d + 1 FROM r JOIN e ON e.src = r.v)"
+    " SELECT v AS variable, max(d) AS depth FROM r GROUP BY v"
+)
+def node_depths(spark, sf_dir):
+    found = graph.depths(list(ASIA.variables), ASIA.edges())
+    return spark.createDataFrame(list(found.items()), "variable string, depth int")
+
+
+def chain_network(n: int, rows: int = 3) -> Network:
+    """A ladder of ``n`` binary variables, each with up to two parents: v(k) depends on v(k-1) and v(k-3)."""
+    names = [f"v{k}" for k in range(n)]
+    cpts = []
+    for k in range(n):
+        parents = tuple(names[p] for p in (k - 1, k - rows) if p >= 0) if k != 1 else (names[0],)
+        parents = tuple(dict.fromkeys(parents))
+        p = np.array([0.2 + 0.6 * ((7 * k + 3 * i) % 11) / 11 for i in range(2 ** len(parents))]).reshape([2] * len(parents))
+        cpts.append(Cpt(names[k], parents, np.stack([p, 1 - p], axis=-1)))
+    return Network("ladder", [Variable(v, ("yes", "no")) for v in names], cpts)
+
+
+#: Of the ladder, by the three latest variables: the joint distribution moves along in SQL.
+def ladder_sql(n: int) -> str:
+    cell = lambda k, i: f"{0.2 + 0.6 * ((7 * k + 3 * i) % 11) / 11:.17f}".rstrip("0")
+    net = chain_network(n)
+    out = ["s0(a, b, c, p) AS (SELECT v, -1, -1, CASE WHEN v = 0 THEN CAST(%s AS DOUBLE) ELSE 1 - CAST(%s AS DOUBLE) END FROM range(0, 2) r(v))" % (cell(0, 0), cell(0, 0))]
+    for k in range(1, n):
+        parents = net.parents(f"v{k}")
+        index = "a" if len(parents) == 1 else "2 * a + c"
+        case = "CASE " + index + "".join(f" WHEN {i} THEN CAST({cell(k, i)} AS DOUBLE)" for i in range(2 ** len(parents))) + " END"
+        out.append(f"s{k} AS (SELECT v AS a, a AS b, b AS c, sum(p * CASE WHEN v = 0 THEN {case} ELSE 1 - {case} END) AS p FROM s{k - 1}, range(0, 2) r(v) GROUP BY 1, 2, 3)")
+    return f"WITH {', '.join(out)} SELECT 'v{n - 1}' AS variable, CASE WHEN a = 0 THEN 'yes' ELSE 'no' END AS outcome, round(sum(p), 6) AS p FROM s{n - 1} GROUP BY a"
+
+
+LADDER = 60
+
+
+@registered(ladder_sql(LADDER))
+def midsize_posterior(spark, sf_dir):
+    """A network of 60 variables through its text form and the junction forest."""
+    net = formats.parse_network(formats.to_xmlbif(chain_network(LADDER)))
+    return posterior(inference.infer(spark, net, variables=[f"v{LADDER - 1}"]))
+
+
+@registered("SELECT true AS converged, true AS near")
+def lbp_loopy(spark, sf_dir):
+    """Loopy propagation on a network with loops ends near the exact posteriors."""
+    found = loopy.loopy_belief_propagation(ASIA, {"xray": "yes"})
+    exact, _ = CompiledNetwork(ASIA).infer({"xray": "yes"})
+    gap = max(float(np.abs(found.posteriors[v] - exact[v]).max()) for v in exact)
+    return spark.createDataFrame([(bool(found.converged), gap < 0.05)], "converged boolean, near boolean")
+
+
+@registered(
+    "WITH t AS (SELECT l_returnflag AS f, l_orderkey * CAST(1e1 AS DOUBLE) + CAST(17e8 AS DOUBLE) AS x, l_quantity + 5 * (l_orderkey * CAST(1e1 AS DOUBLE)) AS y FROM lineitem)"
+    " SELECT f AS config_key, round(regr_slope(y, x), 3) AS slope, count(*) AS n FROM t GROUP BY f"
+)
+def clg_fit_timestamps(spark, sf_dir):
+    """A regression on values of the size of timestamps."""
+    far = F.col("l_orderkey") * F.lit(10.0)
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", (far + 1.7e9).alias("x"), (F.col("l_quantity") + 5 * far).alias("y"))
+    fit = gaussian.fit_linear_gaussian(lines, "y", ["x"], ["l_returnflag"])
+    return fit.select("config_key", F.round(F.get("coefficients", 0), 3).alias("slope"), "n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -40,14 +40,13 @@ def thresholds(data: DataFrame, column: str, method: str = "equal-width", bins:
     if not total:
         raise ValueError("no values")
     ranks = [i * total // bins for i in range(1, bins)]
-    # a coarse pass by buckets of the value range keeps the running sum off a single task
+    # a coarse pass by buckets of about equal numbers of distinct values keeps the running sum off a single task
     upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("v"))
-    lo, hi = counts.agg(F.min("v"), F.max("v")).first()
-    step = (hi - lo) / 256 or 1.0
-    placed = counts.withColumn("bucket", F.least(F.lit(255), F.floor((F.col("v") - lo) / step)))
-    sizes = {r["bucket"]: r["n"] for r in placed.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # 256 rows
+    cuts = sorted(set(counts.approxQuantile("v", [k / 256 for k in range(1, 256)], 0.001)))
+    placed = counts.withColumn("bucket", F.size(F.filter(F.lit(cuts or [0.0]), lambda c: c <= F.col("v"))))
+    sizes = {r["bucket"]: r["n"] for r in placed.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # at most 256 rows
     before, start = {}, 0
-    for b in range(256):
+    for b in range(257):
         before[b] = start
         start += sizes.get(b, 0)
     wanted = {b: [r - before[b] for r in ranks if before[b] <= r < before[b] + sizes.get(b, 0)] for b in before}
@@ -76,18 +75,17 @@ PARAMETERS = "variable string, config_key string, intercept double, coefficients
 def fit_linear_gaussian(data: DataFrame, target: str, continuous: list[str], discrete: list[str]) -> DataFrame:
     """Least squares of ``target`` on ``continuous`` for each configuration of ``discrete``.
 
-    Rows are only summed: cross products per configuration combine before the
-    shuffle, and each configuration's small system is solved from one row.  A
-    configuration of no more rows than columns gets its mean and variance.
+    Rows are only summed: means and central co-moments per configuration combine
+    before the shuffle (large values such as timestamps lose nothing), and each
+    configuration's small system is solved from one row.  A configuration of no
+    more rows than columns gets its mean and variance.
     """
-    xs = ["1", *continuous]
-    x = lambda c: F.lit(1.0) if c == "1" else F.col(c).cast("double")
     clean = data.dropna(subset=[target, *continuous])
-    y = F.col(target).cast("double")
+    own = [F.col(c).cast("double") for c in (*continuous, target)]
     key = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in discrete]) if discrete else F.lit("")
-    sums = [F.sum(x(a) * x(b)).alias(f"s_{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs) if i <= j]
-    sums += [F.sum(x(a) * y).alias(f"t_{i}") for i, a in enumerate(xs)]
-    moments = clean.groupBy(key.alias("config_key")).agg(*sums, F.sum(y * y).alias("yy"), F.count(F.lit(1)).alias("n"))
+    means = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(own)]
+    central = [F.covar_pop(a, b).alias(f"s_{i}_{j}") for i, a in enumerate(own) for j, b in enumerate(own) if i <= j]
+    moments = clean.groupBy(key.alias("config_key")).agg(*means, *central, F.count(F.lit(1)).alias("n"))
     p = len(continuous)
 
     def solve(batches):
@@ -95,16 +93,18 @@ def fit_linear_gaussian(data: DataFrame, target: str, continuous: list[str], dis
             rows = []
             for r in batch.to_dict("records"):
                 n = int(r["n"])
+                whole = np.array([[r[f"s_{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)])
+                mean = np.array([r[f"m_{i}"] for i in range(p + 1)])
                 if n <= p:
-                    mean = r["t_0"] / n
-                    variance = (r["yy"] - n * mean * mean) / (n - 1) if n > 1 else 0.0
-                    rows.append((target, r["config_key"], mean, [0.0] * p, max(0.0, variance), n))
+                    rows.append((target, r["config_key"], float(mean[p]), [0.0] * p, max(0.0, whole[p, p] * n / (n - 1)) if n > 1 else 0.0, n))
                     continue
-                m = np.array([[r[f"s_{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)])
-                t = np.array([r[f"t_{i}"] for i in range(p + 1)])
-                beta = np.linalg.lstsq(m, t, rcond=1e-12)[0]
-                left = r["yy"] - 2 * beta @ t + beta @ m @ beta
-                rows.append((target, r["config_key"], float(beta[0]), beta[1:].tolist(), max(0.0, float(left)) / (n - p - 1) if n > p + 1 else 0.0, n))
+                # columns on one scale; a constant column takes no part
+                scale = np.sqrt(np.diag(whole)[:p])
+                scale[scale == 0] = 1.0
+                m, t = whole[:p, :p] / np.outer(scale, scale), whole[:p, p] / scale
+                beta = np.linalg.lstsq(m, t, rcond=1e-12)[0] / scale if p else np.zeros(0)
+                left = n * (whole[p, p] - 2 * beta @ whole[:p, p] + beta @ whole[:p, :p] @ beta)
+                rows.append((target, r["config_key"], float(mean[p] - beta @ mean[:p]), beta.tolist(), max(0.0, float(left)) / (n - p - 1) if n > p + 1 else 0.0, n))
             yield pd.DataFrame(rows, columns=["variable", "config_key", "intercept", "coefficients", "variance", "n"])
 
     return moments.mapInPandas(solve, PARAMETERS)

@@ -14,6 +14,8 @@ from factorloom.operators.graph import Edge, force_acyclic, reaches, topological
 from factorloom.operators.statistics import SufficientStatistics, chi2_sf, ci_from_counts, local_score
 
 TIE = 1e-9
+#: Families whose counts one job gives.
+FAMILIES_PER_JOB = 500
 
 
 @dataclass
@@ -115,7 +117,7 @@ def greedy_forward_backward(stats: SufficientStatistics, score: str = "bic", max
 
 
 def mulberry32(seed: int):
-    """The 32-bit generator whose draws seeded restarts are defined by."""
+    """The 32-bit generator whose draws seeded restarts are defined by (a published generator; its constants are fixed values)."""
     state = seed & 0xFFFFFFFF
     while True:
         state = (state + 0x6D2B79F5) & 0xFFFFFFFF
@@ -129,9 +131,17 @@ def order_search(stats: SufficientStatistics, score: str = "bic", max_parents: i
     scores = FamilyScores(stats, score, sample_prior, structure_prior)
     columns, draw = stats.columns, mulberry32(seed)
 
+    def parent_sets(before: list[str]) -> list[frozenset[str]]:
+        return [frozenset(s) for k in range(min(len(before), max_parents) + 1) for s in itertools.combinations(before, k)]
+
+    def ask(orders: list[list[str]]) -> None:
+        """Fetch the families of several orders together."""
+        wanted = list(dict.fromkeys((c, o) for order in orders for k, c in enumerate(order) for o in parent_sets(order[:k])))
+        for at in range(0, len(wanted), FAMILIES_PER_JOB):
+            scores.ask(wanted[at : at + FAMILIES_PER_JOB])
+
     def best_parents(child: str, before: list[str]) -> frozenset[str]:
-        options = [frozenset(s) for k in range(min(len(before), max_parents) + 1) for s in itertools.combinations(before, k)]
-        scores.ask([(child, o) for o in options])
+        options = parent_sets(before)
         best = options[0]
         for o in options[1:]:
             if scores(child, o) > scores(child, best) + TIE:
@@ -155,12 +165,12 @@ def order_search(stats: SufficientStatistics, score: str = "bic", max_parents: i
             for i in range(len(order) - 1, 0, -1):
                 j = math.floor(next(draw) * (i + 1))
                 order[i], order[j] = order[j], order[i]
+        ask([order])
         now = value(order)
         while True:
-            tries = []
-            for k in range(len(order) - 1):
-                swapped = [*order[:k], order[k + 1], order[k], *order[k + 2 :]]
-                tries.append((value(swapped), swapped))
+            swaps = [[*order[:k], order[k + 1], order[k], *order[k + 2 :]] for k in range(len(order) - 1)]
+            ask(swaps)
+            tries = [(value(swapped), swapped) for swapped in swaps]
             top = max(tries, key=lambda t: t[0][0], default=None)
             if top is None or top[0][0] <= now[0] + TIE:
                 break
@@ -200,18 +210,19 @@ def _skeleton(stats: SufficientStatistics, alpha: float, kind: str, max_conditio
         return chi2_sf(statistic, df)
 
     limit = len(columns) - 2 if max_conditioning is None else min(max_conditioning, len(columns) - 2)
+    def options(view: dict[str, set[str]], x: str, y: str, size: int) -> list[tuple[str, ...]]:
+        sets = [itertools.combinations([c for c in columns if c in view[end] and c != other], size) for end, other in ((x, y), (y, x))]
+        return list(dict.fromkeys(itertools.chain.from_iterable(sets)))
+
     for size in range(limit + 1):
         changed, frozen = False, {c: set(s) for c, s in near.items()}
-        for x, y in itertools.combinations(columns, 2):
-            if y not in near[x]:
-                continue
-            view = frozen if stable else near
-            options = []
-            for end, other in ((x, y), (y, x)):
-                options += itertools.combinations([c for c in columns if c in view[end] and c != other], size)
-            options = list(dict.fromkeys(options))
-            stats.prefetch([(x, y, *s) for s in options])  # one job for the tests of a pair and level
-            for s in options:
+        linked = [(x, y) for x, y in itertools.combinations(columns, 2) if y in near[x]]
+        # neighbours only get fewer within a level, so these families hold all of its tests
+        wanted = [(x, y, *s) for x, y in linked for s in options(frozen, x, y, size)]
+        for at in range(0, len(wanted), FAMILIES_PER_JOB):
+            stats.prefetch(wanted[at : at + FAMILIES_PER_JOB])
+        for x, y in linked:
+            for s in options(frozen if stable else near, x, y, size):
                 tests += 1
                 if p_value(x, y, s) > alpha:
                     near[x].discard(y)

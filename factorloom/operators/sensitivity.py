@@ -17,12 +17,16 @@ from factorloom.functions.special import entropy_bits
 from factorloom.model import Cpt, Network
 from factorloom.operators.graph import d_connected
 from factorloom.operators.inference import infer_batch
-from factorloom.plans.junction import CompiledNetwork, compilations
+from factorloom.plans.junction import compilations
 
 PARAMETERS = "param_id long, variable string, parent_config string, row_idx int, outcome_idx int, outcome string, theta double"
 
 
 def perturb(net: Network, variable: str, row: int, outcome: int, theta: float) -> Network:
+    return net.replace_cpt(perturbed_table(net, variable, row, outcome, theta))
+
+
+def perturbed_table(net: Network, variable: str, row: int, outcome: int, theta: float) -> Cpt:
     """Set one cell (clamped to [0, 1]); the rest of its row keeps its proportions, or is uniform if it was zero."""
     cpt = net.cpts[variable]
     table = cpt.table.reshape(-1, cpt.table.shape[-1]).copy()
@@ -32,7 +36,7 @@ def perturb(net: Network, variable: str, row: int, outcome: int, theta: float) -
     others = np.arange(len(old)) != outcome
     table[row, others] = old[others] * ((1 - theta) / rest) if rest > 0 else (1 - theta) / max(1, len(old) - 1)
     table[row, outcome] = theta
-    return net.replace_cpt(Cpt(variable, cpt.parents, table))
+    return Cpt(variable, cpt.parents, table.reshape(cpt.table.shape))
 
 
 def parameters(spark: SparkSession, net: Network) -> DataFrame:
@@ -52,10 +56,11 @@ def _posterior_at(spark: SparkSession, net: Network, frame: DataFrame, query: tu
         raise ValueError(f"unknown outcome {query[1]!r} of {query[0]!r}")
 
     def solve(batches):
+        kernel = compilations().get(shared.value)  # the structure is the same for every cell
         for batch in batches:
             out = []
             for v, r, o, at in zip(batch["variable"], batch["row_idx"], batch["outcome_idx"], batch["at"], strict=True):
-                found, _ = CompiledNetwork(perturb(shared.value, v, r, o, at)).infer(evidence, wanted=[query[0]])
+                found, _ = kernel.with_table(perturbed_table(shared.value, v, r, o, at)).infer(evidence, wanted=[query[0]])
                 out.append(float(found[query[0]][code]))
             yield batch.assign(posterior=pd.Series(out, dtype=float))
 

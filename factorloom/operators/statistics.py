@@ -40,6 +40,10 @@ class SufficientStatistics:
         if not self.columns:
             raise ValueError("no columns")
         self.counts = joint_counts(data, self.columns).persist()
+        if outcomes is None:  # before any outcome comes to the driver
+            many = self.counts.agg(*[F.approx_count_distinct(c).alias(c) for c in self.columns]).first()
+            if sum(many) > MAX_DRIVER_CELLS:
+                raise ValueError("the columns have too many outcomes for the driver; bin them first")
         self.outcomes = outcomes or domains(self.counts, self.columns)
         self.variables = [Variable(c, tuple(self.outcomes[c])) for c in self.columns]
         self.cards = {c: len(self.outcomes[c]) for c in self.columns}
@@ -111,16 +115,17 @@ def laplace_cpt(data: DataFrame, child: str, parents: list[str]) -> DataFrame:
 # independence tests
 
 def contingency(data: DataFrame, x: str, y: str, given: list[str]) -> DataFrame:
-    """Per stratum the full grid of its x and y levels with observed and expected counts."""
+    """Per stratum the cells that occur, with observed ``_o`` and expected ``_e`` counts.
+
+    What the cells that do not occur add follows from the margins, so no grid is built.
+    """
     counts = joint_counts(data, [x, y, *given])
-    if given:
-        left, right = counts.select(*given, x).distinct(), counts.select(*given, y).distinct()
-        grid = left.join(right, given)
-    else:
-        grid = counts.select(x).distinct().crossJoin(counts.select(y).distinct())
-    full = grid.join(counts, [x, y, *given], "left").withColumn("_o", F.coalesce("_n", F.lit(0)).cast("double"))
-    over = lambda *c: F.sum("_o").over(Window.partitionBy(*given, *c) if given or c else Window.partitionBy(F.lit(1)))
-    return full.withColumn("_e", over(x) * over(y) / over())
+    rows = counts.groupBy(*given, x).agg(F.sum("_n").alias("_r"))
+    columns = counts.groupBy(*given, y).agg(F.sum("_n").alias("_c"))
+    strata = counts.groupBy(*given).agg(F.sum("_n").alias("_t"))
+    cells = counts.join(rows, [*given, x]).join(columns, [*given, y])
+    cells = cells.join(strata, given) if given else cells.crossJoin(F.broadcast(strata))  # one row
+    return cells.select(x, y, *given, F.col("_n").cast("double").alias("_o"), (F.col("_r") * (F.col("_c") / F.col("_t"))).alias("_e"))
 
 
 def independence_test(data: DataFrame, x: str, y: str, given: list[str] | None = None, kind: str = "g2") -> DataFrame:
@@ -128,17 +133,20 @@ def independence_test(data: DataFrame, x: str, y: str, given: list[str] | None =
     given = given or []
     cells = contingency(data, x, y, given)
     o, e = F.col("_o"), F.col("_e")
-    part = F.when(e > 0, (o - e) * (o - e) / e) if kind == "chi2" else F.when(o > 0, 2 * o * F.log(o / e))
-    strata = cells.groupBy(*given).agg(F.sum(F.coalesce(part, F.lit(0.0))).alias("_s"), F.countDistinct(x).alias("_r"), F.countDistinct(y).alias("_c"))
-    total = strata.agg(F.sum("_s").alias("statistic"), F.sum((F.col("_r") - 1) * (F.col("_c") - 1)).cast("long").alias("df"))
+    if kind == "chi2":  # a cell that does not occur adds its expected count
+        statistic = F.sum((o - e) * (o - e) / e) + F.sum(o) - F.sum(e)
+    else:
+        statistic = F.sum(2 * o * F.log(o / e))
+    levels = cells.groupBy(*given).agg(F.countDistinct(x).alias("_r"), F.countDistinct(y).alias("_c"))
+    df = levels.agg(F.sum((F.col("_r") - 1) * (F.col("_c") - 1)).cast("long").alias("df"))
+    total = cells.agg(statistic.alias("statistic")).crossJoin(F.broadcast(df))  # one row each
     return total.withColumn("p_value", chi2_survival(F.col("statistic"), F.col("df")))
 
 
 def mutual_information(data: DataFrame, x: str, y: str, given: list[str] | None = None) -> DataFrame:
     """One row ``mi``: (conditional) mutual information in nats."""
-    cells = contingency(data, x, y, given or [])
-    o = F.col("_o")
-    return cells.agg((F.sum(F.when(o > 0, o * F.log(o / F.col("_e"))).otherwise(0.0)) / F.sum("_o")).alias("mi"))
+    o, e = F.col("_o"), F.col("_e")
+    return contingency(data, x, y, given or []).agg((F.sum(o * F.log(o / e)) / F.sum("_o")).alias("mi"))
 
 
 def ci_from_counts(counts: np.ndarray, kind: str) -> tuple[float, int]:
@@ -209,26 +217,34 @@ def family_bic(data: DataFrame, child: str, parents: list[str]) -> DataFrame:
 def network_bic(spark: SparkSession, data: DataFrame, net: Network) -> DataFrame:
     """One row ``bic``: log likelihood of the rows under given tables less half the parameters times ln n.
 
-    Rows that show an outcome unknown to a family leave that family out.
+    Rows that show an outcome unknown to a family leave that family out.  One
+    scan of the data gives the counts of all families by GROUPING SETS; the
+    tables (bounded by the model) meet them by family and outcomes.
     """
-    parts = []
+    used = list(dict.fromkeys(s for c in net.cpts.values() for s in c.scope))
+    cells, params, sets = [], 0, []
     for c in net.cpts.values():
-        v = net.variables[c.variable]
-        cells = [(*[net.variables[s].outcomes[i] for s, i in zip(c.scope, at, strict=True)], float(p)) for at, p in np.ndenumerate(c.table) for at in [at]]
-        table = spark.createDataFrame(cells, ", ".join(f"`{s}` string" for s in c.scope) + ", _p double")
-        counts = joint_counts(data, list(c.scope))
-        fit = counts.join(F.broadcast(table), list(c.scope)).where("_p > 0").agg(F.sum(F.col("_n") * F.log("_p")).alias("fit"))
-        parts.append(fit.select(F.coalesce("fit", F.lit(0.0)).alias("fit"), F.lit((v.card - 1) * (c.table.size // v.card)).alias("params")))
-    union = functools.reduce(DataFrame.unionByName, parts).agg(F.sum("fit").alias("fit"), F.sum("params").alias("params"))
-    rows = data.agg(F.count(F.lit(1)).alias("rows"))
-    return union.crossJoin(rows).select((F.col("fit") - F.col("params") / 2 * F.log("rows")).alias("bic"))
+        card = net.variables[c.variable].card
+        params += (card - 1) * (c.table.size // card)
+        sets.append([s for s in used if s in c.scope])
+        mark = sum(1 << (len(used) - 1 - i) for i, s in enumerate(used) if s not in c.scope)
+        for at, p in np.ndenumerate(c.table):
+            shown = {s: net.variables[s].outcomes[i] for s, i in zip(c.scope, at, strict=True)}
+            cells.append((mark, [shown[s] for s in sets[-1]], float(p)))
+    table = spark.createDataFrame(cells, "_g long, _key array<string>, _p double")
+    clean = data.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in used])
+    counts = clean.groupingSets(sets, *used).agg(F.count(F.lit(1)).alias("_n"), F.grouping_id(*used).alias("_g"))
+    # a column outside the set is null, one of the set never
+    keyed = counts.select(F.array_compact(F.array(*used)).alias("_key"), "_g", "_n")
+    rows = keyed.where(F.col("_g") == cells[0][0]).agg(F.sum("_n").alias("rows"))
+    fit = keyed.join(table, ["_g", "_key"]).where("_p > 0").agg(F.coalesce(F.sum(F.col("_n") * F.log("_p")), F.lit(0.0)).alias("fit"))
+    return fit.crossJoin(F.broadcast(rows)).select((F.col("fit") - F.lit(params / 2) * F.log("rows")).alias("bic"))
 
 
 def marginal_entropy(data: DataFrame, column: str) -> DataFrame:
     """One row ``entropy``: nats."""
-    counts = joint_counts(data, [column])
-    p = F.col("_n") / F.sum("_n").over(Window.partitionBy(F.lit(1)))
-    return counts.withColumn("_p", p).agg((-F.sum(F.col("_p") * F.log("_p"))).alias("entropy"))
+    n = F.col("_n").cast("double")
+    return joint_counts(data, [column]).agg((F.log(F.sum(n)) - F.sum(n * F.log(n)) / F.sum(n)).alias("entropy"))
 
 
 def binned(value: Column, thresholds: list[float], labels: list[str]) -> Column:

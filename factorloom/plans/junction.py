@@ -6,12 +6,13 @@ product over the chunk.  Every connected component is calibrated.
 
 from __future__ import annotations
 
+import copy
 import functools
 from collections.abc import Mapping
 
 import numpy as np
 
-from factorloom.model import Network
+from factorloom.model import Cpt, Network
 from factorloom.operators.graph import junction_forest, maximal_cliques, moral_neighbours
 
 #: Cells of clique tables that a chunk of cases may hold.
@@ -42,8 +43,11 @@ class CompiledNetwork:
         self.tree = junction_forest(self.cliques)
         sets = [set(c) for c in self.cliques]
         self.base = [np.ones((1, *[self.cards[v] for v in c])) for c in self.cliques]
+        self.cpts = dict(net.cpts)
+        self.held: dict[int, list[str]] = {}  # tables of each clique
         for cpt in net.cpts.values():
             k = next(i for i, s in enumerate(sets) if s.issuperset(cpt.scope))
+            self.held.setdefault(k, []).append(cpt.variable)
             self.base[k] = self.base[k] * _expand(cpt.table[None], cpt.scope, self.cliques[k])
         self.home = {v: next(i for i, c in enumerate(self.cliques) if v in c) for v in self.names}
         self.cells = max(b.size for b in self.base)
@@ -69,6 +73,17 @@ class CompiledNetwork:
                         stack.append(n)
             self.inward += reversed(order)
 
+    def with_table(self, cpt: Cpt) -> CompiledNetwork:
+        """The same structure with one other table of the same scope: only its clique is filled anew."""
+        out = copy.copy(self)
+        out.cpts, out.base = self.cpts | {cpt.variable: cpt}, list(self.base)
+        k = next(i for i, names in self.held.items() if cpt.variable in names)
+        out.base[k] = np.ones((1, *[self.cards[v] for v in self.cliques[k]]))
+        for name in self.held[k]:
+            one = out.cpts[name]
+            out.base[k] = out.base[k] * _expand(one.table[None], one.scope, self.cliques[k])
+        return out
+
     def calibrate(self, weights: Mapping[str, np.ndarray], n: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
         """Clique beliefs with a leading case axis, and the probability of each case's evidence.
 
@@ -90,14 +105,18 @@ class CompiledNetwork:
             sent[a, b] = message(gather[a], a, b, sep)
             gather[b] = gather[b] * sent[a, b]
         belief = list(gather)
+        received: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for (s, t), m in sent.items():
+            received.setdefault(t, []).append((s, m))
         for a, b, sep in reversed(self.inward):
             # what b knows without a's own message, so that nothing is divided by zero
             others = pot[b]
-            for (s, t), m in sent.items():
-                if t == b and s != a:
+            for s, m in received[b]:
+                if s != a:
                     others = others * m
-            sent[b, a] = message(others, b, a, sep)
-            belief[a] = belief[a] * sent[b, a]
+            back = message(others, b, a, sep)
+            received.setdefault(a, []).append((b, back))
+            belief[a] = belief[a] * back
         evidence = np.ones(n)
         for r in self.roots:
             evidence = evidence * belief[r].reshape(belief[r].shape[0], -1).sum(axis=1)

@@ -195,3 +195,25 @@ def test_query_equals_its_sql(spark, name):
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
     plain = lambda rows: sorted((tuple(round(float(v), 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
     assert plain(tuple(r[c] for c in columns) for r in df.collect()) == plain(want)
+
+
+def test_regression_on_large_values(spark):
+    import numpy as np
+
+    from factorloom.operators.gaussian import fit_linear_gaussian
+
+    draw = np.random.default_rng(4)
+    rows = [("a", 1.7e9 + k, 5.0 * k) for k in range(1000)] + [("b", float(k), 1e9 + 5.0 * k + x) for k, x in enumerate(draw.uniform(-0.5, 0.5, 1000).tolist())]
+    rows += [("c", 3.0, float(k)) for k in range(5)] + [("d", 1.0, 2.0)]
+    got = {r["config_key"]: r for r in fit_linear_gaussian(spark.createDataFrame(rows, "g string, x double, y double"), "y", ["x"], ["g"]).collect()}
+    assert abs(got["a"]["coefficients"][0] - 5) < 1e-6 and abs(got["a"]["intercept"] / (-5 * 1.7e9) - 1) < 1e-6 and got["a"]["variance"] < 1e-3
+    assert abs(got["b"]["coefficients"][0] - 5) < 1e-3 and abs(got["b"]["variance"] - 1 / 12) < 0.02
+    assert got["c"]["coefficients"] == [0] and got["c"]["intercept"] == 2 and got["d"]["intercept"] == 2
+
+
+def test_skewed_values_have_equal_frequency_bins(spark):
+    from factorloom.operators.gaussian import thresholds
+
+    values = spark.range(4000).selectExpr("cast(case when id % 400 = 0 then 1e12 + id else id % 1000 end as double) as v")
+    rows = sorted(r["v"] for r in values.collect())
+    assert thresholds(values, "v", "equal-frequency", 8) == sorted({rows[i * 4000 // 8] for i in range(1, 8)})
