@@ -1,18 +1,18 @@
 """Chat messages linked by their quotations; DataFrame and SQL functions only.
 
 Lines are grouped into passages of one quote level (the number of leading
-``>``).  Passages, their paragraphs and their lines are normalised and hashed.
-A quoted passage points to the latest earlier message of its conversation whose
-own words (level 0) have that hash; a message replies to the message that its
-longest level-1 match points to, else to the message before it.  The reply text
-is the message without its quoted lines.  With ``every_level``, passages of all
-levels point to their originals, all those links are returned, and the
-shallowest gives the parent.
+``>``).  Passages of all levels, their paragraphs and their lines are normalised
+and hashed.  A quoted passage points to the latest earlier message of its
+conversation whose own words (level 0) have that hash; a message replies to the
+message that its shallowest and longest match points to, else to the message
+before it.  Conversations are the threads of these replies, each parent before
+its replies, without the quoted lines.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from factorloom.llm.common import Scratch
 #: Turns of one conversation and passage that a window sees at once; blocks of turns are combined in a second step.
 TURN_BLOCK = 512
 QUOTE_MARK = r"^(?:[ \t]*>)+"
-#: Quoted pieces shorter than this many normalised characters are too common to point anywhere.
+#: Paragraphs and lines inside a message or passage link from this many normalised characters on: a stray "no" is not a quotation.  Whole passages and messages link at any length.
 LEAST_PIECE = 4
 
 
@@ -47,38 +47,39 @@ def latest_before(events: DataFrame, keys: list[str], turn: str, source: str, ou
     return inside.join(per_block, [*keys, "tb"]).withColumn(out, F.coalesce("in_block", "before_block")).drop("in_block", "before_block", "tb")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def parse_quotes(messages: DataFrame) -> DataFrame:
     """Adds ``passages`` (level, raw text of each run of one level) and ``reply`` (level 0 text) to rows with ``text``.
 
-    A blank line belongs to the run it follows.
+    A blank line belongs to the run it follows.  Runs are found by where they
+    begin, so a message of any number of lines takes time in proportion.
     """
-    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), "\n")
+    text = F.coalesce("text", F.lit(""))
+    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
     level = lambda line: F.length(F.regexp_replace(F.regexp_extract(line, QUOTE_MARK, 0), r"[^>]", ""))
     parsed = F.transform(lines, lambda s: F.struct(level(s).alias("level"), F.regexp_replace(s, QUOTE_MARK + r"[ \t]?", "").alias("line")))
-    # fold lines into runs of one level
-    empty = F.expr("cast(array() as array<struct<level:int,text:string>>)")
-
-    def add(runs, x):
-        same = (F.size(runs) > 0) & (F.element_at(runs, -1)["level"] == x["level"])
-        blank = (F.size(runs) > 0) & (F.trim(x["line"]) == "") & (x["level"] == 0)
-        last = F.element_at(runs, -1)
-        longer = F.struct(last["level"].alias("level"), F.concat(last["text"], F.lit("\n"), x["line"]).alias("text"))
-        return F.when(same | blank, F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(longer))).otherwise(
-            F.concat(runs, F.array(F.struct(x["level"].alias("level"), x["line"].alias("text"))))
-        )
-
-    has_quote = F.coalesce(F.col("text"), F.lit("")).rlike(r"(?m)^[ \t]*>")
-    runs = F.when(has_quote, F.aggregate(parsed, empty, add)).otherwise(F.array(F.struct(F.lit(0).alias("level"), F.coalesce("text", F.lit("")).alias("text"))))
-    own = F.trim(F.array_join(F.transform(F.filter(F.col("passages"), lambda p: p["level"] == 0), lambda p: F.regexp_replace(p["text"], r"\A\s+|\s+\z", "")), "\n"))
-    return messages.withColumn("passages", runs).withColumn("reply", F.when(has_quote, own).otherwise(F.trim(F.coalesce("text", F.lit("")))))
-
-
-def _pieces(passage_text: Column) -> Column:
-    """A passage, its paragraphs and its lines, normalised, each once, without the shortest."""
-    paragraphs = F.split(passage_text, r"\n[ \t>]*\n")
-    lines = F.split(passage_text, "\n")
-    pieces = F.transform(F.concat(F.array(passage_text), paragraphs, lines), lambda s: normalised(s))
-    return F.filter(F.array_distinct(pieces), lambda s: F.length(s) >= LEAST_PIECE)
+    upto = lambda xs: F.sequence(F.lit(0), F.size(xs) - 1)
+    blank = lambda x: (x["level"] == 0) & (F.trim(x["line"]) == "")
+
+    def runs_of(p: Column) -> Column:
+        solid = F.filter(upto(p), lambda i: (i == 0) | ~blank(F.get(p, i)))
+        at = lambda so, k: F.get(p, F.get(so, k))["level"]
+        starts = let(solid, lambda so: F.transform(F.filter(upto(so), lambda k: (k == 0) | (at(so, k) != at(so, k - 1))), lambda k: F.get(so, k)))
+
+        def run(st: Column, s: Column, j: Column) -> Column:
+            past = F.coalesce(F.get(st, j + 1), F.size(p))
+            return F.struct(F.get(p, s)["level"].alias("level"), F.array_join(F.transform(F.slice(p, s + 1, past - s), lambda x: x["line"]), "\n").alias("text"))
+
+        return let(starts, lambda st: F.transform(st, lambda s, j: run(st, s, j)))
+
+    has_quote = text.rlike(r"(?m)^[ \t]*>")
+    runs = F.when(has_quote, let(parsed, runs_of)).otherwise(F.array(F.struct(F.lit(0).alias("level"), text.alias("text"))))
+    own = F.trim(F.array_join(F.transform(F.filter(F.col("passages"), lambda p: (p["level"] == 0) & p["text"].rlike(r"\S")), lambda p: F.regexp_replace(p["text"], r"\A\s+|\s+\z", "")), "\n"))
+    return messages.withColumn("passages", runs).withColumn("reply", F.when(has_quote, own).otherwise(F.trim(text)))
 
 
 def _placed_pieces(passage_text: Column) -> Column:
@@ -118,48 +119,35 @@ def quotation_links(placed: DataFrame) -> DataFrame:
 
 
 def link_conversations(
-    spark: SparkSession, messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", every_level: bool = False
+    spark: SparkSession, messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
-    """Per message: conversation, turn, role, thread, depth, parent_turn, link, quote_levels, reply.
+    """Per message: conversation, turn, role, thread, depth, parent_turn, link, quote_levels, reply, links.
 
     ``link`` is ``quote``, ``sequence`` (the turn before) or ``root``; ``thread``
     is the turn of the root reached by parents and ``depth`` the number of
     steps, so (conversation, thread, turn) is a reply order: every parent stands
-    before its replies.  ``reply`` has no quoted lines.  A null or empty text
-    is an empty reply and no source of quotes.  A null turn is a root of its
-    own that nothing replies to.  Messages that repeat a turn keep their rows
-    and share parents; a conversation may hold any share of the rows, since
-    windows see bounded blocks of turns.  Other columns are not read.
-
-    ``every_level`` adds ``links``, all of a message's quotations as (level,
-    turn, size) with the shallowest and longest first; the parent is the first
-    of its turn's.
+    before its replies.  ``reply`` has no quoted lines.  ``links`` are all of a
+    message's quotations as (level, turn, size), the shallowest and longest
+    first; the parent is the first of its turn's.  Paragraphs and lines inside
+    a passage link from ``LEAST_PIECE`` characters on, whole ones at any length.
+
+    A null or empty text is an empty reply and no source of quotes.  Messages
+    with a null conversation are together one conversation.  A null turn is a
+    root of its own that nothing replies to.  Messages that repeat a turn keep
+    their rows and share parents; a conversation may hold any share of the
+    rows, since windows see bounded blocks of turns; an empty table gives an
+    empty result.  Other columns are not read.
     """
     scratch = Scratch(spark, "chat")
     base = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    # a null conversation is a conversation of its own
     base = base.withColumn("ckey", F.coalesce(F.concat(F.lit("c"), F.col("conv").cast("string")), F.lit("-")))
-    parsed = parse_quotes(base).select("conv", "ckey", "turn", "role", "reply", "passages")
-    if every_level:
-        parsed = parsed.withColumn("mid", F.xxhash64("passages"))
+    parsed = parse_quotes(base).select("conv", "ckey", "turn", "role", "reply", "passages").withColumn("mid", F.xxhash64("passages"))
     parsed = scratch.keep(parsed, "parsed")
 
     placed = parsed.where("turn is not null")
-    if every_level:
-        every = scratch.keep(quotation_links(placed), "links")
-        best = F.max(F.struct((-F.col("level")).alias("level"), "size", "target")).alias("best")
-        by_quote = every.groupBy("ckey", "turn").agg(best).select("ckey", "turn", F.col("best.target").alias("quote_turn"))
-    else:
-        # quoted pieces of level 1 (raw text of deeper levels is someone else's quotation)
-        quoted = placed.select("ckey", "turn", F.explode(F.filter("passages", lambda p: p["level"] == 1)).alias("p"))
-        quoted = quoted.select("ckey", "turn", F.explode(_pieces(F.col("p.text"))).alias("piece"))
-        quoted = quoted.select("ckey", "turn", F.length("piece").alias("size"), F.xxhash64("piece").alias("h"), F.lit(None).cast("long").alias("said"))
-        wanted = quoted.select("ckey", "h").distinct()
-        said = placed.select("ckey", "turn", F.explode(_pieces(F.col("reply"))).alias("piece"))
-        said = said.select("ckey", "turn", F.lit(None).cast("int").alias("size"), F.xxhash64("piece").alias("h"), F.col("turn").alias("said")).distinct()
-        said = said.join(wanted, ["ckey", "h"], "left_semi").select("ckey", "turn", "size", "h", "said")
-        matched = latest_before(quoted.unionByName(said), ["ckey", "h"], "turn", "said", "target").where("size is not null and target is not null")
-        by_quote = matched.groupBy("ckey", "turn").agg(F.max(F.struct("size", "target")).alias("best")).select("ckey", "turn", F.col("best.target").alias("quote_turn"))
+    every = scratch.keep(quotation_links(placed), "links")
+    best = F.max(F.struct((-F.col("level")).alias("level"), "size", "target")).alias("best")
+    by_quote = every.groupBy("ckey", "turn").agg(best).select("ckey", "turn", F.col("best.target").alias("quote_turn"))
 
     # one row a turn: its parent by quotation, else the turn before
     turns = placed.select("ckey", "turn").distinct().withColumn("said", F.col("turn"))
@@ -182,34 +170,43 @@ def link_conversations(
     tree = functools.reduce(DataFrame.unionByName, rooted)
 
     done = parsed.join(tree, ["ckey", "turn"], "left")
-    links = []
-    if every_level:
-        each = every.groupBy("ckey", "turn", "mid", "level", "target").agg(F.max("size").alias("size"))
-        each = each.groupBy("ckey", "turn", "mid").agg(F.sort_array(F.collect_list(F.struct("level", (-F.col("size")).alias("least"), (-F.col("target")).alias("target")))).alias("found"))
-        done = done.join(each, ["ckey", "turn", "mid"], "left")
-        link = lambda x: F.struct(x["level"].cast("long").alias("level"), (-x["target"]).alias("turn"), (-x["least"]).cast("long").alias("size"))
-        links = [F.coalesce(F.transform("found", link), F.expr("cast(array() as array<struct<level:bigint,turn:bigint,size:bigint>>)")).alias("links")]
+    each = every.groupBy("ckey", "turn", "mid", "level", "target").agg(F.max("size").alias("size"))
+    each = each.groupBy("ckey", "turn", "mid").agg(F.sort_array(F.collect_list(F.struct("level", (-F.col("size")).alias("least"), (-F.col("target")).alias("target")))).alias("found"))
+    done = done.join(each, ["ckey", "turn", "mid"], "left")
+    link = lambda x: F.struct(x["level"].cast("long").alias("level"), (-x["target"]).alias("turn"), (-x["least"]).cast("long").alias("size"))
+    links = F.coalesce(F.transform("found", link), F.expr("cast(array() as array<struct<level:bigint,turn:bigint,size:bigint>>)")).alias("links")
     return done.select(
         F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.coalesce("up", "turn").alias("thread"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.col("parent").alias("parent_turn"), F.coalesce("link", F.lit("root")).alias("link"),
-        F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).cast("long").alias("quote_levels"), "reply", *links,
+        F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).cast("long").alias("quote_levels"), "reply", links,
     )
 
 
 def format_threads(linked: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", segment: int = 256) -> DataFrame:
     """Reply-ordered conversations: per (conversation, thread, segment of ``segment`` turns) the chat text of its messages.
 
-    Segments bound the size of a row; concatenated in the order of (segment,
-    first_turn, part) they are the thread.  Where turns repeat so often that a
-    segment has more than four times its turns, each turn has its own rows, of
-    about ``segment`` messages each.  A message without a turn is a thread of
-    its own.
+    ``reply_tree`` tells of each message, in the same order, its turn, parent,
+    kind of link, depth, quote levels and number of quotations; ``n_links`` is
+    their sum.  Segments bound the size of a row; concatenated in the order of
+    (segment, first_turn, part) they are the thread.  Where turns repeat so
+    often that a segment has more than four times its turns, each turn has its
+    own rows, of about ``segment`` messages each.  A message without a turn is
+    a thread of its own.
     """
     spark = linked.sparkSession
     line = F.concat(F.lit("<|"), F.coalesce(role_col, F.lit("unknown")), F.lit("|>\n"), "reply")
-    lines = linked.select(F.col(conv_col).alias("conv"), "thread", F.col(turn_col).alias("turn"), F.floor(F.col(turn_col) / segment).alias("segment"), line.alias("line"), F.monotonically_increasing_id().alias("row"))
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    item = F.concat_ws(":", F.concat(known(turn_col), F.lit("<"), known("parent_turn")), "link", F.col("depth").cast("string"), F.col("quote_levels").cast("string"), F.size("links").cast("string"))
+    lines = linked.select(
+        F.col(conv_col).alias("conv"), "thread", F.col(turn_col).alias("turn"), F.floor(F.col(turn_col) / segment).alias("segment"), line.alias("line"), item.alias("item"),
+        F.size("links").cast("long").alias("links"), F.monotonically_increasing_id().alias("row"),
+    )
     lines = Scratch(spark, "threads").keep(lines, "lines")
-    alone = lines.where("turn is null").select("conv", "thread", "segment", F.col("turn").alias("first_turn"), F.lit(0).cast("long").alias("part"), F.col("line").alias("chat"), F.lit(1).cast("long").alias("n_messages"))
+    out = ["first_turn", "part", "chat", "reply_tree", "n_messages", "n_links"]
+    alone = lines.where("turn is null").select(
+        "conv", "thread", "segment", F.col("turn").alias("first_turn"), F.lit(0).cast("long").alias("part"), F.col("line").alias("chat"), F.col("item").alias("reply_tree"),
+        F.lit(1).cast("long").alias("n_messages"), F.col("links").alias("n_links"),
+    )
     placed = lines.where("turn is not null")
     at = ["conv", "thread", "segment"]
     per_turn = placed.groupBy(*at, "turn").agg(F.count(F.lit(1)).alias("n"))
@@ -220,7 +217,7 @@ def format_threads(linked: DataFrame, conv_col: str = "conv_id", turn_col: str =
     dealt = per_turn.alias("l").join(crowded.alias("r"), same, "left_semi").select(*at, "turn", F.ceil(F.col("n") / segment).alias("parts"))
     placed = placed.alias("l").join(dealt.alias("r"), same & (F.col("l.turn") == F.col("r.turn")), "left")
     placed = placed.select("l.*", F.when(F.col("parts").isNotNull(), F.col("l.turn")).alias("own_turn"), F.coalesce(F.pmod(F.xxhash64("l.row"), F.col("parts")), F.lit(0)).cast("long").alias("part"))
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "line")))
-    chats = placed.groupBy(*at, "own_turn", "part").agg(F.min("turn").alias("first_turn"), F.array_join(F.transform(ordered, lambda m: m["line"]), "\n").alias("chat"), F.count(F.lit(1)).alias("n_messages"))
-    out = chats.select(*at, "first_turn", "part", "chat", "n_messages").unionByName(alone)
-    return out.withColumnRenamed("conv", conv_col)
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "line", "item"))).alias("ordered")
+    chats = placed.groupBy(*at, "own_turn", "part").agg(F.min("turn").alias("first_turn"), ordered, F.count(F.lit(1)).alias("n_messages"), F.sum("links").alias("n_links"))
+    chats = chats.withColumn("chat", F.array_join(F.transform("ordered", lambda m: m["line"]), "\n")).withColumn("reply_tree", F.array_join(F.transform("ordered", lambda m: m["item"]), " "))
+    return chats.select(*at, *out).unionByName(alone).withColumnRenamed("conv", conv_col)

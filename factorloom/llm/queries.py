@@ -56,16 +56,17 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_chat_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factorloom.llm.chat import link_conversations
+    """Conversations in reply order without quotes, linked by quotations of every level."""
+    from factorloom.llm.chat import format_threads, link_conversations
 
-    return link_conversations(spark, read_table(spark, sf_dir, "conversations"))
+    return format_threads(link_conversations(spark, read_table(spark, sf_dir, "conversations")))
 
 
-def op9_chat_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations in reply order without quotes, linked by quotations of every level."""
-    from factorloom.llm.chat import format_threads, link_conversations
+def op9_chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of these conversations with their parents."""
+    from factorloom.llm.chat import link_conversations
 
-    return format_threads(link_conversations(spark, read_table(spark, sf_dir, "conversations"), every_level=True))
+    return link_conversations(spark, read_table(spark, sf_dir, "conversations")).drop("links")
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +158,7 @@ GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
 """
 
 
-OP9_SQL = r"""
+OP9_PARTS = r"""
 WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER () AS mid, conv_id AS conv, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS t,
     regexp_matches(coalesce(text, ''), '(?m)^[ \t]*>') AS hq FROM conversations),
 x AS (SELECT mid, string_split(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM m WHERE hq),
@@ -167,26 +168,41 @@ z AS (SELECT *, coalesce(last_value(CASE WHEN NOT (lv = 0 AND trim(c) = '') THEN
 w AS (SELECT *, lag(el) OVER (PARTITION BY mid ORDER BY k) AS pl FROM z),
 v AS (SELECT *, sum(CASE WHEN el IS DISTINCT FROM pl THEN 1 ELSE 0 END) OVER (PARTITION BY mid ORDER BY k) AS run FROM w),
 p AS MATERIALIZED (SELECT mid, run, min(el) AS lv, string_agg(c, chr(10) ORDER BY k) AS txt FROM v GROUP BY mid, run),
-o AS (SELECT mid, trim(string_agg(regexp_replace(txt, '^\s+|\s+$', '', 'g'), chr(10) ORDER BY run)) AS own FROM p WHERE lv = 0 GROUP BY mid),
+o AS (SELECT mid, trim(string_agg(regexp_replace(txt, '^\s+|\s+$', '', 'g'), chr(10) ORDER BY run)) AS own FROM p WHERE lv = 0 AND regexp_matches(txt, '\S') GROUP BY mid),
 q AS (SELECT mid, max(lv) AS levels FROM p GROUP BY mid),
 b AS MATERIALIZED (SELECT m.mid, conv, turn, role, CASE WHEN hq THEN coalesce(own, '') ELSE trim(t) END AS reply, CAST(coalesce(levels, 0) AS BIGINT) AS quote_levels
     FROM m LEFT JOIN o USING (mid) LEFT JOIN q USING (mid)),
-src AS (SELECT mid, 'q' AS kind, txt AS s FROM p WHERE lv = 1 UNION ALL SELECT mid, 's', reply FROM b),
-cut AS (SELECT * FROM src UNION ALL SELECT mid, kind, unnest(regexp_split_to_array(s, '\n[ \t>]*\n')) FROM src UNION ALL SELECT mid, kind, unnest(string_split(s, chr(10))) FROM src),
-pc AS (SELECT DISTINCT mid, kind, lower(trim(regexp_replace(s, '[\s>]+', ' ', 'g'))) AS piece FROM cut),
-pt AS MATERIALIZED (SELECT conv, turn, kind, piece FROM pc JOIN b USING (mid) WHERE length(piece) >= 4 AND turn IS NOT NULL),
-hit AS (SELECT a.conv, a.turn, length(a.piece) AS size, max(z.turn) AS target FROM pt a JOIN pt z ON a.conv IS NOT DISTINCT FROM z.conv AND a.piece = z.piece AND z.turn < a.turn
-    WHERE a.kind = 'q' AND z.kind = 's' GROUP BY a.conv, a.turn, a.piece),
-best AS (SELECT conv, turn, arg_max(target, size * CAST(1000000000 AS BIGINT) + target) AS quote_turn FROM hit GROUP BY conv, turn),
+src AS (SELECT mid, run, lv, txt FROM p WHERE lv > 0 UNION ALL SELECT mid, -1, 0, reply FROM b),
+pa AS (SELECT mid, run, lv, unnest(regexp_split_to_array(txt, '\n[ \t>]*\n')) AS s, unnest(range(1, len(regexp_split_to_array(txt, '\n[ \t>]*\n')) + 1)) AS para FROM src),
+li AS (SELECT mid, run, lv, para, unnest(string_split(s, chr(10))) AS s FROM pa),
+cut AS (SELECT mid, run, lv, 0 AS para, false AS is_line, txt AS s, 1 AS least FROM src UNION ALL SELECT mid, run, lv, para, false, s, 4 FROM pa UNION ALL SELECT mid, run, lv, para, true, s, 4 FROM li),
+pc AS (SELECT DISTINCT mid, run, lv, para, is_line, least, lower(trim(regexp_replace(s, '[\s>]+', ' ', 'g'))) AS piece FROM cut),
+pt AS MATERIALIZED (SELECT pc.*, conv, turn FROM pc JOIN b USING (mid) WHERE length(piece) >= least AND turn IS NOT NULL),
+hit AS (SELECT a.mid, a.conv, a.turn, a.run, a.lv, a.para, a.is_line, length(a.piece) AS size, max(z.turn) AS target FROM pt a JOIN pt z ON a.conv IS NOT DISTINCT FROM z.conv AND a.piece = z.piece AND z.turn < a.turn
+    WHERE a.lv > 0 AND z.lv = 0 GROUP BY ALL),
+flag AS (SELECT *, bool_or(para = 0) OVER (PARTITION BY mid, run) AS whole, bool_or(NOT is_line) OVER (PARTITION BY mid, run, para) AS paragraph FROM hit),
+linked AS MATERIALIZED (SELECT * FROM flag WHERE para = 0 OR (NOT whole AND (NOT is_line OR NOT paragraph))),
+ln AS (SELECT mid, count(*) AS links FROM (SELECT DISTINCT mid, lv, target FROM linked) GROUP BY mid),
+best AS (SELECT conv, turn, target AS quote_turn FROM linked QUALIFY row_number() OVER (PARTITION BY conv, turn ORDER BY lv, size DESC, target DESC) = 1),
 ts AS (SELECT DISTINCT conv, turn FROM b WHERE turn IS NOT NULL),
 tr AS MATERIALIZED (SELECT ts.conv, ts.turn, quote_turn, lag(ts.turn) OVER (PARTITION BY ts.conv ORDER BY ts.turn) AS previous
     FROM ts LEFT JOIN best ON best.conv IS NOT DISTINCT FROM ts.conv AND best.turn = ts.turn),
 r(conv, turn, thread, depth) AS (SELECT conv, turn, turn, CAST(0 AS BIGINT) FROM tr WHERE coalesce(quote_turn, previous) IS NULL
-    UNION ALL SELECT tr.conv, tr.turn, r.thread, r.depth + 1 FROM r JOIN tr ON tr.conv IS NOT DISTINCT FROM r.conv AND coalesce(tr.quote_turn, tr.previous) = r.turn)
-SELECT b.conv AS conv_id, b.turn, b.role, r.thread, coalesce(r.depth, 0) AS depth, coalesce(tr.quote_turn, tr.previous) AS parent_turn,
-  CASE WHEN tr.quote_turn IS NOT NULL THEN 'quote' WHEN tr.previous IS NOT NULL THEN 'sequence' ELSE 'root' END AS link, quote_levels, reply
-FROM b LEFT JOIN tr ON tr.conv IS NOT DISTINCT FROM b.conv AND tr.turn = b.turn LEFT JOIN r ON r.conv IS NOT DISTINCT FROM b.conv AND r.turn = b.turn
+    UNION ALL SELECT tr.conv, tr.turn, r.thread, r.depth + 1 FROM r JOIN tr ON tr.conv IS NOT DISTINCT FROM r.conv AND coalesce(tr.quote_turn, tr.previous) = r.turn),
+f AS (SELECT b.conv AS conv_id, b.turn, b.role, r.thread, coalesce(r.depth, 0) AS depth, coalesce(tr.quote_turn, tr.previous) AS parent_turn,
+  CASE WHEN tr.quote_turn IS NOT NULL THEN 'quote' WHEN tr.previous IS NOT NULL THEN 'sequence' ELSE 'root' END AS link, quote_levels, reply, coalesce(ln.links, 0) AS links
+FROM b LEFT JOIN tr ON tr.conv IS NOT DISTINCT FROM b.conv AND tr.turn = b.turn LEFT JOIN r ON r.conv IS NOT DISTINCT FROM b.conv AND r.turn = b.turn LEFT JOIN ln ON ln.mid = b.mid)
 """
+OP9_MESSAGES_SQL = OP9_PARTS + "SELECT conv_id, turn, role, thread, depth, parent_turn, link, quote_levels, reply FROM f"
+#: Segments of 256 turns; a message without a turn stands alone.
+OP9_SQL = (
+    OP9_PARTS
+    + """, x9 AS (SELECT *, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || reply AS line,
+  coalesce(CAST(turn AS VARCHAR), '-') || '<' || coalesce(CAST(parent_turn AS VARCHAR), '-') || ':' || link || ':' || depth || ':' || quote_levels || ':' || links AS item FROM f)
+SELECT conv_id, thread, CAST(floor(turn / 256) AS BIGINT) AS segment, min(turn) AS first_turn, CAST(0 AS BIGINT) AS part, string_agg(line, chr(10) ORDER BY turn, line, item) AS chat,
+  string_agg(item, ' ' ORDER BY turn, line, item) AS reply_tree, count(*) AS n_messages, CAST(sum(links) AS BIGINT) AS n_links FROM x9 WHERE turn IS NOT NULL GROUP BY 1, 2, 3
+UNION ALL SELECT conv_id, NULL, NULL, NULL, 0, line, item, 1, links FROM x9 WHERE turn IS NULL"""
+)
 
 
 def queries() -> dict:
@@ -200,7 +216,8 @@ def queries() -> dict:
         "op7_url_filter": op7_url_filter,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_chat_quotation_linking": op9_chat_quotation_linking,
-        "op9_chat_conversations": op9_chat_conversations,
+        "op9_chat_messages": op9_chat_messages,
+        "op9_chat_conversations": op9_chat_quotation_linking,  # its name of the first round
         "op10_token_output": op10_token_output,
     }
 
@@ -213,4 +230,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": OP7_SQL,
         "op8_benchmark_decontamination": OP8_SQL,
         "op9_chat_quotation_linking": OP9_SQL,
+        "op9_chat_messages": OP9_MESSAGES_SQL,
+        "op9_chat_conversations": OP9_SQL,
     }

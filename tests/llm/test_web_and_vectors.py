@@ -343,13 +343,31 @@ def test_quotes_equal_their_sql(spark):
                 text = "\n".join(mark + x for x in draw.choice(said).split("\n")) + draw.choice(["\n", "\n\n", "\r\n"]) + text
             said.append(text)
             rows.append((c, t, draw.choice("ab"), text))
-    got = link_conversations(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    columns = sorted(got.columns)
+    linked = link_conversations(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     con = duckdb.connect()
     con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
-    want = con.sql(f"SELECT {', '.join(columns)} FROM ({oracle_sql()['op9_chat_quotation_linking']})").fetchall()
-    mine = [tuple(r[c] for c in columns) for r in got.collect()]
-    assert sorted(mine, key=repr) == sorted(want, key=repr) and sum(r[columns.index("link")] == "quote" for r in mine) > 20
+    for name, got in (("op9_chat_messages", linked.drop("links")), ("op9_chat_quotation_linking", format_threads(linked))):
+        columns = sorted(got.columns)
+        want = con.sql(f"SELECT {', '.join(columns)} FROM ({oracle_sql()[name]})").fetchall()
+        mine = [tuple(r[c] for c in columns) for r in got.collect()]
+        assert sorted(mine, key=repr) == sorted(want, key=repr)
+    quoted = linked.where("link = 'quote'").count()
+    assert quoted > 20 and linked.where("size(links) > 1").count() > 3
+
+
+def test_long_messages_parse_in_linear_time(spark):
+    import time
+
+    from factorloom.llm.chat import parse_quotes
+
+    long = "\n".join(("> " if k % 2 else "") + f"line {k}" for k in range(16_000))
+    df = spark.createDataFrame([(long,), ("\n\n> a\n\n>> b\n> c\nd\n\n",)], "text string")
+    parse_quotes(df.limit(1)).count()
+    start = time.perf_counter()
+    rows = {len(r["passages"]): r for r in parse_quotes(df).collect()}
+    assert time.perf_counter() - start < 6
+    assert len(rows[16_000]["reply"].split("\n")) == 8000
+    assert [tuple(p) for p in rows[5]["passages"]] == [(0, "\n"), (1, "a\n"), (2, "b"), (1, "c"), (0, "d\n\n")] and rows[5]["reply"] == "d"
 
 
 def test_quotes_of_every_level_and_length_link(spark):
@@ -362,7 +380,7 @@ def test_quotes_of_every_level_and_length_link(spark):
         (1, 9, "a", "> back to it\n> and more\nparts"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = link_conversations(spark, df, every_level=True).collect()
+    out = link_conversations(spark, df).collect()
     got = {(r["turn"], r["reply"]): (r["parent_turn"], r["link"], [tuple(x) for x in r["links"]]) for r in out}
     assert len(out) == len(rows)
     assert got[4, "back to it"] == (0, "quote", [(2, 0, 25)])
@@ -372,18 +390,18 @@ def test_quotes_of_every_level_and_length_link(spark):
     assert got[8, "and\ntwo"] == (3, "quote", [(1, 3, 14), (1, 1, 3), (2, 0, 25)])
     assert got[8, "a copy of the turn"] == (3, "quote", [(1, 2, 2)])
     assert got[9, "parts"] == (4, "quote", [(1, 4, 10)])
-    assert link_conversations(spark, df.limit(0), every_level=True).count() == 0
+    assert link_conversations(spark, df.limit(0)).count() == 0
 
 
 def test_conversations_hold_every_message_once(spark):
     rows = [(1, t, "u", f"said {t}") for t in range(40)] + [(1, 5, "u", f"copy {k}") for k in range(200)] + [(k % 2, None, "u", f"lost {k}") for k in range(60)]
-    linked = link_conversations(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), every_level=True)
+    linked = link_conversations(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     out = sorted(format_threads(linked, segment=8).collect(), key=lambda r: (r["segment"] is None, r["segment"] or 0, r["first_turn"] or 0, r["part"]))
     assert collections.Counter(x for r in out for x in r["chat"].split("\n") if x != "<|u|>") == collections.Counter(r[3] for r in rows)
     assert sum(r["n_messages"] for r in out) == len(rows) and max(r["n_messages"] for r in out) < 40  # one hot turn, no turn
     said = [x for r in out for x in r["chat"].split("\n") if x.startswith("said")]
     assert said == [f"said {t}" for t in range(40)]
-    whole = queries()["op9_chat_conversations"](spark, DATA)
+    whole = queries()["op9_chat_quotation_linking"](spark, DATA)
     assert whole.agg(F.sum("n_messages")).first()[0] == spark.read.parquet(f"{DATA}/conversations.parquet").count()
     assert not re.search("Python|Pandas|Arrow", whole._jdf.queryExecution().executedPlan().toString())
 
