@@ -188,7 +188,7 @@ def test_query_equals_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("orders", "part", "lineitem", "events"):
+    for t in ("orders", "part", "lineitem", "events", "region"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = catalog.queries()[name](spark, DATA)
     columns = sorted(df.columns)
