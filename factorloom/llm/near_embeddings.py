@@ -82,10 +82,11 @@ class LatticeTables:
             if self.probes:
                 # the squared distance to the neighbour by step v is that to the cell + 2 - 2 r.v
                 gain = np.concatenate([(y[:, t, b] - cells[:, b]) @ steps.T for b in range(blocks)], axis=1)
-                best = np.argpartition(-gain, self.probes, axis=1)[:, : self.probes]
                 for k in range(self.probes):
+                    best = gain.argmax(axis=1)
+                    gain[np.arange(n), best] = -np.inf
                     moved = cells.copy()
-                    block, step = np.divmod(best[:, k], len(steps))
+                    block, step = np.divmod(best, len(steps))
                     moved[np.arange(n), block] += steps[step]
                     probes[:, t, k] = self._hash(t, (2 * moved).reshape(n, -1))
         return own, probes
@@ -126,9 +127,11 @@ def _vector_batches(double: bool):
 
 
 def _cell_batches(kind: str, options: tuple):
+    """(cell, table, probe, node): where each vector stands and what it probes, without the vector."""
+
     def run(batches):
         for batch in batches:
-            vecs, node, mult = batch.column("vec").to_pylist(), batch.column("node").to_numpy(), batch.column("mult").to_numpy()
+            vecs, node = batch.column("vec").to_pylist(), batch.column("node").to_numpy()
             for size in sorted({len(v) for v in vecs}):
                 at = np.array([k for k, v in enumerate(vecs) if len(v) == size])
                 for s in range(0, len(at), 500):
@@ -141,8 +144,7 @@ def _cell_batches(kind: str, options: tuple):
                     table = np.tile(np.repeat(np.arange(cells.shape[1]), cells.shape[2]), len(some))
                     rows = np.repeat(some, per)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cells.ravel()), pa.array(table, pa.int32()), pa.array(probe), pa.array(node[rows]), pa.array(mult[rows]), batch.column("vec").take(pa.array(rows))],
-                        ["cell", "table", "probe", "node", "mult", "vec"],
+                        [pa.array(cells.ravel()), pa.array(table, pa.int32()), pa.array(probe), pa.array(node[rows])], ["cell", "table", "probe", "node"]
                     )
 
     return run
@@ -253,8 +255,9 @@ def near_embeddings(
     Null, empty and all-zero vectors and those with null or non-finite
     components link with nothing (n_links 0, own component, kept).  Identical
     vectors are collapsed first and counted by their number, so a group of
-    copies costs one row.  Large cells are split into pairs of chunks of
-    ``CHUNK_ROWS`` rows.  Vectors of different lengths do not compare.  An
+    copies costs one row.  Cells are counted without their vectors, which go
+    only to cells where some meet; large cells are split into pairs of chunks
+    of ``CHUNK_ROWS`` rows.  Vectors of different lengths do not compare.  An
     empty table gives an empty result; labels and other columns are not read.
     """
     scratch = Scratch(spark, "near-embeddings")
@@ -267,12 +270,13 @@ def near_embeddings(
     distinct = scratch.keep(
         vectors.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("mult"), F.min("vec").alias("vec")), "distinct"
     )
-    cells = distinct.repartition("node").mapInArrow(_cell_batches(kind, options), "cell long, table int, probe boolean, node long, mult long, vec binary")
-    cells = scratch.keep(cells, "cells")
+    cells = scratch.keep(distinct.repartition("node").mapInArrow(_cell_batches(kind, options), "cell long, table int, probe boolean, node long"), "cells")
     per_cell = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), F.min("probe").alias("no_own")).where("k > 1 and not no_own")
     split = cells.join(per_cell.select("cell", F.ceil(F.col("k") / CHUNK_ROWS).cast("int").alias("m")), "cell")
     split = split.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, m - 1)")))
-    groups = split.select("cell", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "table", "probe", "chunk", "node", "mult", "vec")
+    groups = split.select("cell", F.least("chunk", "with").alias("low"), F.greatest("chunk", "with").alias("high"), "table", "probe", "chunk", "node")
+    # vectors join only what meets another in its cell
+    groups = groups.join(distinct.select("node", "mult", "vec"), "node")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = groups.repartition(parts, "cell", "low", "high").sortWithinPartitions("cell", "low", "high")
     met = scratch.keep(met.mapInArrow(_meeting_batches(kind, threshold, options), "node long, links long, other long, edge boolean"), "met")
