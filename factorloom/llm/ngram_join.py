@@ -19,47 +19,54 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import Scratch, WordHashes, bound_batches, connected_components, one_at_a_time, releasing, shingle_hashes, words_of
 
-BLOCK_ENTRIES = 400_000
-#: A part's keys are counted a share at a time, so that its arrays stay small beside the JVM.
-SHARES = 8
-LOW16 = np.uint64(0xFFFF)
+#: Entries that are packed into blocks at once: at least, and at most where there are many targets.
+BLOCK_ENTRIES, MOST_ENTRIES = 400_000, 4_000_000
+#: Bytes of text of one partition as long as ``MOST_PARTS`` are not exceeded, and of the share of it that is in memory at once.
+PART_BYTES, SHARE_BYTES = 16 << 20, 4 << 20
+MOST_PARTS = 65_536
 #: Pairs between components, by prefix row, up to which all are compared at once; beyond, leaders link some first.
 CROSS_PAIRS = 256
-#: Bytes of text a part counts at most, as long as there are fewer parts than their numbers allow.
-PART_BYTES = 16 << 20
-MOST_PARTS = 65_535
 #: A shingle of this many of so many sampled documents is hot: it skips the counting, so that no part receives it from everywhere.
 SAMPLE_DOCS, HOT_DOCS = 2_000, 10
-#: The part number and the frequency of hot shingles.
-HOT_PART, HOT_FREQUENCY = 0xFFFF, 0xFFFFFFFF
+#: The frequency of hot shingles.
+HOT_FREQUENCY = 0xFFFFFFFF
 
 
-def _pack(part: int, nodes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, keys: np.ndarray, extra: np.ndarray | None = None) -> bytes:
-    """Nodes with set sizes and numbers of entries, then the entries: 48 bits of key, a 32-bit value if given.
+class Deal:
+    """Where keys and nodes go: to a partition, and there to one of its shares, which a task reads one after another."""
 
-    The low 16 bits of all keys are the part in which their frequency is counted.
-    """
-    head = np.array([len(nodes), len(keys), extra is not None, part], "<u4")
-    high = (keys >> np.uint64(48)).astype("<u2")
-    low = ((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-    parts = [head, nodes.astype("<u8"), sizes.astype("<u4"), counts.astype("<u4"), high, low]
+    def __init__(self, parts: int, shares: int):
+        self.parts, self.shares = parts, shares
+        self.entries = min(MOST_ENTRIES, max(BLOCK_ENTRIES, 32 * parts * shares))
+
+    def target(self, keys: np.ndarray) -> np.ndarray:
+        part = keys % np.uint64(self.parts)
+        return (part * np.uint64(self.shares) + keys // np.uint64(self.parts) % np.uint64(self.shares)).astype(np.int64)
+
+
+def _pack(nodes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, keys: np.ndarray, extra: np.ndarray | None = None) -> bytes:
+    """Nodes with set sizes and numbers of entries, then the entries: a 64-bit key, a 32-bit value if given."""
+    parts = [np.array([len(nodes), len(keys), extra is not None, 0], "<u4"), nodes.astype("<u8"), keys.astype("<u8"), sizes.astype("<u4"), counts.astype("<u4")]
     if extra is not None:
         parts.append(extra.astype("<u4"))
     return b"".join(p.tobytes() for p in parts)
 
 
-def _read_blocks(blocks: list[bytes], share: int | None = None):
-    """Entries of some blocks (or one of ``SHARES`` shares of their keys): node, size of its set, key and value of each."""
+def _read_blocks(blocks: list[bytes]):
+    """Entries of some blocks: node, size of its set, key and value of each."""
     node, size, key, extra = [], [], [], []
     for block in blocks:
-        n_nodes, n, with_extra, part = np.frombuffer(block, "<u4", 4).tolist()
+        n_nodes, n, with_extra, _ = np.frombuffer(block, "<u4", 4).tolist()
         at = 16
 
         def take(kind: str, count: int) -> np.ndarray:
@@ -68,31 +75,29 @@ def _read_blocks(blocks: list[bytes], share: int | None = None):
             at += out.nbytes
             return out
 
-        nodes, sizes, counts = take("<u8", n_nodes), take("<u4", n_nodes), take("<u4", n_nodes)
-        high, low = take("<u2", n), take("<u4", n)
-        value = take("<u4", n) if with_extra else None
-        owner = np.repeat(np.arange(n_nodes, dtype=np.int32), counts)
-        if share is not None:
-            mine = low % np.uint32(SHARES) == share
-            high, low, owner = high[mine], low[mine], owner[mine]
-        node.append(nodes[owner])
-        size.append(sizes[owner])
-        key.append(high.astype(np.uint64) << np.uint64(48) | low.astype(np.uint64) << np.uint64(16) | np.uint64(part))
-        if value is not None:
-            extra.append(value)
+        nodes, keys, sizes, counts = take("<u8", n_nodes), take("<u8", n), take("<u4", n_nodes), take("<u4", n_nodes)
+        node.append(np.repeat(nodes, counts))
+        size.append(np.repeat(sizes, counts))
+        key.append(keys)
+        if with_extra:
+            extra.append(take("<u4", n))
     join = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
     return join(node, np.uint64), join(size, np.uint32), join(key, np.uint64), join(extra, np.uint32)
 
 
-def _blocks(to: np.ndarray, parts: int, nodes, sizes, owner, keys, extra=None, part: int | None = None):
-    """(target, block) of each target that has entries; ``owner`` is ascending; keys of part ``part``, or of the target's own."""
-    order = np.argsort(to.astype(np.uint16), kind="stable")
-    bounds = np.searchsorted(to[order], np.arange(parts + 1))
-    for p in range(parts):
-        at = order[bounds[p] : bounds[p + 1]]
-        if len(at):
-            used, counts = np.unique(owner[at], return_counts=True)
-            yield p, _pack(p if part is None else part, nodes[used], sizes[used], counts, keys[at], None if extra is None else extra[at])
+def _blocks(to: np.ndarray, nodes, sizes, owner, keys, extra=None):
+    """(target, block) of each target that has entries; ``owner`` is ascending."""
+    if not len(to):
+        return
+    order = np.argsort(to.astype(np.uint16) if int(to.max()) < 1 << 16 else to, kind="stable")
+    ranked = to[order]
+    bounds = np.r_[0, np.flatnonzero(ranked[1:] != ranked[:-1]) + 1, len(to)]
+    for s, e in itertools.pairwise(bounds.tolist()):
+        at = order[s:e]
+        mine = owner[at]
+        first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+        used = mine[first]
+        yield int(ranked[s]), _pack(nodes[used], sizes[used], np.diff(np.r_[first, len(mine)]), keys[at], None if extra is None else extra[at])
 
 
 SIGNED = lambda x: np.asarray(x, np.uint64).view(np.int64)
@@ -121,16 +126,27 @@ def hot_shingles(texts: DataFrame, rows: int, size: int, sample: int, least: int
     return np.sort(np.array(found, np.int64).view(np.uint64))
 
 
-def _shingle_batches(parts: int, size: int, min_words: int, hot: np.ndarray):
-    """Rows of two kinds: documents (id, n, node) and blocks of shingles (part, block).
+def _rows(id_type, deal: Deal, blocks: list[tuple[int, bytes]], first: bool = False) -> pa.RecordBatch:
+    """Rows (id, n, node, part, share, block) of blocks; with ``first`` their shares count down from -2 and stand before all others."""
+    k = len(blocks)
+    parts, shares = [t // deal.shares for t, _ in blocks], [-2 - t % deal.shares if first else t % deal.shares for t, _ in blocks]
+    columns = [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(parts, pa.int32()), pa.array(shares, pa.int32()), pa.array([b for _, b in blocks], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ROW_NAMES)
+
+
+ROW_NAMES = ["id", "n", "node", "part", "share", "block"]
+
+
+def _shingle_batches(deal: Deal, size: int, hot: np.ndarray):
+    """Rows of two kinds: documents (id, n, node) and blocks of shingles (part, share, block).
 
-    Blocks of ``hot`` shingles have a frequency already and go to their nodes' parts.
+    Blocks of ``hot`` shingles have a frequency already and go to their nodes' places.
     """
     import xxhash
 
     def run(batches):
         cache = WordHashes(100_000)
-        held, seen = [], 0
+        held, seen, row = [], 0, TaskContext.get().partitionId() if TaskContext.get() else 0
 
         def flush():
             nonlocal held, seen
@@ -141,15 +157,9 @@ def _shingle_batches(parts: int, size: int, min_words: int, hot: np.ndarray):
             known = hot[np.searchsorted(hot, keys).clip(max=len(hot) - 1)] == keys if len(hot) else np.zeros(len(keys), bool)
             much, whose = keys[known], owner[known]
             keys, owner = keys[~known], owner[~known]
-            part = keys % np.uint64(parts)
-            out = list(_blocks(part, parts, nodes, sizes, owner, keys & ~LOW16 | part))
-            out += _blocks(nodes[whose] % np.uint64(parts), parts, nodes, sizes, whose, much & ~LOW16 | np.uint64(HOT_PART), np.full(len(much), HOT_FREQUENCY), part=HOT_PART)
             held, seen = [], 0
-            k = len(out)
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([p for p, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())],
-                ["id", "n", "node", "part", "block"],
-            )
+            yield _rows(id_type, deal, list(_blocks(deal.target(keys), nodes, sizes, owner, keys)))
+            yield _rows(id_type, deal, list(_blocks(deal.target(nodes)[whose], nodes, sizes, whose, much, np.full(len(much), HOT_FREQUENCY))), first=True)
 
         for batch in batches:
             id_type = batch.column(0).type
@@ -166,23 +176,23 @@ def _shingle_batches(parts: int, size: int, min_words: int, hot: np.ndarray):
                     mine.add(node)
                     held.append((node, keys))
                     seen += len(keys)
-                    if seen >= BLOCK_ENTRIES:
-                        yield flush()
+                    if seen >= deal.entries:
+                        yield from flush()
+            k = len(n_out)
             node_signed = [None if x is None else x - (1 << 64) if x >= 1 << 63 else x for x in node_out]
-            home = pa.array([0 if x is None else x % parts for x in node_out], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_out, pa.int64()), pa.array(node_signed, pa.int64()), home, pa.nulls(len(n_out), pa.binary())],
-                ["id", "n", "node", "part", "block"],
-            )
+            dealt = pa.array((np.arange(row, row + k) % deal.parts).astype(np.int32))  # documents only pass through
+            row += k
+            columns = [batch.column(0), pa.array(n_out, pa.int64()), pa.array(node_signed, pa.int64()), dealt, pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ROW_NAMES)
         if held:
-            yield flush()
+            yield from flush()
 
     return releasing(run)
 
 
-def _repeated(blocks: list[bytes], share: int) -> tuple[np.ndarray, ...]:
-    """Of one share of a part's keys those that several nodes have: node, size of its set, key and frequency."""
-    node, size, key, _ = _read_blocks(blocks, share)
+def _repeated(blocks: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of the keys in some blocks those that several nodes have: node, size of its set, key and frequency."""
+    node, size, key, _ = _read_blocks(blocks)
     order = np.argsort(key, kind="stable")
     same = key[order]
     again = np.zeros(len(same), bool)
@@ -202,72 +212,79 @@ def _repeated(blocks: list[bytes], share: int) -> tuple[np.ndarray, ...]:
     return node, size, key, frequency
 
 
-def _frequency_batches(parts: int):
-    """Per part: pass documents on; give each repeated shingle's frequency back to its nodes."""
+def _by_share(batches, passed):
+    """Lists of the blocks of one share each; rows of a negative share go to ``passed``, whose batches come out between."""
+    held, now = [], None
+    for batch in batches:
+        share, block = batch.column("share").to_numpy(), batch.column("block")
+        early = share < 0
+        if early.any():
+            yield from passed(batch.filter(pa.array(early)))
+        for at in np.flatnonzero(~early).tolist():
+            if share[at] != now and held:
+                yield held
+                held = []
+            now = share[at]
+            held.append(block[at].as_py())
+    if held:
+        yield held
+
+
+def _frequency_batches(deal: Deal):
+    """Per part: pass documents and hot shingles on; give each repeated shingle's frequency back to its nodes."""
 
     def run(batches):
-        blocks = []
-        for batch in batches:
-            id_type, block = batch.column("id").type, batch.column("block")
-            if block.null_count:
-                docs = batch.select(["id", "n", "node"]).filter(block.is_null())
-                rest = [pa.nulls(docs.num_rows, pa.int32()), pa.nulls(docs.num_rows, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*docs.columns, *rest], ["id", "n", "node", "home", "block"])
-            for b in block.drop_null().to_pylist():
-                if np.frombuffer(b, "<u4", 4)[2]:  # of hot shingles: the part is that of their nodes
-                    home = int(np.frombuffer(b, "<u8", 1, 16)[0] % np.uint64(parts))
-                    yield _passed(id_type, home, b)
-                else:
-                    blocks.append(b)
-            del batch, block
-        if not blocks:
-            return
-        node, size, key, frequency = (np.concatenate(c) for c in zip(*(_repeated(blocks, share) for share in range(SHARES)), strict=True))
-        del blocks
-        if not len(key):
-            return
-        order = np.argsort(node, kind="stable")
-        node, size, key, frequency = node[order], size[order], key[order], frequency[order]
-        nodes, at, owner = np.unique(node, return_index=True, return_inverse=True)
-        home = nodes[owner] % np.uint64(parts)
-        for p, block in _blocks(home, parts, nodes, size[at], owner, key, np.minimum(frequency, 0xFFFFFFFF), part=int(key[0] & LOW16)):
-            yield _passed(id_type, p, block)
+        kinds = []
 
-    return releasing(run)
+        def watched():
+            for batch in batches:
+                kinds[:] = [batch.column("id").type]
+                yield batch
 
+        def passed(batch):
+            share = batch.column("share").to_numpy()
+            yield batch.set_column(batch.schema.get_field_index("share"), "share", pa.array(np.where(share < -1, -2 - share, share).astype(np.int32)))
 
-def _passed(id_type, home: int, block: bytes):
-    columns = [pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([home], pa.int32()), pa.array([block], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "home", "block"])
+        for found in _by_share(watched(), passed):
+            if isinstance(found, pa.RecordBatch):
+                yield found
+                continue
+            node, size, key, frequency = _repeated(found)
+            if len(key):
+                order = np.argsort(node, kind="stable")
+                node, size, key, frequency = node[order], size[order], key[order], frequency[order]
+                nodes, at, owner = np.unique(node, return_index=True, return_inverse=True)
+                out = list(_blocks(deal.target(nodes)[owner], nodes, size[at], owner, key, np.minimum(frequency, HOT_FREQUENCY - 1)))
+                yield _rows(kinds[0], deal, out)
+
+    return run
 
 
 def _prefix_batches(percent: int):
     """Per node: size, unrepeated shingles, the rare-first joinable prefix and the repeated keys."""
 
     def run(batches):
-        blocks = [b for batch in batches for b in batch.column("block").to_pylist()]
-        if not blocks:
-            return
-        node, size, key, frequency = _read_blocks(blocks)
-        order = np.lexsort((key, frequency, node))
-        node, size, key = node[order], size[order].astype(np.int64), key[order]
-        fresh = np.r_[True, (node[1:] != node[:-1]) | (key[1:] != key[:-1])][: len(node)]  # copies send their hot shingles again
-        node, size, key = node[fresh], size[fresh], key[fresh]
-        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]][: len(node)])
-        repeated = np.diff(np.r_[starts, len(node)])
-        rows = []
-        for s, r in zip(starts.tolist(), repeated.tolist(), strict=True):
-            n = int(size[s])
-            least = (percent * n + 99) // 100
-            if r < least:
-                continue
-            lone = n - r  # these come first in rare-first order and join nothing
-            prefix = n - least + 1 - lone
-            mine = key[s : s + r]
-            rows.append((int(SIGNED(node[s : s + 1])[0]), n, lone, SIGNED(mine[:prefix]).tolist(), np.sort(mine).tobytes()))
-            if len(rows) == 2000:
-                yield _prefix_rows(rows)
-                rows = []
+        rows: list = []
+        for blocks in _by_share(batches, None):
+            node, size, key, frequency = _read_blocks(blocks)
+            order = np.lexsort((key, frequency, node))
+            node, size, key = node[order], size[order].astype(np.int64), key[order]
+            fresh = np.r_[True, (node[1:] != node[:-1]) | (key[1:] != key[:-1])][: len(node)]  # copies send their hot shingles again
+            node, size, key = node[fresh], size[fresh], key[fresh]
+            starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]][: len(node)])
+            repeated = np.diff(np.r_[starts, len(node)])
+            for s, r in zip(starts.tolist(), repeated.tolist(), strict=True):
+                n = int(size[s])
+                least = (percent * n + 99) // 100
+                if r < least:
+                    continue
+                lone = n - r  # these come first in rare-first order and join nothing
+                prefix = n - least + 1 - lone
+                mine = key[s : s + r]
+                rows.append((int(SIGNED(node[s : s + 1])[0]), n, lone, SIGNED(mine[:prefix]).tolist(), np.sort(mine).tobytes()))
+                if len(rows) == 2000:
+                    yield _prefix_rows(rows)
+                    rows = []
         if rows:
             yield _prefix_rows(rows)
 
@@ -319,8 +336,9 @@ def shingle_components(
     wordless text has the empty set and links with nothing; a text of fewer
     than ``size`` words is one shingle.  Repeated rows and repeated ids keep
     their rows; an empty table gives an empty result; other columns are not
-    read.  Shingles compare by 48 bits of their hash and its remainder by parts
-    (the hot ones by 48 bits).
+    read; texts of any length are read whole.  Shingles compare by 64-bit
+    hashes.  Parts follow the bytes of text, and a task holds one share of its
+    part, so its memory does not grow with the input.
     """
     bound_batches(spark)
     scratch = Scratch(spark, "ngram-join")
@@ -328,20 +346,22 @@ def shingle_components(
     slim = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
     texts = docs.select(F.col(text_col).alias("text"))
     total = texts.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    parts = min(parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total["bytes"] // PART_BYTES)), MOST_PARTS)
+    parts = parts or min(MOST_PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total["bytes"] // PART_BYTES)))
+    deal = Deal(parts, max(1, -(-total["bytes"] // parts // SHARE_BYTES)))
     hot = hot_shingles(texts, total["rows"], size, SAMPLE_DOCS, HOT_DOCS)
-    schema = f"id {kind}, n long, node long, {{}} int, block binary"
-    hashed = slim.mapInArrow(_shingle_batches(parts, size, size, hot), schema.format("part"))
-    dealt = hashed.repartition(parts, "part").mapInArrow(_frequency_batches(parts), schema.format("home"))
+    schema = f"id {kind}, n long, node long, part int, share int, block binary"
+    hashed = slim.mapInArrow(_shingle_batches(deal, size, hot), schema)
+    dealt = hashed.repartitionById(parts, "part").sortWithinPartitions("share").mapInArrow(releasing(_frequency_batches(deal)), schema)
     both = scratch.keep(dealt, "frequencies")
     members = scratch.keep(both.where("block is null").select("id", "n", "node"), "members")
-    replies = both.where("block is not null").select("home", "block").repartition(parts, "home")
+    replies = both.where("block is not null").select("part", "share", "block")
+    replies = replies.repartitionById(parts, "part").sortWithinPartitions("share")
     nodes = scratch.keep(replies.mapInArrow(_prefix_batches(percent), "node long, n long, lone long, prefix array<long>, keys binary"), "nodes")
 
     scratch.drop(both)
     prefix = nodes.select("node", "n", "lone", F.posexplode("prefix").alias("at", "token")).select("node", "n", "token", (F.col("at") + F.col("lone") + 1).alias("pos"), (F.col("lone") / F.col("n")).cast("float").alias("share"))
     # a token that no other prefix has makes no candidates
-    shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    shared = scratch.keep(prefix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"), "shared")
     prefix = scratch.keep(prefix.join(shared, "token"), "prefix")
     keep = _filters(percent)
     component: DataFrame | None = None
@@ -370,7 +390,9 @@ def shingle_components(
         else:
             # the member with the fewest shingles of its own is the likeliest origin of the others; then any
             order = F.struct(F.col("share"), F.xxhash64("node")) if not turn else F.xxhash64("node", F.lit(turn))
-            leader = mine.groupBy("token").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "comp")).alias("l")).select("token", "l.node", "l.n", "l.pos", "l.comp").alias("l")
+            leader = mine.groupBy("token").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "comp")).alias("l")).select("token", "l.node", "l.n", "l.pos", "l.comp")
+            # written first: then both sides of the join are plain shuffles, and a hot token is split
+            leader = scratch.keep(leader, "leaders").alias("l")
             pairs = mine.alias("m").join(leader, "token").where(f"l.comp <> m.comp and {keep}")
         pairs = pairs.select(F.least("l.node", "m.node").alias("a"), F.greatest("l.node", "m.node").alias("b")).distinct()
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("lone").alias(f"l{x}"), F.col("keys").alias(f"k{x}"))

@@ -320,15 +320,16 @@ def test_hot_shingles_skip_the_counting(spark, monkeypatch):
     from factorloom.llm import ngram_join as nj
 
     monkeypatch.setattr(nj, "HOT_DOCS", 5)
-    monkeypatch.setattr(nj, "PART_BYTES", 1 << 10)  # many parts
+    monkeypatch.setattr(nj, "PART_BYTES", 1 << 10)  # many parts, of several shares
+    monkeypatch.setattr(nj, "SHARE_BYTES", 1 << 8)
     licence = "this text is free under the terms of the licence that all know"
     texts = [f"{licence} {' '.join(f'w{k // 3}x{j}' for j in range(12 + k % 3))}" for k in range(60)] + [licence] * 4 + [licence + " well"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     hot = nj.hot_shingles(docs, len(texts), 5, 10_000, 5)
     assert len(hot) == len(shingles(licence))
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.encode() for t in texts])], ["id", "text"])
-    counted = [b for out in nj._shingle_batches(7, 5, 5, hot)(iter([batch])) for b in out.column("block").drop_null().to_pylist() if not np.frombuffer(b, "<u4", 4)[2]]
-    assert not np.isin(nj._read_blocks(counted)[2] >> np.uint64(16), hot >> np.uint64(16)).any()
+    counted = [b for out in nj._shingle_batches(nj.Deal(7, 3), 5, hot)(iter([batch])) for b in out.column("block").drop_null().to_pylist() if not np.frombuffer(b, "<u4", 4)[2]]
+    assert counted and not np.isin(nj._read_blocks(counted)[2], hot).any()
     component, sizes = brute_components(list(range(len(texts))), texts)
     got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in shingle_components(spark, docs).collect()}
     assert got == {k: (c, n) for k, (c, n) in enumerate(zip(component, sizes, strict=True))}
