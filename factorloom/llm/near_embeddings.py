@@ -150,19 +150,23 @@ def _cell_batches(kind: str, options: tuple):
     return run
 
 
-def _meets_first(table: int, cell: np.ndarray, a_keys, b_keys, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _meets_first(table: int, cell: np.ndarray, keys, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Is (table, cell) the first place at which rows ``a`` and ``b`` meet?"""
+    own, probes = keys
     far = np.int64(2**63 - 1)
-    earlier = np.zeros(len(a), bool)
+    out = np.zeros(len(a), bool)
+    left = np.arange(len(a))  # pairs that no earlier table brought together
     for t in range(table + 1):
-        own_a, own_b = a_keys[0][a, t], b_keys[0][b, t]
-        in_b = (own_a == own_b) | (b_keys[1][b, t] == own_a[:, None]).any(axis=1)
-        in_a = (own_a == own_b) | (a_keys[1][a, t] == own_b[:, None]).any(axis=1)
-        place = np.minimum(np.where(in_b, own_a, far), np.where(in_a, own_b, far))
+        own_a, own_b = own[a[left], t], own[b[left], t]
+        in_b = (own_a == own_b) | (probes[b[left], t] == own_a[:, None]).any(axis=1)
+        in_a = (own_a == own_b) | (probes[a[left], t] == own_b[:, None]).any(axis=1)
         if t == table:
-            return ~earlier & (place == cell)
-        earlier |= in_a | in_b
-    return earlier
+            out[left] = np.minimum(np.where(in_b, own_a, far), np.where(in_a, own_b, far)) == cell
+        else:
+            left = left[~(in_a | in_b)]
+            if not len(left):
+                break
+    return out
 
 
 def _compare(run, kind: str, threshold: float, options: tuple, out: list) -> None:
@@ -187,7 +191,7 @@ def _compare(run, kind: str, threshold: float, options: tuple, out: list) -> Non
             continue
         if keys is None:
             keys = lattice_tables(x.shape[1], *options).keys(x)
-        first = _meets_first(run["table"], run["cell"], keys, keys, i, j)
+        first = _meets_first(run["table"], run["cell"], keys, i, j)
         np.add.at(links, i[first], run["mult"][j[first]])
         np.add.at(links, j[first], run["mult"][i[first]])
         ends.append((i, j))
