@@ -24,7 +24,12 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a learned language (all with letters, if no row has a label to learn from)."""
+    """Keep documents in a learned language (all with letters, if no row has a label to learn from).
+
+    A null or empty text and one without letters goes; null ids, labels and
+    sources stay as they are; repeated rows are judged alike; a tie of two
+    languages has a score of 0.5 and stays; an empty table stays empty.
+    """
     model = fit_language_model(spark, docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -51,17 +56,29 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that contain a benchmark item."""
+    """Drop documents that contain a benchmark item.
+
+    A null or empty text contains none; an item without words is contained in
+    none; repeated rows are judged alike; either table may be empty.
+    """
     return docs.where(~leaks_into(spark, read_table(spark, sf_dir, "benchmark")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat documents to the target source weights, in shuffled order."""
+    """Repeat documents to the target source weights, in shuffled order.
+
+    A null source is a source of its own; rows that repeat an id get the same
+    count each; an empty table stays empty.
+    """
     return mix_sources(spark, docs, alpha=MIX_ALPHA).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write the token shards and return the index read back from them."""
+    """Write the token shards and return the index read back from them.
+
+    A null or empty text is the end id alone; repeated rows keep their rows;
+    an empty table gives an empty index.
+    """
     return token_output(spark, docs, tokenizer_path())
 
 
