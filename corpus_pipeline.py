@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factorloom.llm.common import Scratch, read_table
 from factorloom.llm.decontamination import leaks_into
@@ -40,19 +39,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of linked documents the one with the smallest id.
+    """Keep of each group of linked documents one row: of those with an id the smallest id, then the smallest hash of the row.
 
-    Rows that share that id and the text count as one document; a document
-    without an id stays where no other of its group has one.
+    A row without an id stays only where no row of its group has one.  Texts
+    without words link with nothing and stay.  Rows that are equal in every
+    column are one document, with words or without; an empty table stays empty.
     """
-    parts = Scratch(spark, "pipeline-duplicates").keep(shingle_components(spark, docs), "components")
-    kept = parts.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    kept = kept.select(F.col("doc_id").alias("kept_id"), "copies")
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    if kept.where("copies > 1").limit(1).count():
-        same = Window.partitionBy("doc_id", F.xxhash64("text"), F.length("text")).orderBy(*[F.col(c) for c in docs.columns if c not in ("doc_id",)])
-        stay = stay.withColumn("copies", F.row_number().over(same)).where("copies = 1")
-    return stay.select(*docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("row"))
+    parts = Scratch(spark, "pipeline-duplicates").keep(shingle_components(spark, docs.select(key.alias("pipeline_key"), "text"), "pipeline_key"), "components")
+    kept = parts.where("pipeline_key = component_id").groupBy("pipeline_key").agg(F.count(F.lit(1)).alias("pipeline_copies"))
+    kept = kept.select(F.col("pipeline_key.id").alias("pipeline_id"), F.col("pipeline_key.row").alias("pipeline_row"), "pipeline_copies")
+    same = (F.xxhash64(*docs.columns) == F.col("pipeline_row")) & F.col("doc_id").eqNullSafe(F.col("pipeline_id"))
+    stay = docs.join(kept, same).select(*docs.columns)
+    # equal rows are combined before they are exchanged, so a hot one is no hot spot
+    return stay.dropDuplicates() if kept.where("pipeline_copies > 1").limit(1).count() else stay
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
