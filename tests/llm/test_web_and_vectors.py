@@ -473,3 +473,23 @@ def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
     rows = [(1, "a b c d e f g", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (2, "a b c d e f g", "en", "s", 1), (3, None, "en", "s", 1), (4, None, "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in cp.near_duplicate_stage(spark, docs, DATA).collect()) == [1, 3, 4]
+
+
+def test_near_duplicate_stage_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline as cp
+
+    words = [f"w{i}" for i in range(60)]
+    base, near = " ".join(words), " ".join([*words[:-1], "other"])
+    alone = [" ".join(f"{a}{i}" for i in range(30)) for a in "xyz"]
+    rows = [
+        (7, base, "en", "s", 1), (7, near, "en", "s", 1),  # near copies that share an id
+        (None, alone[0], "en", "s", 1), (None, alone[0] + " ", "en", "s", 2), (None, alone[0], "en", "s", 1),  # copies without an id
+        (None, base, "en", "s", 1), (3, alone[1], "en", "s", 1), (3, near + " more", "en", "s", 1),  # an id of two groups
+        (9, alone[2], None, None, None), (9, alone[2], "de", None, None), (None, None, None, None, None), (5, "", None, "s", 0),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = cp.near_duplicate_stage(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = sorted(((r["doc_id"] or 0, (r["text"] or "").strip()) for r in out.collect()))
+    assert got == sorted([(3, near + " more"), (3, alone[1]), (9, alone[2]), (0, alone[0]), (0, ""), (5, "")])
+    assert cp.near_duplicate_stage(spark, docs.limit(0), DATA).count() == 0
