@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -69,6 +70,25 @@ def releasing(run):
     return outer
 
 
+@contextlib.contextmanager
+def dropped_shuffles(spark: SparkSession):
+    """Delete the shuffle files of each query run inside when it ends, not when the JVM next collects garbage.
+
+    A query that is run once more writes them again, and inside one they serve
+    retries as ever.  The session's own setting comes back afterwards.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
@@ -80,7 +100,8 @@ class Scratch:
     def keep(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{self.root}/{self.made:03d}-{tag}"
         self.made += 1
-        df.write.parquet(path)
+        with dropped_shuffles(self.spark):
+            df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept.scratch_path = path
         return kept
