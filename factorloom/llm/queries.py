@@ -94,6 +94,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(spark, docs, fit_language_model(spark, docs))
 
 
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.pieces import piece_digests
+
+    return piece_digests(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
+
+
 #: Source weights are document counts to this power.
 MIX_ALPHA = 0.5
 
@@ -219,6 +228,7 @@ def queries() -> dict:
         "op9_chat_messages": op9_chat_messages,
         "op9_chat_conversations": op9_chat_quotation_linking,  # its name of the first round
         "op10_token_output": op10_token_output,
+        "op11_sentencepiece": op11_sentencepiece,
     }
 
 
