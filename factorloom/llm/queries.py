@@ -103,6 +103,30 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from factorloom.llm.hard_negatives import hard_negatives
+
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(spark, read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=moved)
+
+
+OP12_SQL = """
+WITH q AS MATERIALIZED (SELECT row_number() OVER () AS no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+s AS MATERIALIZED (SELECT a.no AS a, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.no <> b.no AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST) AS w FROM s WHERE alike QUALIFY w <= 5),
+n AS (SELECT p.a, p.anchor_id, p.id AS positive_id, p.score AS positive_score, n.id AS negative_id, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.a, p.w ORDER BY n.score DESC, n.id NULLS LAST) AS INTEGER) AS rank
+  FROM p JOIN s n ON n.a = p.a AND NOT n.alike AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score QUALIFY rank <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n
+"""
+
+
 #: Source weights are document counts to this power.
 MIX_ALPHA = 0.5
 
@@ -229,6 +253,7 @@ def queries() -> dict:
         "op9_chat_conversations": op9_chat_quotation_linking,  # its name of the first round
         "op10_token_output": op10_token_output,
         "op11_sentencepiece": op11_sentencepiece,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
@@ -242,4 +267,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_chat_quotation_linking": OP9_SQL,
         "op9_chat_messages": OP9_MESSAGES_SQL,
         "op9_chat_conversations": OP9_SQL,
+        "op12_hard_negatives": OP12_SQL,
     }
