@@ -127,6 +127,36 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 """
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factorloom.llm.prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(spark, read_table(spark, sf_dir, "conversations"))
+
+
+#: Its h is the CRC-32 of a decimal number, bit by bit.
+OP13_SQL = """
+WITH o AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS dec, max(pos) AS n FROM o GROUP BY conv_id),
+i AS MATERIALIZED (SELECT conv_id, n, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(dec) + 1), lambda k: CAST(ascii(substr(dec, k, 1)) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, k: xor(a >> 1, (a & 1) * 3988292384))), 4294967295) % 6 AS h FROM n),
+j AS MATERIALIZED (SELECT i.conv_id, i.n, i.base, i.h, least(i.h, coalesce(b.n, 0)) AS taken FROM i LEFT JOIN i b ON b.conv_id = i.base),
+s AS (SELECT o.conv_id, pos - h + taken AS depth, role, text FROM o JOIN j ON j.conv_id = o.conv_id WHERE pos > h
+  UNION ALL SELECT j.conv_id, pos, role, text FROM j JOIN o ON o.conv_id = j.base WHERE pos <= taken),
+p AS (SELECT conv_id, depth, length(text) AS cp, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k FROM s),
+q AS MATERIALIZED (SELECT conv_id, depth, k, cp FROM p UNION ALL SELECT conv_id, 0, '', 0 FROM j),
+t AS MATERIALIZED (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(cp) AS cp FROM q GROUP BY k, depth),
+u AS MATERIALIZED (SELECT t.k AS low, t.depth AS low_depth, q.k AS top, q.depth FROM t JOIN q ON q.conv_id = t.conv_id AND q.depth <= t.depth),
+c AS MATERIALIZED (SELECT top AS k, count(*) AS n_children FROM u WHERE depth = low_depth - 1 GROUP BY top),
+a AS (SELECT u.top AS k, CAST(sum(CASE WHEN c.k IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((t.n_convs - 1) * t.cp) AS BIGINT) AS saved_tokens
+  FROM u JOIN t ON t.k = u.low LEFT JOIN c ON c.k = u.low GROUP BY u.top),
+l AS (SELECT conv_id, max(depth) AS depth FROM q GROUP BY conv_id),
+e AS (SELECT q.k, string_agg(CAST(q.conv_id AS VARCHAR), ',' ORDER BY q.conv_id) AS ids FROM q JOIN l ON l.conv_id = q.conv_id AND l.depth = q.depth GROUP BY q.k)
+SELECT t.conv_id, t.depth, w.conv_id AS parent_conv_id, t.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM t JOIN a ON a.k = t.k LEFT JOIN c ON c.k = t.k LEFT JOIN e ON e.k = t.k LEFT JOIN u ON u.low = t.k AND u.depth = t.depth - 1 LEFT JOIN t w ON w.k = u.top
+"""
+
+
 #: Source weights are document counts to this power.
 MIX_ALPHA = 0.5
 
@@ -254,6 +284,7 @@ def queries() -> dict:
         "op10_token_output": op10_token_output,
         "op11_sentencepiece": op11_sentencepiece,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
@@ -268,4 +299,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_chat_messages": OP9_MESSAGES_SQL,
         "op9_chat_conversations": OP9_SQL,
         "op12_hard_negatives": OP12_SQL,
+        "op13_prefix_trie": OP13_SQL,
     }
