@@ -171,12 +171,14 @@ OP5_SQL = """
 WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 t AS (SELECT sum(n) AS n, sum(pow(n, 5e-1)) AS w FROM s),
 r AS (SELECT s.source AS src, pow(s.n, 5e-1) / t.w * t.n / s.n AS rate FROM s, t),
-d AS (SELECT documents.*, rate, CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u
-      FROM documents JOIN r ON documents.source IS NOT DISTINCT FROM r.src),
+k AS (SELECT *, CASE WHEN doc_id IS NOT NULL AND count(*) OVER (PARTITION BY doc_id) = 1 THEN CAST(doc_id AS VARCHAR)
+    ELSE md5(concat_ws(chr(31), coalesce(CAST(doc_id AS VARCHAR), chr(0)), coalesce(text, chr(0)), coalesce(lang, chr(0)), coalesce(source, chr(0)), coalesce(CAST(n_chars AS VARCHAR), chr(0))))
+      || '=' || row_number() OVER (PARTITION BY doc_id, text, lang, source, n_chars) END AS key FROM documents),
+d AS (SELECT k.*, rate, CAST('0x' || substr(md5('17:' || key), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.src),
 c AS (SELECT *, len(list_filter(range(0, 80), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(rate) - rate - lgamma(j + 1)))) <= u)) AS times FROM d),
 e AS (SELECT *, unnest(range(1, times + 1)) AS copy FROM c)
 SELECT doc_id, text, lang, source, n_chars, copy,
-  CAST('0x' || substr(md5('17s:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy), 1, 15) AS BIGINT) AS shuffle_key FROM e
+  CAST('0x' || substr(md5('17s:' || key || ':' || copy), 1, 15) AS BIGINT) AS shuffle_key FROM e
 """
 
 

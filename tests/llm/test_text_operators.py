@@ -436,3 +436,38 @@ def test_chunks_of_one_batch_are_encoded_in_runs(library):
 def test_scratch_uses_the_shared_folder(spark):
     kept = Scratch(spark, "where").keep(spark.range(3), "t")
     assert kept.scratch_path.startswith(spark.conf.get("spark.checkpoint.dir")) and kept.select(F.sum("id")).first()[0] == 3
+
+
+def test_rows_without_an_id_of_their_own_draw_for_themselves(spark, monkeypatch):
+    rows = [(None, "same text", "en", "s")] * 2500 + [(7, "same text", "en", "s")] * 2500 + [(None, f"t{k}", "en", "s") for k in range(2500)] + [(k % 900 + 100, f"u{k}", None, "s") for k in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    kinds = {"no id, equal": "doc_id is null and text = 'same text'", "one id, equal": "doc_id = 7", "no id": "doc_id is null and text <> 'same text'", "repeated ids": "doc_id >= 100"}
+    for limit in (mixing.MAX_BROADCAST_IDS, 10):
+        monkeypatch.setattr(mixing, "MAX_BROADCAST_IDS", limit)
+        out = mix_sources(spark, docs, epochs=1.0).cache()
+        assert out.distinct().count() == out.count()  # equal rows have keys of their own
+        for name, where in kinds.items():
+            some = out.where(where)
+            assert abs(some.count() - 2500) < 4 * 50, name  # the sum of 2,500 draws of mean one
+            sizes = [r["count"] for r in some.groupBy(F.spark_partition_id()).count().collect()]
+            assert len(sizes) == 4 and max(sizes) < 0.4 * 2500, name
+        first = out.where("copy = 1").count() / 10_000
+        assert abs(first - (1 - np.exp(-1))) < 0.03  # each row for itself, not all or none
+        again = mix_sources(spark, docs.repartition(3), epochs=1.0)  # wherever the rows lie
+        assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, out.collect()), key=repr)
+        out.unpersist()
+
+
+def test_mixing_of_odd_ids_equals_its_sql(spark):
+    import duckdb
+
+    from factorloom.llm.queries import MIX_ALPHA, OP5_SQL
+
+    rows = [(k % 40 if k % 3 else None, f"t{k % 25}", None if k % 7 == 0 else "en", f"s{k % 2}", k % 5) for k in range(600)] + [(1000 + k, "t", "en", "s1", 1) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    con = duckdb.connect()
+    con.register("given", pa.Table.from_pandas(docs.toPandas().astype({"doc_id": "Int64"}), preserve_index=False))
+    con.execute("CREATE TABLE documents AS SELECT * FROM given")
+    got = mix_sources(spark, docs, alpha=MIX_ALPHA)
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({OP5_SQL})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
