@@ -1,21 +1,26 @@
-"""Structure learning on the driver over batched family counts."""
+"""Structure learning: moves on the driver, the scores and tests of families in Spark.
+
+What a search keeps here are graphs, one score a family it looked at and one
+separating set a pair; counts stay in Spark (``SufficientStatistics``).
+"""
 
 from __future__ import annotations
 
 import itertools
 import math
 import random
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from factorloom.model import Network
 from factorloom.operators.graph import Edge, force_acyclic, reaches, topological_order
-from factorloom.operators.statistics import SufficientStatistics, chi2_sf, ci_from_counts, local_score
+from factorloom.operators.statistics import SufficientStatistics, chi2_sf
 
 TIE = 1e-9
-#: Families whose counts one job gives.
-FAMILIES_PER_JOB = 500
+#: Families that are scored or tested together: bounds what is listed and held at a time.
+FAMILIES_PER_JOB = 5000
 
 
 @dataclass
@@ -27,20 +32,20 @@ class Learned:
 
 
 class FamilyScores:
-    """Memoised local scores; ``ask`` fetches the counts of many families in one job."""
+    """Memoised local scores; ``ask`` has many families scored together."""
 
     def __init__(self, stats: SufficientStatistics, kind: str = "bic", sample_prior: float = 1.0, structure_prior: float = 0.0):
         self.stats, self.kind, self.prior, self.structure = stats, kind, sample_prior, structure_prior
         self.memo: dict[tuple[str, frozenset[str]], float] = {}
+        #: Sums over many rows in no fixed order differ by rounding.
+        self.tie = TIE if stats.local is not None else max(TIE, 1e-13 * stats.n * math.log(stats.n + 1))
 
-    def _family(self, child: str, parents: frozenset[str]) -> tuple[str, ...]:
-        return (*[c for c in self.stats.columns if c in parents], child)
-
-    def ask(self, families) -> None:
-        todo = [f for f in dict.fromkeys(families) if f not in self.memo]
-        self.stats.prefetch([self._family(*f) for f in todo])
-        for child, parents in todo:
-            self.memo[child, parents] = local_score(self.stats.memo[self._family(child, parents)], self.stats.n, self.kind, self.prior) - self.structure * len(parents)
+    def ask(self, families: Iterable[tuple[str, frozenset[str]]]) -> None:
+        for some in itertools.batched((f for f in families if f not in self.memo), FAMILIES_PER_JOB):
+            todo = list(dict.fromkeys(some))
+            in_order = [(child, tuple(c for c in self.stats.columns if c in parents)) for child, parents in todo]
+            for f, score in zip(todo, self.stats.scores(in_order, self.kind, self.prior), strict=True):
+                self.memo[f] = score - self.structure * len(f[1])
 
     def __call__(self, child: str, parents) -> float:
         key = (child, frozenset(parents))
@@ -72,10 +77,10 @@ def _improve(scores: FamilyScores, columns: list[str], parents: dict[str, set[st
             elif "add" in moves and j not in parents[i] and len(parents[j]) < max_parents and not reaches(edges, j, i):
                 options.append(("add", i, j, {j: parents[j] | {i}}))
         scores.ask([(c, frozenset(p)) for *_, change in options for c, p in change.items()])
-        best, gain = None, TIE
+        best, gain = None, scores.tie
         for option in options:
             delta = sum(scores(c, p) - scores(c, parents[c]) for c, p in option[3].items())
-            if delta > gain + (TIE if best else 0):
+            if delta > gain + (scores.tie if best else 0):
                 best, gain = option, delta
         if best is None:
             break
@@ -102,7 +107,7 @@ def hill_climb(stats: SufficientStatistics, score: str = "bic", max_parents: int
                     parents[b].add(a)
         moves = _improve(scores, stats.columns, parents, {"add", "remove", "reverse"}, max_parents, max_iterations)
         found = _result(stats, scores, parents, moves=moves)
-        if best is None or found.score > best.score + TIE:
+        if best is None or found.score > best.score + scores.tie:
             best = found
     return best
 
@@ -131,20 +136,21 @@ def order_search(stats: SufficientStatistics, score: str = "bic", max_parents: i
     scores = FamilyScores(stats, score, sample_prior, structure_prior)
     columns, draw = stats.columns, mulberry32(seed)
 
-    def parent_sets(before: list[str]) -> list[frozenset[str]]:
-        return [frozenset(s) for k in range(min(len(before), max_parents) + 1) for s in itertools.combinations(before, k)]
+    def parent_sets(before: list[str]) -> Iterator[frozenset[str]]:
+        return (frozenset(s) for k in range(min(len(before), max_parents) + 1) for s in itertools.combinations(before, k))
 
     def ask(orders: list[list[str]]) -> None:
-        """Fetch the families of several orders together."""
-        wanted = list(dict.fromkeys((c, o) for order in orders for k, c in enumerate(order) for o in parent_sets(order[:k])))
-        for at in range(0, len(wanted), FAMILIES_PER_JOB):
-            scores.ask(wanted[at : at + FAMILIES_PER_JOB])
+        """Have the families of several orders scored together; a swap changes the predecessors of one variable."""
+        places = dict.fromkeys((c, frozenset(order[:k])) for order in orders for k, c in enumerate(order))
+        asked.update(fresh := {p: None for p in places if p not in asked})
+        scores.ask((c, o) for c, before in fresh for o in parent_sets(sorted(before, key=columns.index)))
+
+    asked: dict[tuple[str, frozenset[str]], None] = {}
 
     def best_parents(child: str, before: list[str]) -> frozenset[str]:
-        options = parent_sets(before)
-        best = options[0]
-        for o in options[1:]:
-            if scores(child, o) > scores(child, best) + TIE:
+        best = frozenset()
+        for o in parent_sets(before):
+            if scores(child, o) > scores(child, best) + scores.tie:
                 best = o
         return best
 
@@ -172,10 +178,10 @@ def order_search(stats: SufficientStatistics, score: str = "bic", max_parents: i
             ask(swaps)
             tries = [(value(swapped), swapped) for swapped in swaps]
             top = max(tries, key=lambda t: t[0][0], default=None)
-            if top is None or top[0][0] <= now[0] + TIE:
+            if top is None or top[0][0] <= now[0] + scores.tie:
                 break
             now, order = top
-        if best is None or now[0] > best[0] + TIE:
+        if best is None or now[0] > best[0] + scores.tie:
             best = now
     return _result(stats, scores, best[1])
 
@@ -199,40 +205,81 @@ def _meek(columns: list[str], adjacent, directed: set[Edge], undirected: set[fro
                 changed = True
 
 
-def _skeleton(stats: SufficientStatistics, alpha: float, kind: str, max_conditioning: int | None, stable: bool):
+class PairTests:
+    """Tests of pairs of columns given sets, in sub-batches.
+
+    A level of the search is a list of pairs, each with a lazy sequence of
+    sets.  Pairs are judged one after the other; when a result is missing, one
+    sub-batch of at most ``per_job`` tests fetches what this pair needs next
+    and the first sets of the pairs behind it.  A pair that a batch separates
+    asks for no more, and results go when their pair is judged.
+    """
+
+    def __init__(self, stats: SufficientStatistics, alpha: float, kind: str, per_job: int | None = None):
+        self.stats, self.alpha, self.kind = stats, alpha, kind
+        self.per_job = per_job or FAMILIES_PER_JOB
+        self.results: dict[tuple[str, str], dict[tuple[str, ...], bool]] = {}
+        self.made = 0
+
+    def _fetch(self, wanted: list[tuple[str, str, tuple[str, ...]]]) -> None:
+        for (x, y, s), (statistic, df) in zip(wanted, self.stats.tests(wanted, self.kind), strict=True):
+            self.results.setdefault((x, y), {})[s] = chi2_sf(statistic, df) > self.alpha
+
+    def separator(self, x: str, y: str, sets: Iterator[tuple[str, ...]], behind: Iterator[tuple[str, str, Iterator[tuple[str, ...]]]]) -> tuple[str, ...] | None:
+        """The first of ``sets`` given which x and y are independent; ``behind`` are the pairs that come next."""
+        ahead: list[tuple[str, ...]] = []
+        try:
+            while True:
+                s = ahead.pop(0) if ahead else next(sets, None)
+                if s is None:
+                    return None
+                known = self.results.setdefault((x, y), {})
+                if s not in known:
+                    if self.stats.local is not None:
+                        self._fetch([(x, y, s)])
+                    else:
+                        ahead += itertools.islice(sets, max(1, self.per_job // 2) - 1 - len(ahead))
+                        batch = [(x, y, o) for o in (s, *ahead) if o not in known]
+                        while len(batch) < self.per_job and (pair := next(behind, None)) is not None:
+                            if pair[:2] not in self.results:
+                                batch += [(*pair[:2], o) for o in itertools.islice(pair[2], min(8, self.per_job - len(batch)))]
+                        self._fetch(batch)
+                self.made += 1
+                if self.results[x, y][s]:
+                    return s
+                del self.results[x, y][s]
+        finally:
+            self.results.pop((x, y), None)
+
+
+def _conditioning_sets(columns: list[str], view: dict[str, set[str]], x: str, y: str, size: int) -> Iterator[tuple[str, ...]]:
+    """Sets of neighbours of x, then of y, each once."""
+    of_x = [c for c in columns if c in view[x] and c != y]
+    yield from itertools.combinations(of_x, size)
+    seen = set(of_x)
+    yield from (s for s in itertools.combinations([c for c in columns if c in view[y] and c != x], size) if not seen.issuperset(s))
+
+
+def _skeleton(stats: SufficientStatistics, alpha: float, kind: str, max_conditioning: int | None, stable: bool, per_job: int | None = None):
     columns = stats.columns
     near = {c: {o for o in columns if o != c} for c in columns}
     separator: dict[frozenset[str], set[str]] = {}
-    tests = 0
-
-    def p_value(x: str, y: str, given: tuple[str, ...]) -> float:
-        statistic, df = ci_from_counts(stats.family((x, y, *given)), kind)
-        return chi2_sf(statistic, df)
-
+    tests = PairTests(stats, alpha, kind, per_job)
     limit = len(columns) - 2 if max_conditioning is None else min(max_conditioning, len(columns) - 2)
-    def options(view: dict[str, set[str]], x: str, y: str, size: int) -> list[tuple[str, ...]]:
-        sets = [itertools.combinations([c for c in columns if c in view[end] and c != other], size) for end, other in ((x, y), (y, x))]
-        return list(dict.fromkeys(itertools.chain.from_iterable(sets)))
-
     for size in range(limit + 1):
-        changed, frozen = False, {c: set(s) for c, s in near.items()}
+        changed, view = False, {c: set(s) for c, s in near.items()} if stable else near
         linked = [(x, y) for x, y in itertools.combinations(columns, 2) if y in near[x]]
-        # neighbours only get fewer within a level, so these families hold all of its tests
-        wanted = [(x, y, *s) for x, y in linked for s in options(frozen, x, y, size)]
-        for at in range(0, len(wanted), FAMILIES_PER_JOB):
-            stats.prefetch(wanted[at : at + FAMILIES_PER_JOB])
-        for x, y in linked:
-            for s in options(frozen if stable else near, x, y, size):
-                tests += 1
-                if p_value(x, y, s) > alpha:
-                    near[x].discard(y)
-                    near[y].discard(x)
-                    separator[frozenset((x, y))] = set(s)
-                    changed = True
-                    break
+        for k, (x, y) in enumerate(linked):
+            behind = ((a, b, _conditioning_sets(columns, view, a, b, size)) for a, b in linked[k + 1 :])
+            s = tests.separator(x, y, _conditioning_sets(columns, view, x, y, size), behind)
+            if s is not None:
+                near[x].discard(y)
+                near[y].discard(x)
+                separator[frozenset((x, y))] = set(s)
+                changed = True
         if not changed and size > 0:
             break
-    return near, separator, tests
+    return near, separator, tests.made
 
 
 def pc(stats: SufficientStatistics, alpha: float = 0.05, test: str = "chi2", max_conditioning: int | None = None, variant: str = "original") -> Learned:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.special import chi2_survival
 from factorloom.model import Cpt, Network, Variable
+from factorloom.operators.families import FamilyTable, joint_size
 
 #: Cells of counts that the driver may read; a model's tables are bounded by it.
 MAX_DRIVER_CELLS = 2_000_000
@@ -29,68 +30,85 @@ def domains(counts: DataFrame, columns: list[str]) -> dict[str, list[str]]:
 
 
 class SufficientStatistics:
-    """Family counts of a data set, by name of column, for learners on the driver.
+    """Family counts, scores and tests of a data set, by name of column, for learners.
 
-    The data is scanned once for its joint counts.  If these are few they are
-    kept; else every request for families is one job with GROUPING SETS.
+    One scan tells how many combinations occur.  If these are few, their counts
+    come to the driver (``max_cells`` at most) and all else follows from them.
+    If not, the rows are written as codes and every request is a pass over them
+    (``FamilyTable``): scores and tests are numbers a family that Spark computes,
+    and only tables that a model is made of are read here, cell by cell.
     """
 
     def __init__(self, data: DataFrame, columns: list[str], outcomes: dict[str, list[str]] | None = None, max_cells: int = 200_000):
         self.columns = list(columns)
         if not self.columns:
             raise ValueError("no columns")
-        self.counts = joint_counts(data, self.columns).persist()
-        if outcomes is None:  # before any outcome comes to the driver
-            many = self.counts.agg(*[F.approx_count_distinct(c).alias(c) for c in self.columns]).first()
-            if sum(many) > MAX_DRIVER_CELLS:
-                raise ValueError("the columns have too many outcomes for the driver; bin them first")
-        self.outcomes = outcomes or domains(self.counts, self.columns)
-        self.variables = [Variable(c, tuple(self.outcomes[c])) for c in self.columns]
-        self.cards = {c: len(self.outcomes[c]) for c in self.columns}
-        total = self.counts.agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_k")).first()
-        self.n = int(total["_n"] or 0)
+        clean = data.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in self.columns])
+        self.n, combinations, many = joint_size(clean, self.columns)
         if not self.n:
             raise ValueError("no rows")
+        if outcomes is None and sum(many) > MAX_DRIVER_CELLS:  # before any outcome comes to the driver
+            raise ValueError("the columns have too many outcomes for the driver; bin them first")
+        rows = None
+        if combinations <= 1.2 * max_cells:  # the number is an estimate
+            rows = joint_counts(clean, self.columns).limit(max_cells + 1).collect()
+            rows = rows if len(rows) <= max_cells else None
+        if outcomes is None:
+            outcomes = {c: sorted({r[c] for r in rows}) for c in self.columns} if rows is not None else domains(clean, self.columns)
+        self.outcomes = outcomes
+        self.variables = [Variable(c, tuple(self.outcomes[c])) for c in self.columns]
+        self.cards = {c: len(self.outcomes[c]) for c in self.columns}
         self.code = {c: {o: i for i, o in enumerate(self.outcomes[c])} for c in self.columns}
         self.memo: dict[tuple[str, ...], np.ndarray] = {}
-        self.local = None
-        if total["_k"] <= max_cells:
-            rows = self.counts.collect()
+        self.local = self.table = None
+        if rows is not None:
             self.local = (np.array([[self.code[c][r[c]] for c in self.columns] for r in rows]), np.array([r["_n"] for r in rows], np.int64))
-            self.counts.unpersist()
+        else:
+            # many rows to a combination are counted first, else each row stands for itself
+            coded = joint_counts(clean, self.columns) if combinations < 0.5 * self.n else clean.withColumn("_n", F.lit(1).cast("long"))
+            self.table = FamilyTable(coded, self.columns, self.outcomes)
+
+    def release(self) -> None:
+        """Delete what was written for the passes, if anything was."""
+        if self.table is not None:
+            self.table.release()
 
     def family(self, names: tuple[str, ...]) -> np.ndarray:
         self.prefetch([names])
         return self.memo[names]
 
     def prefetch(self, families: list[tuple[str, ...]]) -> None:
-        """Counts of several families, as dense arrays with an axis a name, in one pass."""
+        """Counts of a model's families, as dense arrays with an axis a name, in one pass."""
         todo = [f for f in dict.fromkeys(families) if f not in self.memo]
         for f in todo:
             if math.prod(self.cards[c] for c in f) > MAX_DRIVER_CELLS:
                 raise ValueError(f"the table of {f} has too many cells for the driver")
         if self.local is not None:
-            codes, n = self.local
             for f in todo:
-                table = np.zeros([self.cards[c] for c in f], np.int64)
-                np.add.at(table, tuple(codes[:, self.columns.index(c)] for c in f), n)
-                self.memo[f] = table
-            return
-        if not todo:
-            return
-        used = list(dict.fromkeys(c for f in todo for c in f))
-        # one grouping set for each set of columns; its other orders are transposed
-        first = {frozenset(f): f for f in reversed(todo)}
-        grouped = self.counts.groupingSets([list(f) for f in first.values()], *used).agg(F.sum("_n").alias("_n"), F.grouping_id(*used).alias("_g"))
-        marks = {sum(1 << (len(used) - 1 - i) for i, c in enumerate(used) if c not in f): f for f in first.values()}
-        for f in first.values():
-            self.memo[f] = np.zeros([self.cards[c] for c in f], np.int64)
-        for r in grouped.toLocalIterator():
-            f = marks[r["_g"]]
-            self.memo[f][tuple(self.code[c][r[c]] for c in f)] += r["_n"]
-        for f in todo:
-            own = first[frozenset(f)]
-            self.memo[f] = np.transpose(self.memo[own], [own.index(c) for c in f])
+                self.memo[f] = self._local_counts(f)
+        elif todo:
+            for f in todo:
+                self.memo[f] = np.zeros([self.cards[c] for c in f], np.int64)
+            cells = self.table.cells([self.table.family(f[:-1], f[-1:]) for f in todo])
+            for r in cells.toLocalIterator():
+                self.memo[todo[r["family"]]].reshape(-1)[r["config"] * self.cards[todo[r["family"]][-1]] + r["cell"]] = r["n"]
+
+    def _local_counts(self, family: tuple[str, ...]) -> np.ndarray:
+        (codes, n), shape = self.local, [self.cards[c] for c in family]
+        cells = np.ravel_multi_index([codes[:, self.columns.index(c)] for c in family], shape)
+        return np.bincount(cells, n, math.prod(shape)).astype(np.int64).reshape(shape)
+
+    def scores(self, families: list[tuple[str, tuple[str, ...]]], kind: str = "bic", sample_prior: float = 1.0) -> list[float]:
+        """Local score of each (child, parents)."""
+        if self.table is not None:
+            return self.table.scores(families, kind, self.n, sample_prior)
+        return [local_score(self._local_counts((*parents, child)), self.n, kind, sample_prior) for child, parents in families]
+
+    def tests(self, families: list[tuple[str, str, tuple[str, ...]]], kind: str = "chi2") -> list[tuple[float, int]]:
+        """Statistic and degrees of freedom of each (x, y, given)."""
+        if self.table is not None:
+            return self.table.tests(families, kind)
+        return [ci_from_counts(self._local_counts((x, y, *given)), kind) for x, y, given in families]
 
     def laplace_network(self, edges: list[tuple[str, str]], name: str = "learned") -> Network:
         """Tables (n + 1) / (N + card) of a structure; parents in column order."""
@@ -105,9 +123,13 @@ class SufficientStatistics:
 
 def laplace_cpt(data: DataFrame, child: str, parents: list[str]) -> DataFrame:
     """P(child | parents) over the full grid of observed outcomes: (parents..., child, p), unseen ones uniform."""
-    counts = joint_counts(data, [*parents, child])
-    grid = functools.reduce(lambda a, b: a.crossJoin(b), [counts.select(c).distinct() for c in [*parents, child]])
-    full = grid.join(counts, [*parents, child], "left").withColumn("_n", F.coalesce("_n", F.lit(0)) + 1)
+    scope = [*parents, child]
+    counts = joint_counts(data, scope)
+    # the result is the grid, unrolled from one row that holds each column's outcomes
+    grid = counts.agg(*[F.collect_set(c).alias(c) for c in scope])
+    for c in scope:
+        grid = grid.withColumn(c, F.explode(c))
+    full = grid.join(counts, scope, "left").withColumn("_n", F.coalesce("_n", F.lit(0)) + 1)
     total = F.sum("_n").over(Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(1)))
     return full.select(*parents, child, (F.col("_n") / total).alias("p"))
 
@@ -201,16 +223,21 @@ def local_score(counts: np.ndarray, n_rows: int, kind: str = "bic", sample_prior
 
 
 def family_bic(data: DataFrame, child: str, parents: list[str]) -> DataFrame:
-    """One row (child, parents, score): local BIC as a Spark plan, on smoothed counts of the full grid."""
+    """One row (child, parents, score): local BIC as a Spark plan, on smoothed counts of the full grid.
+
+    Cells that do not occur count one each; what they add follows from the
+    number of outcomes, so they are not listed.
+    """
     counts = joint_counts(data, [*parents, child])
-    grid = functools.reduce(lambda a, b: a.crossJoin(b), [counts.select(c).distinct() for c in [*parents, child]])
-    full = grid.join(counts, [*parents, child], "left").withColumn("_c", F.coalesce("_n", F.lit(0)) + 1.0)
-    total = F.sum("_c").over(Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(1)))
-    fit = full.withColumn("_t", total).agg(
-        F.sum(F.col("_c") * F.log(F.col("_c") / F.col("_t"))).alias("fit"), F.sum(F.coalesce("_n", F.lit(0))).alias("rows"), F.count(F.lit(1)).alias("cells"), F.countDistinct(child).alias("card")
+    distinct = lambda c: counts.agg(F.countDistinct(c)).scalar()  # noqa: E731  a number that the plan looks up
+    card, q = distinct(child), functools.reduce(lambda a, b: a * b, [distinct(p).cast("double") for p in parents], F.lit(1.0))
+    configs = counts.groupBy(*parents).agg(F.sum("_n").alias("_t"), F.sum((F.col("_n") + 1) * F.log(F.col("_n") + 1.0)).alias("_own")) if parents else counts.agg(
+        F.sum("_n").alias("_t"), F.sum((F.col("_n") + 1) * F.log(F.col("_n") + 1.0)).alias("_own")
     )
-    q = F.col("cells") / F.col("card")
-    score = F.col("fit") - 0.5 * (F.col("card") - 1) * q * F.log("rows")
+    configs = configs.withColumn("_card", card)
+    total = F.col("_t") + F.col("_card")
+    fit = configs.groupBy("_card").agg(F.sum(F.col("_own") - total * F.log(total.cast("double"))).alias("fit"), F.sum("_t").alias("rows"), F.count(F.lit(1)).alias("seen")).withColumn("q", q)
+    score = F.col("fit") - (F.col("q") - F.col("seen")) * F.col("_card") * F.log(F.col("_card").cast("double")) - 0.5 * (F.col("_card") - 1) * F.col("q") * F.log("rows")
     return fit.select(F.lit(child).alias("child"), F.lit(",".join(parents)).alias("parents"), score.alias("score"))
 
 

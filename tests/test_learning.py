@@ -31,7 +31,93 @@ def collider(spark):
     return spark.createDataFrame(rows, "A string, B string, C string, D string")
 
 
-def test_families_agree_between_local_and_grouping_sets(spark, collider):
+@pytest.fixture(scope="module")
+def wide(spark):
+    """Twelve columns of three outcomes, each but the first two drawn from two before it."""
+    draw, rows = random.Random(7), []
+    for _ in range(3000):
+        row = [draw.randrange(3), draw.randrange(3)]
+        for k in range(2, 12):
+            row.append((row[k - 1] + row[k - 2]) % 3 if draw.random() < 0.8 else draw.randrange(3))
+        rows.append(tuple(map(str, row)))
+    return spark.createDataFrame(rows, ", ".join(f"v{k} string" for k in range(12)))
+
+
+@pytest.fixture(scope="module")
+def near_and_far(spark, wide):
+    near = statistics.SufficientStatistics(wide, wide.columns)
+    far = statistics.SufficientStatistics(wide, wide.columns, max_cells=0)
+    assert near.local is not None and far.local is None and far.table is not None
+    yield near, far
+    far.release()
+
+
+def test_scores_and_tests_in_spark_equal_the_drivers(near_and_far, monkeypatch):
+    from factorloom.operators import families as module
+
+    near, far = near_and_far
+    wanted = [("v3", ()), ("v3", ("v2",)), ("v5", ("v0", "v4", "v11")), ("v0", ("v1", "v2", "v3", "v4", "v5", "v6"))]
+    pairs = [("v0", "v5", ()), ("v2", "v4", ("v3",)), ("v6", "v9", ("v1", "v2", "v7", "v8"))]
+    for dense, cells in ((1 << 16, 1 << 22), (20, 40)):  # counted in arrays and not, in one pass and several
+        monkeypatch.setattr(module, "DENSE_CELLS", dense)
+        monkeypatch.setattr(module, "PASS_CELLS", cells)
+        for kind in ("bic", "aic", "k2", "bdeu"):
+            assert far.scores(wanted, kind, 2.0) == pytest.approx(near.scores(wanted, kind, 2.0), rel=1e-9)
+        for kind in ("chi2", "g2"):
+            assert far.tests(pairs, kind) == [(pytest.approx(s), df) for s, df in near.tests(pairs, kind)]
+    assert not far.memo  # no counts came to the driver
+
+
+def test_hashed_configurations(near_and_far, monkeypatch):
+    from factorloom.operators import families as module
+
+    near, far = near_and_far
+    monkeypatch.setattr(module, "MOST_NUMBERED", 1)
+    monkeypatch.setattr(module, "DENSE_CELLS", 2)
+    wanted = [("v5", ("v0", "v4", "v11")), ("v2", ("v1",))]
+    assert far.scores(wanted, "bic") == pytest.approx(near.scores(wanted, "bic"), rel=1e-9)
+
+
+@pytest.mark.parametrize("learner", [learning.hill_climb, learning.greedy_forward_backward, lambda s: learning.order_search(s, max_parents=2, restarts=0), learning.ges, learning.pc, lambda s: learning.pc(s, test="g2", variant="stable")])
+def test_learners_are_the_same_over_spark_counts(spark, wide, learner):
+    columns = wide.columns[:6]
+    near, far = statistics.SufficientStatistics(wide, columns), statistics.SufficientStatistics(wide, columns, max_cells=0)
+    a, b = learner(near), learner(far)
+    assert a.edges == b.edges and a.score == pytest.approx(b.score) and a.details.get("tests") == b.details.get("tests")
+    assert a.network.fingerprint() == b.network.fingerprint()
+    assert {f for f in far.memo if len(f) > 1} <= {c.scope for c in b.network.cpts.values()}  # the model's tables and margins alone
+
+
+def test_sub_batches_of_a_level(near_and_far):
+    near, far = near_and_far
+    for stable in (True, False):
+        want = learning._skeleton(near, 0.01, "g2", 2, stable)
+        asked = []
+        original, far.tests = far.tests, lambda some, kind: asked.append(len(some)) or near.tests(some, kind)
+        try:
+            assert learning._skeleton(far, 0.01, "g2", 2, stable, per_job=40) == want
+        finally:
+            far.tests = original
+        assert max(asked) <= 40 and len(asked) >= 3
+
+
+def test_forty_columns_are_not_listed():
+    class Independent:
+        columns = [f"c{k}" for k in range(40)]
+        local, table, asked = None, object(), 0
+
+        def tests(self, some, kind):
+            self.asked += len(some)
+            assert len(some) <= learning.FAMILIES_PER_JOB
+            # linked until two columns are given
+            return [(0.0, 1) if len(given) == 2 else (1e6, 1) for _, _, given in some]
+
+    stats = Independent()
+    near, _, made = learning._skeleton(stats, 0.05, "g2", 2, True)
+    assert not any(near.values()) and made == 780 * (1 + 76 - 38 + 1) and stats.asked < 60_000  # 548,340 families at level two
+
+
+def test_families_agree_between_local_and_spark(spark, collider):
     columns = ["A", "B", "C", "D"]
     near = statistics.SufficientStatistics(collider, columns)
     far = statistics.SufficientStatistics(collider, columns, max_cells=0)
