@@ -1,7 +1,10 @@
 """How a posterior depends on table cells, and what observing a variable is worth.
 
-Every cell or candidate is an independent case, so they are rows of a DataFrame
-that executors solve on a broadcast network.
+With the rest of its row kept in proportion, P(evidence) and P(query, evidence)
+are linear in a cell.  Two propagations, with and without the query, give the
+slopes of all cells of all tables, so a task that holds any number of cells runs
+two and then only evaluates lines.  Candidates of the value of information are
+cases of one batch.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from factorloom.functions.special import entropy_bits
 from factorloom.model import Cpt, Network
 from factorloom.operators.graph import d_connected
 from factorloom.operators.inference import infer_batch
-from factorloom.plans.junction import compilations
+from factorloom.plans.junction import CompiledNetwork, compilations
 
 PARAMETERS = "param_id long, variable string, parent_config string, row_idx int, outcome_idx int, outcome string, theta double"
 
@@ -48,25 +51,64 @@ def parameters(spark: SparkSession, net: Network) -> DataFrame:
     return spark.createDataFrame(rows, PARAMETERS)
 
 
-def _posterior_at(spark: SparkSession, net: Network, frame: DataFrame, query: tuple[str, str], evidence: Mapping[str, str] | None) -> DataFrame:
-    """Adds ``posterior``: P(query) after setting each row's cell to ``at``."""
-    shared = spark.sparkContext.broadcast(net)
+def _others(rows: np.ndarray) -> np.ndarray:
+    """Of each row the sum of all other rows; nothing is subtracted, so what is impossible stays exactly zero."""
+    before = np.r_[0.0, np.cumsum(rows)[:-1]]
+    return before + np.r_[np.cumsum(rows[::-1])[::-1][1:], 0.0]
+
+
+class CellLines:
+    """P(evidence) and P(query, evidence) as functions of any one cell of a network's tables."""
+
+    def __init__(self, kernel: CompiledNetwork, query: tuple[str, int], evidence: Mapping[str, str] | None):
+        self.kernel = kernel
+        weights = kernel.weights(evidence)
+        hit = np.eye(kernel.cards[query[0]])[query[1]][None]
+        asked = weights | {query[0]: weights[query[0]] * hit if query[0] in weights else hit}
+        self.slopes = [kernel.family_derivatives(asked), kernel.family_derivatives(weights)]
+
+    def posterior(self, variable: str, row: np.ndarray, outcome: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """P(query | evidence) with the cells (row, outcome) set to ``at`` (cells x points)."""
+        table = self.kernel.cpts[variable].table
+        table = table.reshape(-1, table.shape[-1])
+        cells = np.arange(len(row))
+        rest = table[row].copy()
+        rest[cells, outcome] = 0.0
+        total = rest.sum(axis=1, keepdims=True)
+        even = np.ones_like(rest) / max(1, table.shape[1] - 1)
+        even[cells, outcome] = 0.0
+        share = np.where(total > 0, np.divide(rest, total, out=np.zeros_like(rest), where=total > 0), even)
+        values = []
+        for slopes in self.slopes:
+            slope = slopes[variable][0].reshape(table.shape)
+            fixed = _others((table * slope).sum(axis=1))[row]
+            one, other = slope[row, outcome], (share * slope[row]).sum(axis=1)
+            values.append(fixed[:, None] + at * one[:, None] + (1 - at) * other[:, None])
+        return np.divide(values[0], values[1], out=np.zeros_like(values[0]), where=values[1] > 0)
+
+
+def _posteriors_at(spark: SparkSession, net: Network, frame: DataFrame, query: tuple[str, str], evidence: Mapping[str, str] | None) -> DataFrame:
+    """Adds ``posteriors``: P(query) after setting each row's cell to each of its ``at``; one pass without a shuffle of results."""
     code = net.variable(query[0]).code(query[1])
     if code is None:
         raise ValueError(f"unknown outcome {query[1]!r} of {query[0]!r}")
+    shared = spark.sparkContext.broadcast(net)
 
     def solve(batches):
-        kernel = compilations().get(shared.value)  # the structure is the same for every cell
+        lines = None
         for batch in batches:
-            out = []
-            for v, r, o, at in zip(batch["variable"], batch["row_idx"], batch["outcome_idx"], batch["at"], strict=True):
-                found, _ = kernel.with_table(perturbed_table(shared.value, v, r, o, at)).infer(evidence, wanted=[query[0]])
-                out.append(float(found[query[0]][code]))
-            yield batch.assign(posterior=pd.Series(out, dtype=float))
+            lines = lines or CellLines(compilations().get(shared.value), (query[0], code), evidence)
+            out = pd.Series([None] * len(batch), dtype=object)
+            for variable, where in batch.reset_index(drop=True).groupby("variable", sort=False).groups.items():
+                some = batch.iloc[where]
+                at = np.clip(np.stack(some["at"].tolist()).astype(float), 0.0, 1.0)
+                found = lines.posterior(variable, some["row_idx"].to_numpy(), some["outcome_idx"].to_numpy(), at)
+                for k, p in zip(where, found.tolist(), strict=True):
+                    out[k] = p
+            yield batch.assign(posteriors=out.to_numpy())
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema)
-    slots = spark.sparkContext.defaultParallelism
-    return frame.repartition(slots).mapInPandas(solve, f"{kinds}, posterior double")
+    return frame.mapInPandas(solve, f"{kinds}, posteriors array<double>")
 
 
 def _baseline(net: Network, query: tuple[str, str], evidence) -> float:
@@ -76,10 +118,10 @@ def _baseline(net: Network, query: tuple[str, str], evidence) -> float:
 
 def finite_differences(spark: SparkSession, net: Network, query: tuple[str, str], evidence=None, epsilon: float = 0.01) -> DataFrame:
     """One row a cell: base and perturbed posterior and the one-sided derivative (downwards at the top)."""
-    step = F.when(F.col("theta") + epsilon > 1, -epsilon).otherwise(epsilon)
-    frame = parameters(spark, net).withColumn("at", F.col("theta") + step)
-    solved = _posterior_at(spark, net, frame, query, evidence).withColumn("base", F.lit(_baseline(net, query, evidence)))
-    return solved.withColumn("derivative", (F.col("posterior") - F.col("base")) / (F.col("at") - F.col("theta"))).drop("at")
+    at = F.col("theta") + F.when(F.col("theta") + epsilon > 1, -epsilon).otherwise(epsilon)
+    solved = _posteriors_at(spark, net, parameters(spark, net).withColumn("at", F.array(at)), query, evidence)
+    solved = solved.withColumn("posterior", F.get("posteriors", F.lit(0))).withColumn("base", F.lit(_baseline(net, query, evidence)))
+    return solved.withColumn("derivative", (F.col("posterior") - F.col("base")) / (F.get("at", F.lit(0)) - F.col("theta"))).drop("at", "posteriors")
 
 
 def most_influential(spark: SparkSession, net: Network, query: tuple[str, str], evidence=None, n: int = 10, epsilon: float = 0.01) -> DataFrame:
@@ -90,11 +132,9 @@ def tornado(spark: SparkSession, net: Network, query: tuple[str, str], evidence=
     """Sweep each cell from 0 to 1: the posteriors in order and their range, widest first."""
     if steps < 2:
         raise ValueError("a sweep needs at least two steps")
-    grid = parameters(spark, net).withColumn("at", F.explode(F.expr(f"transform(sequence(0, {steps - 1}), i -> i / {steps - 1})")))
-    solved = _posterior_at(spark, net, grid, query, evidence)
-    keys = ["param_id", "variable", "parent_config", "row_idx", "outcome_idx", "outcome", "theta"]
-    swept = solved.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "posterior"))).alias("curve"), (F.max("posterior") - F.min("posterior")).alias("range"))
-    return swept.withColumn("curve", F.transform("curve", lambda c: c["posterior"])).orderBy(F.desc("range"), "param_id")
+    frame = parameters(spark, net).withColumn("at", F.expr(f"transform(sequence(0, {steps - 1}), i -> double(i / {steps - 1}))"))
+    swept = _posteriors_at(spark, net, frame, query, evidence).drop("at").withColumnRenamed("posteriors", "curve")
+    return swept.withColumn("range", F.array_max("curve") - F.array_min("curve")).orderBy(F.desc("range"), "param_id")
 
 
 def analytic_sensitivity(spark: SparkSession, net: Network, query: tuple[str, str], evidence=None) -> DataFrame:
@@ -103,11 +143,10 @@ def analytic_sensitivity(spark: SparkSession, net: Network, query: tuple[str, st
     Three posteriors fix the curve: P(0) = b, and P(1/2), P(1) give c and a.
     A curve that three points do not fix (a denominator of zero) is taken as linear.
     """
-    points = parameters(spark, net).withColumn("at", F.explode(F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))))
-    solved = _posterior_at(spark, net, points, query, evidence)
-    at = lambda x: F.max(F.when(F.col("at") == x, F.col("posterior")))
+    points = parameters(spark, net).withColumn("at", F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0)))
+    solved = _posteriors_at(spark, net, points, query, evidence)
     keys = ["param_id", "variable", "parent_config", "row_idx", "outcome_idx", "outcome", "theta"]
-    curve = solved.groupBy(*keys).agg(at(0.0).alias("b"), at(0.5).alias("p_half"), at(1.0).alias("p_one"))
+    curve = solved.select(*keys, *(F.get("posteriors", F.lit(k)).alias(name) for k, name in enumerate(("b", "p_half", "p_one"))))
     # from P(1) (c + 1) = a + b and P(1/2) (c / 2 + 1) = a / 2 + b
     below = F.col("p_half") - F.col("p_one")
     c = F.when(F.abs(below) > 1e-12, (F.col("p_one") + F.col("b") - 2 * F.col("p_half")) / below).otherwise(0.0)

@@ -58,10 +58,12 @@ class CompiledNetwork:
             near[j].append((i, s))
         self.inward: list[tuple[int, int, tuple[str, ...]]] = []
         self.roots, seen = [], set()
+        self.root_of: dict[int, int] = {}
         for root in reversed(range(len(self.cliques))):
             if root in seen:
                 continue
             self.roots.append(root)
+            self.root_of[root] = root
             order, stack = [], [root]
             seen.add(root)
             while stack:
@@ -69,6 +71,7 @@ class CompiledNetwork:
                 for n, s in near[at]:
                     if n not in seen:
                         seen.add(n)
+                        self.root_of[n] = root
                         order.append((n, at, s))
                         stack.append(n)
             self.inward += reversed(order)
@@ -84,8 +87,8 @@ class CompiledNetwork:
             out.base[k] = out.base[k] * _expand(one.table[None], one.scope, self.cliques[k])
         return out
 
-    def calibrate(self, weights: Mapping[str, np.ndarray], n: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
-        """Clique beliefs with a leading case axis, and the probability of each case's evidence.
+    def propagate(self, weights: Mapping[str, np.ndarray]) -> tuple[list[np.ndarray], dict[int, list[tuple[int, np.ndarray]]]]:
+        """Clique potentials with their weights, and the messages each clique receives, with a leading case axis.
 
         ``weights`` holds (cases, outcomes) likelihoods; each enters once.
         """
@@ -93,8 +96,8 @@ class CompiledNetwork:
         for v, w in weights.items():
             k = self.home[v]
             pot[k] = pot[k] * _expand(w, (v,), self.cliques[k])
-        sent: dict[tuple[int, int], np.ndarray] = {}
         gather = list(pot)
+        received: dict[int, list[tuple[int, np.ndarray]]] = {}
 
         def message(table: np.ndarray, source: int, target: int, sep: tuple[str, ...]) -> np.ndarray:
             drop = tuple(1 + i for i, v in enumerate(self.cliques[source]) if v not in sep)
@@ -102,26 +105,59 @@ class CompiledNetwork:
             return _expand(table.sum(axis=drop) if drop else table, kept, self.cliques[target])
 
         for a, b, sep in self.inward:
-            sent[a, b] = message(gather[a], a, b, sep)
-            gather[b] = gather[b] * sent[a, b]
-        belief = list(gather)
-        received: dict[int, list[tuple[int, np.ndarray]]] = {}
-        for (s, t), m in sent.items():
-            received.setdefault(t, []).append((s, m))
+            sent = message(gather[a], a, b, sep)
+            gather[b] = gather[b] * sent
+            received.setdefault(b, []).append((a, sent))
         for a, b, sep in reversed(self.inward):
             # what b knows without a's own message, so that nothing is divided by zero
             others = pot[b]
             for s, m in received[b]:
                 if s != a:
                     others = others * m
-            back = message(others, b, a, sep)
-            received.setdefault(a, []).append((b, back))
-            belief[a] = belief[a] * back
+            received.setdefault(a, []).append((b, message(others, b, a, sep)))
+        return pot, received
+
+    def calibrate(self, weights: Mapping[str, np.ndarray], n: int = 1) -> tuple[list[np.ndarray], np.ndarray]:
+        """Clique beliefs with a leading case axis, and the probability of each case's evidence."""
+        pot, received = self.propagate(weights)
+        belief = [functools.reduce(np.multiply, (m for _, m in received.get(k, ())), p) for k, p in enumerate(pot)]
         evidence = np.ones(n)
         for r in self.roots:
             evidence = evidence * belief[r].reshape(belief[r].shape[0], -1).sum(axis=1)
         return belief, evidence
 
+    def family_derivatives(self, weights: Mapping[str, np.ndarray], wanted=None) -> dict[str, np.ndarray]:
+        """What P(evidence) gains per unit of each cell of the wanted variables' tables: arrays (case, *scope).
+
+        One propagation serves all of them: a cell's factor is its clique's
+        potential without the variable's own table, times what the clique receives.
+        """
+        pot, received = self.propagate(weights)
+        totals = {}
+        for r in self.roots:
+            belief = functools.reduce(np.multiply, (m for _, m in received.get(r, ())), pot[r])
+            totals[r] = belief.reshape(belief.shape[0], -1).sum(axis=1)
+        out = {}
+        for k, names in self.held.items():
+            for name in (v for v in names if wanted is None or v in wanted):
+                rest = np.ones((1, *[self.cards[v] for v in self.cliques[k]]))
+                for other in names:
+                    if other != name:
+                        rest = rest * _expand(self.cpts[other].table[None], self.cpts[other].scope, self.cliques[k])
+                for v, w in weights.items():
+                    if self.home[v] == k:
+                        rest = rest * _expand(w, (v,), self.cliques[k])
+                rest = functools.reduce(np.multiply, (m for _, m in received.get(k, ())), rest)
+                scope = self.cpts[name].scope
+                kept = [v for v in self.cliques[k] if v in scope]
+                rest = rest.sum(axis=tuple(1 + i for i, v in enumerate(self.cliques[k]) if v not in scope))
+                rest = np.transpose(rest, [0, *(1 + kept.index(v) for v in scope)])
+                for r, total in totals.items():
+                    if r != self.root_of[k]:
+                        rest = rest * total.reshape(-1, *[1] * len(scope))
+                out[name] = rest
+        return out
+
     def marginal(self, belief: list[np.ndarray], name: str, clique: int | None = None) -> np.ndarray:
         """(cases, outcomes), normalised; zero where the evidence is impossible."""
         k = self.home[name] if clique is None else clique

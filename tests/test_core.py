@@ -248,3 +248,35 @@ def test_session(spark):
     assert s.evidence == {}
     with pytest.raises(Exception, match=r"PATH_NOT_FOUND|exist"):
         s.load("/nowhere/at/all.bif")
+
+
+@pytest.mark.parametrize("evidence", [{}, {"xray": "yes"}, {"xray": "yes", "dysp": "no", "asia": "yes"}, {"either": "no", "lung": "yes"}])
+def test_lines_of_cells_equal_inference_on_changed_tables(spark, evidence):
+    # ASIA has zero and one cells; the two added variables are a component of their own
+    more = [Variable("left", ("a", "b", "c")), Variable("right", ("x", "y"))]
+    tables = [Cpt("left", (), np.array([0.2, 0.0, 0.8])), Cpt("right", ("left",), np.array([[0.5, 0.5], [1.0, 0.0], [0.3, 0.7]]))]
+    net = Network("both", [*ASIA.variables.values(), *more], [*ASIA.cpts.values(), *tables])
+    for query, given in ((("lung", "yes"), evidence), (("right", "x"), evidence | {"left": "c"})):
+        curve = {(r["variable"], r["row_idx"], r["outcome_idx"]): r["curve"] for r in sensitivity.tornado(spark, net, query, given, steps=3).collect()}
+        assert len(curve) == sum(c.table.size for c in net.cpts.values())
+        for (variable, row, outcome), found in curve.items():
+            for at, p in zip((0.0, 0.5, 1.0), found, strict=True):
+                want, _ = CompiledNetwork(sensitivity.perturb(net, variable, row, outcome, at)).infer(given)
+                assert p == pytest.approx(want[query[0]][net.variable(query[0]).code(query[1])], abs=1e-12)
+
+
+def test_cells_of_a_network_of_sixty_variables(spark):
+    import time
+
+    from factorloom.catalog import LADDER, chain_network
+
+    net = chain_network(LADDER)
+    began = time.time()
+    rows = sensitivity.analytic_sensitivity(spark, net, (f"v{LADDER - 1}", net.variable(f"v{LADDER - 1}").outcomes[0]), {"v0": net.variable("v0").outcomes[0]}).collect()
+    assert len(rows) == sum(c.table.size for c in net.cpts.values()) and time.time() - began < 30
+    # v0 is observed: at zero the evidence is impossible and three points fix no curve
+    for some in sorted((r for r in rows if r["variable"] != "v0"), key=lambda r: -abs(r["derivative"]))[:5]:
+        step = 1e-6 if some["theta"] < 0.5 else -1e-6
+        moved = sensitivity.perturb(net, some["variable"], some["row_idx"], some["outcome_idx"], some["theta"] + step)
+        before, after = (CompiledNetwork(n).infer({"v0": net.variable("v0").outcomes[0]})[0][f"v{LADDER - 1}"][0] for n in (net, moved))
+        assert (after - before) / step == pytest.approx(some["derivative"], abs=1e-4)
