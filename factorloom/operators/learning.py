@@ -15,7 +15,9 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from factorloom.model import Network
+from factorloom.operators.equivalence import EquivalenceClass, apply, deletes, inserts, orient_by_rules
 from factorloom.operators.graph import Edge, force_acyclic, reaches, topological_order
+from factorloom.operators.latent import AncestralGraph
 from factorloom.operators.statistics import SufficientStatistics, chi2_sf
 
 TIE = 1e-9
@@ -188,23 +190,6 @@ def order_search(stats: SufficientStatistics, score: str = "bic", max_parents: i
 
 # constraint-based
 
-def _meek(columns: list[str], adjacent, directed: set[Edge], undirected: set[frozenset[str]]) -> None:
-    """Orient undirected edges by rules 1 to 3 until none applies."""
-    changed = True
-    while changed:
-        changed = False
-        for a, b in itertools.permutations(columns, 2):
-            if frozenset((a, b)) not in undirected:
-                continue
-            chain = any((k, a) in directed and not adjacent(k, b) for k in columns)
-            cycle = any((a, k) in directed and (k, b) in directed for k in columns)
-            kite = [k for k in columns if frozenset((a, k)) in undirected and (k, b) in directed]
-            if chain or cycle or any(not adjacent(x, y) for x, y in itertools.combinations(kite, 2)):
-                directed.add((a, b))
-                undirected.discard(frozenset((a, b)))
-                changed = True
-
-
 class PairTests:
     """Tests of pairs of columns given sets, in sub-batches.
 
@@ -260,7 +245,8 @@ def _conditioning_sets(columns: list[str], view: dict[str, set[str]], x: str, y:
     yield from (s for s in itertools.combinations([c for c in columns if c in view[y] and c != x], size) if not seen.issuperset(s))
 
 
-def _skeleton(stats: SufficientStatistics, alpha: float, kind: str, max_conditioning: int | None, stable: bool, per_job: int | None = None):
+def _skeleton(stats: SufficientStatistics, alpha: float, kind: str, max_conditioning: int | None, stable: bool, per_job: int | None = None, every_level: bool = False):
+    """Neighbours, separating sets and number of tests; a level that separates nothing is the last one, unless ``every_level``."""
     columns = stats.columns
     near = {c: {o for o in columns if o != c} for c in columns}
     separator: dict[frozenset[str], set[str]] = {}
@@ -277,7 +263,7 @@ def _skeleton(stats: SufficientStatistics, alpha: float, kind: str, max_conditio
                 near[y].discard(x)
                 separator[frozenset((x, y))] = set(s)
                 changed = True
-        if not changed and size > 0:
+        if not changed and size > 0 and not every_level:
             break
     return near, separator, tests.made
 
@@ -293,7 +279,7 @@ def pc(stats: SufficientStatistics, alpha: float = 0.05, test: str = "chi2", max
             if y not in near[x] and z not in separator.get(frozenset((x, y)), set()):
                 directed |= {(x, z), (y, z)}
                 undirected -= {frozenset((x, z)), frozenset((y, z))}
-    _meek(columns, lambda a, b: b in near[a], directed, undirected)
+    orient_by_rules(columns, lambda a, b: b in near[a], directed, undirected)
     cpdag = (set(directed), set(undirected))
     place = {c: i for i, c in enumerate(columns)}
     directed |= {tuple(sorted(e, key=place.__getitem__)) for e in undirected}
@@ -302,32 +288,23 @@ def pc(stats: SufficientStatistics, alpha: float = 0.05, test: str = "chi2", max
 
 
 def fci(stats: SufficientStatistics, alpha: float = 0.05, test: str = "chi2", max_conditioning: int | None = None) -> Learned:
-    """Orientation of the skeleton with circle marks, colliders and the first propagation rules.
+    """FCI without selection variables: the marks that hold whatever causes are not observed.
 
-    Edges that end as bidirected or with a circle at the tail are left out of
-    the network (a latent cause is not ruled out); undirected ones point to
-    the later column.
+    The skeleton of PC, then sets of vertices that may separate beyond the
+    neighbours (by paths of colliders and triangles), then all orientation
+    rules.  Edges that end with two arrows or with a circle at the tail of an
+    arrow are left out of the network (a latent cause is not ruled out);
+    undirected ones point to the later column.
     """
     columns = stats.columns
-    near, separator, tests = _skeleton(stats, alpha, test, max_conditioning, True)
-    mark = {(a, b): "circle" for a in columns for b in near[a]}  # the mark at b of the edge a - b
-    for z in columns:
-        for x, y in itertools.combinations([c for c in columns if c in near[z]], 2):
-            if y not in near[x] and z not in separator.get(frozenset((x, y)), set()):
-                mark[x, z] = mark[y, z] = "arrow"
-    changed = True
-    while changed:
-        changed = False
-        for a, b, c in itertools.permutations(columns, 3):
-            if b not in near[a] or c not in near[b]:
-                continue
-            if c not in near[a] and mark[a, b] == "arrow" and mark[c, b] == "circle":
-                mark[c, b], mark[b, c], changed = "tail", "arrow", True
-            if c in near[a] and mark[a, c] == "circle" and (
-                (mark[b, a] == "tail" and mark[a, b] == "arrow" and mark[b, c] == "arrow") or (mark[a, b] == "arrow" and mark[c, b] == "tail" and mark[b, c] == "arrow")
-            ):
-                mark[a, c], changed = "arrow", True
-    edges, dropped = [], []
+    near, separator, tests = _skeleton(stats, alpha, test, max_conditioning, True, every_level=True)
+    found = AncestralGraph(columns, near)
+    found.colliders(separator)
+    tests += _separate_further(stats, found, separator, alpha, test, max_conditioning)
+    found = AncestralGraph(columns, near)
+    found.colliders(separator)
+    found.orient(separator)
+    mark, edges, dropped = found.mark, [], []
     for a, b in itertools.combinations(columns, 2):
         if b in near[a]:
             ends = (mark[b, a], mark[a, b])
@@ -340,28 +317,57 @@ def fci(stats: SufficientStatistics, alpha: float = 0.05, test: str = "chi2", ma
             else:
                 dropped.append((a, b))
     edges = force_acyclic(columns, edges)
-    return Learned(stats.laplace_network(edges), edges, details={"tests": tests, "marks": mark, "dropped": dropped})
+    return Learned(stats.laplace_network(edges), edges, details={"tests": tests, "marks": mark, "dropped": dropped, "separators": separator})
+
 
+def _separate_further(stats: SufficientStatistics, graph: AncestralGraph, separator: dict, alpha: float, kind: str, max_conditioning: int | None) -> int:
+    """Remove edges that a set of possibly separating vertices explains; the sets are those of the graph as it came."""
+    columns, tests = stats.columns, PairTests(stats, alpha, kind)
+    reach = {x: graph.possibly_separating(x) for x in columns}
+    linked = [(x, y) for x, y in itertools.combinations(columns, 2) if y in graph.near[x]]
+    limit = len(columns) - 2 if max_conditioning is None else max_conditioning
 
-def _to_cpdag(columns: list[str], edges: list[Edge]) -> tuple[set[Edge], set[frozenset[str]]]:
-    """Compelled and reversible edges of a graph's equivalence class."""
-    adjacent = lambda a, b: (a, b) in edges or (b, a) in edges
-    directed = {(a, z) for a, z in edges if any(b != a and w == z and not adjacent(a, b) for b, w in edges)}
-    undirected = {frozenset(e) for e in edges} - {frozenset(e) for e in directed}
-    _meek(columns, adjacent, directed, undirected)
-    return directed, undirected
+    def sets(x: str, y: str) -> Iterator[tuple[str, ...]]:
+        for size in range(1, limit + 1):
+            for end, other in ((x, y), (y, x)):
+                # subsets of the neighbours were tried before
+                yield from (s for s in itertools.combinations([c for c in columns if c in reach[end] and c != other], size) if not graph.near[end].issuperset(s))
+
+    for k, (x, y) in enumerate(linked):
+        s = tests.separator(x, y, sets(x, y), ((a, b, sets(a, b)) for a, b in linked[k + 1 :]))
+        if s is not None:
+            graph.near[x].discard(y)
+            graph.near[y].discard(x)
+            separator[frozenset((x, y))] = set(s)
+    return tests.made
 
 
 def ges(stats: SufficientStatistics, score: str = "bdeu", sample_prior: float = 1.0, structure_prior: float = 1.0, max_parents: int = 5) -> Learned:
-    """Greedy search scored by BDeu, reported as its equivalence class: compelled edges and reversible ones."""
+    """Greedy equivalence search: the best valid insertion, then the best valid deletion, class by class.
+
+    The network is an acyclic graph of the class; ``directed`` are the
+    compelled edges and ``undirected`` the reversible ones.
+    """
     penalty = math.log(max(stats.n, 2)) * 0.5 * (structure_prior - 1) if structure_prior != 1 else 0.0
     scores = FamilyScores(stats, score, sample_prior, penalty)
-    parents: dict[str, set[str]] = {c: set() for c in stats.columns}
-    _improve(scores, stats.columns, parents, {"add", "reverse"}, max_parents, 1000)
-    _improve(scores, stats.columns, parents, {"remove", "reverse"}, max_parents, 1000)
-    edges = _edges(parents, stats.columns)
-    directed, undirected = _to_cpdag(stats.columns, edges)
-    return Learned(stats.laplace_network(edges), edges, scores.total(parents), {"directed": directed, "undirected": undirected})
+    state, moves = EquivalenceClass(stats.columns), []
+    for options in (lambda s: inserts(s, max_parents), deletes):
+        while True:
+            best, gain = None, scores.tie
+            # the valid moves are listed in parts, whose families are scored together
+            for some in itertools.batched(options(state), FAMILIES_PER_JOB):
+                scores.ask((m.y, family) for m in some for family in (m.before, m.after))
+                for m in some:
+                    delta = scores(m.y, m.after) - scores(m.y, m.before)
+                    if delta > gain + (scores.tie if best else 0):
+                        best, gain = m, delta
+            if best is None:
+                break
+            state = apply(state, best)
+            moves.append((best.kind, (best.x, best.y)))
+    edges = state.extension()
+    total = scores.total({c: {a for a, b in edges if b == c} for c in stats.columns})
+    return Learned(stats.laplace_network(edges), edges, total, {"directed": state.directed(), "undirected": state.undirected(), "moves": moves})
 
 
 def causal_discovery(stats: SufficientStatistics, algorithm: str = "pc", **options) -> Learned:
