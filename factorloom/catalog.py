@@ -23,8 +23,10 @@ from factorloom.operators.factor import Factor
 from factorloom.plans.elimination import eliminate
 from factorloom.plans.junction import CompiledNetwork
 from factorloom.plans.lineage import shared_folder
+from factorloom.plans.sparse import SparseForest, case_posteriors, learned_tables
 from factorloom.session import Session
 from factorloom.sources import formats, readers
+from factorloom.streaming.evidence import replayed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -873,6 +875,75 @@ def clg_fit_timestamps(spark, sf_dir):
     fit = gaussian.fit_linear_gaussian(lines, "y", ["x"], ["l_returnflag"])
     return fit.select("config_key", F.round(F.get("coefficients", 0), 3).alias("slope"), "n")
 
+# plans over sparse tables, and evidence in order of time
+
+
+SPARSE_EDGES = [("part", "supp"), ("part", "rf"), ("supp", "rf"), ("part", "q")]
+SPARSE = (
+    "b AS (SELECT CAST(l_partkey AS VARCHAR) AS part, CAST(l_suppkey AS VARCHAR) AS supp, l_returnflag AS rf, CASE WHEN l_quantity < 17 THEN 'lo' WHEN l_quantity < 34 THEN 'mid' ELSE 'hi' END AS q FROM lineitem),"
+    " p1 AS (SELECT part, count(*) / sum(count(*)) OVER () AS p1 FROM b GROUP BY part), p2 AS (SELECT part, supp, count(*) / sum(count(*)) OVER (PARTITION BY part) AS p2 FROM b GROUP BY part, supp),"
+    " p3 AS (SELECT part, supp, rf, count(*) / sum(count(*)) OVER (PARTITION BY part, supp) AS p3 FROM b GROUP BY part, supp, rf), p4 AS (SELECT part, q, count(*) / sum(count(*)) OVER (PARTITION BY part) AS p4 FROM b GROUP BY part, q),"
+    " j AS (SELECT part, supp, rf, q, p1 * p2 * p3 * p4 AS p FROM p1 JOIN p2 USING (part) JOIN p3 USING (part, supp) JOIN p4 USING (part))"
+)
+
+
+@registered(f"WITH {SPARSE} SELECT 'supp' AS variable, supp AS outcome, round(sum(p) / sum(sum(p)) OVER (), 9) AS p FROM j WHERE rf = 'R' AND q = 'hi' GROUP BY supp")
+def sparse_posterior(spark, sf_dir):
+    """P(supplier | return flag, quantity) in a network over all parts and suppliers, whose clique no array could hold."""
+    lines = table(spark, sf_dir, "lineitem")
+    q = statistics.binned(F.col("l_quantity"), [17.0, 34.0], ["lo", "mid", "hi"]).alias("q")
+    view = lines.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_returnflag").alias("rf"), q)
+    forest = SparseForest(spark, learned_tables(view, ["part", "supp", "rf", "q"], SPARSE_EDGES))
+    return forest.posterior("supp", {"rf": "R", "q": "hi"}).withColumn("p", F.round("p", 9))
+
+
+@registered(
+    f"WITH {BASE}, g1 AS (SELECT q, count(*) / sum(count(*)) OVER () AS p1 FROM b GROUP BY q), g2 AS (SELECT disc, count(*) / sum(count(*)) OVER () AS p2 FROM b GROUP BY disc),"
+    " g3 AS (SELECT q, disc, qd, count(*) / sum(count(*)) OVER (PARTITION BY q, disc) AS p3 FROM b GROUP BY q, disc, qd), j AS (SELECT q, disc, qd, p1 * p2 * p3 AS p FROM g3 JOIN g1 USING (q) JOIN g2 USING (disc)),"
+    " c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 THEN disc END AS disc, qd FROM b), d AS (SELECT DISTINCT disc, qd FROM c),"
+    " r AS (SELECT d.disc, d.qd, j.q, sum(p) / sum(sum(p)) OVER (PARTITION BY d.disc, d.qd) AS p FROM d JOIN j ON d.qd = j.qd AND (d.disc IS NULL OR d.disc = j.disc) GROUP BY d.disc, d.qd, j.q)"
+    " SELECT l_orderkey, l_linenumber, 'q' AS variable, r.q AS outcome, round(r.p, 6) AS p FROM c JOIN r ON r.qd = c.qd AND r.disc IS NOT DISTINCT FROM c.disc"
+)
+def case_axis_posteriors(spark, sf_dir):
+    """P(q | the row's qd and, in two rows of three, disc) for every line item: one plan of joins and sums, no Python."""
+    keys = ["l_orderkey", "l_linenumber"]
+    view = base_view(spark, sf_dir, tuple(keys))
+    tables = learned_tables(view, ["q", "disc", "qd"], MODEL_EDGES)
+    cases = view.withColumn("disc", F.when(F.col("l_linenumber") % 3 != 0, F.col("disc")))
+    return case_posteriors(tables, "q", cases, ["disc", "qd"], keys).withColumn("p", F.round("p", 6))
+
+
+#: What an event says of its user's evidence.
+EVENT_SETS = {"click": "q", "view": "disc", "purchase": "qd"}
+
+
+@registered(
+    f"{JOINT}, v AS (SELECT CAST(user_id AS VARCHAR) AS view_id, ts, event_type, value, CASE WHEN value < 20 THEN 'lo' WHEN value < 60 THEN 'mid' ELSE 'hi' END AS o FROM events),"
+    " a AS (SELECT view_id, ts, CASE event_type WHEN 'click' THEN 'q' WHEN 'view' THEN 'disc' WHEN 'purchase' THEN 'qd' ELSE CASE WHEN value < 50 THEN 'q' ELSE 'qd' END END AS var,"
+    " CASE WHEN event_type <> 'error' THEN o END AS o FROM v WHERE event_type <> 'signup'), l AS (SELECT view_id, max(ts) AS ts FROM v WHERE event_type = 'signup' GROUP BY view_id),"
+    " k AS (SELECT a.view_id, var, arg_max(struct_pack(o := o, ts := a.ts), a.ts) AS s FROM a GROUP BY a.view_id, var),"
+    " e AS (SELECT v.view_id, max(CASE WHEN var = 'q' AND (l.ts IS NULL OR s.ts >= l.ts) THEN s.o END) AS eq, max(CASE WHEN var = 'disc' AND (l.ts IS NULL OR s.ts >= l.ts) THEN s.o END) AS ed,"
+    " max(CASE WHEN var = 'qd' AND (l.ts IS NULL OR s.ts >= l.ts) THEN s.o END) AS eqd FROM (SELECT DISTINCT view_id FROM v) v LEFT JOIN l USING (view_id) LEFT JOIN k ON k.view_id = v.view_id GROUP BY v.view_id),"
+    " w AS (SELECT view_id, j.disc, sum(CASE WHEN (eq IS NULL OR eq = q) AND (ed IS NULL OR ed = j.disc) AND (eqd IS NULL OR eqd = qd) THEN p ELSE 0 END) AS p FROM e, j GROUP BY view_id, j.disc)"
+    " SELECT view_id, 'disc' AS variable, disc AS outcome, round(p / sum(p) OVER (PARTITION BY view_id), 6) AS p FROM w"
+)
+def evidence_replay(spark, sf_dir):
+    """The last posterior of each user after ``events`` went through the evidence stream in shuffled order.
+
+    Clicks, views and purchases set a variable, errors clear one, a signup clears all.
+    """
+    events = table(spark, sf_dir, "events")
+    of = F.create_map(*[F.lit(x) for pair in EVENT_SETS.items() for x in pair])
+    kind = F.col("event_type")
+    variable = F.when(kind == "error", F.when(F.col("value") < 50, "q").otherwise("qd")).otherwise(F.try_element_at(of, kind))
+    action = F.when(kind == "signup", "clear_all").when(kind == "error", "clear").otherwise("set")
+    actions = events.select(
+        F.col("user_id").cast("string").alias("view_id"), F.col("ts").cast("timestamp").alias("ts"), action.alias("action"), variable.alias("variable"),
+        statistics.binned(F.col("value"), [20.0, 60.0], ["lo", "mid", "hi"]).alias("value"),
+    )
+    found = replayed(spark, actions, model(spark, sf_dir), ["disc"])
+    return found.select("view_id", "variable", "outcome", F.round("p", 6).alias("p"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -1,50 +1,127 @@
-"""Evidence as a stream: each view keeps its observations as state and posteriors follow every change."""
+"""Evidence as a stream: each view keeps its observations as state, and posteriors follow every change.
+
+The state of a view is what its latest events say by event time, so events may
+come in any order and in any micro-batches: of each variable the latest action
+counts, and nothing older than the latest ``clear_all``.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from factorloom.model import Network
 from factorloom.plans.junction import compilations
+from factorloom.plans.lineage import shared_folder
 
 EVENT_SCHEMA = "view_id string, ts timestamp, action string, variable string, value string"
-OUTPUT = "view_id string, variable string, outcome string, p double, evidence string"
+OUTPUT = "view_id string, variable string, outcome string, p double, evidence string, as_of timestamp"
+#: Of events at the same time the last of these counts; of equal actions the greatest value.
+ACTIONS = {"clear_all": 0, "clear": 1, "set": 2}
+EVERYTHING = ""
+
+
+class LatestEvidence(StatefulProcessor):
+    """State of a view: by variable (``EVERYTHING`` for all) the time, rank and value of its latest action."""
+
+    def __init__(self, net: Network, wanted: list[str], idle_ms: int | None):
+        self.net, self.wanted, self.idle_ms = net, wanted, idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.latest = handle.getMapState("latest", "variable string", "ts long, rank int, value string")
+        self.until = handle.getValueState("until", "ts long")
+
+    def _take(self, variable: str, ts: int, rank: int, value: str) -> None:
+        if not self.latest.containsKey((variable,)) or (ts, rank, value) > tuple(self.latest.getValue((variable,))):
+            self.latest.updateValue((variable,), (ts, rank, value))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kernel, newest = compilations().get(self.net), None
+        for some in rows:
+            ts = some["ts"].astype("datetime64[us]").astype("int64")
+            for at, action, variable, value in zip(ts, some["action"], some["variable"], some["value"], strict=True):
+                newest = at if newest is None else max(newest, at)
+                if action == "clear_all":
+                    self._take(EVERYTHING, at, ACTIONS[action], "")
+                elif action == "clear" and variable in kernel.outcomes:
+                    self._take(variable, at, ACTIONS[action], "")
+                elif action == "set" and value in kernel.outcomes.get(variable, ()):
+                    self._take(variable, at, ACTIONS[action], value)
+        known = {k[0]: tuple(v) for k, v in self.latest.iterator()}
+        since = known.pop(EVERYTHING, (None, 0, ""))
+        seen = {v: o for v, (at, rank, o) in known.items() if rank == ACTIONS["set"] and (since[0] is None or at >= since[0])}
+        newest = max(newest, self.until.get()[0]) if self.until.exists() else newest
+        self.until.update((newest,))
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(newest // 1000 + self.idle_ms)
+        yield self._posteriors(key[0], seen, newest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark is past a view's last event by the idle time: it starts anew."""
+        self.latest.clear()
+        self.until.clear()
+        yield self._posteriors(key[0], {}, None)
+
+    def _posteriors(self, view: str, seen: dict[str, str], newest: int | None) -> pd.DataFrame:
+        kernel = compilations().get(self.net)
+        found, _ = kernel.infer(seen, wanted=self.wanted)
+        as_of = pd.NaT if newest is None else pd.Timestamp(newest, unit="us")
+        text = json.dumps(seen, sort_keys=True)
+        rows = [(view, v, o, float(found[v][i]), text, as_of) for v in self.wanted for i, o in enumerate(kernel.outcomes[v])]
+        return pd.DataFrame(rows, columns=["view_id", "variable", "outcome", "p", "evidence", "as_of"]).astype({"as_of": "datetime64[ns]"})
 
+    def close(self) -> None:
+        pass
 
-def posterior_stream(spark: SparkSession, events: DataFrame, net: Network, wanted: list[str], idle: str | None = None) -> DataFrame:
-    """Posterior rows of each view after its new events.
+
+def posterior_stream(spark: SparkSession, events: DataFrame, net: Network, wanted: list[str], idle: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """Posterior rows of each view after its new events, by event time.
 
     Actions are ``set`` (variable, value), ``clear`` (one variable) and
-    ``clear_all``; events of a batch apply in order of ``ts``.  Unknown names
-    are ignored.  State is one small map a view; with ``idle`` milliseconds a
-    view without events is forgotten.
+    ``clear_all``; unknown names and outcomes are ignored.  A late ``set`` does
+    not overwrite a newer one, in whatever micro-batch it comes.  State is one
+    entry a variable and view.  With ``idle`` (an interval like '30 minutes') a
+    view is forgotten once the watermark, ``delay`` behind the newest event, is
+    past its last event by that much; events older than the watermark are then
+    dropped.  Rows without a time or a view are dropped.
+
+    The network travels with the processor (its tables are bounded by the model).
+    The state lives in RocksDB, which this sets for the session's streams.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = events.where("ts is not null and view_id is not null").select("view_id", "ts", "action", "variable", "value")
+    idle_ms = None
+    if idle is not None:
+        idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+        events = events.withWatermark("ts", delay)
+    return events.groupBy("view_id").transformWithStateInPandas(LatestEvidence(net, wanted, idle_ms), OUTPUT, "update", "EventTime" if idle else "None")
+
+
+def replayed(spark: SparkSession, events: DataFrame, net: Network, wanted: list[str], files: int = 6, files_per_batch: int = 2) -> DataFrame:
+    """The last posterior rows of each view after ``events`` (as ``EVENT_SCHEMA``) went through the stream in shuffled order.
+
+    The events are dealt to files by a hash and read back as a stream, a few
+    files a micro-batch; what each batch gives is written to the shared folder.
     """
-    shared = spark.sparkContext.broadcast(compilations().get(net))
-
-    def update(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kernel = shared.value
-        seen = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("ts", kind="stable")
-        for action, variable, value in zip(rows["action"], rows["variable"], rows["value"], strict=True):
-            if action == "set" and value in kernel.outcomes.get(variable, ()):
-                seen[variable] = value
-            elif action == "clear":
-                seen.pop(variable, None)
-            elif action == "clear_all":
-                seen = {}
-        state.update((json.dumps(seen),))
-        if idle:
-            state.setTimeoutDuration(int(idle))
-        found, _ = kernel.infer(seen, wanted=wanted)
-        out = [(key[0], v, o, float(found[v][i]), json.dumps(seen, sort_keys=True)) for v in wanted for i, o in enumerate(kernel.outcomes[v])]
-        yield pd.DataFrame(out, columns=["view_id", "variable", "outcome", "p", "evidence"])
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return events.groupBy("view_id").applyInPandasWithState(update, OUTPUT, "evidence string", "update", timeout)
+    root = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    events.select("view_id", "ts", "action", "variable", "value").repartition(files, F.xxhash64("view_id", "ts", "value")).write.parquet(f"{root}/events")
+    stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(f"{root}/events")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+
+    out = posterior_stream(spark, stream, net, wanted)
+    run = out.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    done = spark.read.schema(f"{OUTPUT}, batch long").option("recursiveFileLookup", True).parquet(f"{root}/out")
+    last = done.groupBy("view_id", "variable", "outcome").agg(F.max_by(F.struct("p", "evidence", "as_of"), "batch").alias("x"))
+    return last.select("view_id", "variable", "outcome", "x.p", "x.evidence", "x.as_of")
