@@ -913,6 +913,17 @@ def case_axis_posteriors(spark, sf_dir):
     return case_posteriors(tables, "q", cases, ["disc", "qd"], keys).withColumn("p", F.round("p", 6))
 
 
+@registered(
+    f"{JOINT}, r AS (SELECT disc, qd, q AS outcome, p / sum(p) OVER (PARTITION BY disc, qd) AS p FROM j)"
+    " SELECT l_orderkey, l_linenumber, 'q' AS variable, outcome, round(p, 4) AS p, true AS converged FROM b JOIN r USING (disc, qd)"
+)
+def lbp_row_posteriors(spark, sf_dir):
+    """Loopy propagation for every line item's own evidence; on a network without loops it ends at the exact posterior."""
+    keys = ["l_orderkey", "l_linenumber"]
+    found = loopy.loopy_batch(spark, model(spark, sf_dir), base_view(spark, sf_dir, tuple(keys)), ["disc", "qd"], ["q"], keys, tolerance=1e-9)
+    return found.select(*keys, "variable", "outcome", F.round("p", 4).alias("p"), "converged")
+
+
 #: What an event says of its user's evidence.
 EVENT_SETS = {"click": "q", "view": "disc", "purchase": "qd"}
 

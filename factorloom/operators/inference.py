@@ -54,39 +54,47 @@ def jeffrey_likelihood(net: Network, targets: Mapping[str, Mapping[str, float]])
     return out
 
 
+def evidence_cases(batch: pd.DataFrame, observed: list[str], outcomes: Mapping[str, tuple[str, ...]], distinct: bool = True) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Likelihood rows of the (distinct) evidence of a batch, and the case of each of its rows; null and unknown outcomes are not observed."""
+    codes = {v: {o: i for i, o in enumerate(outcomes[v])} for v in observed}
+    seen = np.stack([batch[v].map(codes[v]).fillna(-1).astype(int).to_numpy() for v in observed], axis=1) if observed else np.zeros((len(batch), 0), int)
+    cases, which = np.unique(seen, axis=0, return_inverse=True) if distinct else (seen, np.arange(len(batch)))
+    weights = {}
+    for k, v in enumerate(observed):
+        w = np.ones((len(cases), len(outcomes[v])))
+        given = cases[:, k] >= 0
+        w[given] = np.eye(len(outcomes[v]))[cases[given, k]]
+        weights[v] = w
+    return weights, which.reshape(-1)
+
+
+def posterior_rows(batch: pd.DataFrame, keys: list[str], wanted: list[str], outcomes: Mapping[str, tuple[str, ...]], found: Mapping[str, np.ndarray], which: np.ndarray):
+    """Long form: for each wanted variable a frame with a row a case and outcome."""
+    for v in wanted:
+        card = len(outcomes[v])
+        out = batch[keys].iloc[np.repeat(np.arange(len(batch)), card)].reset_index(drop=True)
+        out["variable"] = v
+        out["outcome_idx"] = np.tile(np.arange(card, dtype=np.int32), len(batch))
+        out["outcome"] = np.tile(np.array(outcomes[v], object), len(batch))
+        out["p"] = found[v][which].ravel()
+        yield out
+
+
 def _case_batches(shared, observed: list[str], wanted: list[str], keys: list[str], long: bool, soft: Mapping[str, str] | None = None):
     def run(batches):
         net: CompiledNetwork = shared.value
-        codes = {v: {o: i for i, o in enumerate(net.outcomes[v])} for v in observed}
         for batch in batches:
             if not len(batch):
                 continue
-            # -1: not observed (null or an unknown outcome)
-            seen = np.stack([batch[v].map(codes[v]).fillna(-1).astype(int).to_numpy() for v in observed], axis=1) if observed else np.zeros((len(batch), 0), int)
-            if soft:  # weights differ from case to case
-                cases, which = seen, np.arange(len(batch))
-            else:
-                cases, which = np.unique(seen, axis=0, return_inverse=True)
-                which = which.reshape(-1)
-            weights = {}
-            for k, v in enumerate(observed):
-                w = np.ones((len(cases), net.cards[v]))
-                given = cases[:, k] >= 0
-                w[given] = np.eye(net.cards[v])[cases[given, k]]
-                weights[v] = w
+            # soft weights differ from case to case
+            weights, which = evidence_cases(batch, observed, net.outcomes, distinct=not soft)
+            n = len(batch) if soft else int(which.max()) + 1
             for v, column in (soft or {}).items():
                 own = np.array([np.ones(net.cards[v]) if x is None else np.asarray(x, float) for x in batch[column]])
                 weights[v] = weights[v] * own if v in weights else own
-            found, p = net.posteriors(weights, len(cases), wanted)
+            found, p = net.posteriors(weights, n, wanted)
             if long:
-                for v in wanted:
-                    rows, card = np.repeat(np.arange(len(batch)), net.cards[v]), net.cards[v]
-                    out = batch[keys].iloc[rows].reset_index(drop=True)
-                    out["variable"] = v
-                    out["outcome_idx"] = np.tile(np.arange(card, dtype=np.int32), len(batch))
-                    out["outcome"] = np.tile(np.array(net.outcomes[v], object), len(batch))
-                    out["p"] = found[v][which].ravel()
-                    yield out
+                yield from posterior_rows(batch, keys, wanted, net.outcomes, found, which)
             else:
                 out = batch[keys].reset_index(drop=True)
                 for v in wanted:

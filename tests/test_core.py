@@ -280,3 +280,26 @@ def test_cells_of_a_network_of_sixty_variables(spark):
         moved = sensitivity.perturb(net, some["variable"], some["row_idx"], some["outcome_idx"], some["theta"] + step)
         before, after = (CompiledNetwork(n).infer({"v0": net.variable("v0").outcomes[0]})[0][f"v{LADDER - 1}"][0] for n in (net, moved))
         assert (after - before) / step == pytest.approx(some["derivative"], abs=1e-4)
+
+
+def test_loopy_rows_equal_single_cases(spark):
+    states = [None, "yes", "no", "unheard of"]
+    rows = [(k, states[k % 4], states[k // 4 % 4], "keep") for k in range(32)]
+    cases = spark.createDataFrame(rows, "case_id long, xray string, smoke string, variable2 string")
+    got = loopy.loopy_batch(spark, ASIA, cases, ["xray", "smoke"], ["lung", "dysp"], ["case_id", "variable2"]).collect()
+    assert len(got) == 32 * 4
+    for r in got:
+        given = {v: x for v, x in zip(("xray", "smoke"), rows[r["case_id"]][1:3], strict=True) if x in ("yes", "no")}
+        one = loopy.loopy_belief_propagation(ASIA, given)
+        assert r["p"] == pytest.approx(one.posteriors[r["variable"]][r["outcome_idx"]], abs=1e-12)
+        assert (r["converged"], r["iterations"]) == (one.converged, one.iterations)
+    assert loopy.loopy_batch(spark, ASIA, cases.limit(0), ["xray"], ["lung"], ["case_id"]).count() == 0
+
+
+def test_loopy_cases_in_chunks(monkeypatch):
+    graph_ = loopy.LoopyNetwork(ASIA)
+    weights = {"xray": np.array([[1.0, 0.0], [0.0, 1.0], [0.3, 0.7], [0.0, 0.0]])}
+    whole = graph_.run(weights, 4)
+    monkeypatch.setattr(loopy, "CHUNK_CELLS", 1)
+    parts = graph_.run(weights, 4)
+    assert all(np.allclose(whole[0][v], parts[0][v], atol=1e-15) for v in whole[0]) and (whole[2] == parts[2]).all()
