@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factorloom.model import Network
 from factorloom.plans.elimination import MAX_PLAN_FACTORS, eliminate, relevant_tables
-from factorloom.plans.junction import CompiledNetwork, compilations
+from factorloom.plans.junction import JOINT_CELLS, CompiledNetwork, compilations
 
 POSTERIORS = "variable string, outcome_idx int, outcome string, p double"
 
@@ -24,10 +24,14 @@ def _frame(spark: SparkSession, net: Network, found: Mapping[str, np.ndarray]) -
 
 
 def infer(spark: SparkSession, net: Network, evidence=None, likelihood=None, variables=None, strict: bool = False) -> DataFrame:
-    """Posteriors of all (or the named) variables by the compiled junction forest."""
+    """Posteriors of all (or the named) variables; of a larger network only what changed since the last cases is computed again."""
     for v in variables or ():
         net.variable(v)
-    return _frame(spark, net, compilations().get(net).infer(evidence, likelihood, variables, strict)[0])
+    kernel = compilations().get(net)
+    if kernel.joint_cells <= JOINT_CELLS:
+        return _frame(spark, net, kernel.infer(evidence, likelihood, variables, strict)[0])
+    kernel.weights(evidence, likelihood, strict)  # names are checked where they have to be known
+    return _frame(spark, net, kernel.engine.infer(evidence, likelihood, variables)[0])
 
 
 def priors(spark: SparkSession, net: Network) -> DataFrame:

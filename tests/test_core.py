@@ -303,3 +303,50 @@ def test_loopy_cases_in_chunks(monkeypatch):
     monkeypatch.setattr(loopy, "CHUNK_CELLS", 1)
     parts = graph_.run(weights, 4)
     assert all(np.allclose(whole[0][v], parts[0][v], atol=1e-15) for v in whole[0]) and (whole[2] == parts[2]).all()
+
+
+@pytest.mark.parametrize("evidence", [{}, {"xray": "yes"}, {"either": "no", "lung": "yes"}, {"asia": "?", "nobody": "yes"}])
+def test_the_joint_table_equals_the_forest(monkeypatch, evidence):
+    from factorloom.plans import junction
+
+    soft = {"dysp": {"yes": 0.3, "no": 0.9}, "smoke": {"yes": 2.0}}
+    small = CompiledNetwork(ASIA).infer(evidence, soft)
+    monkeypatch.setattr(junction, "JOINT_CELLS", 0)
+    large = CompiledNetwork(ASIA).infer(evidence, soft)
+    assert small[1] == pytest.approx(large[1]) and all(np.allclose(small[0][v], large[0][v]) for v in ASIA.variables)
+
+
+def test_incremental_cases_equal_rebuilt_ones_and_are_faster():
+    import pickle
+    import random
+    import time
+
+    from factorloom.catalog import chain_network
+    from factorloom.plans.junction import IncrementalEngine
+
+    net = chain_network(40)
+    kernel, draw = CompiledNetwork(net), random.Random(1)
+    engine, given, spent = IncrementalEngine(kernel), {}, [0.0, 0.0]
+    for _ in range(30):
+        v = f"v{draw.randrange(40)}"
+        if v in given:
+            del given[v]
+        else:
+            given[v] = draw.choice(("yes", "no"))
+        soft = {"v7": {"yes": 0.2}} if draw.random() < 0.3 else None
+        began = time.perf_counter()
+        got = engine.infer(given, soft, ["v0", "v39"])
+        spent[0] += time.perf_counter() - began
+        began = time.perf_counter()
+        want = CompiledNetwork(net).infer(given, soft, ["v0", "v39"])
+        spent[1] += time.perf_counter() - began
+        assert got[1] == pytest.approx(want[1]) and all(np.allclose(got[0][v], want[0][v]) for v in ("v0", "v39"))
+    assert spent[1] > 2 * spent[0]
+    before = engine.computed
+    engine.infer(given | {"v20": "yes"}, None, ["v39"])
+    engine.infer(given | {"v20": "no"}, None, ["v39"])
+    assert engine.computed - before < 2 * len(kernel.cliques)
+    kernel.engine.infer(given)
+    assert "engine" not in pickle.loads(pickle.dumps(kernel)).__dict__
+    impossible = CompiledNetwork(ASIA)
+    assert IncrementalEngine(impossible).infer({"either": "no", "lung": "yes"})[1] == 0
