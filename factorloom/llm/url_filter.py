@@ -37,13 +37,11 @@ class Level:
         self.words, self.bits, self.seeds = words, bits, seeds
 
     def contains_sql(self, key: str) -> str:
-        """SQL predicate: may the level hold ``key``?  The cast of a literal is folded to one array."""
+        """SQL predicate: may the level hold ``key``?  The bits stand in it once, as a literal that is folded to an array."""
         table = f"cast(split('{','.join(map(str, self.words))}', ',') as array<bigint>)"
-        tests = []
-        for seed in self.seeds:
-            at = f"pmod(xxhash64({key}, {seed}L), {self.bits}L)"
-            tests.append(f"(shiftright(get({table}, cast(shiftright({at}, 6) as int)), cast({at} & 63 as int)) & 1L) = 1L")
-        return "(" + " and ".join(tests) + ")"
+        at = f"pmod(xxhash64({key}, seed), {self.bits}L)"
+        bit = f"(shiftright(get({table}, cast(shiftright({at}, 6) as int)), cast({at} & 63 as int)) & 1L) = 1L"
+        return f"forall(array({', '.join(f'{s}L' for s in self.seeds)}), seed -> {bit})"
 
 
 def _bits(n: int, wrong_rate: float) -> int:

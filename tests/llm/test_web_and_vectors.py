@@ -493,3 +493,20 @@ def test_near_duplicate_stage_keeps_one_row_of_a_group(spark):
     got = sorted(((r["doc_id"] or 0, (r["text"] or "").strip()) for r in out.collect()))
     assert got == sorted([(3, near + " more"), (3, alone[1]), (9, alone[2]), (0, alone[0]), (0, ""), (5, "")])
     assert cp.near_duplicate_stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_a_level_of_a_million_keys_is_planned_quickly(spark):
+    import time
+
+    from factorloom.llm.url_filter import _level
+
+    keys = spark.range(1_000_000).select(F.concat(F.lit("key"), F.col("id").cast("string")).alias("key"))
+    level = _level(keys, 1_000_000, 0.01, 0)
+    assert len(level.contains_sql("key")) < 22 * len(level.words) + 5000  # the bits stand in it once
+    asked = spark.range(0, 2_000_000, 1000).select(F.concat(F.lit("key"), F.col("id").cast("string")).alias("key"), (F.col("id") < 1_000_000).alias("listed"))
+    began = time.time()
+    planned = asked.select("listed", F.expr(level.contains_sql("key")).alias("hit"))
+    planned._jdf.queryExecution().executedPlan()
+    assert time.time() - began < 10
+    rows = planned.collect()
+    assert all(r["hit"] for r in rows if r["listed"]) and sum(r["hit"] for r in rows if not r["listed"]) < 40
