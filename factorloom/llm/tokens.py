@@ -3,12 +3,15 @@
 Distinct pre-tokens of a batch are held as one flat symbol array with sequence
 starts (a ragged array).  In each round every sequence finds its lowest-rank
 adjacent pair and merges all of its occurrences at once; sequences without a
-mergeable pair leave.  The symbols that survive are the token count.
+mergeable pair leave.  The symbols that survive are the token count.  Very long
+sequences keep their pairs in buckets by rank instead of looking at all of them
+in each round.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 
@@ -21,6 +24,8 @@ from factorloom.llm.chunks import PROBES, Pieces, byte_mapped, text_slices
 from factorloom.llm.common import bound_batches, releasing
 
 NONE = np.int64(2**31 - 1)
+#: Pre-tokens of more symbols are merged by rank with the pairs of each rank in a bucket, so that a round touches only what changes.
+LONG = 512
 
 
 class RaggedBpe:
@@ -113,6 +118,10 @@ class RaggedBpe:
         result = np.add.reduceat(known.astype(np.int64), np.r_[0, last[:-1] + 1])
         which = np.arange(len(pieces))
         ids = np.repeat(which, size)
+        if size.max() > LONG:
+            long = (size > LONG)[ids]
+            np.subtract.at(result, ids[long], self._merged(symbol[long], ids[long]))
+            symbol, ids = symbol[~long], ids[~long]
         while len(symbol):
             starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             rank = np.full(len(symbol), NONE)
@@ -134,6 +143,65 @@ class RaggedBpe:
         return result
 
 
+    def _merged(self, symbol: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """How often each place of some sequences is the left of a merge.
+
+        Pairs wait in a bucket by rank.  The lowest rank is taken out, all of its
+        pairs that still stand are merged at once (of a run of equal neighbours
+        the first, third, ...), and only the pairs beside them are ranked anew.
+        """
+        n = len(symbol)
+        merges = np.zeros(n, np.int64)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        last = np.flatnonzero(np.r_[ids[1:] != ids[:-1], True])
+        after[last] = -1
+        before[np.r_[0, last[:-1] + 1]] = -1
+        rank = np.full(n, NONE)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(place: np.ndarray) -> None:
+            """Rank the pairs that begin at ``place`` and put them into their buckets."""
+            follows = after[place]
+            place, follows = place[follows >= 0], follows[follows >= 0]
+            found = self.rank_of(symbol[place], symbol[follows])
+            rank[place] = found
+            order = np.flatnonzero(found < NONE)
+            order = order[np.argsort(found[order], kind="stable")]
+            place, found = place[order], found[order]
+            cuts = np.flatnonzero(np.diff(found)) + 1
+            for r, some in zip(found[np.r_[0, cuts]].tolist() if len(found) else (), np.split(place, cuts), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(some)
+
+        enter(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            some = waiting.pop(r)
+            at = np.unique(np.concatenate(some)) if len(some) > 1 else some[0]
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            fresh = np.r_[True, after[at[:-1]] != at[1:]]
+            turn = np.arange(len(at))
+            at = at[(turn - np.maximum.accumulate(np.where(fresh, turn, 0))) % 2 == 0]
+            right = after[at]
+            follows = after[right]
+            symbol[at] = self.merged_id[r]
+            merges[at] += 1
+            rank[right] = rank[at] = NONE
+            after[at] = follows
+            real = follows >= 0
+            before[follows[real]] = at[real]
+            ahead = before[at]
+            ahead = ahead[ahead >= 0]
+            rank[ahead] = NONE
+            enter(np.union1d(at, ahead))
+        return merges
+
+
 @functools.lru_cache(maxsize=2)
 def ragged_bpe(path: str) -> RaggedBpe:
     return RaggedBpe(path)

@@ -471,3 +471,29 @@ def test_mixing_of_odd_ids_equals_its_sql(spark):
     got = mix_sources(spark, docs, alpha=MIX_ALPHA)
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({OP5_SQL})").fetchall()
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_very_long_words(library, monkeypatch):
+    import time
+
+    from factorloom.llm import tokens
+
+    bpe, draw = ragged_bpe(tokenizer_path()), random.Random(2)
+    count = lambda texts: bpe.count_texts(pa.array(texts), bpe.cuts).tolist()
+    text = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.time()
+    got = count([text])
+    assert time.time() - began < 5 * max(1.0, _slowness())
+    assert got == [len(library.encode(text, add_special_tokens=False).ids)]
+    monkeypatch.setattr(tokens, "LONG", 3)  # the buckets give what the rounds give
+    some = ["".join(draw.choice("abcdeé中 .,0a") for _ in range(draw.randint(0, 80))) for _ in range(800)] + ["a" * n for n in range(20)]
+    assert count(some) == [len(library.encode(t, add_special_tokens=False).ids) for t in some]
+
+
+def _slowness() -> float:
+    """Times the usual time that this machine takes just now."""
+    import time
+
+    began = time.thread_time()
+    sum(range(2_000_000))
+    return (time.thread_time() - began) / 0.04
