@@ -1,15 +1,17 @@
 """Language identification by words first, then shorter and shorter character n-grams.
 
-Fitting takes a bounded sample of labelled training rows (``sample_per_lang``
-documents of each language by hash of the id); its grouped counts, of each
-language its ``words_per_lang`` and ``grams_per_lang`` most frequent words and
-character n-grams, are the model: a small language keeps its vocabulary
-whatever the others have.  A word
+Fitting takes a bounded sample of labelled training rows (by hash of the id up to
+``sample_per_lang`` documents of each language, fewer if there are so many
+languages that these would be more than ``sample_rows``).  The grouped counts of
+all of its words and character n-grams are the model.  It is sparse: what a
+language lacks has one rate, so an entry is kept only where it occurs.  A word
 of a text is scored by its log frequency in each language.  A word the model
 does not know falls back to its 5-grams, then 4-, 3-, 2- and 1-grams, at the
 first length of which the model knows any.
 """
 
+from __future__ import annotations
+
 import itertools
 from collections import Counter
 from collections.abc import Iterator
@@ -24,8 +26,8 @@ from factorloom.llm.chunks import text_slices
 from factorloom.llm.common import bound_batches, releasing
 
 LONGEST_GRAM = 5
-#: Bytes of text whose words are scored at once; the arrays have a column a language.
-SLICE_BYTES = 6_000_000
+#: Bytes of text whose words are scored at once, and languages whose columns stand side by side.
+SLICE_BYTES, LANGUAGES = 6_000_000, 64
 #: Words beyond this many stop adding to the evidence behind ``score``.
 EVIDENCE_WORDS = 40
 
@@ -70,12 +72,23 @@ def _count_batches(batches):
 
 
 class LanguageModel:
-    """Log posteriors (uniform prior) of each known word and n-gram."""
+    """Log posteriors (uniform prior) of each known word and n-gram, kept where a language has it.
+
+    Row k has the entries ``start[k]`` to ``start[k + 1]`` of ``lang`` and
+    ``gain``; every other language has ``base`` of the row's kind, and ``norm``
+    is taken from all.
+    """
 
-    def __init__(self, langs: list[str], index: dict[tuple[int, str], int], table: np.ndarray):
-        self.langs, self.index, self.table = langs, index, table
-        self.words = {g: k for (n, g), k in index.items() if n == 0}
-        self.grams = {g: k for (n, g), k in index.items() if n > 0}
+    def __init__(self, langs: list[str], grams: list[str], kind: np.ndarray, base: np.ndarray, norm: np.ndarray, start: np.ndarray, lang: np.ndarray, gain: np.ndarray):
+        self.langs, self.kind, self.base, self.norm, self.start, self.lang, self.gain = langs, kind, base, norm, start, lang, gain
+        words = int((kind == 0).sum())  # they come first
+        self.words = {g: k for k, g in enumerate(grams[:words])}
+        self.grams = {g: k for k, g in enumerate(grams[words:], words)}
+
+    @staticmethod
+    def none() -> LanguageModel:
+        empty = np.zeros(0)
+        return LanguageModel([], [], empty.astype(np.int8), np.zeros((LONGEST_GRAM + 1, 0)), empty, np.zeros(1, np.int64), empty.astype(np.int32), empty)
 
     def fallback(self, word: str) -> list[int]:
         """Rows of the longest n-grams of an unseen word that the model knows."""
@@ -86,20 +99,38 @@ class LanguageModel:
                 return known
         return []
 
+    def rows(self, words: list[str]) -> list[list[int]]:
+        """Of each word its own row, or its fallback's, or none."""
+        own = self.words.get
+        return [[k] if (k := own(w)) is not None else self.fallback(w) for w in words]
+
+    def vectors(self, rows: np.ndarray, first: int = 0, past: int | None = None) -> np.ndarray:
+        """Dense rows over some of the languages."""
+        past = len(self.langs) if past is None else past
+        out = (self.base[self.kind[rows], first:past] - self.norm[rows][:, None]).astype(np.float32)
+        size = self.start[rows + 1] - self.start[rows]
+        at = np.arange(int(size.sum())) + np.repeat(self.start[rows] - np.cumsum(size) + size, size)
+        lang, row = self.lang[at], np.repeat(np.arange(len(rows)), size)
+        here = (lang >= first) & (lang < past)
+        out[row[here], lang[here] - first] += self.gain[at[here]]
+        return out
+
     def word_vectors(self, words: list[str]) -> np.ndarray:
         """Log posteriors of each word: its own row, or the mean of its fallback's rows, or zeros."""
-        own = self.words.get
-        rows = [[k] if (k := own(w)) is not None else self.fallback(w) for w in words]
-        return segment_sums(self.table, rows, mean=True)
+        flat, size = flattened(self.rows(words))
+        return segment_sums(self.vectors(flat), np.arange(len(flat)), size, mean=True)
+
+
+def flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(size.sum())), size
 
 
-def segment_sums(table: np.ndarray, rows: list[list[int]], mean: bool = False) -> np.ndarray:
-    """Sum or mean of the table's rows named by each list."""
-    size = np.fromiter(map(len, rows), np.int64, len(rows))
-    out = np.zeros((len(rows), table.shape[1]), np.float32)
+def segment_sums(table: np.ndarray, flat: np.ndarray, size: np.ndarray, mean: bool = False) -> np.ndarray:
+    """Sum or mean of the table's rows ``flat``, for segments of these sizes."""
+    out = np.zeros((len(size), table.shape[1]), np.float32)
     full = np.flatnonzero(size)
     if len(full):
-        flat = np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(size.sum()))
         out[full] = np.add.reduceat(table[flat], (np.cumsum(size) - size)[full], axis=0)
         if mean:
             out[full] /= size[full, None]
@@ -108,43 +139,67 @@ def segment_sums(table: np.ndarray, rows: list[list[int]], mean: bool = False) -
 
 def fit_language_model(
     spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    sample_per_lang: int = 1500, words_per_lang: int = 12_000, grams_per_lang: int = 12_000, max_langs: int = 1000,
+    sample_per_lang: int = 1500, sample_rows: int = 200_000, words_per_lang: int | None = None, grams_per_lang: int | None = None, max_langs: int | None = None,
 ) -> LanguageModel:
-    """Fit on training rows with a language and a text; see the module's docstring for the bounds.
+    """Fit on training rows with a language and a text; see the module's docstring for the bounds of the sample.
 
-    Of more than ``max_langs`` labels the most frequent are learned.  Null ids,
+    All labels are learned and all words and n-grams of the sample kept, unless
+    the last three parameters ask for the most frequent alone.  Null ids,
     labels and texts teach nothing; rows that repeat count again; without rows
     to learn from the model knows no language.
     """
     train = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(id_col)).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    per_lang = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    sizes = {r["lang"]: r["n"] for r in per_lang.collect()}  # at most ``max_langs`` rows
-    langs = sorted(sizes)
-    if not langs:
-        return LanguageModel([], {}, np.zeros((0, 0), np.float32))
-    share = F.create_map(*itertools.chain.from_iterable((F.lit(x), F.lit(min(1.0, sample_per_lang / sizes[x]))) for x in langs))
-    picked = train.where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)) & F.col("text").isNotNull())
+    per_lang = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    if max_langs is not None:
+        per_lang = per_lang.orderBy(F.desc("n"), "lang").limit(max_langs)
+    labels = per_lang.count()
+    if not labels:
+        return LanguageModel.none()
+    each = max(1.0, min(sample_per_lang, sample_rows / labels))
+    share = per_lang.select("lang", F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("share"))
+    picked = train.where(F.col("text").isNotNull()).join(share, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     counts = (
         picked.select("lang", "text")
         .mapInArrow(releasing(_count_batches), "lang string, n int, gram string, c long")
         .groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
     )
-    # a window holds the vocabulary of one language's sample
-    own = Window.partitionBy("lang", F.col("n") > 0).orderBy(F.desc("c"), "n", "gram")
-    ranked = counts.withColumn("top", F.row_number().over(own) <= F.when(F.col("n") == 0, words_per_lang).otherwise(grams_per_lang))
-    known = ranked.groupBy("n", "gram").agg(F.max("top").alias("top"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by")).where("top")
-    rows = known.orderBy("n", "gram").collect()  # at most ``max_langs`` times the vocabularies' bounds
-    table = np.array([[r["by"].get(x, 0) for x in langs] for r in rows], np.float64).reshape(len(rows), len(langs))
-    kind = np.array([r["n"] for r in rows], np.int64)
-    for n in set(kind.tolist()):
+    if words_per_lang is not None or grams_per_lang is not None:
+        own = Window.partitionBy("lang", F.col("n") > 0).orderBy(F.desc("c"), "n", "gram")
+        most = F.when(F.col("n") == 0, F.lit(words_per_lang)).otherwise(F.lit(grams_per_lang))
+        ranked = counts.withColumn("top", F.coalesce(F.row_number().over(own) <= most, F.lit(True)))
+        counts = counts.join(ranked.where("top").select("n", "gram").distinct(), ["n", "gram"])
+    return _model_of(counts.orderBy("n", "gram", "lang").toArrow(), sorted(r["lang"] for r in share.select("lang").collect()))
+
+
+def _model_of(counts: pa.Table, langs: list[str]) -> LanguageModel:
+    """The sparse model of sorted counts (n, gram, lang, c), which are those of a bounded sample."""
+    if not counts.num_rows:
+        model = LanguageModel.none()
+        model.langs, model.base = langs, np.zeros((LONGEST_GRAM + 1, len(langs)))
+        return model
+    n, c = counts.column("n").to_numpy(), counts.column("c").to_numpy().astype(np.float64)
+    lang = pc.index_in(counts.column("lang"), value_set=pa.array(langs)).to_numpy().astype(np.int32)
+    grams = counts.column("gram").combine_chunks()
+    new = np.r_[True, pc.not_equal(grams[1:], grams[:-1]).to_numpy(zero_copy_only=False) | (n[1:] != n[:-1])]
+    start = np.r_[np.flatnonzero(new), len(n)]
+    row = np.cumsum(new) - 1
+    kind = n[start[:-1]].astype(np.int8)
+    base, rate = np.zeros((LONGEST_GRAM + 1, len(langs))), np.zeros(len(n))
+    for k in np.unique(kind).tolist():
+        here, rows = n == k, int((kind == k).sum())
+        seen = np.bincount(lang[here], c[here], len(langs))
+        size = np.maximum(seen, 1.0)
         # what a language lacks is as rare in all of them, whatever their sizes
-        size = np.maximum(table[kind == n].sum(axis=0), 1.0)
-        own = table[kind == n] + 0.1 * size / size.mean()
-        rate = np.log(own) - np.log(own.sum(axis=0))
-        table[kind == n] = rate - np.log(np.exp(rate - rate.max(axis=1, keepdims=True)).sum(axis=1, keepdims=True)) - rate.max(axis=1, keepdims=True)
-    return LanguageModel(langs, {(r["n"], r["gram"]): k for k, r in enumerate(rows)}, table.astype(np.float32))
+        rare = 0.1 * size / size.mean()
+        whole = np.log(seen + rare * rows)
+        base[k] = np.log(rare) - whole
+        rate[here] = np.log(c[here] + rare[lang[here]]) - whole[lang[here]]
+    gain = rate - base[n, lang]
+    # a row's sum over all languages: the base of its kind, with what its entries add
+    odds = np.exp(base).sum(axis=1)[kind] + np.bincount(row, np.exp(rate) - np.exp(base[n, lang]), len(kind))
+    return LanguageModel(langs, grams.take(pa.array(start[:-1])).to_pylist(), kind, base, np.log(odds), start, lang, gain.astype(np.float32))
 
 
 def _predict_batches(model):
@@ -162,14 +217,18 @@ def _predict_batches(model):
                 inside = [[c.lower()] if c.isalpha() else letters(c.lower()) for c in chunks]
                 seen = dict.fromkeys(itertools.chain.from_iterable(inside))
                 place = dict(zip(seen, range(len(seen)), strict=True))
-                sums = segment_sums(known.word_vectors(list(seen)), [[place[w] for w in ws] for ws in inside])
-                words = np.fromiter(map(len, inside), np.int64, len(inside))
+                used, rows = np.unique((flat := flattened(known.rows(list(seen))))[0], return_inverse=True)
+                chunk_words = flattened([[place[w] for w in ws] for ws in inside])
+                words = chunk_words[1]
                 which, size = coded.indices.to_numpy(), np.diff(bounds)
                 total, n = np.zeros((len(size), width)), np.zeros(len(size), np.int64)
                 full = np.flatnonzero(size)
                 if len(full):
-                    total[full] = np.add.reduceat(sums[which].astype(np.float64), bounds[:-1][full], axis=0) if width else 0
                     n[full] = np.add.reduceat(words[which], bounds[:-1][full])
+                    for first in range(0, width, LANGUAGES):
+                        past = min(width, first + LANGUAGES)
+                        sums = segment_sums(segment_sums(known.vectors(used, first, past), rows, flat[1], mean=True), *chunk_words)
+                        total[full, first:past] = np.add.reduceat(sums[which].astype(np.float64), bounds[:-1][full], axis=0)
                 pred, score = ["und"] * len(size), np.zeros(len(size))
                 if width:
                     mean = total / np.maximum(n, 1)[:, None] * np.minimum(n, EVIDENCE_WORDS)[:, None]

@@ -497,3 +497,25 @@ def _slowness() -> float:
     began = time.thread_time()
     sum(range(2_000_000))
     return (time.thread_time() - began) / 0.04
+
+
+def test_many_labels_make_a_sparse_model(spark, monkeypatch):
+    from factorloom.llm import language
+
+    draw = random.Random(13)
+    own = {f"l{k:03d}": ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(12)] for k in range(200)}
+    texts = [(" ".join(draw.choice(words) for _ in range(15)), x) for x, words in own.items() for _ in range(6)]
+    docs = frame(spark, [t for t, _ in texts], langs=[x for _, x in texts])
+    model = fit_language_model(spark, docs)
+    rows = len(model.kind)
+    assert len(model.langs) == 200 and len(model.gain) < 0.03 * rows * 200
+    got = {r["doc_id"]: r["lang_pred"] for r in predict_language(spark, docs, model).collect()}
+    assert all(got[k] == x for k, (_, x) in enumerate(texts))
+    scores = {r["doc_id"]: r["score"] for r in predict_language(spark, docs, model).collect()}
+    monkeypatch.setattr(language, "LANGUAGES", 7)  # this process scores in blocks of languages what the tasks score at once
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([False] * 5), pa.array([t.encode() for t, _ in texts[:5]])], ["id", "held_out", "text"])
+    shared = type("Shared", (), {"value": model})
+    blocks = [b for b in language._predict_batches(shared)([batch])][0]
+    assert blocks.column(3).to_pylist() == pytest.approx([scores[k] for k in range(5)])
+    few = fit_language_model(spark, docs, sample_rows=200)  # about one document a label
+    assert 50 < len({int(x) for x in few.lang}) <= 200
