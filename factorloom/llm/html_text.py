@@ -17,6 +17,9 @@ nine of ten pages.  Before that elements go that are navigation, forms, adverts,
 notices or reader comments by their tag or role, or because their whole name
 says so: all words of a class or id are such words or layout words, as in
 ``ad-slot`` or ``comment-list``, not in ``search-results`` or ``related-work``.
+Inside an article a name alone removes adverts, reader comments and notices;
+others (``share``, ``widget``) need the tree to find the branch unimportant, or a block
+without prose.  A form or another wrapper around the article stays.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ BLOCK = frozenset(
     " header hgroup hr legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd figure figcaption table caption thead tbody tfoot tr td th summary".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote table".split())
 RAW_TO_END = "script|style"
 RAW_IF_CLOSED = "noscript|template|iframe|textarea|title"
 NEVER = frozenset("nav footer aside form button input select datalist dialog menu fieldset head search".split())
@@ -54,6 +58,12 @@ BOILERPLATE = TEASERS | frozenset(
     " cookie cookies consent gdpr notice notices popup popups modal overlay newsletter subscribe subscription signup share sharing social"
     " comment comments commentlist disqus respond replies breadcrumb breadcrumbs pagination pager login search masthead".split()
 )
+#: Names that say inside an article, too, that a block is none of it.
+FOREIGN = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense adslot sponsor comment comments commentlist disqus respond replies"
+    " cookie cookies consent gdpr popup popups modal overlay newsletter subscribe subscription signup".split()
+)
+WRAPPERS = frozenset("form fieldset aside dialog search".split())
 HEADERS = frozenset("header headers".split())
 LAYOUT = frozenset(
     "area bar block body bottom box button buttons card cards container content form global group holder icons inner item items left link links list main media off outer page panel"
@@ -83,12 +93,12 @@ MASK = (1 << 64) - 1
 
 
 @functools.lru_cache(maxsize=50_000)
-def name_kinds(names: str) -> tuple[bool, bool, bool, bool]:
-    """Do a class or id value's names say boilerplate, teaser, header, article content?"""
-    out = [False] * 4
+def name_kinds(names: str) -> tuple[bool, ...]:
+    """Do a class or id value's names say boilerplate, teaser, header, article content, boilerplate even inside an article?"""
+    out = [False] * 5
     for token in names.split():
         words = frozenset(w.lower() for w in NAME_WORDS.findall(token))
-        for k, (kind, beside) in enumerate(((BOILERPLATE, LAYOUT), (TEASERS, LAYOUT), (HEADERS, LAYOUT), (CONTENT, LAYOUT))):
+        for k, (kind, beside) in enumerate(((BOILERPLATE, LAYOUT), (TEASERS, LAYOUT), (HEADERS, LAYOUT), (CONTENT, LAYOUT), (FOREIGN, LAYOUT | BOILERPLATE))):
             out[k] = out[k] or bool(words & kind) and words <= kind | beside
     return tuple(out)
 
@@ -97,7 +107,7 @@ class Node:
     __slots__ = ("attrs", "children", "kinds", "parent", "tag")
 
     def __init__(self, tag: str, raw: str, parent: Node | None):
-        self.tag, self.parent, self.children, self.attrs, self.kinds = tag, parent, [], {}, (False,) * 4
+        self.tag, self.parent, self.children, self.attrs, self.kinds = tag, parent, [], {}, (False,) * 5
         if raw and ("=" in raw or "hidden" in raw):
             self.attrs = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(raw)}
             names = " ".join([self.attrs.get(k, "") for k in ("class", "id", "itemprop")])
@@ -186,7 +196,8 @@ def parse(page: str) -> Node:
     return root
 
 
-def is_boilerplate(node: Node, in_article: bool) -> bool:
+def is_boilerplate(node: Node, in_article: bool, agreed: frozenset[int] | set[int] = frozenset()) -> bool:
+    """``agreed`` are blocks (by ``id``) that the style tree finds unimportant."""
     if node.tag in NEVER:
         return True
     if node.attrs:
@@ -194,10 +205,62 @@ def is_boilerplate(node: Node, in_article: bool) -> bool:
             return True
         if node.attrs.get("role", "").lower() in ROLES:
             return True
-    named, teaser, header, content = node.kinds
+    named, teaser, header, content, foreign = node.kinds
+    if in_article:
+        if foreign:
+            return node.tag not in ("main", "h1")
+        return named and node.tag not in TEXT_BLOCKS and node.tag not in ("article", "main") and (id(node) in agreed or not holds_prose(node))
     if named and node.tag not in ("main", "h1") and not (node.tag == "article" and teaser):
         return True
-    return (node.tag == "header" or header and not content) and not in_article
+    return node.tag == "header" or header and not content
+
+
+def holds_prose(node: Node) -> bool:
+    """Does a block hold a paragraph, heading, quotation or table with text outside of links and buttons?"""
+    stack = [(node, False)]
+    while stack:
+        at, prose = stack.pop()
+        prose = prose or at.tag in PROSE
+        for c in at.children:
+            if isinstance(c, str):
+                if prose and c.strip():
+                    return True
+            elif c.tag not in ("a", "button"):
+                stack.append((c, prose))
+    return False
+
+
+def is_main(node: Node) -> bool:
+    return node.tag == "main" or node.attrs.get("role", "").lower() == "main"
+
+
+def wrappers(root: Node) -> set[int]:
+    """Forms, fieldsets, asides and the like that hold all of the page's articles, by ``id``: they are no boilerplate.
+
+    A page without any article keeps the forms that hold all of its blocks of text.
+    """
+    nodes = list(preorder(root))
+    for fits in (lambda n: (n.tag == "article" and not n.kinds[1]) or is_main(n), lambda n: n.tag in ("p", "h1")):
+        around: set[int] = set()
+        found = free = False
+        for n in nodes:
+            if not fits(n):
+                continue
+            mine, up, lost = [], n.parent, False
+            while up is not None:
+                if up.tag in WRAPPERS:
+                    mine.append(id(up))
+                lost |= up.tag in NEVER and up.tag not in WRAPPERS
+                up = up.parent
+            found = found or not lost
+            if not mine and not lost:
+                free = True
+                break
+            if not lost:
+                around.update(mine)
+        if found:
+            return set() if free else around
+    return set()
 
 
 def preorder(root: Node):
@@ -208,13 +271,14 @@ def preorder(root: Node):
         stack += [c for c in reversed(node.children) if not isinstance(c, str)]
 
 
-def prune(root: Node) -> None:
+def prune(root: Node, agreed: frozenset[int] | set[int] = frozenset()) -> None:
     """Remove boilerplate by tag, role or name."""
+    kept = wrappers(root)
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
-        inside = inside or node.tag in ("article", "main")
-        node.children = [c for c in node.children if isinstance(c, str) or not is_boilerplate(c, inside)]
+        inside = inside or node.tag == "article" or is_main(node)
+        node.children = [c for c in node.children if isinstance(c, str) or id(c) in kept or not is_boilerplate(c, inside, agreed)]
         stack += [(c, inside) for c in node.children if not isinstance(c, str)]
 
 
@@ -281,13 +345,18 @@ def outermost(root: Node, fits) -> list[Node]:
 
 
 def containers(root: Node) -> list[Node]:
-    """All outermost containers of the article in a pruned tree, without teasers beside them; none if none is named."""
+    """All outermost containers of the article in a pruned tree, without teasers beside them; none if none is named.
+
+    They are articles, and mains that hold none of these; else blocks with such a name.
+    """
+    holds: set[int] = set()
+    for n in preorder(root):
+        up = n.parent if n.tag == "article" else None
+        while up is not None and id(up) not in holds:
+            holds.add(id(up))
+            up = up.parent
     teasers: list[Node] = []
-    for fits in (
-        lambda n: n.tag == "article",
-        lambda n: n.tag == "main" or n.attrs.get("role", "").lower() == "main",
-        lambda n: not n.inline and n.kinds[3],
-    ):
+    for fits in (lambda n: n.tag == "article" or (is_main(n) and id(n) not in holds), lambda n: not n.inline and n.kinds[3]):
         found = [n for n in outermost(root, fits) if lines_of(n)]
         if own := [n for n in found if not n.kinds[1]]:
             return own
@@ -468,9 +537,9 @@ def extract(page: str, host: int = 0, look=None) -> str:
         return "\n".join(main_lines(root))
     tree = PageTree(host, root)
     entropy, fixed = look(np.array([m[1] for m in tree.marks], np.uint64))
-    prune(root)
+    outside, inside = tree.unimportant(entropy, fixed) if entropy.any() else (set(), set())
+    prune(root, outside)
     if entropy.any():
-        outside, inside = tree.unimportant(entropy, fixed)
         chosen = containers(root)
         held = {id(x) for n in chosen for x in preorder(n)}
         size = sum(len(text) for n in chosen for _, text in lines_of(n))

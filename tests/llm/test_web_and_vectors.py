@@ -510,3 +510,34 @@ def test_a_level_of_a_million_keys_is_planned_quickly(spark):
     assert time.time() - began < 10
     rows = planned.collect()
     assert all(r["hit"] for r in rows if r["listed"]) and sum(r["hit"] for r in rows if not r["listed"]) < 40
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p>Intro</p><div class="widget-content"><p>Body para</p></div><div class="social"><p>On social life.</p></div><p class="search">How to search</p><section class="sharing"><p>Sharing is good.</p></section></article>',
+         "Intro\nBody para\nOn social life.\nHow to search\nSharing is good."),
+        ('<article><p>Text</p><div class="share"><a href="/a">Post it</a> <button>Like</button></div><div class="ad"><p>Buy</p></div><div class="comment-list"><p>First!</p></div></article>', "Text"),
+        ('<form id="aspnetForm"><nav><a href="/">Home</a></nav><article><h1>Head</h1><p>Body</p><input value="x"></article><footer>f</footer></form>', "Head\nBody"),
+        ('<form id="aspnetForm"><div><h1>Head</h1><p>Body text here</p><select><option>one</option></select></div></form>', "Head\nBody text here"),
+        ("<main><p>Intro</p></main><article>Short</article>", "Intro\nShort"),
+        ('<div role="main"><p>A</p><article><p>B</p></article></div>', "B"),
+        ('<article><p>Body</p></article><aside><article class="teaser"><p>Other</p></article></aside><form><p>Sign up</p></form>', "Body"),
+        ('<p>Plain page</p><form><p>Send us a letter</p></form>', "Plain page"),
+    ],
+)
+def test_names_and_wrappers_around_an_article(page, want):
+    assert extract(page) == want
+
+
+def test_a_name_inside_an_article_goes_where_the_tree_agrees(spark):
+    draw = random.Random(6)
+    words = lambda n: " ".join("".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    pages, want = [], {}
+    for k in range(30):
+        own = [words(12) for _ in range(5)]
+        box = "Follow us on all channels and tell your friends" if k % 30 else words(9)
+        pages.append((k, f"http://h.example/{k}", "<article>" + "".join(f"<p>{t}</p>" for t in own) + f'<div class="social"><p>{box}</p></div></article>'))
+        want[k] = "\n".join(own if k else [*own, box])
+    got = {r["page_id"]: r["text"] for r in page_texts(spark, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == want
