@@ -875,6 +875,45 @@ def clg_fit_timestamps(spark, sf_dir):
     fit = gaussian.fit_linear_gaussian(lines, "y", ["x"], ["l_returnflag"])
     return fit.select("config_key", F.round(F.get("coefficients", 0), 3).alias("slope"), "n")
 
+# the same over counts that stay in Spark
+
+PASS_FAMILIES = [(c, []) for c in COLUMNS] + [(c, [p]) for c in COLUMNS for p in COLUMNS if p != c] + [("qd", ["q", "disc"]), ("rf", ["q", "disc", "qd"])]
+PASS_TESTS = [(x, y, g) for x, y in (("q", "disc"), ("q", "qd"), ("disc", "qd"), ("qd", "rf"), ("q", "rf"), ("disc", "rf")) for g in [None, *(c for c in COLUMNS if c not in (x, y))]]
+
+
+def spark_statistics_of(spark: SparkSession, sf_dir: str) -> statistics.SufficientStatistics:
+    """Statistics whose counts never come to the driver, however few they are."""
+    return statistics.SufficientStatistics(base_view(spark, sf_dir), COLUMNS, max_cells=0)
+
+
+@registered(f"WITH {BASE} " + " UNION ALL ".join(family_sql(c, ps) for c, ps in PASS_FAMILIES))
+def family_scores_one_pass(spark, sf_dir):
+    """BIC of many families from one pass over the rows."""
+    stats = spark_statistics_of(spark, sf_dir)
+    scores = stats.scores([(c, tuple(ps)) for c, ps in PASS_FAMILIES])
+    return spark.createDataFrame([(c, ",".join(ps), round(s, 4)) for (c, ps), s in zip(PASS_FAMILIES, scores, strict=True)], "child string, parents string, score double")
+
+
+@registered(" UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, '{g or ''}' AS given, '{kind}' AS kind, statistic, df FROM ({test_sql(x, y, g, kind)})" for kind in ("chi2", "g2") for x, y, g in PASS_TESTS))
+def pair_tests_one_pass(spark, sf_dir):
+    """Tests of all pairs, alone and given each other column, from one pass for each kind."""
+    stats, rows = spark_statistics_of(spark, sf_dir), []
+    for kind in ("chi2", "g2"):
+        found = stats.tests([(x, y, (g,) if g else ()) for x, y, g in PASS_TESTS], kind)
+        rows += [(x, y, g or "", kind, round(s, 4), int(df)) for (x, y, g), (s, df) in zip(PASS_TESTS, found, strict=True)]
+    return spark.createDataFrame(rows, "x string, y string, given string, kind string, statistic double, df long")
+
+
+@registered("SELECT * FROM (VALUES ('qd', 'disc'), ('qd', 'q'), ('disc', 'q')) t(src, dst)")
+def hill_climb_spark_edges(spark, sf_dir):
+    return _edge_frame(spark, learning.hill_climb(spark_statistics_of(spark, sf_dir)).edges)
+
+
+@registered("SELECT * FROM (VALUES ('q', 'qd'), ('disc', 'qd')) t(src, dst)")
+def pc_spark_edges(spark, sf_dir):
+    return _edge_frame(spark, learning.pc(spark_statistics_of(spark, sf_dir)).edges)
+
+
 # plans over sparse tables, and evidence in order of time
 
 
