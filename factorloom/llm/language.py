@@ -28,6 +28,8 @@ from factorloom.llm.common import bound_batches, releasing
 LONGEST_GRAM = 5
 #: Bytes of text whose words are scored at once, and languages whose columns stand side by side.
 SLICE_BYTES, LANGUAGES = 6_000_000, 64
+#: Labels whose shares may be broadcast; with more of them the join is salted.
+MAX_BROADCAST_LABELS, SALTS = 10_000, 64
 #: Words beyond this many stop adding to the evidence behind ``score``.
 EVIDENCE_WORDS = 40
 
@@ -159,7 +161,14 @@ def fit_language_model(
         return LanguageModel.none()
     each = max(1.0, min(sample_per_lang, sample_rows / labels))
     share = per_lang.select("lang", F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("share"))
-    picked = train.where(F.col("text").isNotNull()).join(share, "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    known = train.where(F.col("text").isNotNull()).withColumn("drawn", drawn)
+    if labels <= MAX_BROADCAST_LABELS:
+        joined = known.join(F.broadcast(share), "lang")
+    else:
+        salted = share.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = known.withColumn("salt", F.pmod("drawn", F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"])
+    picked = joined.where(F.col("drawn") < F.col("share") * (1 << 20))
     counts = (
         picked.select("lang", "text")
         .mapInArrow(releasing(_count_batches), "lang string, n int, gram string, c long")

@@ -517,5 +517,8 @@ def test_many_labels_make_a_sparse_model(spark, monkeypatch):
     shared = type("Shared", (), {"value": model})
     blocks = [b for b in language._predict_batches(shared)([batch])][0]
     assert blocks.column(3).to_pylist() == pytest.approx([scores[k] for k in range(5)])
+    monkeypatch.setattr(language, "MAX_BROADCAST_LABELS", 10)  # the salted join gives the same sample
+    again = fit_language_model(spark, docs)
+    assert again.langs == model.langs and (again.start == model.start).all() and np.allclose(again.gain, model.gain)
     few = fit_language_model(spark, docs, sample_rows=200)  # about one document a label
     assert 50 < len({int(x) for x in few.lang}) <= 200
