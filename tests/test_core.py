@@ -350,3 +350,17 @@ def test_incremental_cases_equal_rebuilt_ones_and_are_faster():
     assert "engine" not in pickle.loads(pickle.dumps(kernel)).__dict__
     impossible = CompiledNetwork(ASIA)
     assert IncrementalEngine(impossible).infer({"either": "no", "lung": "yes"})[1] == 0
+
+
+def test_session_lists_and_loads_examples(spark, tmp_path):
+    (tmp_path / "demo.bif").write_text(BIF_TEXT)
+    (tmp_path / "asia.xml").write_text(formats.to_xmlbif(ASIA))
+    (tmp_path / "broken.bif").write_text("network {")
+    s = Session(spark)
+    listed = {r["file"].rpartition("/")[2]: (r["name"], r["error"]) for r in s.list_examples(str(tmp_path)).collect()}
+    assert listed["demo.bif"] == ("demo", None) and listed["asia.xml"][0].lower() == "asia" and listed["broken.bif"][1]
+    s.load(str(tmp_path / "asia.xml"))
+    s.set_evidence("xray", "yes")
+    want, _ = CompiledNetwork(ASIA).infer({"xray": "yes"})
+    got = {(r["variable"], r["outcome"]): r["p"] for r in s.query().collect()}
+    assert all(got[v, o] == pytest.approx(want[v][k]) for v, x in ASIA.variables.items() for k, o in enumerate(x.outcomes))
