@@ -52,6 +52,11 @@ def text_slices(batch: pa.RecordBatch, column: int = 1, most: int = 16_000_000):
         first = past
 
 
+def plain(pieces: pa.Array) -> np.ndarray:
+    """Which pieces are small Latin-1 words: one pre-token each, that normalising leaves as it is."""
+    return pc.match_substring_regex(pieces, SMALL_WORD).to_numpy(zero_copy_only=False)
+
+
 class Pieces:
     """The chunks between spaces of some texts, each a head and perhaps a tail of punctuation.
 
@@ -79,8 +84,7 @@ class Pieces:
         self.tail[tailed] = piece[len(chunks) :]
 
     def plain(self) -> np.ndarray:
-        """Which distinct pieces are small Latin-1 words: one pre-token each, that normalising leaves as it is."""
-        return pc.match_substring_regex(self.distinct, SMALL_WORD).to_numpy(zero_copy_only=False)
+        return plain(self.distinct)
 
 
 #: Texts on which a vocabulary must give the same whole and cut: case, marks, digits, white space, scripts, special strings.

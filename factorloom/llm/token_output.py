@@ -29,12 +29,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factorloom.llm.chunks import Pieces, byte_mapped, cuts_hold, text_slices
+from factorloom.llm.chunks import Pieces, byte_mapped, cuts_hold, plain, text_slices
 from factorloom.llm.common import Scratch, bound_batches, releasing
 
 MAGIC = b"FLRPAIR1"
@@ -43,15 +44,31 @@ MIN_COUNT = 24
 #: Buckets of the first count of a round.
 BUCKET_BITS = 19
 BUCKETS = 1 << BUCKET_BITS
+#: Words that go to the library as one text.
+JOINED = 1000
+#: Pieces whose ids a worker keeps between texts, and the bytes of the longest one.
+KEPT_PIECES = 500_000
+KEPT_BYTES = 64
 #: Texts that go to the library at once where the vocabulary does not let them be cut.
 WHOLE_TEXTS = 64
 
 
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs ``flat[start : start + size]`` back to back."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def starts_of(size: np.ndarray) -> np.ndarray:
+    return np.cumsum(size) - size
+
+
 class ChunkEncoder:
     """Ids of many texts at once: each distinct chunk between spaces is encoded by the library once.
 
     Pieces of small Latin-1 letters are one pre-token each; they go to the same
-    model as one text, many at a time.
+    model as one text, many at a time.  Ids of up to ``KEPT_PIECES`` pieces stay
+    for the next texts.
     """
 
     def __init__(self, path: str):
@@ -64,6 +81,7 @@ class ChunkEncoder:
         self.final = np.zeros(max(vocab.values()) + 1, bool)
         self.final[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
         self.words = self._word_encoder(path)
+        self._keep(pa.array([], pa.string()), np.empty(0, np.uint32), np.empty(0, np.int64))
         self.cuts = True
         self.cuts = cuts_hold(lambda texts: [ids.tolist() for _, flat, size in self.encode(texts) for ids in np.split(flat, np.cumsum(size)[:-1])], self.library)
 
@@ -79,27 +97,46 @@ class ChunkEncoder:
         same = lambda w: lean.encode(byte_mapped(w.encode()), add_special_tokens=False).ids == self.library.encode(w, add_special_tokens=False).ids
         return lean if self.final.any() and all(map(same, probe)) else None
 
-    def _encode_pieces(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids back to back, and start and size of each distinct piece."""
-        is_plain = pieces.plain() if self.words is not None else np.zeros(len(pieces.distinct), bool)
-        words, rest = pieces.distinct.filter(pa.array(is_plain)).to_pylist(), pieces.distinct.filter(pa.array(~is_plain)).to_pylist()
+    def _keep(self, known: pa.Array, flat: np.ndarray, size: np.ndarray) -> None:
+        self.known, self.flat, self.size = known, flat, size
+
+    def _encode_new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces back to back, and the size of each, by the library."""
+        is_plain = plain(pieces) if self.words is not None else np.zeros(len(pieces), bool)
+        words, rest = pieces.filter(pa.array(is_plain)), pieces.filter(pa.array(~is_plain)).to_pylist()
         ids, sizes = [], []
-        for at in range(0, len(words), 1000):
+        for at in range(0, len(words), JOINED):
             # a plain word is one pre-token, so its last id is the first that ends a word
-            joined = byte_mapped(" ".join(words[at : at + 1000]).encode())
-            got = np.array(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            some = words.slice(at, JOINED)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), " ")[0].as_buffer()
+            got = np.array(self.words.encode_batch_fast([byte_mapped(joined.to_pybytes())], add_special_tokens=False)[0].ids, np.uint32)
             ids.append(got)
             sizes.append(np.diff(np.r_[-1, np.flatnonzero(self.final[got])]))
-        some = [e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)]
-        sizes.append(np.fromiter(map(len, some), np.int64, len(some)))
-        ids.append(np.fromiter(itertools.chain.from_iterable(some), np.uint32, int(sizes[-1].sum())))
-        size = np.empty(len(is_plain), np.int64)
-        in_order = np.concatenate(sizes)
-        order = np.r_[np.flatnonzero(is_plain), np.flatnonzero(~is_plain)]
-        size[order] = in_order
-        start = np.empty(len(is_plain), np.int64)
-        start[order] = np.cumsum(in_order) - in_order
-        return np.concatenate(ids), start, size
+        got = [e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+        ids.append(np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(sizes[-1].sum())))
+        size, place = np.concatenate(sizes), np.empty(len(pieces), np.int64)
+        place[np.r_[np.flatnonzero(is_plain), np.flatnonzero(~is_plain)]] = np.arange(len(pieces))
+        return gather(np.concatenate(ids), starts_of(size)[place], size[place]), size[place]
+
+    def _encode_pieces(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids back to back, and start and size of each distinct piece; only those not known go to the library."""
+        found = pc.index_in(distinct, value_set=self.known)
+        new = distinct.filter(found.is_null())
+        new_flat, new_size = self._encode_new(new)
+        at = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        at[at < 0] = len(self.known) + np.arange(len(new))
+        flat, size = np.concatenate([self.flat, new_flat]), np.concatenate([self.size, new_size])
+        start = starts_of(size)
+        short = pc.less_equal(pc.binary_length(new), KEPT_BYTES).to_numpy(zero_copy_only=False)
+        kept = new.filter(pa.array(short)).slice(0, KEPT_PIECES)
+        pick = np.flatnonzero(short)[: len(kept)]
+        kept_flat, kept_size = gather(new_flat, starts_of(new_size)[pick], new_size[pick]), new_size[pick]
+        if len(self.known) + len(kept) <= KEPT_PIECES:
+            self._keep(pa.concat_arrays([self.known, kept]), np.concatenate([self.flat, kept_flat]), np.concatenate([self.size, kept_size]))
+        else:  # begin anew with what came last
+            self._keep(pa.concat_arrays([kept]), kept_flat, kept_size)
+        return flat, start[at], size[at]
 
     def encode(self, texts: pa.Array, most: int = 400_000):
         """Yield (first text, ids, ids of each text) for runs of texts of about ``most`` chunks."""
@@ -112,25 +149,19 @@ class ChunkEncoder:
             return
         pieces = Pieces(texts)
         bounds, which, head, tail = pieces.bounds, pieces.which, pieces.head, pieces.tail
-        flat, start, size = self._encode_pieces(pieces)
+        flat, start, size = self._encode_pieces(pieces.distinct)
+        # ids of each distinct chunk: those of its head, then those of its tail
+        parts = np.stack([head, np.maximum(tail, 0)], 1)
+        part_size = size[parts]
+        part_size[tail < 0, 1] = 0
+        flat, size = gather(flat, start[parts].ravel(), part_size.ravel()), part_size.sum(1)
+        start = starts_of(size)
         first = 0
         while first < len(texts):
             past = max(first + 1, int(np.searchsorted(bounds, bounds[first] + most, "right")) - 1)
             u = which[bounds[first] : bounds[past]]
-            h, t = head[u], tail[u]
-            has = t >= 0
-            h_size = size[h]
-            t_size = np.where(has, size[t], 0)
-            ends = np.cumsum(h_size + t_size)
-            out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
-
-            def put(at, source, n, out=out):
-                ramp = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                out[np.repeat(at, n) + ramp] = flat[np.repeat(source, n) + ramp]
-
-            put(ends - h_size - t_size, start[h], h_size)
-            put(ends[has] - t_size[has], start[t[has]], t_size[has])
-            yield first, out, np.diff(np.r_[0, ends][bounds[first : past + 1] - bounds[first]])
+            n = size[u]
+            yield first, gather(flat, start[u], n), np.diff(np.r_[0, np.cumsum(n)][bounds[first : past + 1] - bounds[first]])
             first = past
 
 
@@ -155,6 +186,25 @@ def with_end_id(ids: np.ndarray, size: np.ndarray, end_id: int) -> tuple[np.ndar
     return out, total
 
 
+def distinct_pairs(pair: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in no order, the place of each pair among them, and how often each occurs.
+
+    One pair of each bucket is told by its bucket; only the others are sorted.
+    """
+    one = np.zeros(BUCKETS, np.uint64)
+    one[bucket] = pair
+    told = one[bucket] == pair
+    count = np.bincount(bucket[told], minlength=BUCKETS)
+    used = np.flatnonzero(count)
+    number = np.zeros(BUCKETS, np.int64)
+    number[used] = np.arange(len(used))
+    which = number[bucket]
+    others = np.flatnonzero(~told)
+    kinds, which[others], more = np.unique(pair[others], return_inverse=True, return_counts=True)
+    which[others] += len(used)
+    return np.concatenate([one[used], kinds]), which, np.concatenate([count[used], more])
+
+
 def re_pair(ids: np.ndarray, doc_size: np.ndarray, alphabet: int, min_count: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Compressed symbols, symbols of each document, and the rules (left, right) by nonterminal.
 
@@ -168,12 +218,12 @@ def re_pair(ids: np.ndarray, doc_size: np.ndarray, alphabet: int, min_count: int
     last[np.cumsum(doc_size)[doc_size > 0] - 1] = True
     at = np.flatnonzero(~last)
     while len(at):
-        pair = symbol[at].astype(np.uint64) | symbol[at + 1].astype(np.uint64) << np.uint64(32)
+        pair = np.stack([symbol[at], symbol[at + 1]], 1).astype("<u4", copy=False).view("<u8").ravel()
         # what shares its bucket with few others need not be sorted
         bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).view(np.int64)
         may = np.bincount(bucket, minlength=BUCKETS)[bucket] >= min_count
-        at, pair = at[may], pair[may]
-        kinds, which, count = np.unique(pair, return_inverse=True, return_counts=True)
+        at, pair, bucket = at[may], pair[may], bucket[may]
+        kinds, which, count = distinct_pairs(pair, bucket)
         often = (count >= min_count)[which]
         at, which = at[often], which[often]
         if not len(at):

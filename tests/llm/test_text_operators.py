@@ -433,6 +433,44 @@ def test_chunks_of_one_batch_are_encoded_in_runs(library):
         assert at == len(texts)
 
 
+class Counted:
+    """A library that notes what is sent to it."""
+
+    def __init__(self, library, sent):
+        self.library, self.sent = library, sent
+
+    def encode_batch_fast(self, texts, **options):
+        self.sent += [w for t in texts for w in t.split(" ")]
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_pieces_of_earlier_texts_are_not_encoded_again(library, monkeypatch):
+    encoder, sent = token_output.ChunkEncoder(tokenizer_path()), []
+    encoder.words, encoder.library = Counted(encoder.words, sent), Counted(encoder.library, sent)
+    some, more = [*ODD, *prose(20, 30)], [*prose(21, 30), "Été étéé new, w1 new?", "ab" * 3001]
+    for texts in (some, more, some):
+        for kept in (token_output.KEPT_PIECES, 40, 0, token_output.KEPT_PIECES):  # enough for all, for some, for none
+            monkeypatch.setattr(token_output, "KEPT_PIECES", kept)
+            [(_, ids, sizes)] = encoder.encode(pa.array(texts, pa.string()))
+            want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+            assert sizes.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+            assert len(encoder.known) <= max(kept, 0) and len(encoder.known) == len(encoder.size) == len(set(encoder.known.to_pylist()))
+        sent.clear()
+        list(encoder.encode(pa.array(texts, pa.string())))
+        assert all(len(w) > token_output.KEPT_BYTES for w in sent)  # only long pieces once more
+
+
+def test_distinct_pairs_that_share_buckets():
+    draw = np.random.default_rng(5)
+    pair = draw.integers(0, 50, 4000).astype(np.uint64)
+    for bucket in (np.zeros(4000, np.int64), (pair % np.uint64(7)).astype(np.int64), pair.astype(np.int64)):
+        kinds, which, count = token_output.distinct_pairs(pair, bucket)
+        assert kinds[which].tolist() == pair.tolist()
+        assert dict(zip(kinds.tolist(), count.tolist(), strict=True)) == collections.Counter(pair.tolist())
+    kinds, which, count = token_output.distinct_pairs(pair[:0], pair[:0].astype(np.int64))
+    assert len(kinds) == len(which) == len(count) == 0
+
+
 def test_scratch_uses_the_shared_folder(spark):
     kept = Scratch(spark, "where").keep(spark.range(3), "t")
     assert kept.scratch_path.startswith(spark.conf.get("spark.checkpoint.dir")) and kept.select(F.sum("id")).first()[0] == 3
